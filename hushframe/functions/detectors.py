@@ -22,11 +22,6 @@ from hushframe.functions.spans import SPAN, no_spans, pattern_spans
 Span = tuple[str, int, int]
 Client = Callable[[Sequence[str]], Iterable[Iterable[Span]]]
 
-ENTITY_ROWS = (
-    "path string, chunk_idx int, ordinal int, type string, begin int, end int"
-)
-
-
 class PatternDetector:
     """Native detector: every match of a Java pattern is an entity of one kind."""
 

@@ -6,13 +6,14 @@ chunk, end exclusive.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hushframe.functions.chunks import chunk_text
 from hushframe.functions.masks import let, no_types
-from hushframe.functions.patterns import ENTITY_TYPES, PREFILTER_CHARS
+from hushframe.functions.patterns import CHUNK_BYTES, ENTITY_TYPES, PREFILTER_CHARS
 
 SPAN = "struct<type:string,begin:int,end:int>"
 
@@ -169,3 +170,126 @@ def pattern_spans(text: Column, pattern: str, type_: str) -> Column:
         return F.aggregate(pairs, zero, step, lambda s: s["done"])
 
     return let(found, locate)
+
+
+# --- spans of a whole row -----------------------------------------------------
+#
+# All spans of one row travel in a flat array of "hits", whether they come from a
+# detector or from a joined table, and whether the row is one text or a record.
+
+HIT = "struct<path:string,chunk_idx:int,ordinal:int,type:string,begin:int,end:int>"
+
+
+def no_hits() -> Column:
+    return F.array().cast(f"array<{HIT}>")
+
+
+def chunks_of_leaves(
+    leaves: Column,
+    may_match: Callable[[Column], Column],
+    *,
+    limit: int = CHUNK_BYTES,
+    parity: bool = False,
+) -> Column:
+    """Chunks of all texts of a row: array<struct<path, chunk_idx, text>>.
+
+    Texts that cannot match are left out before they are split.
+    """
+    empty = F.array().cast("array<struct<path:string,chunk_idx:int,text:string>>")
+
+    def of_leaf(leaf: Column) -> Column:
+        split = F.transform(
+            chunk_text(leaf["text"], limit, parity=parity),
+            lambda c, i: F.struct(
+                leaf["path"].alias("path"),
+                i.alias("chunk_idx"),
+                c["text"].alias("text"),
+            ),
+        )
+        return F.when(may_match(leaf["text"]), split).otherwise(empty)
+
+    return F.flatten(F.transform(leaves, of_leaf))
+
+
+def hits_of_chunks(chunks: Column, spans: Column) -> Column:
+    """Flat hits from row chunks and their span arrays."""
+    return F.flatten(
+        F.zip_with(
+            chunks,
+            spans,
+            lambda c, ss: F.transform(
+                F.coalesce(ss, no_spans()),
+                lambda s, i: F.struct(
+                    c["path"].alias("path"),
+                    c["chunk_idx"].alias("chunk_idx"),
+                    i.alias("ordinal"),
+                    s["type"].alias("type"),
+                    s["begin"].alias("begin"),
+                    s["end"].alias("end"),
+                ),
+            ),
+        )
+    )
+
+
+def hits_leaf(
+    hits: Column,
+    allowed: Column,
+    *,
+    limit: int = CHUNK_BYTES,
+    parity: bool = False,
+) -> Callable[[Column, Column], Column]:
+    """Leaf function of the walk that applies a row's hits to its texts."""
+
+    def leaf(text: Column, path: Column) -> Column:
+        nothing = F.struct(
+            text.alias("value"),
+            F.lit(0).alias("n"),
+            no_types().alias("types"),
+            no_types().alias("entity_types"),
+        )
+
+        def spans_of(own: Column, index: Column) -> Column:
+            here = F.filter(own, lambda h: h["chunk_idx"] == index)
+            return F.array_sort(
+                F.transform(
+                    here,
+                    lambda h: F.struct(
+                        h["ordinal"].alias("ordinal"),
+                        h["type"].alias("type"),
+                        h["begin"].alias("begin"),
+                        h["end"].alias("end"),
+                    ),
+                )
+            )
+
+        def apply(own: Column) -> Column:
+            redacted = let(
+                chunk_text(text, limit, parity=parity),
+                lambda cs: redact_chunks(
+                    text,
+                    cs,
+                    F.transform(cs, lambda c, i: spans_of(own, i)),
+                    allowed,
+                    parity=parity,
+                ),
+            )
+            return let(
+                redacted,
+                lambda r: F.struct(
+                    r["value"].alias("value"),
+                    r["n"].alias("n"),
+                    no_types().alias("types"),
+                    r["types"].alias("entity_types"),
+                ),
+            )
+
+        return F.when(
+            F.size(hits) > 0,
+            let(
+                F.filter(hits, lambda h: h["path"] == path),
+                lambda own: F.when(F.size(own) > 0, apply(own)).otherwise(nothing),
+            ),
+        ).otherwise(nothing)
+
+    return leaf
