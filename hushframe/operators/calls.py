@@ -6,7 +6,7 @@ carried in the row, and nothing is exploded or grouped.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,12 @@ from hushframe.functions import spans as s
 from hushframe.functions.masks import let, no_types
 from hushframe.functions.nested import Leaf, pattern_leaf
 from hushframe.operators.entities import Detector, with_hits
-from hushframe.operators.profiles import with_fixed_profile, with_profile
+from hushframe.operators.profiles import (
+    PROFILES,
+    Profile,
+    with_fixed_profile,
+    with_profile,
+)
 from hushframe.operators.redact import COUNT, TYPES
 
 _PROFILE_COLUMNS = ("profile_name", "stage1", "stage2", "entity_types")
@@ -134,11 +139,15 @@ def _two_stages(
 
 
 def _resolve(
-    df: DataFrame, profile: str | None, profile_column: str, parity: bool
+    df: DataFrame,
+    profile: str | None,
+    profile_column: str,
+    profiles: Sequence[Profile],
+    parity: bool,
 ) -> DataFrame:
     if profile is not None:
-        return with_fixed_profile(df, profile, parity=parity)
-    return with_profile(df, profile_column, parity=parity)
+        return with_fixed_profile(df, profile, profiles, parity=parity)
+    return with_profile(df, profile_column, profiles, parity=parity)
 
 
 def redact_calls(
@@ -146,6 +155,7 @@ def redact_calls(
     *,
     profile: str | None = None,
     profile_column: str = "profile",
+    profiles: Sequence[Profile] = PROFILES,
     detector: Detector | None = None,
     parity: bool = False,
 ) -> DataFrame:
@@ -159,7 +169,7 @@ def redact_calls(
     active = ~F.coalesce(F.col("is_error"), F.lit(False)) & F.col("content").isNotNull()
     if "failure" in df.columns:
         active = active & F.col("failure").isNull()
-    resolved = _resolve(df, profile, profile_column, parity)
+    resolved = _resolve(df, profile, profile_column, profiles, parity)
     done = _two_stages(resolved, "content", is_text_block, active, detector, parity)
     return done.drop("stage1", "stage2", "entity_types")
 
@@ -169,11 +179,12 @@ def redact_resources(
     *,
     profile: str | None = None,
     profile_column: str = "profile",
+    profiles: Sequence[Profile] = PROFILES,
     detector: Detector | None = None,
     parity: bool = False,
 ) -> DataFrame:
     """Redact resource reads: items with text change, blobs stay; no totals."""
-    resolved = _resolve(df, profile, profile_column, parity)
+    resolved = _resolve(df, profile, profile_column, profiles, parity)
     active = F.col("contents").isNotNull()
     done = _two_stages(resolved, "contents", has_text, active, detector, parity)
     return done.drop(COUNT, TYPES, *_PROFILE_COLUMNS, "profile_fallback")
@@ -184,6 +195,7 @@ def redact_by_profile(
     column: str,
     *,
     profile_column: str = "profile",
+    profiles: Sequence[Profile] = PROFILES,
     detector: Detector | None = None,
     parity: bool = False,
 ) -> DataFrame:
@@ -193,7 +205,7 @@ def redact_by_profile(
     the ones of a call.
     """
     block = F.array(F.struct(F.lit("text").alias("type"), F.col(column).alias("text")))
-    resolved = with_profile(df, profile_column, parity=parity)
+    resolved = with_profile(df, profile_column, profiles, parity=parity)
     done = _two_stages(
         resolved.withColumn("_content", block),
         "_content",
