@@ -251,17 +251,18 @@ def hits_leaf(
 
         def spans_of(own: Column, index: Column) -> Column:
             here = F.filter(own, lambda h: h["chunk_idx"] == index)
-            return F.array_sort(
-                F.transform(
-                    here,
-                    lambda h: F.struct(
-                        h["ordinal"].alias("ordinal"),
+            keyed = F.transform(
+                here,
+                lambda h: F.struct(
+                    h["ordinal"].alias("ordinal"),
+                    F.struct(
                         h["type"].alias("type"),
                         h["begin"].alias("begin"),
                         h["end"].alias("end"),
-                    ),
-                )
+                    ).alias("span"),
+                ),
             )
+            return F.transform(F.array_sort(keyed), lambda k: k["span"])
 
         def apply(own: Column) -> Column:
             redacted = let(
