@@ -192,8 +192,8 @@ def redact(text: Column) -> Column:
 def _masked_matches(text: Column, kind: str) -> Column:
     """Masks of the matches of one kind in that stage's input text."""
 
-    def every(pattern: str) -> Column:
-        return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    def every(pattern: str, group: int = 0) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
     four = F.lit(4)
     if kind == "credit_card":
@@ -206,11 +206,12 @@ def _masked_matches(text: Column, kind: str) -> Column:
     if kind == "ssn":
         return F.transform(every(p.SSN), lambda m: F.lit(p.SSN_MASK))
     if kind == "email":
-        return F.transform(
-            every(p.EMAIL),
-            lambda m: F.concat(
-                F.left(m, F.lit(1)), F.lit("***@"), F.substring_index(m, "@", -1)
-            ),
+        # First character (of either kind of start) and domain, by group.
+        heads = F.zip_with(
+            every(p.EMAIL, 2), every(p.EMAIL, 3), lambda a, b: F.concat(a, b)
+        )
+        return F.zip_with(
+            heads, every(p.EMAIL, 4), lambda h, d: F.concat(h, F.lit("***@"), d)
         )
     return F.transform(
         every(p.PHONE),

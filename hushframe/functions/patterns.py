@@ -5,9 +5,8 @@ behaviour exactly for results to agree, so it is stated here as plain text.
 
 Word boundaries are ASCII (a letter with an accent is *not* a word character),
 while Java's ``\\b`` is Unicode-aware.  Patterns therefore use explicit
-look-arounds: ``LEFT`` / ``RIGHT`` where the neighbouring match character is
-always a word character, and ``EDGE`` where a match may also start with
-punctuation.
+look-arounds, ``LEFT`` and ``RIGHT``, next to match characters that are always word
+characters.
 """
 
 # Names of the kinds of data found by the pattern stage, in the order applied.
@@ -20,10 +19,6 @@ SPACES = (
 
 LEFT = r"(?<![A-Za-z0-9_])"
 RIGHT = r"(?![A-Za-z0-9_])"
-EDGE = (
-    r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-)
-
 _CARD_SEP = f"[{SPACES}-]?"
 _PHONE_SEP = f"[{SPACES}.-]?"
 
@@ -34,8 +29,13 @@ CREDIT_CARD = (
 )
 IBAN = f"{LEFT}([A-Z]{{2}}[0-9]{{2}})[A-Z0-9]{{7,26}}([A-Z0-9]{{4}}){RIGHT}"
 SSN = f"{LEFT}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{RIGHT}"
+# An address starts at the first word boundary of a run of local-part characters,
+# or where the match before it ended.  No other place in a run can start one, so a
+# long run without an @ is read once, not once per boundary.
+_LOCAL = "[a-zA-Z0-9._%+-]"
 EMAIL = (
-    f"{EDGE}([a-zA-Z0-9._%+-])[a-zA-Z0-9._%+-]*+"
+    f"(?:(?<!{_LOCAL})([.%+-]*+)([A-Za-z0-9_])|"
+    rf"\G(?<=[A-Za-z0-9_])([.%+-])){_LOCAL}*+"
     rf"@([a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}){RIGHT}"
 )
 PHONE = (
@@ -46,7 +46,7 @@ PHONE = (
 # Replacements for the patterns above.
 IBAN_MASK = "$1****$2"
 SSN_MASK = "***-**-****"
-EMAIL_MASK = "$1***@$2"
+EMAIL_MASK = "$1$2$3***@$4"
 PHONE_MASK = "+$1$2$3***$4"
 
 # Necessary conditions that are cheap to test before the full pattern runs.

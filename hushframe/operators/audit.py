@@ -79,16 +79,15 @@ def audit_base(
 ) -> dict[str, Column]:
     """Fields every record has.
 
-    Parameters are redacted before they are truncated, so that a cut cannot hide
-    half a match; ``parity`` logs them as they are.
+    Parameters are redacted in full (``audit_log`` truncates them afterwards, so a
+    cut cannot hide half a match); ``parity`` logs them as they are.
     """
     given = F.coalesce(F.col("arguments"), F.lit("{}"))
-    shown = given if parity else redact(given)["value"]
     return {
         "timestamp": iso_utc(F.col("finished_at")),
         "upstream_tool": F.col("tool_name"),
         "compliance_profile": F.col(profile),
-        "input_parameters": truncate_input(shown),
+        "input_parameters": given if parity else redact(given)["value"],
         "execution_time_ms": F.unix_millis("finished_at") - F.unix_millis("started_at"),
     }
 
@@ -115,7 +114,11 @@ def audit_log(df: DataFrame, *, parity: bool = False, keep: tuple[str, ...] = ()
     ``keep`` names columns of the calls to carry along, such as a key.
     """
     fields = audit_base(df, parity=parity) | audit_outcome(df, parity=parity)
-    return df.select(*keep, *[fields[c].alias(c) for c in AUDIT_COLUMNS])
+    # Truncated in a projection of its own, so that the parameters, which it reads
+    # three times, are redacted once.
+    return df.select(
+        *keep, *[fields[c].alias(c) for c in AUDIT_COLUMNS]
+    ).withColumn("input_parameters", truncate_input(F.col("input_parameters")))
 
 
 def audit_lines(audit: DataFrame) -> DataFrame:

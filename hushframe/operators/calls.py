@@ -43,10 +43,20 @@ def explode_blocks(df: DataFrame, key: str, content: str = "content") -> DataFra
 
 def explode_items(df: DataFrame, key: str, contents: str = "contents") -> DataFrame:
     """One row per item of a resource read."""
-    return df.select(
-        key, F.posexplode(contents).alias("item_idx", "_item")
-    ).select(key, "item_idx", F.col("_item.uri").alias("item_uri"), "_item.mimeType",
-             "_item.text", "_item.blob")
+    # Outer, then filtered: from an inner generator Catalyst infers a filter on the
+    # array and pushes a copy of the whole redaction below it.
+    return (
+        df.select(key, F.posexplode_outer(contents).alias("item_idx", "_item"))
+        .where(F.col("item_idx").isNotNull())
+        .select(
+            key,
+            "item_idx",
+            F.col("_item.uri").alias("item_uri"),
+            "_item.mimeType",
+            "_item.text",
+            "_item.blob",
+        )
+    )
 
 
 def _rewrite_blocks(
