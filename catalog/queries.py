@@ -177,13 +177,13 @@ def entity_filter(spark, sf_dir):
 @query
 def luhn_valid(spark, sf_dir):
     found = v.texts(spark, sf_dir).select(
-        "text_id", F.posexplode(masks.card_matches(F.col("text"))).alias("ordinal", "m")
+        "text_id", F.posexplode(F.expr(masks.card_matches("text"))).alias("ordinal", "m")
     )
     return found.select(
         "text_id",
         F.col("ordinal").cast("long").alias("ordinal"),
-        masks.card_digits(F.col("m")).alias("digits"),
-        masks.luhn_valid(F.col("m")).alias("valid"),
+        F.expr(masks.card_digits("m")).alias("digits"),
+        F.expr(masks.luhn_valid("m")).alias("valid"),
     )
 
 
@@ -328,7 +328,7 @@ def merge_chunks(spark, sf_dir):
 @query
 def spans_desc(spark, sf_dir):
     chunks = entities.chunk_rows(v.documents(spark, sf_dir), "doc_id", ["text"])
-    ordered = spans.spans_desc(v.RULES.spans(F.array("text"))[0])
+    ordered = F.expr(spans.spans_desc(v.RULES.spans_of("text")))
     return chunks.select(
         "doc_id",
         F.col("chunk_idx").cast("long").alias("chunk_idx"),
@@ -474,7 +474,7 @@ def _document_entities(spark, sf_dir):
 def _redacted_chunks(spark, sf_dir):
     """Chunk rows of all documents with their spans applied, without a join."""
     chunks = entities.chunk_rows(v.documents(spark, sf_dir), "doc_id", ["text"])
-    found = chunks.withColumn("spans", v.RULES.spans(F.array("text"))[0])
+    found = chunks.withColumn("spans", F.expr(v.RULES.spans_of("text")))
     return entities.redact_chunk_rows(found)
 
 
@@ -519,7 +519,7 @@ def reassemble(spark, sf_dir):
     """Chunks of every text put together again, in the row."""
     return v.texts(spark, sf_dir).select(
         "text_id",
-        chunking.reassemble(chunking.chunk_text(F.col("text"))).alias("text"),
+        F.expr(chunking.reassemble(chunking.chunk_text("text"))).alias("text"),
     )
 
 

@@ -14,213 +14,202 @@ are always joined by a line feed, also where a line was cut.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from hushframe.functions.masks import let
 from hushframe.functions.patterns import CHUNK_BYTES
-
-_CHUNKS = "array<struct<text:string,sep:string,start:int>>"
-_PIECES = "array<struct<text:string,sep:string,off:int>>"
-_NEWLINE = "\n"
-
-
-def _struct(**fields: Column) -> Column:
-    return F.struct(*[c.alias(k) for k, c in fields.items()])
-
-
-def _empty(array_type: str) -> Column:
-    return F.array().cast(array_type)
-
-
-def _cut_width(data: Column, pos: Column, limit: int) -> Column:
+from hushframe.functions.sqltext import (
+    Sql,
+    aggregate,
+    empty,
+    let,
+    struct,
+    transform,
+    transform_indexed,
+    when,
+)
+
+_CHUNK = "struct<text:string,sep:string,start:int>"
+_PIECE = "struct<text:string,sep:string,off:int>"
+_NEWLINE = "char(10)"
+_NOTHING = "''"
+
+
+def _cut_width(data: Sql, pos: Sql, limit: int) -> Sql:
     """Bytes to take at ``pos`` so that no character is split."""
-    size = F.octet_length(data)
-
-    def continues(back: int) -> Column:
-        byte = F.substring(data, pos + F.lit(limit - back + 1), F.lit(1))
-        return (byte >= F.lit(bytearray([0x80]))) & (byte <= F.lit(bytearray([0xBF])))
-
-    return (
-        F.when(size - pos <= limit, size - pos)
-        .when(~continues(0), F.lit(limit))
-        .when(~continues(1), F.lit(limit - 1))
-        .when(~continues(2), F.lit(limit - 2))
-        .otherwise(F.lit(limit - 3))
+    left = f"octet_length({data}) - {pos}"
+
+    def starts_character(back: int) -> Sql:
+        byte = f"substring({data}, {pos} + {limit - back + 1}, 1)"
+        return f"NOT ({byte} >= X'80' AND {byte} <= X'BF')"
+
+    return when(
+        (f"{left} <= {limit}", left),
+        (starts_character(0), str(limit)),
+        (starts_character(1), str(limit - 1)),
+        (starts_character(2), str(limit - 2)),
+        other=str(limit - 3),
     )
 
 
-def cut_line(line: Column, limit: int = CHUNK_BYTES) -> Column:
+def cut_line(line: Sql, limit: int = CHUNK_BYTES) -> Sql:
     """Pieces of one line: array<struct<text, sep, off>>, each within the limit.
 
     ``sep`` is a line feed on the last piece and empty on the others; ``off`` is
     the piece's character position in the line.
     """
-    data = line.cast("binary")
-    size = F.octet_length(data)
-    # A piece holds at least limit - 3 bytes, which bounds the number of steps.
-    steps = F.sequence(F.lit(1), F.ceil(size / F.lit(limit - 3)).cast("int"))
-    zero = _struct(done=_empty(_PIECES), pos=F.lit(0), off=F.lit(0))
-
-    def take(state: Column, _: Column) -> Column:
-        def with_width(width: Column) -> Column:
-            piece = F.substring(data, state["pos"] + 1, width).cast("string")
-            last = state["pos"] + width >= size
-            return _struct(
-                done=F.array_append(
-                    state["done"],
-                    _struct(
-                        text=piece,
-                        sep=F.when(last, _NEWLINE).otherwise(""),
-                        off=state["off"],
-                    ),
+
+    def pieces(data: Sql) -> Sql:
+        size = f"octet_length({data})"
+        # A piece holds at least limit - 3 bytes, which bounds the number of steps.
+        steps = f"sequence(1, cast(ceil({size} / {limit - 3}) AS int))"
+
+        def take(state: Sql, _: Sql) -> Sql:
+            def with_piece(p: Sql) -> Sql:
+                piece = struct(
+                    text=f"{p}.text",
+                    sep=when((f"{state}.pos + {p}.width >= {size}", _NEWLINE), other="''"),
+                    off=f"{state}.off",
+                )
+                return struct(
+                    done=f"array_append({state}.done, {piece})",
+                    pos=f"{state}.pos + {p}.width",
+                    off=f"{state}.off + length({p}.text)",
+                )
+
+            cut = let(
+                _cut_width(data, f"{state}.pos", limit),
+                lambda w: struct(
+                    width=w,
+                    text=f"cast(substring({data}, {state}.pos + 1, {w}) AS string)",
                 ),
-                pos=state["pos"] + width,
-                off=state["off"] + F.length(piece),
+            )
+            return when(
+                (f"{state}.pos >= {size}", state), other=let(cut, with_piece)
             )
 
-        return F.when(state["pos"] >= size, state).otherwise(
-            let(_cut_width(data, state["pos"], limit), with_width)
-        )
+        zero = struct(done=empty(_PIECE), pos="0", off="0")
+        return aggregate(steps, zero, take, lambda s: f"{s}.done")
 
-    return F.aggregate(steps, zero, take, lambda s: s["done"])
+    return let(f"cast({line} AS binary)", pieces)
 
 
-def _pack(text: Column, limit: int) -> Column:
+def _pack(text: Sql, limit: int) -> Sql:
     """Default packing: greedy over pieces, lossless."""
-    pieces = F.flatten(
-        F.transform(
-            F.split(text, _NEWLINE, -1),
-            lambda line: F.when(
-                F.octet_length(line) > limit, cut_line(line, limit)
-            ).otherwise(
-                F.array(_struct(text=line, sep=F.lit(_NEWLINE), off=F.lit(0)))
-            ),
-        )
+    pieces = transform(
+        f"split({text}, {_NEWLINE}, -1)",
+        lambda line: when(
+            (f"octet_length({line}) > {limit}", cut_line(line, limit)),
+            other=f"array({struct(text=line, sep=_NEWLINE, off='0')})",
+        ),
     )
-    zero = _struct(
-        done=_empty(_CHUNKS),
-        cur=F.lit(None).cast("string"),  # null: no chunk open yet
-        sep=F.lit(""),
-        start=F.lit(0),
-        pos=F.lit(0),
+    zero = struct(
+        done=empty(_CHUNK),
+        cur="cast(NULL AS string)",  # null: no chunk open yet
+        sep="''",
+        start="0",
+        pos="0",
     )
 
-    def close(state: Column, sep: Column) -> Column:
-        chunk = _struct(text=state["cur"], sep=sep, start=state["start"])
-        return F.array_append(state["done"], chunk)
+    def close(state: Sql, sep: Sql) -> Sql:
+        chunk = struct(text=f"{state}.cur", sep=sep, start=f"{state}.start")
+        return f"array_append({state}.done, {chunk})"
 
-    def add(state: Column, piece: Column) -> Column:
-        first = state["cur"].isNull()
+    def add(state: Sql, piece: Sql) -> Sql:
         full = (
-            F.octet_length(state["cur"])
-            + F.octet_length(state["sep"])
-            + F.octet_length(piece["text"])
-        ) > limit
-        return _struct(
-            done=F.when(full, close(state, state["sep"])).otherwise(state["done"]),
-            cur=F.when(first | full, piece["text"]).otherwise(
-                F.concat(state["cur"], state["sep"], piece["text"])
+            f"octet_length({state}.cur) + octet_length({state}.sep)"
+            f" + octet_length({piece}.text) > {limit}"
+        )
+        opens = f"{state}.cur IS NULL OR {full}"
+        return struct(
+            done=when((full, close(state, f"{state}.sep")), other=f"{state}.done"),
+            cur=when(
+                (opens, f"{piece}.text"),
+                other=f"concat({state}.cur, {state}.sep, {piece}.text)",
             ),
-            sep=piece["sep"],
-            start=F.when(first | full, state["pos"]).otherwise(state["start"]),
-            pos=state["pos"] + F.length(piece["text"]) + F.length(piece["sep"]),
+            sep=f"{piece}.sep",
+            start=when((opens, f"{state}.pos"), other=f"{state}.start"),
+            pos=f"{state}.pos + length({piece}.text) + length({piece}.sep)",
         )
 
-    return F.aggregate(pieces, zero, add, lambda s: close(s, F.lit("")))
+    return aggregate(f"flatten({pieces})", zero, add, lambda s: close(s, "''"))
 
 
-def _pack_parity(text: Column, limit: int) -> Column:
+def _pack_parity(text: Sql, limit: int) -> Sql:
     """Packing as observed in the original tool."""
-    lines = F.split(text, _NEWLINE, -1)
-    zero = _struct(
-        done=_empty(_CHUNKS), cur=F.lit(""), start=F.lit(0), pos=F.lit(0)
-    )
-
-    def state_of(done: Column, cur: Column, start: Column, pos: Column) -> Column:
-        return _struct(done=done, cur=cur, start=start, pos=pos)
-
-    def push(state: Column) -> Column:
-        return F.array_append(
-            state["done"],
-            _struct(text=state["cur"], sep=F.lit(_NEWLINE), start=state["start"]),
-        )
-
-    def add(state: Column, line: Column) -> Column:
-        blank = state["cur"] == ""
-        width = F.octet_length(line) + F.when(blank, 0).otherwise(
-            F.octet_length(state["cur"]) + 1
-        )
-        after = state["pos"] + F.length(line) + 1
-
-        def cut(pieces: Column) -> Column:
-            whole = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-            rest = F.element_at(pieces, -1)
-            pushed = F.transform(
+    zero = struct(done=empty(_CHUNK), cur="''", start="0", pos="0")
+
+    def push(state: Sql) -> Sql:
+        chunk = struct(text=f"{state}.cur", sep=_NEWLINE, start=f"{state}.start")
+        return f"array_append({state}.done, {chunk})"
+
+    def add(state: Sql, line: Sql) -> Sql:
+        blank = f"{state}.cur = ''"
+        joined = when((blank, "0"), other=f"octet_length({state}.cur) + 1")
+        over = f"octet_length({line}) + {joined} > {limit}"
+        after = f"{state}.pos + length({line}) + 1"
+
+        def cut(pieces: Sql) -> Sql:
+            whole = f"slice({pieces}, 1, size({pieces}) - 1)"
+            rest = f"element_at({pieces}, -1)"
+            pushed = transform(
                 whole,
-                lambda x: _struct(
-                    text=x["text"],
-                    sep=F.lit(_NEWLINE),
-                    start=state["pos"] + x["off"],
+                lambda x: struct(
+                    text=f"{x}.text", sep=_NEWLINE, start=f"{state}.pos + {x}.off"
                 ),
             )
-            return state_of(
-                F.concat(state["done"], pushed),
-                rest["text"],
-                state["pos"] + rest["off"],
-                after,
+            return struct(
+                done=f"concat({state}.done, {pushed})",
+                cur=f"{rest}.text",
+                start=f"{state}.pos + {rest}.off",
+                pos=after,
             )
 
-        return (
-            F.when(
-                (width > limit) & ~blank,
-                state_of(push(state), line, state["pos"], after),
-            )
-            .when(width > limit, let(cut_line(line, limit), cut))
-            .when(blank, state_of(state["done"], line, state["pos"], after))
-            .otherwise(
-                state_of(
-                    state["done"],
-                    F.concat(state["cur"], F.lit(_NEWLINE), line),
-                    state["start"],
-                    after,
-                )
-            )
+        opened = {"cur": line, "start": f"{state}.pos", "pos": after}
+        return when(
+            (f"{over} AND NOT {blank}", struct(done=push(state), **opened)),
+            (over, let(cut_line(line, limit), cut)),
+            (blank, struct(done=f"{state}.done", **opened)),
+            other=struct(
+                done=f"{state}.done",
+                cur=f"concat({state}.cur, {_NEWLINE}, {line})",
+                start=f"{state}.start",
+                pos=after,
+            ),
         )
 
-    def finish(state: Column) -> Column:
-        return F.when(state["cur"] != "", push(state)).otherwise(state["done"])
-
-    packed = F.aggregate(lines, zero, add, finish)
+    packed = aggregate(
+        f"split({text}, {_NEWLINE}, -1)",
+        zero,
+        add,
+        lambda s: when((f"{s}.cur <> ''", push(s)), other=f"{s}.done"),
+    )
     # No separator behind the last chunk.
     return let(
         packed,
-        lambda cs: F.transform(
+        lambda cs: transform_indexed(
             cs,
-            lambda c, i: c.withField(
-                "sep", F.when(i == F.size(cs) - 1, "").otherwise(c["sep"])
+            lambda c, i: struct(
+                text=f"{c}.text",
+                sep=when((f"{i} = size({cs}) - 1", "''"), other=f"{c}.sep"),
+                start=f"{c}.start",
             ),
         ),
     )
 
 
-def chunk_text(
-    text: Column, limit: int = CHUNK_BYTES, *, parity: bool = False
-) -> Column:
+def chunk_text(text: Sql, limit: int = CHUNK_BYTES, *, parity: bool = False) -> Sql:
     """Chunks of a text: array<struct<text, sep, start>>; null for null."""
     if limit < 8:
         raise ValueError("limit must leave room for a multi-byte character")
     pack = _pack_parity if parity else _pack
-    whole = F.array(_struct(text=text, sep=F.lit(""), start=F.lit(0)))
-    return (
-        F.when(F.octet_length(text) <= limit, whole)
-        .when(text.isNotNull(), pack(text, limit))
-        .otherwise(F.lit(None).cast(_CHUNKS))
+    return when(
+        (
+            f"octet_length({text}) <= {limit}",
+            f"array({struct(text=text, sep=_NOTHING, start='0')})",
+        ),
+        (f"{text} IS NOT NULL", pack(text, limit)),
     )
 
 
-def reassemble(chunks: Column) -> Column:
+def reassemble(chunks: Sql) -> Sql:
     """Text of a chunk array: every chunk followed by its separator."""
-    return F.array_join(
-        F.transform(chunks, lambda c: F.concat(c["text"], c["sep"])), ""
-    )
+    parts = transform(chunks, lambda c: f"concat({c}.text, {c}.sep)")
+    return f"array_join({parts}, '')"

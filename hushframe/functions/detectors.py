@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hushframe.functions.masks import let
 from hushframe.functions.patterns import LEFT, RIGHT
-from hushframe.functions.spans import SPAN, no_spans, pattern_spans
+from hushframe.functions.spans import NO_SPANS, SPAN, pattern_spans
+from hushframe.functions.sqltext import Sql, lit, transform, when
 
 Span = tuple[str, int, int]
 Client = Callable[[Sequence[str]], Iterable[Iterable[Span]]]
@@ -25,45 +25,36 @@ Client = Callable[[Sequence[str]], Iterable[Iterable[Span]]]
 class PatternDetector:
     """Native detector: every match of a Java pattern is an entity of one kind."""
 
-    native = True
-
     def __init__(self, type_: str, pattern: str, hint: str | None = None):
         self.type_ = type_
         self.pattern = pattern
         self.hint = hint or pattern
 
-    def may_match(self, text: Column) -> Column:
+    def may_match(self, text: Sql) -> Sql:
         """Cheap necessary condition; texts that fail it are never chunked."""
-        return text.rlike(self.hint)
-
-    def spans(self, texts: Column) -> Column:
-        return F.transform(
-            texts,
-            lambda t: F.when(
-                t.rlike(self.hint), pattern_spans(t, self.pattern, self.type_)
-            ).otherwise(no_spans()),
+        return f"{text} RLIKE {lit(self.hint)}"
+
+    def spans_of(self, text: Sql) -> Sql:
+        return when(
+            (self.may_match(text), pattern_spans(text, self.pattern, self.type_)),
+            other=NO_SPANS,
         )
 
+    def spans(self, texts: str) -> Column:
+        return F.expr(transform(texts, self.spans_of))
 
-class AnyDetector:
-    """Several native detectors side by side; spans come detector by detector."""
 
-    native = True
+class AnyDetector(PatternDetector):
+    """Several native detectors side by side; spans come detector by detector."""
 
     def __init__(self, *detectors: PatternDetector):
         self.detectors = detectors
 
-    def may_match(self, text: Column) -> Column:
-        hit = self.detectors[0].may_match(text)
-        for d in self.detectors[1:]:
-            hit = hit | d.may_match(text)
-        return hit
-
-    def spans(self, texts: Column) -> Column:
-        def one(text: Column) -> Column:
-            return F.concat(*[d.spans(F.array(text))[0] for d in self.detectors])
+    def may_match(self, text: Sql) -> Sql:
+        return "(" + " OR ".join(d.may_match(text) for d in self.detectors) + ")"
 
-        return F.transform(texts, lambda t: let(t, one))
+    def spans_of(self, text: Sql) -> Sql:
+        return f"concat({', '.join(d.spans_of(text) for d in self.detectors)})"
 
 
 def ip_detector() -> PatternDetector:
@@ -79,20 +70,18 @@ class BatchDetector:
     """User detector in Python.
 
     ``make_client`` is called once per task and returns a function from a list of
-    chunk texts to one list of ``(type, begin, end)`` per text.  Rows whose text
-    fails ``hint`` reach Python as null and cost nothing there.
+    chunk texts to one list of ``(type, begin, end)`` per text.  Texts that fail
+    ``hint`` never reach Python.
     """
 
-    native = False
-
     def __init__(self, make_client: Callable[[], Client], hint: str | None = None):
         self.make_client = make_client
         self.hint = hint
 
-    def may_match(self, text: Column) -> Column:
-        return text.rlike(self.hint) if self.hint else text.isNotNull()
+    def may_match(self, text: Sql) -> Sql:
+        return f"{text} RLIKE {lit(self.hint)}" if self.hint else f"{text} IS NOT NULL"
 
-    def spans(self, texts: Column) -> Column:
+    def spans(self, texts: str) -> Column:
         make_client = self.make_client
 
         def detect(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -119,7 +108,7 @@ class BatchDetector:
             "batches": Iterator[pd.Series],
             "return": Iterator[pd.Series],
         }
-        return F.pandas_udf(detect, f"array<array<{SPAN}>>")(texts)
+        return F.pandas_udf(detect, f"array<array<{SPAN}>>")(F.expr(texts))
 
     def rows(
         self, keys: Sequence[str]

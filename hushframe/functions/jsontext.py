@@ -8,10 +8,16 @@ nulls, key order and mixed-type fields stay exactly as written.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from hushframe.functions.masks import let, may_hold_pii, no_types, redact
+from hushframe.functions.masks import NO_TYPES, may_hold_pii, redact
+from hushframe.functions.sqltext import (
+    Sql,
+    aggregate,
+    let,
+    lit,
+    struct,
+    when,
+    zip_with,
+)
 
 # Stand-ins for the two escapes that matter for finding the end of a literal.
 # Both are Unicode noncharacters, reserved for use inside a program.  Should the
@@ -24,96 +30,99 @@ _LITERAL = '"[^"]*"'
 _KEY_AHEAD = r"^[ \t\r\n]*:"
 
 
-def _hide_escapes(text: Column) -> Column:
+def _replace(text: Sql, old: str, new: str) -> Sql:
+    return f"replace({text}, {lit(old)}, {lit(new)})"
+
+
+def _hide_escapes(text: Sql) -> Sql:
     for char in (_QUOTE, _BACKSLASH):
-        text = F.replace(text, F.lit(char), F.lit(f"\\u{ord(char):04x}"))
-    text = F.replace(text, F.lit("\\\\"), F.lit(_BACKSLASH))
-    return F.replace(text, F.lit('\\"'), F.lit(_QUOTE))
+        text = _replace(text, char, f"\\u{ord(char):04x}")
+    return _replace(_replace(text, "\\\\", _BACKSLASH), '\\"', _QUOTE)
 
 
-def _show_escapes(text: Column) -> Column:
-    text = F.replace(text, F.lit(_QUOTE), F.lit('\\"'))
-    return F.replace(text, F.lit(_BACKSLASH), F.lit("\\\\"))
+def _show_escapes(text: Sql) -> Sql:
+    return _replace(_replace(text, _QUOTE, '\\"'), _BACKSLASH, "\\\\")
 
 
-def _decode(literal: Column) -> Column:
+def _decode(literal: Sql) -> Sql:
     """String value of a JSON string literal (escapes hidden)."""
-    plain = ~(
-        F.contains(literal, F.lit("\\"))
-        | F.contains(literal, F.lit(_QUOTE))
-        | F.contains(literal, F.lit(_BACKSLASH))
+    escaped = " OR ".join(
+        f"contains({literal}, {lit(c)})" for c in ("\\", _QUOTE, _BACKSLASH)
+    )
+    parsed = (
+        f"from_json(concat('[', {_show_escapes(literal)}, ']'), 'array<string>')[0]"
+    )
+    return when(
+        (escaped, parsed), other=f"substring({literal}, 2, length({literal}) - 2)"
     )
-    inner = F.substring(literal, F.lit(2), F.length(literal) - 2)
-    parsed = F.from_json(
-        F.concat(F.lit("["), _show_escapes(literal), F.lit("]")), "array<string>"
-    )[0]
-    return F.when(plain, inner).otherwise(parsed)
 
 
-def _encode(text: Column) -> Column:
+def _encode(text: Sql) -> Sql:
     """JSON string literal of a value (escapes hidden)."""
-    wrapped = F.to_json(F.array(text))
-    return _hide_escapes(F.substring(wrapped, F.lit(2), F.length(wrapped) - 2))
+    return let(
+        f"to_json(array({text}))",
+        lambda w: _hide_escapes(f"substring({w}, 2, length({w}) - 2)"),
+    )
 
 
-def _redact_literal(literal: Column, after: Column) -> Column:
-    nothing = F.struct(
-        literal.alias("value"), F.lit(0).alias("n"), no_types().alias("types")
-    )
+def _redact_literal(literal: Sql, after: Sql) -> Sql:
+    nothing = struct(value=literal, n="0", types=NO_TYPES)
     hit = let(
-        redact(_decode(literal)),
-        lambda r: F.struct(
-            F.when(r["n"] > 0, _encode(r["value"]))
-            .otherwise(literal)
-            .alias("value"),
-            r["n"].alias("n"),
-            r["types"].alias("types"),
+        _decode(literal),
+        lambda text: let(
+            redact(text),
+            lambda r: struct(
+                value=when((f"{r}.n > 0", _encode(f"{r}.value")), other=literal),
+                n=f"{r}.n",
+                types=f"{r}.types",
+            ),
         ),
     )
-    return F.when(after.rlike(_KEY_AHEAD), nothing).otherwise(hit)
+    return when((f"{after} RLIKE {lit(_KEY_AHEAD)}", nothing), other=hit)
 
 
-def _redact_document(text: Column) -> Column:
-    def with_literals(hidden: Column) -> Column:
-        gaps = F.split(hidden, _LITERAL, -1)
-        literals = F.regexp_extract_all(hidden, F.lit(_LITERAL), F.lit(0))
-        # The gap behind a literal tells a key from a value.
-        followed = F.zip_with(
-            literals,
-            F.slice(gaps, F.lit(2), F.size(gaps)),
-            lambda x, g: _redact_literal(x, g),
+def _redact_document(text: Sql) -> Sql:
+    def split(hidden: Sql) -> Sql:
+        return let(
+            struct(
+                gaps=f"split({hidden}, {lit(_LITERAL)}, -1)",
+                literals=f"regexp_extract_all({hidden}, {lit(_LITERAL)}, 0)",
+            ),
+            redact_values,
         )
-        return let(followed, lambda rs: collect(gaps, rs))
 
-    def collect(gaps: Column, rs: Column) -> Column:
-        n = F.aggregate(rs, F.lit(0), lambda a, r: a + r["n"])
-        pieces = F.flatten(
-            F.zip_with(gaps, rs, lambda g, r: F.array(g, r["value"]))
+    def redact_values(doc: Sql) -> Sql:
+        # The gap behind a literal tells a key from a value.
+        followed = zip_with(
+            f"{doc}.literals",
+            f"slice({doc}.gaps, 2, size({doc}.gaps))",
+            _redact_literal,
         )
-        return F.struct(
-            F.when(n > 0, _show_escapes(F.array_join(pieces, "")))
-            .otherwise(text)
-            .alias("value"),
-            n.alias("n"),
-            F.array_distinct(F.flatten(F.transform(rs, lambda r: r["types"]))).alias(
-                "types"
+        return let(followed, lambda rs: collect(doc, rs))
+
+    def collect(doc: Sql, rs: Sql) -> Sql:
+        pieces = zip_with(f"{doc}.gaps", rs, lambda g, r: f"array({g}, {r}.value)")
+        joined = _show_escapes(f"array_join(flatten({pieces}), '')")
+        return let(
+            aggregate(rs, "0", lambda a, r: f"{a} + {r}.n"),
+            lambda n: struct(
+                value=when((f"{n} > 0", joined), other=text),
+                n=n,
+                types=f"array_distinct(flatten({rs}.types))",
             ),
         )
 
-    return let(_hide_escapes(text), with_literals)
+    return let(_hide_escapes(text), split)
 
 
-def redact_json_text(text: Column) -> Column:
+def redact_json_text(text: Sql) -> Sql:
     """struct<value, n, types> of a JSON document; text that is not JSON is
     redacted as plain text."""
-    nothing = F.struct(
-        text.alias("value"), F.lit(0).alias("n"), no_types().alias("types")
-    )
     # An escape may stand for a character of a pattern.
-    worth_it = may_hold_pii(text) | F.contains(text, F.lit("\\"))
-    is_json = F.get_json_object(text, "$").isNotNull()
-    return (
-        F.when(worth_it & is_json, _redact_document(text))
-        .when(worth_it, redact(text))
-        .otherwise(nothing)
+    worth_it = f"({may_hold_pii(text)} OR contains({text}, {lit(chr(92))}))"
+    is_json = f"get_json_object({text}, '$') IS NOT NULL"
+    return when(
+        (f"{worth_it} AND {is_json}", _redact_document(text)),
+        (worth_it, redact(text)),
+        other=struct(value=text, n="0", types=NO_TYPES),
     )

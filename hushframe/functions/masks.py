@@ -1,8 +1,8 @@
-"""Pattern stage: five masks as native column expressions.
+"""Pattern stage: five masks as native SQL expressions.
 
 The masks run in a fixed order, each on the output of the one before.  All
-functions here map a string ``Column`` to a ``Column``; they hold no state, need
-no shuffle and no Python worker, and can be used at top level, inside
+functions here map the SQL text of a string expression to SQL text; they hold no
+state, need no shuffle and no Python worker, and can be used at top level, inside
 ``transform`` and in streams alike.
 """
 
@@ -10,115 +10,111 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from hushframe.functions import patterns as p
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use the result several times in ``body``.
-
-    Inside a lambda there is no projection to hold an intermediate result, so a
-    one-element array stands in for it.  Without this, five chained
-    (count, replace) pairs would copy the expression tree 2**5 times.
-    """
-    return F.transform(F.array(value), body)[0]
-
-
-def no_types() -> Column:
-    return F.array().cast("array<string>")
-
+from hushframe.functions.sqltext import (
+    Sql,
+    empty,
+    filter_,
+    let,
+    lit,
+    struct,
+    transform,
+    transform_indexed,
+    when,
+    zip_with,
+)
+
+NO_TYPES = empty("string")
 
 # --- credit cards -----------------------------------------------------------
 
 
-def card_digits(match: Column) -> Column:
-    return F.regexp_replace(match, "[^0-9]", "")
+def card_digits(match: Sql) -> Sql:
+    return f"regexp_replace({match}, {lit('[^0-9]')}, '')"
 
 
-def luhn_valid(number: Column) -> Column:
+def luhn_valid(number: Sql) -> Sql:
     """Luhn test over the digits of ``number``; everything else is ignored."""
-    return F.call_function("luhn_check", card_digits(number))
+    return f"luhn_check({card_digits(number)})"
 
 
-def mask_card_match(match: Column) -> Column:
+def mask_card_match(match: Sql) -> Sql:
     """Mask of one card-shaped match; unchanged if the Luhn test fails."""
-    sep = (
-        F.when(F.contains(match, F.lit("-")), "-")
-        .when(F.contains(match, F.lit(" ")), " ")
-        .otherwise("")
+    sep = when(
+        (f"contains({match}, '-')", "'-'"), (f"contains({match}, ' ')", "' '"), other="''"
     )
-    stars = F.lit("****")
-    masked = F.concat(stars, sep, stars, sep, stars, sep, F.right(match, F.lit(4)))
-    return F.when(luhn_valid(match), masked).otherwise(match)
+    masked = let(
+        f"concat('****', {sep})", lambda g: f"concat({g}, {g}, {g}, right({match}, 4))"
+    )
+    return when((luhn_valid(match), masked), other=match)
 
 
-def card_matches(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(p.CREDIT_CARD), F.lit(0))
+def card_matches(text: Sql) -> Sql:
+    return f"regexp_extract_all({text}, {lit(p.CREDIT_CARD)}, 0)"
 
 
-def _mask_cards(text: Column) -> Column:
-    def rebuild(found: Column) -> Column:
-        hits = F.size(F.filter(found, luhn_valid))
-        gaps = F.split(text, p.CREDIT_CARD, -1)
-        # One gap more than matches: the last pair is (gap, null), and
-        # array_join leaves nulls out.
-        pieces = F.flatten(
-            F.zip_with(gaps, found, lambda g, m: F.array(g, mask_card_match(m)))
-        )
-        return F.struct(
-            F.when(hits > 0, F.array_join(pieces, "")).otherwise(text).alias("value"),
-            hits.alias("n"),
-        )
+def _untouched(text: Sql) -> Sql:
+    return struct(value=text, n="0")
 
-    return F.when(
-        text.rlike(p.CREDIT_CARD_HINT), let(card_matches(text), rebuild)
-    ).otherwise(_untouched(text))
 
+def _mask_cards(text: Sql) -> Sql:
+    def rebuild(found: Sql) -> Sql:
+        gaps = f"split({text}, {lit(p.CREDIT_CARD)}, -1)"
+        # One gap more than matches: the last pair is (gap, null), and array_join
+        # leaves nulls out.
+        pieces = zip_with(gaps, found, lambda g, m: f"array({g}, {mask_card_match(m)})")
+        return let(
+            f"size({filter_(found, luhn_valid)})",
+            lambda hits: struct(
+                value=when(
+                    (f"{hits} > 0", f"array_join(flatten({pieces}), '')"), other=text
+                ),
+                n=hits,
+            ),
+        )
 
-def _untouched(text: Column) -> Column:
-    return F.struct(text.alias("value"), F.lit(0).alias("n"))
+    return when(
+        (f"{text} RLIKE {lit(p.CREDIT_CARD_HINT)}", let(card_matches(text), rebuild)),
+        other=_untouched(text),
+    )
 
 
 def _replacing(
-    hint: Callable[[Column], Column], pattern: str, mask: str
-) -> Callable[[Column], Column]:
-    def step(text: Column) -> Column:
-        return F.when(
-            hint(text),
-            F.struct(
-                F.regexp_replace(text, pattern, mask).alias("value"),
-                F.regexp_count(text, F.lit(pattern)).alias("n"),
+    hint: Callable[[Sql], Sql], pattern: str, mask: str
+) -> Callable[[Sql], Sql]:
+    def step(text: Sql) -> Sql:
+        return when(
+            (
+                hint(text),
+                struct(
+                    value=f"regexp_replace({text}, {lit(pattern)}, {lit(mask)})",
+                    n=f"regexp_count({text}, {lit(pattern)})",
+                ),
             ),
-        ).otherwise(_untouched(text))
+            other=_untouched(text),
+        )
 
     return step
 
 
 # Each step maps text to struct<value: string, n: int>.
-MASKS: dict[str, Callable[[Column], Column]] = {
+MASKS: dict[str, Callable[[Sql], Sql]] = {
     "credit_card": _mask_cards,
-    "iban": _replacing(lambda t: t.rlike(p.IBAN_HINT), p.IBAN, p.IBAN_MASK),
-    "ssn": _replacing(lambda t: t.rlike(p.SSN_HINT), p.SSN, p.SSN_MASK),
+    "iban": _replacing(lambda t: f"{t} RLIKE {lit(p.IBAN_HINT)}", p.IBAN, p.IBAN_MASK),
+    "ssn": _replacing(lambda t: f"{t} RLIKE {lit(p.SSN_HINT)}", p.SSN, p.SSN_MASK),
     "email": _replacing(
-        lambda t: F.contains(t, F.lit(p.EMAIL_HINT)), p.EMAIL, p.EMAIL_MASK
+        lambda t: f"contains({t}, {lit(p.EMAIL_HINT)})", p.EMAIL, p.EMAIL_MASK
     ),
     "phone": _replacing(
-        lambda t: F.contains(t, F.lit(p.PHONE_HINT)), p.PHONE, p.PHONE_MASK
+        lambda t: f"contains({t}, {lit(p.PHONE_HINT)})", p.PHONE, p.PHONE_MASK
     ),
 }
 
 
-def mask_one(text: Column, kind: str) -> Column:
-    """One mask alone: struct<value, n>."""
-    return MASKS[kind](text)
-
-
 # --- all five ---------------------------------------------------------------
 
 
-def may_hold_pii(text: Column) -> Column:
+def may_hold_pii(text: Sql) -> Sql:
     """Cheap necessary condition for any of the five masks to change ``text``.
 
     If no pattern matches the raw text, nothing is replaced and so no later
@@ -126,125 +122,110 @@ def may_hold_pii(text: Column) -> Column:
     SSN all hold two adjacent digits, which most prose does not.
     """
     return (
-        F.contains(text, F.lit(p.EMAIL_HINT))
-        | F.contains(text, F.lit(p.PHONE_HINT))
-        | (text.rlike(p.TWO_DIGITS) & text.rlike(p.DIGITS_HINT))
+        f"(contains({text}, {lit(p.EMAIL_HINT)}) OR contains({text}, {lit(p.PHONE_HINT)})"
+        f" OR ({text} RLIKE {lit(p.TWO_DIGITS)} AND {text} RLIKE {lit(p.DIGITS_HINT)}))"
     )
 
 
-def _chain(text: Column) -> Column:
+def _chain(text: Sql) -> Sql:
     """struct<value, credit_card, iban, ssn, email, phone>; the last five are counts."""
 
-    def step(current: Column, counts: list[Column], left: list[str]) -> Column:
+    def step(current: Sql, counts: list[Sql], left: list[str]) -> Sql:
         if not left:
-            named = zip(p.PATTERN_TYPES, counts)
-            return F.struct(current.alias("value"), *[n.alias(k) for k, n in named])
+            return struct(value=current, **dict(zip(p.PATTERN_TYPES, counts)))
         return let(
             MASKS[left[0]](current),
-            lambda r: step(r["value"], [*counts, r["n"]], left[1:]),
+            lambda r: step(f"{r}.value", [*counts, f"{r}.n"], left[1:]),
         )
 
     return step(text, [], list(p.PATTERN_TYPES))
 
 
-def mask_all(text: Column) -> Column:
+def mask_all(text: Sql) -> Sql:
     """Masked text and per-kind counts: struct<value, credit_card, ..., phone>."""
-    nothing = F.struct(
-        text.alias("value"), *[F.lit(0).alias(k) for k in p.PATTERN_TYPES]
-    )
-    return F.when(may_hold_pii(text), _chain(text)).otherwise(nothing)
+    nothing = struct(value=text, **{k: "0" for k in p.PATTERN_TYPES})
+    return when((may_hold_pii(text), _chain(text)), other=nothing)
 
 
-def total(masked: Column) -> Column:
+def total(masked: Sql) -> Sql:
     """Number of redactions in a ``mask_all`` result."""
-    n = masked[p.PATTERN_TYPES[0]]
-    for kind in p.PATTERN_TYPES[1:]:
-        n = n + masked[kind]
-    return n
+    return "(" + " + ".join(f"{masked}.{k}" for k in p.PATTERN_TYPES) + ")"
 
 
-def kinds(masked: Column) -> Column:
+def kinds(masked: Sql) -> Sql:
     """Kinds found in a ``mask_all`` result, in order of discovery."""
-    found = F.array(*[F.when(masked[k] > 0, F.lit(k)) for k in p.PATTERN_TYPES])
-    return F.when(total(masked) > 0, F.array_compact(found)).otherwise(no_types())
+    found = ", ".join(when((f"{masked}.{k} > 0", lit(k))) for k in p.PATTERN_TYPES)
+    return when(
+        (f"{total(masked)} > 0", f"array_compact(array({found}))"), other=NO_TYPES
+    )
 
 
-def redact(text: Column) -> Column:
+def redact(text: Sql) -> Sql:
     """Pattern stage for one string: struct<value, n, types>.
 
     The form used inside lambdas; null stays null with a count of 0.
     """
-    nothing = F.struct(
-        text.alias("value"), F.lit(0).alias("n"), no_types().alias("types")
-    )
     hit = let(
         _chain(text),
-        lambda r: F.struct(
-            r["value"].alias("value"), total(r).alias("n"), kinds(r).alias("types")
-        ),
+        lambda r: struct(value=f"{r}.value", n=total(r), types=kinds(r)),
+    )
+    return when(
+        (may_hold_pii(text), hit), other=struct(value=text, n="0", types=NO_TYPES)
     )
-    return F.when(may_hold_pii(text), hit).otherwise(nothing)
 
 
 # --- findings ---------------------------------------------------------------
 
 
-def _masked_matches(text: Column, kind: str) -> Column:
+def _masked_matches(text: Sql, kind: str) -> Sql:
     """Masks of the matches of one kind in that stage's input text."""
 
-    def every(pattern: str, group: int = 0) -> Column:
-        return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    def every(pattern: str, group: int = 0) -> Sql:
+        return f"regexp_extract_all({text}, {lit(pattern)}, {group})"
 
-    four = F.lit(4)
     if kind == "credit_card":
-        return F.transform(F.filter(card_matches(text), luhn_valid), mask_card_match)
+        return transform(filter_(card_matches(text), luhn_valid), mask_card_match)
     if kind == "iban":
-        return F.transform(
-            every(p.IBAN),
-            lambda m: F.concat(F.left(m, four), F.lit("****"), F.right(m, four)),
+        return transform(
+            every(p.IBAN), lambda m: f"concat(left({m}, 4), '****', right({m}, 4))"
         )
     if kind == "ssn":
-        return F.transform(every(p.SSN), lambda m: F.lit(p.SSN_MASK))
+        return transform(every(p.SSN), lambda m: lit(p.SSN_MASK))
     if kind == "email":
         # First character (of either kind of start) and domain, by group.
-        heads = F.zip_with(
-            every(p.EMAIL, 2), every(p.EMAIL, 3), lambda a, b: F.concat(a, b)
+        heads = zip_with(
+            every(p.EMAIL, 2), every(p.EMAIL, 3), lambda a, b: f"concat({a}, {b})"
         )
-        return F.zip_with(
-            heads, every(p.EMAIL, 4), lambda h, d: F.concat(h, F.lit("***@"), d)
+        return zip_with(
+            heads, every(p.EMAIL, 4), lambda h, d: f"concat({h}, '***@', {d})"
         )
-    return F.transform(
+    return transform(
         every(p.PHONE),
         lambda m: let(
-            card_digits(m),
-            lambda d: F.concat(
-                F.lit("+"), F.left(d, F.lit(2)), F.lit("***"), F.right(d, F.lit(2))
-            ),
+            card_digits(m), lambda d: f"concat('+', left({d}, 2), '***', right({d}, 2))"
         ),
     )
 
 
-def findings(text: Column) -> Column:
+def findings(text: Sql) -> Sql:
     """array<struct<type, ordinal, masked>>: one element per masked match.
 
     Only masked values are returned, never the raw match.
     """
 
-    def step(current: Column, found: list[Column], left: list[str]) -> Column:
-        if not left:
-            return F.concat(*found)
-        kind = left[0]
-        here = F.transform(
+    def here(current: Sql, kind: str) -> Sql:
+        return transform_indexed(
             _masked_matches(current, kind),
-            lambda m, i: F.struct(
-                F.lit(kind).alias("type"), i.alias("ordinal"), m.alias("masked")
-            ),
+            lambda m, i: struct(type=lit(kind), ordinal=i, masked=m),
         )
+
+    def step(current: Sql, found: list[Sql], left: list[str]) -> Sql:
+        kind = left[0]
         if len(left) == 1:
-            return F.concat(*found, here)
+            return f"concat({', '.join([*found, here(current, kind)])})"
         return let(
-            F.struct(MASKS[kind](current)["value"].alias("value"), here.alias("here")),
-            lambda r: step(r["value"], [*found, r["here"]], left[1:]),
+            struct(value=f"{MASKS[kind](current)}.value", here=here(current, kind)),
+            lambda r: step(f"{r}.value", [*found, f"{r}.here"], left[1:]),
         )
 
     return step(text, [], list(p.PATTERN_TYPES))

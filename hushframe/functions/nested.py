@@ -1,9 +1,9 @@
 """Walking nested values by schema.
 
-The schema is walked once on the driver and yields column expressions; rows are
-never walked in Python.  Strings are rewritten by a leaf function, in arrays,
-structs and map values at any depth.  Map keys, field names and every other type
-stay as they are.
+The schema is walked once on the driver and yields one expression; rows are never
+walked in Python.  Strings are rewritten by a leaf function, in arrays, structs
+and map values at any depth.  Map keys, field names and every other type stay as
+they are.
 
 A leaf maps ``(text, path)`` to ``struct<value, n, types, entity_types>``; the two
 kind lists stay apart until the whole record is merged, because all kinds of the
@@ -14,24 +14,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushframe.functions.masks import let, no_types, redact
+from hushframe.functions.masks import NO_TYPES, redact
+from hushframe.functions.sqltext import (
+    Sql,
+    aggregate,
+    empty,
+    let,
+    lit,
+    struct,
+    transform,
+    transform_indexed,
+    transform_values,
+    when,
+)
 
-Leaf = Callable[[Column, Column], Column]
+Leaf = Callable[[Sql, Sql], Sql]
 
 
-def pattern_leaf(text: Column, path: Column) -> Column:
+def pattern_leaf(text: Sql, path: Sql) -> Sql:
     """Pattern stage only."""
     return let(
         redact(text),
-        lambda r: F.struct(
-            r["value"].alias("value"),
-            r["n"].alias("n"),
-            r["types"].alias("types"),
-            no_types().alias("entity_types"),
+        lambda r: struct(
+            value=f"{r}.value", n=f"{r}.n", types=f"{r}.types", entity_types=NO_TYPES
         ),
     )
 
@@ -49,142 +56,123 @@ def holds_text(kind: T.DataType) -> bool:
     return False
 
 
-def _result(value: Column, parts: Column) -> Column:
-    """Merge child results: counts add up, kinds keep their first position."""
+def field(value: Sql, name: str) -> Sql:
+    return f"{value}.`{name.replace('`', '``')}`"
 
-    def union(name: str) -> Column:
-        return F.array_distinct(
-            F.flatten(F.transform(parts, lambda x: x[name]))
-        ).alias(name)
 
-    return F.struct(
-        value.alias("value"),
-        F.aggregate(parts, F.lit(0), lambda n, x: n + x["n"]).alias("n"),
-        union("types"),
-        union("entity_types"),
+def _merged(value: Sql, parts: Sql) -> Sql:
+    """Merge child results: counts add up, kinds keep their first position."""
+    return struct(
+        value=value,
+        n=aggregate(parts, "0", lambda n, x: f"{n} + {x}.n"),
+        types=f"array_distinct(flatten({parts}.types))",
+        entity_types=f"array_distinct(flatten({parts}.entity_types))",
     )
 
 
-def _stats(result: Column) -> Column:
-    return F.struct(
-        result["n"].alias("n"),
-        result["types"].alias("types"),
-        result["entity_types"].alias("entity_types"),
+def _stats(result: Sql) -> Sql:
+    return struct(
+        n=f"{result}.n",
+        types=f"{result}.types",
+        entity_types=f"{result}.entity_types",
     )
 
 
-def _nothing(value: Column) -> Column:
-    return F.struct(
-        value.alias("value"),
-        F.lit(0).alias("n"),
-        no_types().alias("types"),
-        no_types().alias("entity_types"),
-    )
+def _nothing(value: Sql) -> Sql:
+    return struct(value=value, n="0", types=NO_TYPES, entity_types=NO_TYPES)
 
 
-def rewrite(value: Column, kind: T.DataType, path: Column, leaf: Leaf) -> Column:
+def rewrite(value: Sql, kind: T.DataType, path: Sql, leaf: Leaf) -> Sql:
     """Result of the walk over one value: struct<value, n, types, entity_types>."""
     if not holds_text(kind):
         return _nothing(value)
 
     if isinstance(kind, T.ArrayType):
-        items = F.transform(
+        items = transform_indexed(
             value,
-            lambda x, i: rewrite(
-                x, kind.elementType, _item_path(path, i), leaf
-            ),
-        )
-        hit = let(
-            items,
-            lambda rs: _result(
-                F.transform(rs, lambda r: r["value"]), F.transform(rs, _stats)
-            ),
+            lambda x, i: rewrite(x, kind.elementType, _item_path(path, i), leaf),
         )
+        hit = let(items, lambda rs: _merged(f"{rs}.value", rs))
     elif isinstance(kind, T.MapType):
-        items = F.transform_values(
+        items = transform_values(
             value, lambda k, v: rewrite(v, kind.valueType, _map_path(path, k), leaf)
         )
-        hit = let(
-            items,
-            lambda rs: _result(
-                F.transform_values(rs, lambda k, r: r["value"]),
-                F.transform(F.map_values(rs), _stats),
-            ),
-        )
+
+        def join_map(rs: Sql) -> Sql:
+            return _merged(
+                transform_values(rs, lambda k, r: f"{r}.value"), f"map_values({rs})"
+            )
+
+        hit = let(items, join_map)
     elif isinstance(kind, T.StructType):
         texts = [f for f in kind.fields if holds_text(f.dataType)]
-        items = F.struct(
-            *[
-                rewrite(
-                    value[f.name], f.dataType, _field_path(path, f.name), leaf
-                ).alias(f.name)
-                for f in texts
-            ]
+        items = ", ".join(
+            rewrite(
+                field(value, f.name), f.dataType, _field_path(path, f.name), leaf
+            )
+            + f" AS f{i}"
+            for i, f in enumerate(texts)
         )
 
-        def join(rs: Column) -> Column:
-            names = {f.name for f in texts}
+        def join_struct(rs: Sql) -> Sql:
+            place = {f.name: i for i, f in enumerate(texts)}
             fields = [
-                (rs[f.name]["value"] if f.name in names else value[f.name]).alias(
-                    f.name
-                )
+                f"{rs}.f{place[f.name]}.value"
+                if f.name in place
+                else field(value, f.name)
                 for f in kind.fields
             ]
-            parts = F.array(*[_stats(rs[f.name]) for f in texts])
-            return _result(F.struct(*fields), parts)
+            named = ", ".join(
+                f"{x} AS `{f.name.replace('`', '``')}`"
+                for x, f in zip(fields, kind.fields)
+            )
+            parts = ", ".join(_stats(f"{rs}.f{i}") for i in range(len(texts)))
+            return _merged(f"struct({named})", f"array({parts})")
 
-        hit = let(items, join)
+        hit = let(f"struct({items})", join_struct)
     else:
         return leaf(value, path)
 
-    return F.when(value.isNotNull(), hit).otherwise(
-        _nothing(F.lit(None).cast(kind))
-    )
+    return when((f"{value} IS NOT NULL", hit), other=_nothing(value))
 
 
-def text_leaves(value: Column, kind: T.DataType, path: Column) -> Column:
+def text_leaves(value: Sql, kind: T.DataType, path: Sql) -> Sql:
     """All string values in traversal order: array<struct<path, text>>."""
-    empty = F.array().cast("array<struct<path:string,text:string>>")
+    none = empty("struct<path:string,text:string>")
     if not holds_text(kind):
-        return empty
+        return none
     if isinstance(kind, T.ArrayType):
-        inner = F.flatten(
-            F.transform(
-                value,
-                lambda x, i: text_leaves(
-                    x, kind.elementType, _item_path(path, i)
-                ),
-            )
+        inner = transform_indexed(
+            value, lambda x, i: text_leaves(x, kind.elementType, _item_path(path, i))
         )
+        inner = f"flatten({inner})"
     elif isinstance(kind, T.MapType):
-        inner = F.flatten(
-            F.transform(
-                F.map_entries(value),
-                lambda e: text_leaves(
-                    e["value"], kind.valueType, _map_path(path, e["key"])
-                ),
-            )
+        inner = transform(
+            f"map_entries({value})",
+            lambda e: text_leaves(
+                f"{e}.value", kind.valueType, _map_path(path, f"{e}.key")
+            ),
         )
+        inner = f"flatten({inner})"
     elif isinstance(kind, T.StructType):
-        inner = F.concat(
-            *[
-                text_leaves(value[f.name], f.dataType, _field_path(path, f.name))
-                for f in kind.fields
-                if holds_text(f.dataType)
-            ]
+        parts = ", ".join(
+            text_leaves(field(value, f.name), f.dataType, _field_path(path, f.name))
+            for f in kind.fields
+            if holds_text(f.dataType)
         )
+        inner = f"concat({parts})"
     else:
-        inner = F.array(F.struct(path.alias("path"), value.alias("text")))
-    return F.when(value.isNotNull(), inner).otherwise(empty)
+        inner = f"array({struct(path=path, text=value)})"
+    return when((f"{value} IS NOT NULL", inner), other=none)
 
 
-def _field_path(path: Column, name: str) -> Column:
-    return F.concat(path, F.lit("." + name))
+def _field_path(path: Sql, name: str) -> Sql:
+    return f"concat({path}, {lit('.' + name)})"
 
 
-def _item_path(path: Column, index: Column) -> Column:
-    return F.concat(path, F.lit("["), index.cast("string"), F.lit("]"))
+def _item_path(path: Sql, index: Sql) -> Sql:
+    return f"concat({path}, '[', cast({index} AS string), ']')"
 
 
-def _map_path(path: Column, key: Column) -> Column:
-    return F.concat(path, F.lit("['"), key.cast("string"), F.lit("']"))
+def _map_path(path: Sql, key: Sql) -> Sql:
+    return f"concat({path}, {lit('[')}, cast({key} AS string), ']')"

@@ -1,175 +1,170 @@
 """Entity stage: replacing spans found by a detector with typed placeholders.
 
 Spans are ``struct<type, begin, end>`` with character offsets relative to their
-chunk, end exclusive.
+chunk, end exclusive.  Functions map SQL text to SQL text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from hushframe.functions.chunks import chunk_text
-from hushframe.functions.masks import let, no_types
+from hushframe.functions.masks import NO_TYPES
 from hushframe.functions.patterns import CHUNK_BYTES, ENTITY_TYPES, PREFILTER_CHARS
+from hushframe.functions.sqltext import (
+    Sql,
+    aggregate,
+    empty,
+    exists,
+    filter_,
+    let,
+    lit,
+    struct,
+    transform,
+    transform_indexed,
+    when,
+    zip_with,
+)
 
 SPAN = "struct<type:string,begin:int,end:int>"
+NO_SPANS = empty(SPAN)
+
 
+def _span(s: Sql) -> Sql:
+    return struct(type=f"{s}.type", begin=f"{s}.begin", end=f"{s}.`end`")
 
-def allowed_types(types: Sequence[str] | Column | None = None) -> Column:
-    """Entity kinds to redact, as an array column."""
-    if isinstance(types, Column):
-        return types
-    return F.array(*[F.lit(t) for t in (ENTITY_TYPES if types is None else types)])
 
+def allowed_types(types: Sequence[str] | None = None) -> Sql:
+    """Entity kinds to redact, as an array."""
+    return f"array({', '.join(lit(t) for t in (ENTITY_TYPES if types is None else types))})"
 
-def is_relevant(type_: Column, begin: Column, end: Column, allowed: Column) -> Column:
+
+def is_relevant(type_: Sql, begin: Sql, end: Sql, allowed: Sql) -> Sql:
     """Kind on the allow-list and both offsets known."""
-    return F.coalesce(
-        F.array_contains(allowed, type_) & begin.isNotNull() & end.isNotNull(),
-        F.lit(False),
+    return (
+        f"coalesce(array_contains({allowed}, {type_}) AND {begin} IS NOT NULL"
+        f" AND {end} IS NOT NULL, false)"
     )
 
 
-def relevant_spans(spans: Column, allowed: Column) -> Column:
-    return F.filter(
-        spans, lambda s: is_relevant(s["type"], s["begin"], s["end"], allowed)
+def relevant_spans(spans: Sql, allowed: Sql) -> Sql:
+    return filter_(
+        spans, lambda s: is_relevant(f"{s}.type", f"{s}.begin", f"{s}.`end`", allowed)
     )
 
 
-def spans_desc(spans: Column) -> Column:
+def spans_desc(spans: Sql) -> Sql:
     """Stable sort by begin, last span first; ties keep their order.
 
     Sorting structs led by (-begin, position) uses the natural order and needs no
     comparator lambda.
     """
-    keyed = F.transform(
+    keyed = transform_indexed(
         spans,
-        lambda s, i: F.struct(
-            (-s["begin"]).alias("key"),
-            i.alias("ordinal"),
-            s["type"].alias("type"),
-            s["begin"].alias("begin"),
-            s["end"].alias("end"),
+        lambda s, i: struct(
+            key=f"-{s}.begin",
+            ordinal=i,
+            type=f"{s}.type",
+            begin=f"{s}.begin",
+            end=f"{s}.`end`",
         ),
     )
-    return F.array_sort(keyed)
+    return f"array_sort({keyed})"
 
 
-def apply_spans(text: Column, ordered: Column) -> Column:
+def apply_spans(text: Sql, ordered: Sql) -> Sql:
     """Replace spans in the given (descending) order by ``[REDACTED:TYPE]``.
 
     Overlapping spans are spliced with their original offsets, as observed in the
     original tool.
     """
-    return F.aggregate(
+    return aggregate(
         ordered,
         text,
-        lambda t, s: F.concat(
-            F.substring(t, F.lit(1), s["begin"]),
-            F.lit("[REDACTED:"),
-            s["type"],
-            F.lit("]"),
-            F.substring(t, s["end"] + 1, F.length(t)),
+        lambda t, s: (
+            f"concat(substring({t}, 1, {s}.begin), '[REDACTED:', {s}.type, ']',"
+            f" substring({t}, {s}.`end` + 1, length({t})))"
         ),
     )
 
 
-def in_prefilter(chunks: Column, spans: Column) -> Column:
+def in_prefilter(chunks: Sql, spans: Sql) -> Sql:
     """Any span of any kind that starts in the first 4,500 characters."""
-    starts = F.zip_with(
+    starts = zip_with(
         chunks,
         spans,
-        lambda c, ss: F.exists(
-            ss, lambda s: (c["start"] + s["begin"]) < PREFILTER_CHARS
+        lambda c, ss: exists(
+            ss, lambda s: f"{c}.start + {s}.begin < {PREFILTER_CHARS}"
         ),
     )
-    return F.exists(starts, lambda x: F.coalesce(x, F.lit(False)))
+    return exists(starts, lambda x: f"coalesce({x}, false)")
 
 
 def redact_chunks(
-    text: Column,
-    chunks: Column,
-    spans: Column,
-    allowed: Column,
-    *,
-    parity: bool = False,
-) -> Column:
+    text: Sql, chunks: Sql, spans: Sql, allowed: Sql, *, parity: bool = False
+) -> Sql:
     """Entity stage for one text: struct<value, n, types>.
 
     ``spans`` is an array of span arrays, one per chunk.  Kinds come in order of
     discovery: by chunk, and within a chunk from the last span to the first.
     """
-    nothing = F.struct(
-        text.alias("value"), F.lit(0).alias("n"), no_types().alias("types")
-    )
 
-    def per_chunk(chunk: Column, found: Column) -> Column:
+    def per_chunk(chunk: Sql, found: Sql) -> Sql:
         return let(
-            spans_desc(relevant_spans(F.coalesce(found, no_spans()), allowed)),
-            lambda ss: F.struct(
-                F.when(F.size(ss) > 0, apply_spans(chunk["text"], ss))
-                .otherwise(chunk["text"])
-                .alias("text"),
-                chunk["sep"].alias("sep"),
-                F.size(ss).alias("n"),
-                F.transform(ss, lambda s: s["type"]).alias("types"),
+            spans_desc(relevant_spans(f"coalesce({found}, {NO_SPANS})", allowed)),
+            lambda ss: struct(
+                text=when(
+                    (f"size({ss}) > 0", apply_spans(f"{chunk}.text", ss)),
+                    other=f"{chunk}.text",
+                ),
+                sep=f"{chunk}.sep",
+                n=f"size({ss})",
+                types=transform(ss, lambda s: f"{s}.type"),
             ),
         )
 
-    def collect(done: Column) -> Column:
-        return F.struct(
-            F.array_join(
-                F.transform(done, lambda c: F.concat(c["text"], c["sep"])), ""
-            ).alias("value"),
-            F.aggregate(done, F.lit(0), lambda n, c: n + c["n"]).alias("n"),
-            F.array_distinct(
-                F.flatten(F.transform(done, lambda c: c["types"]))
-            ).alias("types"),
+    def collect(done: Sql) -> Sql:
+        joined = transform(done, lambda c: f"concat({c}.text, {c}.sep)")
+        return struct(
+            value=f"array_join({joined}, '')",
+            n=aggregate(done, "0", lambda n, c: f"{n} + {c}.n"),
+            types=f"array_distinct(flatten({done}.types))",
         )
 
-    hit = in_prefilter(chunks, spans) if parity else F.exists(
-        spans, lambda ss: F.size(ss) > 0
+    hit = (
+        in_prefilter(chunks, spans)
+        if parity
+        else exists(spans, lambda ss: f"size({ss}) > 0")
+    )
+    return when(
+        (hit, let(zip_with(chunks, spans, per_chunk), collect)),
+        other=struct(value=text, n="0", types=NO_TYPES),
     )
-    return F.when(
-        hit, let(F.zip_with(chunks, spans, per_chunk), collect)
-    ).otherwise(nothing)
-
-
-def no_spans() -> Column:
-    return F.array().cast(f"array<{SPAN}>")
 
 
-def pattern_spans(text: Column, pattern: str, type_: str) -> Column:
+def pattern_spans(text: Sql, pattern: str, type_: str) -> Sql:
     """Spans of every match of a Java pattern: array<struct<type, begin, end>>.
 
     Offsets follow from the lengths of the matches and of the gaps between them.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(no_spans().alias("done"), F.lit(0).alias("pos"))
-
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["pos"] + pair["gap"]
-        end = begin + pair["width"]
-        span = F.struct(F.lit(type_).alias("type"), begin.alias("begin"), end.alias("end"))
-        return F.struct(
-            F.array_append(state["done"], span).alias("done"), end.alias("pos")
-        )
-
-    def locate(matches: Column) -> Column:
-        pairs = F.zip_with(
-            F.slice(gaps, F.lit(1), F.size(matches)),
+    zero = struct(done=NO_SPANS, pos="0")
+
+    def step(state: Sql, pair: Sql) -> Sql:
+        begin = f"{state}.pos + {pair}.gap"
+        end = f"{begin} + {pair}.width"
+        span = struct(type=lit(type_), begin=begin, end=end)
+        return struct(done=f"array_append({state}.done, {span})", pos=end)
+
+    def locate(matches: Sql) -> Sql:
+        gaps = f"slice(split({text}, {lit(pattern)}, -1), 1, size({matches}))"
+        pairs = zip_with(
+            gaps,
             matches,
-            lambda g, m: F.struct(
-                F.length(g).alias("gap"), F.length(m).alias("width")
-            ),
+            lambda g, m: struct(gap=f"length({g})", width=f"length({m})"),
         )
-        return F.aggregate(pairs, zero, step, lambda s: s["done"])
+        return aggregate(pairs, zero, step, lambda s: f"{s}.done")
 
-    return let(found, locate)
+    return let(f"regexp_extract_all({text}, {lit(pattern)}, 0)", locate)
 
 
 # --- spans of a whole row -----------------------------------------------------
@@ -178,119 +173,99 @@ def pattern_spans(text: Column, pattern: str, type_: str) -> Column:
 # detector or from a joined table, and whether the row is one text or a record.
 
 HIT = "struct<path:string,chunk_idx:int,ordinal:int,type:string,begin:int,end:int>"
-
-
-def no_hits() -> Column:
-    return F.array().cast(f"array<{HIT}>")
+NO_HITS = empty(HIT)
 
 
 def chunks_of_leaves(
-    leaves: Column,
-    may_match: Callable[[Column], Column],
+    leaves: Sql,
+    may_match: Callable[[Sql], Sql],
     *,
     limit: int = CHUNK_BYTES,
     parity: bool = False,
-) -> Column:
+) -> Sql:
     """Chunks of all texts of a row: array<struct<path, chunk_idx, text>>.
 
     Texts that cannot match are left out before they are split.
     """
-    empty = F.array().cast("array<struct<path:string,chunk_idx:int,text:string>>")
-
-    def of_leaf(leaf: Column) -> Column:
-        split = F.transform(
-            chunk_text(leaf["text"], limit, parity=parity),
-            lambda c, i: F.struct(
-                leaf["path"].alias("path"),
-                i.alias("chunk_idx"),
-                c["text"].alias("text"),
-            ),
+
+    def of_leaf(leaf: Sql) -> Sql:
+        split = transform_indexed(
+            chunk_text(f"{leaf}.text", limit, parity=parity),
+            lambda c, i: struct(path=f"{leaf}.path", chunk_idx=i, text=f"{c}.text"),
+        )
+        return when(
+            (may_match(f"{leaf}.text"), split),
+            other=empty("struct<path:string,chunk_idx:int,text:string>"),
         )
-        return F.when(may_match(leaf["text"]), split).otherwise(empty)
 
-    return F.flatten(F.transform(leaves, of_leaf))
+    return f"flatten({transform(leaves, of_leaf)})"
 
 
-def hits_of_chunks(chunks: Column, spans: Column) -> Column:
+def hits_of_chunks(chunks: Sql, spans: Sql) -> Sql:
     """Flat hits from row chunks and their span arrays."""
-    return F.flatten(
-        F.zip_with(
-            chunks,
-            spans,
-            lambda c, ss: F.transform(
-                F.coalesce(ss, no_spans()),
-                lambda s, i: F.struct(
-                    c["path"].alias("path"),
-                    c["chunk_idx"].alias("chunk_idx"),
-                    i.alias("ordinal"),
-                    s["type"].alias("type"),
-                    s["begin"].alias("begin"),
-                    s["end"].alias("end"),
-                ),
+    per_chunk = zip_with(
+        chunks,
+        spans,
+        lambda c, ss: transform_indexed(
+            f"coalesce({ss}, {NO_SPANS})",
+            lambda s, i: struct(
+                path=f"{c}.path",
+                chunk_idx=f"{c}.chunk_idx",
+                ordinal=i,
+                type=f"{s}.type",
+                begin=f"{s}.begin",
+                end=f"{s}.`end`",
             ),
-        )
+        ),
     )
+    return f"flatten({per_chunk})"
 
 
 def hits_leaf(
-    hits: Column,
-    allowed: Column,
-    *,
-    limit: int = CHUNK_BYTES,
-    parity: bool = False,
-) -> Callable[[Column, Column], Column]:
+    hits: Sql, allowed: Sql, *, limit: int = CHUNK_BYTES, parity: bool = False
+) -> Callable[[Sql, Sql], Sql]:
     """Leaf function of the walk that applies a row's hits to its texts."""
 
-    def leaf(text: Column, path: Column) -> Column:
-        nothing = F.struct(
-            text.alias("value"),
-            F.lit(0).alias("n"),
-            no_types().alias("types"),
-            no_types().alias("entity_types"),
+    def spans_of(own: Sql, index: Sql) -> Sql:
+        keyed = transform(
+            filter_(own, lambda h: f"{h}.chunk_idx = {index}"),
+            lambda h: struct(ordinal=f"{h}.ordinal", span=_span(h)),
         )
+        return f"array_sort({keyed}).span"
 
-        def spans_of(own: Column, index: Column) -> Column:
-            here = F.filter(own, lambda h: h["chunk_idx"] == index)
-            keyed = F.transform(
-                here,
-                lambda h: F.struct(
-                    h["ordinal"].alias("ordinal"),
-                    F.struct(
-                        h["type"].alias("type"),
-                        h["begin"].alias("begin"),
-                        h["end"].alias("end"),
-                    ).alias("span"),
-                ),
-            )
-            return F.transform(F.array_sort(keyed), lambda k: k["span"])
+    def leaf(text: Sql, path: Sql) -> Sql:
+        nothing = struct(value=text, n="0", types=NO_TYPES, entity_types=NO_TYPES)
 
-        def apply(own: Column) -> Column:
+        def apply(own: Sql) -> Sql:
             redacted = let(
                 chunk_text(text, limit, parity=parity),
                 lambda cs: redact_chunks(
                     text,
                     cs,
-                    F.transform(cs, lambda c, i: spans_of(own, i)),
+                    transform_indexed(cs, lambda c, i: spans_of(own, i)),
                     allowed,
                     parity=parity,
                 ),
             )
             return let(
                 redacted,
-                lambda r: F.struct(
-                    r["value"].alias("value"),
-                    r["n"].alias("n"),
-                    no_types().alias("types"),
-                    r["types"].alias("entity_types"),
+                lambda r: struct(
+                    value=f"{r}.value",
+                    n=f"{r}.n",
+                    types=NO_TYPES,
+                    entity_types=f"{r}.types",
                 ),
             )
 
-        return F.when(
-            F.size(hits) > 0,
-            let(
-                F.filter(hits, lambda h: h["path"] == path),
-                lambda own: F.when(F.size(own) > 0, apply(own)).otherwise(nothing),
+        own = filter_(hits, lambda h: f"{h}.path = {path}")
+        return when(
+            (
+                f"size({hits}) > 0",
+                let(
+                    own, lambda o: when((f"size({o}) > 0", apply(o)), other=nothing)
+                ),
             ),
-        ).otherwise(nothing)
+            other=nothing,
+        )
 
     return leaf

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.functions.masks import no_types, redact
+from hushframe.functions.masks import NO_TYPES, redact
 from hushframe.functions.patterns import MAX_INPUT_CHARS, TRUNCATION_MARK
 from hushframe.operators.redact import COUNT, TYPES
 
@@ -69,7 +69,7 @@ def attach_stats(
     return calls.join(stats.select(key, COUNT, TYPES), key, "left").withColumns(
         {
             COUNT: F.coalesce(F.col(COUNT), F.lit(0)),
-            TYPES: F.coalesce(F.col(TYPES), no_types()),
+            TYPES: F.coalesce(F.col(TYPES), F.expr(NO_TYPES)),
         }
     )
 
@@ -82,12 +82,12 @@ def audit_base(
     Parameters are redacted in full (``audit_log`` truncates them afterwards, so a
     cut cannot hide half a match); ``parity`` logs them as they are.
     """
-    given = F.coalesce(F.col("arguments"), F.lit("{}"))
+    given = "coalesce(arguments, '{}')"
     return {
         "timestamp": iso_utc(F.col("finished_at")),
         "upstream_tool": F.col("tool_name"),
         "compliance_profile": F.col(profile),
-        "input_parameters": given if parity else redact(given)["value"],
+        "input_parameters": F.expr(given if parity else f"{redact(given)}.value"),
         "execution_time_ms": F.unix_millis("finished_at") - F.unix_millis("started_at"),
     }
 
@@ -95,16 +95,15 @@ def audit_base(
 def audit_outcome(df: DataFrame, *, parity: bool = False) -> dict[str, Column]:
     """Fields that tell success, error result and failure apart."""
     failed = F.col("failure").isNotNull()
-    message = F.col("failure")
     is_error = F.coalesce(F.col("is_error"), F.lit(False))
     return {
         "output_size_bytes": F.when(failed, F.lit(0)).otherwise(
             F.octet_length(result_json(df))
         ).cast("long"),
         "redaction_count": F.when(failed, F.lit(0)).otherwise(F.col(COUNT)),
-        "redacted_types": F.when(failed, no_types()).otherwise(F.col(TYPES)),
+        "redacted_types": F.when(failed, F.expr(NO_TYPES)).otherwise(F.col(TYPES)),
         "status": F.when(failed | is_error, "error").otherwise("success"),
-        "error_message": message if parity else redact(message)["value"],
+        "error_message": F.expr("failure" if parity else f"{redact('failure')}.value"),
     }
 
 

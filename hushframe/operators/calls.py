@@ -8,12 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions import spans as s
-from hushframe.functions.masks import let, no_types
-from hushframe.functions.nested import Leaf, pattern_leaf
+from hushframe.functions.masks import NO_TYPES
+from hushframe.functions.nested import Leaf, field, pattern_leaf
+from hushframe.functions.sqltext import (
+    Sql,
+    aggregate,
+    let,
+    name,
+    struct,
+    transform_indexed,
+    when,
+    zip_with,
+)
 from hushframe.operators.entities import Detector, with_hits
 from hushframe.operators.profiles import (
     PROFILES,
@@ -26,12 +36,12 @@ from hushframe.operators.redact import COUNT, TYPES
 _PROFILE_COLUMNS = ("profile_name", "stage1", "stage2", "entity_types")
 
 
-def is_text_block(block: Column) -> Column:
-    return F.coalesce(block["type"] == "text", F.lit(False))
+def is_text_block(block: Sql) -> Sql:
+    return f"coalesce({block}.type = 'text', false)"
 
 
-def has_text(item: Column) -> Column:
-    return item["text"].isNotNull()
+def has_text(item: Sql) -> Sql:
+    return f"{item}.text IS NOT NULL"
 
 
 def explode_blocks(df: DataFrame, key: str, content: str = "content") -> DataFrame:
@@ -60,37 +70,39 @@ def explode_items(df: DataFrame, key: str, contents: str = "contents") -> DataFr
 
 
 def _rewrite_blocks(
-    blocks: Column, wanted: Callable[[Column], Column], leaf: Leaf
-) -> Column:
-    """array<struct<block, n, types, entity_types>>, aligned with ``blocks``."""
-
-    def one(block: Column, index: Column) -> Column:
-        kept = F.struct(
-            block.alias("block"),
-            F.lit(0).alias("n"),
-            no_types().alias("types"),
-            no_types().alias("entity_types"),
-        )
-        hit = let(
-            leaf(block["text"], index.cast("string")),
-            lambda r: F.struct(
-                block.withField("text", r["value"]).alias("block"),
-                r["n"].alias("n"),
-                r["types"].alias("types"),
-                r["entity_types"].alias("entity_types"),
-            ),
+    blocks: Sql, fields: Sequence[str], wanted: Callable[[Sql], Sql], leaf: Leaf
+) -> Sql:
+    """array<struct<block, n, types, entity_types>>, aligned with ``blocks``.
+
+    ``fields`` names the fields of a block; all but ``text`` are kept.
+    """
+
+    def one(block: Sql, index: Sql) -> Sql:
+        def with_text(r: Sql) -> Sql:
+            kept = {
+                f: f"{r}.value" if f == "text" else field(block, f) for f in fields
+            }
+            return struct(
+                block=struct(**kept),
+                n=f"{r}.n",
+                types=f"{r}.types",
+                entity_types=f"{r}.entity_types",
+            )
+
+        hit = let(leaf(f"{block}.text", f"cast({index} AS string)"), with_text)
+        return when(
+            (wanted(block), hit),
+            other=struct(block=block, n="0", types=NO_TYPES, entity_types=NO_TYPES),
         )
-        return F.when(wanted(block), hit).otherwise(kept)
 
-    return F.transform(blocks, one)
+    return transform_indexed(blocks, one)
 
 
-def _block_leaves(blocks: Column, wanted: Callable[[Column], Column]) -> Column:
-    return F.transform(
+def _block_leaves(blocks: Sql, wanted: Callable[[Sql], Sql]) -> Sql:
+    return transform_indexed(
         blocks,
-        lambda b, i: F.struct(
-            i.cast("string").alias("path"),
-            F.when(wanted(b), b["text"]).alias("text"),
+        lambda b, i: struct(
+            path=f"cast({i} AS string)", text=when((wanted(b), f"{b}.text"))
         ),
     )
 
@@ -98,54 +110,46 @@ def _block_leaves(blocks: Column, wanted: Callable[[Column], Column]) -> Column:
 def _two_stages(
     df: DataFrame,
     column: str,
-    wanted: Callable[[Column], Column],
-    active: Column,
+    wanted: Callable[[Sql], Sql],
+    active: Sql,
     detector: Detector | None,
     parity: bool,
 ) -> DataFrame:
     """Redact the blocks of ``column`` where ``active``, by the row's profile."""
-    run1 = active & F.col("stage1")
-    blocks = F.col(column)
-    out = df.withColumn(
-        "_first", F.when(run1, _rewrite_blocks(blocks, wanted, pattern_leaf))
-    )
-    if detector is None:
-        steps = [F.col("_first")]
-    else:
-        inner = F.transform("_first", lambda r: r["block"])
-        out = out.withColumn("_blocks", inner)
-        out = with_hits(
-            out,
-            F.when(F.col("stage2"), _block_leaves(F.col("_blocks"), wanted)),
-            detector,
-            parity=parity,
-        )
-        leaf = s.hits_leaf(F.col("_hits"), F.col("entity_types"), parity=parity)
-        out = out.withColumn(
-            "_second", _rewrite_blocks(F.col("_blocks"), wanted, leaf)
-        )
-        steps = [F.col("_first"), F.col("_second")]
+    blocks = name(column)
+    fields = df.schema[column].dataType.elementType.names
+    first = _rewrite_blocks(blocks, fields, wanted, pattern_leaf)
+    out = df.withColumn("_first", F.expr(when((f"{active} AND stage1", first))))
+    steps = ["_first"]
+    if detector is not None:
+        leaves = when(("stage2", _block_leaves("_first.block", wanted)))
+        out = with_hits(out, leaves, detector, parity=parity)
+        leaf = s.hits_leaf("_hits", "entity_types", parity=parity)
+        second = _rewrite_blocks("_first.block", fields, wanted, leaf)
+        out = out.withColumn("_second", F.expr(second))
+        steps.append("_second")
 
     last = steps[-1]
-    count = F.lit(0)
-    for step in steps:
-        count = count + F.aggregate(step, F.lit(0), lambda n, r: n + r["n"])
+    counts = [aggregate(step, "0", lambda n, r: f"{n} + {r}.n") for step in steps]
     # Per block the pattern kinds come before the entity kinds; blocks in order.
-    if len(steps) == 1:
-        per_block = F.transform(last, lambda r: r["types"])
-    else:
-        per_block = F.zip_with(
-            *steps, lambda a, b: F.concat(a["types"], b["entity_types"])
+    per_block = (
+        f"{last}.types"
+        if len(steps) == 1
+        else zip_with(
+            "_first", "_second", lambda a, b: f"concat({a}.types, {b}.entity_types)"
         )
+    )
     return out.withColumns(
         {
-            column: F.when(
-                last.isNotNull(), F.transform(last, lambda r: r["block"])
-            ).otherwise(blocks),
-            COUNT: F.coalesce(count, F.lit(0)),
-            TYPES: F.coalesce(F.array_distinct(F.flatten(per_block)), no_types()),
+            column: F.expr(
+                when((f"{last} IS NOT NULL", f"{last}.block"), other=blocks)
+            ),
+            COUNT: F.expr(f"coalesce({' + '.join(counts)}, 0)"),
+            TYPES: F.expr(
+                f"coalesce(array_distinct(flatten({per_block})), {NO_TYPES})"
+            ),
         }
-    ).drop("_first", "_second", "_blocks", "_hits")
+    ).drop("_first", "_second", "_hits")
 
 
 def _resolve(
@@ -176,9 +180,9 @@ def redact_calls(
     one for all rows, or looked up per row.  Adds ``redaction_count``,
     ``redacted_types``, ``profile_name`` and ``profile_fallback``.
     """
-    active = ~F.coalesce(F.col("is_error"), F.lit(False)) & F.col("content").isNotNull()
+    active = "NOT coalesce(is_error, false) AND content IS NOT NULL"
     if "failure" in df.columns:
-        active = active & F.col("failure").isNull()
+        active += " AND failure IS NULL"
     resolved = _resolve(df, profile, profile_column, profiles, parity)
     done = _two_stages(resolved, "content", is_text_block, active, detector, parity)
     return done.drop("stage1", "stage2", "entity_types")
@@ -195,8 +199,9 @@ def redact_resources(
 ) -> DataFrame:
     """Redact resource reads: items with text change, blobs stay; no totals."""
     resolved = _resolve(df, profile, profile_column, profiles, parity)
-    active = F.col("contents").isNotNull()
-    done = _two_stages(resolved, "contents", has_text, active, detector, parity)
+    done = _two_stages(
+        resolved, "contents", has_text, "contents IS NOT NULL", detector, parity
+    )
     return done.drop(COUNT, TYPES, *_PROFILE_COLUMNS, "profile_fallback")
 
 
@@ -220,7 +225,7 @@ def redact_by_profile(
         resolved.withColumn("_content", block),
         "_content",
         is_text_block,
-        F.col(column).isNotNull(),
+        f"{name(column)} IS NOT NULL",
         detector,
         parity,
     )

@@ -9,31 +9,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushframe.functions import spans as s
 from hushframe.functions.chunks import chunk_text
-from hushframe.functions.detectors import AnyDetector, BatchDetector, PatternDetector
+from hushframe.functions.detectors import BatchDetector, PatternDetector
 from hushframe.functions.nested import text_leaves
 from hushframe.functions.patterns import CHUNK_BYTES
+from hushframe.functions.sqltext import Sql, empty, lit, name, when
 from hushframe.operators.redact import COUNT, TYPES, redact_table, text_columns, walk_table
 
-Detector = PatternDetector | AnyDetector | BatchDetector
-Allowed = Sequence[str] | Column | None
+Detector = PatternDetector | BatchDetector
+Allowed = Sequence[str] | None
 
 
 # --- leaves and chunks ------------------------------------------------------
 
 
-def row_leaves(df: DataFrame, columns: Sequence[str]) -> Column:
+def row_leaves(df: DataFrame, columns: Sequence[str]) -> Sql:
     """All texts of a row in traversal order: array<struct<path, text>>."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    parts = [text_leaves(F.col(f"`{c}`"), kinds[c], F.lit(c)) for c in columns]
-    return F.concat(*parts) if parts else F.array().cast(
-        "array<struct<path:string,text:string>>"
-    )
+    parts = [text_leaves(name(c), kinds[c], lit(c)) for c in columns]
+    if not parts:
+        return empty("struct<path:string,text:string>")
+    return f"concat({', '.join(parts)})"
 
 
 def chunk_rows(
@@ -47,11 +48,11 @@ def chunk_rows(
     """One row per chunk: key, path, chunk_idx, text, sep, start."""
     keys = [key] if isinstance(key, str) else list(key)
     columns = text_columns(df, columns, keys)
-    leaves = df.select(*keys, F.inline(row_leaves(df, columns)))
+    leaves = df.select(*keys, F.inline(F.expr(row_leaves(df, columns))))
     return leaves.select(
         *keys,
         "path",
-        F.posexplode(chunk_text(F.col("text"), limit, parity=parity)).alias(
+        F.posexplode(F.expr(chunk_text("text", limit, parity=parity))).alias(
             "chunk_idx", "_chunk"
         ),
     ).select(*keys, "path", "chunk_idx", "_chunk.text", "_chunk.sep", "_chunk.start")
@@ -77,11 +78,11 @@ def detect_entities(
             ("end", T.IntegerType()),
         ):
             schema = schema.add(name, kind)
-        texts = chunks.where(detector.may_match(F.col("text")))
+        texts = chunks.where(detector.may_match("text"))
         return texts.select(*head, "text").mapInPandas(detector.rows(keys), schema)
-    found = detector.spans(F.array(F.col("text")))[0]
+    found = F.expr(detector.spans_of("text"))
     return (
-        chunks.where(detector.may_match(F.col("text")))
+        chunks.where(detector.may_match("text"))
         .select(*head, F.posexplode(found).alias("ordinal", "_span"))
         .select(*head, "ordinal", "_span.type", "_span.begin", "_span.end")
     )
@@ -90,9 +91,7 @@ def detect_entities(
 def entity_filter(entities: DataFrame, types: Allowed = None) -> DataFrame:
     """Entities of an allowed kind whose offsets are known."""
     return entities.where(
-        s.is_relevant(
-            F.col("type"), F.col("begin"), F.col("end"), s.allowed_types(types)
-        )
+        s.is_relevant("type", "begin", "`end`", s.allowed_types(types))
     )
 
 
@@ -149,19 +148,17 @@ def redact_chunk_rows(
     chunks: DataFrame, types: Allowed = None, *, spans: str = "spans"
 ) -> DataFrame:
     """Apply the spans of each chunk row to its text; adds count and kinds."""
-    ordered = s.spans_desc(s.relevant_spans(F.col(spans), s.allowed_types(types)))
+    ordered = s.spans_desc(s.relevant_spans(spans, s.allowed_types(types)))
+    applied = when(
+        ("size(_ordered) > 0", s.apply_spans("text", "_ordered")), other="text"
+    )
     return (
-        chunks.withColumn("_ordered", ordered)
+        chunks.withColumn("_ordered", F.expr(ordered))
         .withColumns(
             {
-                "text": F.when(
-                    F.size("_ordered") > 0,
-                    s.apply_spans(F.col("text"), F.col("_ordered")),
-                ).otherwise(F.col("text")),
+                "text": F.expr(applied),
                 COUNT: F.size("_ordered"),
-                TYPES: F.array_distinct(
-                    F.transform("_ordered", lambda x: x["type"])
-                ),
+                TYPES: F.array_distinct("_ordered.type"),
             }
         )
         .drop("_ordered")
@@ -173,22 +170,18 @@ def redact_chunk_rows(
 
 def with_hits(
     df: DataFrame,
-    leaves: Column,
+    leaves: Sql,
     detector: Detector,
     *,
     limit: int = CHUNK_BYTES,
     parity: bool = False,
 ) -> DataFrame:
     """Add ``_hits``: everything the detector finds in the row's texts."""
+    chunks = s.chunks_of_leaves(leaves, detector.may_match, limit=limit, parity=parity)
     return (
-        df.withColumn(
-            "_chunks",
-            s.chunks_of_leaves(
-                leaves, detector.may_match, limit=limit, parity=parity
-            ),
-        )
-        .withColumn("_spans", detector.spans(F.col("_chunks")["text"]))
-        .withColumn("_hits", s.hits_of_chunks(F.col("_chunks"), F.col("_spans")))
+        df.withColumn("_chunks", F.expr(chunks))
+        .withColumn("_spans", detector.spans("_chunks.text"))
+        .withColumn("_hits", F.expr(s.hits_of_chunks("_chunks", "_spans")))
         .drop("_chunks", "_spans")
     )
 
@@ -208,7 +201,7 @@ def join_hits(
     """
     keys = [key] if isinstance(key, str) else list(key)
     wanted = entities
-    if not parity and not isinstance(types, Column):
+    if not parity:
         wanted = entity_filter(wanted, types)  # reaches the scan of the table
     known = wanted.join(df.select(*keys), keys, "left_semi")
     grouped = known.groupBy(*keys).agg(
@@ -224,7 +217,7 @@ def join_hits(
         ).alias("_hits")
     )
     return df.join(grouped, keys, "left").withColumn(
-        "_hits", F.coalesce(F.col("_hits"), s.no_hits())
+        "_hits", F.expr(f"coalesce(_hits, {s.NO_HITS})")
     )
 
 
@@ -237,9 +230,7 @@ def apply_hits(
     parity: bool = False,
 ) -> DataFrame:
     """Apply ``_hits`` to the texts of ``columns``; adds count and kinds."""
-    leaf = s.hits_leaf(
-        F.col("_hits"), s.allowed_types(types), limit=limit, parity=parity
-    )
+    leaf = s.hits_leaf("_hits", s.allowed_types(types), limit=limit, parity=parity)
     values, n, _, found = walk_table(df, columns, leaf)
     return values.withColumns({COUNT: n, TYPES: found}).drop(
         "_hits", *[c for c in values.columns if c.startswith("_walk_")]

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushframe.functions.jsontext import redact_json_text
-from hushframe.functions.masks import kinds, mask_all, mask_one, total
+from hushframe.functions.masks import MASKS, NO_TYPES, kinds, mask_all, total
 from hushframe.functions.nested import Leaf, holds_text, pattern_leaf, rewrite
+from hushframe.functions.patterns import PATTERN_TYPES
+from hushframe.functions.sqltext import lit, name
 
 COUNT = "redaction_count"
 TYPES = "redacted_types"
@@ -38,7 +40,7 @@ def text_columns(
 def mask_text(df: DataFrame, column: str, kind: str) -> DataFrame:
     """One of the five masks alone; adds ``redaction_count``."""
     return (
-        df.withColumn("_masked", mask_one(F.col(column), kind))
+        df.withColumn("_masked", F.expr(MASKS[kind](name(column))))
         .withColumns({column: F.col("_masked.value"), COUNT: F.col("_masked.n")})
         .drop("_masked")
     )
@@ -50,24 +52,20 @@ def redact_text(df: DataFrame, column: str, *, by_kind: bool = False) -> DataFra
     Adds ``redaction_count`` and ``redacted_types``; with ``by_kind`` also one
     count column per kind (``n_credit_card`` ...).
     """
-    masked = F.col("_masked")
-    added = {column: masked["value"], COUNT: total(masked), TYPES: kinds(masked)}
+    added = {
+        column: F.col("_masked.value"),
+        COUNT: F.expr(total("_masked")),
+        TYPES: F.expr(kinds("_masked")),
+    }
     if by_kind:
-        from hushframe.functions.patterns import PATTERN_TYPES
-
-        added |= {f"n_{k}": masked[k] for k in PATTERN_TYPES}
+        added |= {f"n_{k}": F.col(f"_masked.{k}") for k in PATTERN_TYPES}
     return (
-        df.withColumn("_masked", mask_all(F.col(column)))
+        df.withColumn("_masked", F.expr(mask_all(name(column))))
         .withColumns(added)
         .drop("_masked")
     )
 
 
-def merged_types(lists: list[Column]) -> Column:
-    """Ordered union of kind lists."""
-    return F.array_distinct(F.concat(*lists))
-
-
 def walk_table(
     df: DataFrame, columns: Sequence[str], leaf: Leaf
 ) -> tuple[DataFrame, Column, Column, Column]:
@@ -77,21 +75,23 @@ def walk_table(
     and the record's count, pattern kinds and entity kinds.
     """
     kinds_of = {f.name: f.dataType for f in df.schema.fields}
-    helpers = {f"_walk_{i}": name for i, name in enumerate(columns)}
+    helpers = {f"_walk_{i}": column for i, column in enumerate(columns)}
     walked = df.withColumns(
         {
-            h: rewrite(F.col(f"`{n}`"), kinds_of[n], F.lit(n), leaf)
-            for h, n in helpers.items()
+            h: F.expr(rewrite(name(c), kinds_of[c], lit(c), leaf))
+            for h, c in helpers.items()
         }
     )
-    values = walked.withColumns({n: F.col(h)["value"] for h, n in helpers.items()})
-    n = F.lit(0)
-    for h in helpers:
-        n = n + F.col(h)["n"]
-    none = F.array().cast(T.ArrayType(T.StringType()))
-    first = merged_types([F.col(h)["types"] for h in helpers] or [none])
-    second = merged_types([F.col(h)["entity_types"] for h in helpers] or [none])
-    return values, n, first, second
+    values = walked.withColumns({c: F.col(f"{h}.value") for h, c in helpers.items()})
+    n = " + ".join(f"{h}.n" for h in helpers) or "0"
+    first = ", ".join(f"{h}.types" for h in helpers) or NO_TYPES
+    second = ", ".join(f"{h}.entity_types" for h in helpers) or NO_TYPES
+    return (
+        values,
+        F.expr(n),
+        F.expr(f"array_distinct(concat({first}))"),
+        F.expr(f"array_distinct(concat({second}))"),
+    )
 
 
 def redact_table(
@@ -123,7 +123,7 @@ def redact_json(
         typed = df.withColumn(column, F.from_json(F.col(column), schema))
         return redact_table(typed, [column])
     return (
-        df.withColumn("_masked", redact_json_text(F.col(column)))
+        df.withColumn("_masked", F.expr(redact_json_text(name(column))))
         .withColumns(
             {
                 column: F.col("_masked.value"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions.masks import findings, may_hold_pii
+from hushframe.functions.sqltext import name
 from hushframe.operators.redact import COUNT, TYPES
 
 
@@ -18,8 +19,8 @@ def pii_findings(df: DataFrame, key: str, column: str) -> DataFrame:
     by a native filter before any pattern runs.
     """
     return (
-        df.where(may_hold_pii(F.col(column)))
-        .select(key, F.inline(findings(F.col(column))))
+        df.where(may_hold_pii(name(column)))
+        .select(key, F.inline(F.expr(findings(name(column)))))
         .select(key, "type", "ordinal", "masked")
     )
 
