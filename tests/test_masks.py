@@ -27,7 +27,7 @@ EXAMPLES = [
     ("4111111111111111@x.com", "************1***@x.com", 2, ["credit_card", "email"]),
     ("é4111111111111111", "é************1111", 1, ["credit_card"]),
     ("4111 1111-1111 1111", "****-****-****-1111", 1, ["credit_card"]),
-    ("4111 1111 1111 1111", "************1111", 1, ["credit_card"]),
+    ("4111\u00a01111\u00a01111\u00a01111", "************1111", 1, ["credit_card"]),
     ("a@b.co-x@y.com", "a***@b.co-***@y.com", 2, ["email"]),
     ("--a@b.co", "--a***@b.co", 1, ["email"]),
     ("a@b.co.x@y.com", "a***@b.co.***@y.com", 2, ["email"]),
@@ -46,7 +46,7 @@ def adversarial(seed, n):
         "123-45-6789", "john.doe@bank.com", "NL91ABNA0417164300", "+31 6 1234 5678",
         "+15551234567", "a@b.co", "-x@y.com", "%+-@q.zz", "DE8937040044", "a.b-c.d_e",
     ]
-    glue = list(" .-_@+%*/\n\t") + [" ", "é", " ", "A", "z", "0", "7", "42"]
+    glue = list(" .-_@+%*/\n\t") + ["\u00a0", "é", "\u2028", "A", "z", "0", "7", "42"]
     for _ in range(n):
         parts = []
         for _ in range(rnd.randint(1, 6)):
