@@ -1,154 +1,154 @@
-import\u0020json
-import\u0020random
-
-import\u0020model
-from\u0020pyspark.sql\u0020import\u0020types\u0020as\u0020T
-
-from\u0020hushframe.operators.redact\u0020import\u0020redact_json,\u0020redact_table,\u0020text_columns
-
-TRANSACTIONS\u0020=\u0020{
-\u0020\u0020\u0020\u0020"hits":\u0020{
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020"total":\u0020{"value":\u00203},
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020"hits":\u0020[
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020{"_id":\u0020"t1",\u0020"_source":\u0020{
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020"card_number":\u0020"4111\u00201111\u00201111\u00201111",\u0020"iban":\u0020"DE89370400440532013000",
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020"ssn":\u0020"123-45-6789",\u0020"email":\u0020"john.doe@bank.com",\u0020"phone":\u0020"+31\u00206\u00201234\u00205678",
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020"amount":\u00201500.0,\u0020"status":\u0020"completed"}},
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020{"_id":\u0020"t2",\u0020"_source":\u0020{
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020"card_number":\u0020"1234\u00205678\u00209012\u00203456",\u0020"amount":\u0020250.0,\u0020"customer_name":\u0020"John\u0020Doe"}},
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020{"_id":\u0020"t3",\u0020"_source":\u0020{
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020"card_number":\u0020"5500\u00200000\u00200000\u00200004",\u0020"amount":\u00209999.99,
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020"notes":\u0020"contact:\u0020support@example.com.\u0020Ref\u0020SSN\u0020987-65-4321."}},
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020],
-\u0020\u0020\u0020\u0020}
-}\u0020\u0020#\u0020fmt:\u0020skip
-SCHEMA\u0020=\u0020(
-\u0020\u0020\u0020\u0020"hits\u0020struct<total:struct<value:int>,\u0020hits:array<struct<_id:string,"
-\u0020\u0020\u0020\u0020"_source:struct<card_number:string,iban:string,ssn:string,email:string,phone:string,"
-\u0020\u0020\u0020\u0020"amount:double,status:string,customer_name:string,notes:string>>>>"
+import json
+import random
+
+import model
+from pyspark.sql import types as T
+
+from hushframe.operators.redact import redact_json, redact_table, text_columns
+
+TRANSACTIONS = {
+    "hits": {
+        "total": {"value": 3},
+        "hits": [
+            {"_id": "t1", "_source": {
+                "card_number": "4111 1111 1111 1111", "iban": "DE89370400440532013000",
+                "ssn": "123-45-6789", "email": "john.doe@bank.com", "phone": "+31 6 1234 5678",
+                "amount": 1500.0, "status": "completed"}},
+            {"_id": "t2", "_source": {
+                "card_number": "1234 5678 9012 3456", "amount": 250.0, "customer_name": "John Doe"}},
+            {"_id": "t3", "_source": {
+                "card_number": "5500 0000 0000 0004", "amount": 9999.99,
+                "notes": "contact: support@example.com. Ref SSN 987-65-4321."}},
+        ],
+    }
+}
+SCHEMA = (
+    "hits struct<total:struct<value:int>, hits:array<struct<_id:string,"
+    "_source:struct<card_number:string,iban:string,ssn:string,email:string,phone:string,"
+    "amount:double,status:string,customer_name:string,notes:string>>>>"
 )
 
 
-def\u0020test_deep_struct(spark):
-\u0020\u0020\u0020\u0020df\u0020=\u0020spark.createDataFrame(
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020[((("jane@example.com",\u0020"987-65-4321"),),)],\u0020"user\u0020struct<contact:struct<email:string,ssn:string>>"
-\u0020\u0020\u0020\u0020)
-\u0020\u0020\u0020\u0020row\u0020=\u0020redact_table(df).first()
-\u0020\u0020\u0020\u0020assert\u0020tuple(row.user.contact)\u0020==\u0020("j***@example.com",\u0020"***-**-****")
-\u0020\u0020\u0020\u0020assert\u0020(row.redaction_count,\u0020row.redacted_types)\u0020==\u0020(2,\u0020["email",\u0020"ssn"])
-
-
-def\u0020test_array(spark):
-\u0020\u0020\u0020\u0020df\u0020=\u0020spark.createDataFrame([(["alice@test.com",\u0020None,\u0020"bob@test.com"],)],\u0020"emails\u0020array<string>")
-\u0020\u0020\u0020\u0020row\u0020=\u0020redact_table(df).first()
-\u0020\u0020\u0020\u0020assert\u0020row.emails\u0020==\u0020["a***@test.com",\u0020None,\u0020"b***@test.com"]
-\u0020\u0020\u0020\u0020assert\u0020row.redaction_count\u0020==\u00202
-
-
-def\u0020test_map_keys_stay(spark):
-\u0020\u0020\u0020\u0020df\u0020=\u0020spark.createDataFrame([({"x@y.com":\u0020"a@b.co",\u0020"n":\u0020None},)],\u0020"m\u0020map<string,string>")
-\u0020\u0020\u0020\u0020row\u0020=\u0020redact_table(df).first()
-\u0020\u0020\u0020\u0020assert\u0020row.m\u0020==\u0020{"x@y.com":\u0020"a***@b.co",\u0020"n":\u0020None}
-
-
-def\u0020test_other_types_pass(spark):
-\u0020\u0020\u0020\u0020df\u0020=\u0020spark.createDataFrame(
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020[(42,\u0020True,\u0020None,\u00204111111111111111,\u0020b"a@b.co")],
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020"count\u0020int,\u0020active\u0020boolean,\u0020nothing\u0020void,\u0020card\u0020long,\u0020raw\u0020binary",
-\u0020\u0020\u0020\u0020)
-\u0020\u0020\u0020\u0020row\u0020=\u0020redact_table(df).first()
-\u0020\u0020\u0020\u0020assert\u0020row[:5]\u0020==\u0020(42,\u0020True,\u0020None,\u00204111111111111111,\u0020bytearray(b"a@b.co"))
-\u0020\u0020\u0020\u0020assert\u0020(row.redaction_count,\u0020row.redacted_types)\u0020==\u0020(0,\u0020[])
-
-
-def\u0020test_null_containers(spark):
-\u0020\u0020\u0020\u0020schema\u0020=\u0020"s\u0020struct<a:string>,\u0020l\u0020array<string>,\u0020m\u0020map<string,string>,\u0020n\u0020array<array<struct<x:string>>>"
-\u0020\u0020\u0020\u0020df\u0020=\u0020spark.createDataFrame(
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020[(None,\u0020None,\u0020None,\u0020None),\u0020((None,),\u0020[],\u0020{},\u0020[None,\u0020[],\u0020[None,\u0020("a@b.co",)]])],\u0020schema
-\u0020\u0020\u0020\u0020)
-\u0020\u0020\u0020\u0020first,\u0020second\u0020=\u0020redact_table(df).collect()
-\u0020\u0020\u0020\u0020assert\u0020first[:4]\u0020==\u0020(None,\u0020None,\u0020None,\u0020None)\u0020and\u0020first.redaction_count\u0020==\u00200
-\u0020\u0020\u0020\u0020assert\u0020second.n[2][1].x\u0020==\u0020"a***@b.co"\u0020and\u0020second.redaction_count\u0020==\u00201
-\u0020\u0020\u0020\u0020assert\u0020redact_table(df).schema[:4]\u0020==\u0020df.schema[:4]
-
-
-def\u0020test_kinds_in_order_of_discovery(spark):
-\u0020\u0020\u0020\u0020df\u0020=\u0020spark.createDataFrame([("a@b.co",\u0020["123-45-6789",\u0020"c@d.ee"],\u0020"+15551234567")],\u0020"a\u0020string,\u0020b\u0020array<string>,\u0020c\u0020string")
-\u0020\u0020\u0020\u0020assert\u0020redact_table(df).first().redacted_types\u0020==\u0020["email",\u0020"ssn",\u0020"phone"]
-
-
-def\u0020test_choice_of_columns(spark):
-\u0020\u0020\u0020\u0020df\u0020=\u0020spark.createDataFrame([("a@b.co",\u0020"c@d.ee",\u0020"e@f.gg")],\u0020"a\u0020string,\u0020b\u0020string,\u0020c\u0020string")
-\u0020\u0020\u0020\u0020row\u0020=\u0020redact_table(df,\u0020include=["a",\u0020"b"],\u0020exclude=["b"]).first()
-\u0020\u0020\u0020\u0020assert\u0020row[:4]\u0020==\u0020("a***@b.co",\u0020"c@d.ee",\u0020"e@f.gg",\u00201)
-\u0020\u0020\u0020\u0020assert\u0020text_columns(df,\u0020exclude=["a"])\u0020==\u0020["b",\u0020"c"]
-
-
-def\u0020test_names_that_need_quoting(spark):
-\u0020\u0020\u0020\u0020schema\u0020=\u0020T.StructType([T.StructField("a\u0020b",\u0020T.StructType([T.StructField("c.d\u0020`e'",\u0020T.StringType())]))])
-\u0020\u0020\u0020\u0020df\u0020=\u0020spark.createDataFrame([(("a@b.co",),)],\u0020schema)
-\u0020\u0020\u0020\u0020row\u0020=\u0020redact_table(df).first()
-\u0020\u0020\u0020\u0020assert\u0020row[0][0]\u0020==\u0020"a***@b.co"
-
-
-def\u0020walk(value,\u0020found):
-\u0020\u0020\u0020\u0020if\u0020isinstance(value,\u0020str):
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020text,\u0020n,\u0020kinds,\u0020_\u0020=\u0020model.redact(value)
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020found.extend([n,\u0020k]\u0020for\u0020k\u0020in\u0020kinds[:1]\u0020or\u0020[None])
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020walk.kinds\u0020+=\u0020[k\u0020for\u0020k\u0020in\u0020kinds\u0020if\u0020k\u0020not\u0020in\u0020walk.kinds]
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020return\u0020text
-\u0020\u0020\u0020\u0020if\u0020isinstance(value,\u0020list):
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020return\u0020[walk(v,\u0020found)\u0020for\u0020v\u0020in\u0020value]
-\u0020\u0020\u0020\u0020if\u0020isinstance(value,\u0020dict):
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020return\u0020{k:\u0020walk(v,\u0020found)\u0020for\u0020k,\u0020v\u0020in\u0020value.items()}
-\u0020\u0020\u0020\u0020return\u0020value
-
-
-def\u0020expected(value):
-\u0020\u0020\u0020\u0020found,\u0020walk.kinds\u0020=\u0020[],\u0020[]
-\u0020\u0020\u0020\u0020redacted\u0020=\u0020walk(value,\u0020found)
-\u0020\u0020\u0020\u0020return\u0020redacted,\u0020sum(n\u0020for\u0020n,\u0020_\u0020in\u0020found),\u0020walk.kinds
-
-
-def\u0020test_payload_with_and_without_schema(spark):
-\u0020\u0020\u0020\u0020text\u0020=\u0020json.dumps(TRANSACTIONS)
-\u0020\u0020\u0020\u0020df\u0020=\u0020spark.createDataFrame([(text,)],\u0020"doc\u0020string")
-\u0020\u0020\u0020\u0020redacted,\u0020n,\u0020kinds\u0020=\u0020expected(TRANSACTIONS)
-\u0020\u0020\u0020\u0020plain\u0020=\u0020redact_json(df,\u0020"doc").first()
-\u0020\u0020\u0020\u0020assert\u0020json.loads(plain.doc)\u0020==\u0020redacted
-\u0020\u0020\u0020\u0020assert\u0020(plain.redaction_count,\u0020plain.redacted_types)\u0020==\u0020(n,\u0020kinds)\u0020==\u0020(8,\u0020kinds)
-\u0020\u0020\u0020\u0020typed\u0020=\u0020redact_json(df,\u0020"doc",\u0020SCHEMA).first()
-\u0020\u0020\u0020\u0020assert\u0020typed.redaction_count\u0020==\u00208
-\u0020\u0020\u0020\u0020assert\u0020typed.doc.hits.hits[1]._source.card_number\u0020==\u0020"1234\u00205678\u00209012\u00203456"
-\u0020\u0020\u0020\u0020assert\u0020typed.doc.hits.hits[2]._source.notes\u0020==\u0020redacted["hits"]["hits"][2]["_source"]["notes"]
-
-
-def\u0020test_random_json_against_model(spark):
-\u0020\u0020\u0020\u0020rnd\u0020=\u0020random.Random(4)
-\u0020\u0020\u0020\u0020words\u0020=\u0020[
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020"a@b.co",\u0020'say\u0020"hi"\u0020c@d.ee',\u0020"back\\",\u0020"tab\t4111\t1111\t1111\t1111",\u0020"\ufdd0x@y.zz\ufdd1",\u0020"é\n",
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020"123-45-6789",\u0020"plain",\u0020"",\u0020"\\u0040",\u0020":\u0020",\u0020'"',\u0020"/",\u0020" \u0020\x01",
-\u0020\u0020\u0020\u0020]\u0020\u0020#\u0020fmt:\u0020skip
-
-\u0020\u0020\u0020\u0020def\u0020value(depth):
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020kind\u0020=\u0020rnd.random()
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020if\u0020depth\u0020and\u0020kind\u0020<\u00200.3:
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020return\u0020[value(depth\u0020-\u00201)\u0020for\u0020_\u0020in\u0020range(rnd.randint(0,\u00203))]
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020if\u0020depth\u0020and\u0020kind\u0020<\u00200.6:
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020return\u0020{rnd.choice(words)\u0020+\u0020str(i):\u0020value(depth\u0020-\u00201)\u0020for\u0020i\u0020in\u0020range(rnd.randint(0,\u00203))}
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020return\u0020rnd.choice([None,\u0020True,\u00201500.0,\u00204111111111111111,\u0020*words])
-
-\u0020\u0020\u0020\u0020values\u0020=\u0020[value(3)\u0020for\u0020_\u0020in\u0020range(600)]
-\u0020\u0020\u0020\u0020texts\u0020=\u0020[json.dumps(v,\u0020ensure_ascii=bool(i\u0020%\u00202),\u0020indent=i\u0020%\u00203\u0020or\u0020None)\u0020for\u0020i,\u0020v\u0020in\u0020enumerate(values)]
-\u0020\u0020\u0020\u0020df\u0020=\u0020spark.createDataFrame(list(enumerate(texts)),\u0020"i\u0020int,\u0020doc\u0020string").repartition(8)
-\u0020\u0020\u0020\u0020for\u0020i,\u0020doc,\u0020n,\u0020kinds\u0020in\u0020redact_json(df,\u0020"doc").collect():
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020redacted,\u0020count,\u0020found\u0020=\u0020expected(values[i])
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020assert\u0020json.loads(doc)\u0020==\u0020redacted,\u0020texts[i]
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020assert\u0020(n,\u0020kinds)\u0020==\u0020(count,\u0020found),\u0020texts[i]
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020if\u0020not\u0020count:
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020assert\u0020doc\u0020==\u0020texts[i]
-
-
-def\u0020test_text_that_is_not_json(spark):
-\u0020\u0020\u0020\u0020df\u0020=\u0020spark.createDataFrame([("see\u0020a@b.co\u0020{",),\u0020(None,)],\u0020"doc\u0020string")
-\u0020\u0020\u0020\u0020assert\u0020[r.doc\u0020for\u0020r\u0020in\u0020redact_json(df,\u0020"doc").collect()]\u0020==\u0020["see\u0020a***@b.co\u0020{",\u0020None]
+def test_deep_struct(spark):
+    df = spark.createDataFrame(
+        [((("jane@example.com", "987-65-4321"),),)], "user struct<contact:struct<email:string,ssn:string>>"
+    )
+    row = redact_table(df).first()
+    assert tuple(row.user.contact) == ("j***@example.com", "***-**-****")
+    assert (row.redaction_count, row.redacted_types) == (2, ["email", "ssn"])
+
+
+def test_array(spark):
+    df = spark.createDataFrame([(["alice@test.com", None, "bob@test.com"],)], "emails array<string>")
+    row = redact_table(df).first()
+    assert row.emails == ["a***@test.com", None, "b***@test.com"]
+    assert row.redaction_count == 2
+
+
+def test_map_keys_stay(spark):
+    df = spark.createDataFrame([({"x@y.com": "a@b.co", "n": None},)], "m map<string,string>")
+    row = redact_table(df).first()
+    assert row.m == {"x@y.com": "a***@b.co", "n": None}
+
+
+def test_other_types_pass(spark):
+    df = spark.createDataFrame(
+        [(42, True, None, 4111111111111111, b"a@b.co")],
+        "count int, active boolean, nothing void, card long, raw binary",
+    )
+    row = redact_table(df).first()
+    assert row[:5] == (42, True, None, 4111111111111111, bytearray(b"a@b.co"))
+    assert (row.redaction_count, row.redacted_types) == (0, [])
+
+
+def test_null_containers(spark):
+    schema = "s struct<a:string>, l array<string>, m map<string,string>, n array<array<struct<x:string>>>"
+    df = spark.createDataFrame(
+        [(None, None, None, None), ((None,), [], {}, [None, [], [None, ("a@b.co",)]])], schema
+    )
+    first, second = redact_table(df).collect()
+    assert first[:4] == (None, None, None, None) and first.redaction_count == 0
+    assert second.n[2][1].x == "a***@b.co" and second.redaction_count == 1
+    assert redact_table(df).schema[:4] == df.schema[:4]
+
+
+def test_kinds_in_order_of_discovery(spark):
+    df = spark.createDataFrame([("a@b.co", ["123-45-6789", "c@d.ee"], "+15551234567")], "a string, b array<string>, c string")
+    assert redact_table(df).first().redacted_types == ["email", "ssn", "phone"]
+
+
+def test_choice_of_columns(spark):
+    df = spark.createDataFrame([("a@b.co", "c@d.ee", "e@f.gg")], "a string, b string, c string")
+    row = redact_table(df, include=["a", "b"], exclude=["b"]).first()
+    assert row[:4] == ("a***@b.co", "c@d.ee", "e@f.gg", 1)
+    assert text_columns(df, exclude=["a"]) == ["b", "c"]
+
+
+def test_names_that_need_quoting(spark):
+    schema = T.StructType([T.StructField("a b", T.StructType([T.StructField("c.d `e'", T.StringType())]))])
+    df = spark.createDataFrame([(("a@b.co",),)], schema)
+    row = redact_table(df).first()
+    assert row[0][0] == "a***@b.co"
+
+
+def walk(value, found):
+    if isinstance(value, str):
+        text, n, kinds, _ = model.redact(value)
+        found.extend([n, k] for k in kinds[:1] or [None])
+        walk.kinds += [k for k in kinds if k not in walk.kinds]
+        return text
+    if isinstance(value, list):
+        return [walk(v, found) for v in value]
+    if isinstance(value, dict):
+        return {k: walk(v, found) for k, v in value.items()}
+    return value
+
+
+def expected(value):
+    found, walk.kinds = [], []
+    redacted = walk(value, found)
+    return redacted, sum(n for n, _ in found), walk.kinds
+
+
+def test_payload_with_and_without_schema(spark):
+    text = json.dumps(TRANSACTIONS)
+    df = spark.createDataFrame([(text,)], "doc string")
+    redacted, n, kinds = expected(TRANSACTIONS)
+    plain = redact_json(df, "doc").first()
+    assert json.loads(plain.doc) == redacted
+    assert (plain.redaction_count, plain.redacted_types) == (n, kinds) == (8, kinds)
+    typed = redact_json(df, "doc", SCHEMA).first()
+    assert typed.redaction_count == 8
+    assert typed.doc.hits.hits[1]._source.card_number == "1234 5678 9012 3456"
+    assert typed.doc.hits.hits[2]._source.notes == redacted["hits"]["hits"][2]["_source"]["notes"]
+
+
+def test_random_json_against_model(spark):
+    rnd = random.Random(4)
+    words = [
+        "a@b.co", 'say "hi" c@d.ee', "back\\", "tab\t4111\t1111\t1111\t1111", "\ufdd0x@y.zz\ufdd1", "é\n",
+        "123-45-6789", "plain", "", "\\u0040", ": ", '"', "/", "\u2028 \x01",
+    ]
+
+    def value(depth):
+        kind = rnd.random()
+        if depth and kind < 0.3:
+            return [value(depth - 1) for _ in range(rnd.randint(0, 3))]
+        if depth and kind < 0.6:
+            return {rnd.choice(words) + str(i): value(depth - 1) for i in range(rnd.randint(0, 3))}
+        return rnd.choice([None, True, 1500.0, 4111111111111111, *words])
+
+    values = [value(3) for _ in range(600)]
+    texts = [json.dumps(v, ensure_ascii=bool(i % 2), indent=i % 3 or None) for i, v in enumerate(values)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, doc string").repartition(8)
+    for i, doc, n, kinds in redact_json(df, "doc").collect():
+        redacted, count, found = expected(values[i])
+        assert json.loads(doc) == redacted, texts[i]
+        assert (n, kinds) == (count, found), texts[i]
+        if not count:
+            assert doc == texts[i]
+
+
+def test_text_that_is_not_json(spark):
+    df = spark.createDataFrame([("see a@b.co {",), (None,)], "doc string")
+    assert [r.doc for r in redact_json(df, "doc").collect()] == ["see a***@b.co {", None]
