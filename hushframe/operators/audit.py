@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions.masks import NO_TYPES, redact
 from hushframe.functions.patterns import MAX_INPUT_CHARS, TRUNCATION_MARK
-from hushframe.operators.redact import COUNT, TYPES
+from hushframe.operators.redact import COUNT, TYPES, compute
 
 # Order of the fields in a record.
 AUDIT_COLUMNS = (
@@ -74,50 +74,47 @@ def attach_stats(
     )
 
 
-def audit_base(
-    df: DataFrame, *, parity: bool = False, profile: str = "profile_name"
-) -> dict[str, Column]:
-    """Fields every record has.
-
-    Parameters are redacted in full (``audit_log`` truncates them afterwards, so a
-    cut cannot hide half a match); ``parity`` logs them as they are.
-    """
-    given = "coalesce(arguments, '{}')"
+def audit_base(df: DataFrame) -> dict[str, Column]:
+    """Fields every record has."""
     return {
         "timestamp": iso_utc(F.col("finished_at")),
         "upstream_tool": F.col("tool_name"),
-        "compliance_profile": F.col(profile),
-        "input_parameters": F.expr(given if parity else f"{redact(given)}.value"),
+        "compliance_profile": F.col("profile_name"),
+        "input_parameters": truncate_input(F.col("_parameters")),
         "execution_time_ms": F.unix_millis("finished_at") - F.unix_millis("started_at"),
     }
 
 
-def audit_outcome(df: DataFrame, *, parity: bool = False) -> dict[str, Column]:
+def audit_outcome(df: DataFrame) -> dict[str, Column]:
     """Fields that tell success, error result and failure apart."""
     failed = F.col("failure").isNotNull()
     is_error = F.coalesce(F.col("is_error"), F.lit(False))
     return {
-        "output_size_bytes": F.when(failed, F.lit(0)).otherwise(
-            F.octet_length(result_json(df))
-        ).cast("long"),
+        "output_size_bytes": F.when(failed, F.lit(0))
+        .otherwise(F.octet_length(result_json(df)))
+        .cast("long"),
         "redaction_count": F.when(failed, F.lit(0)).otherwise(F.col(COUNT)),
         "redacted_types": F.when(failed, F.expr(NO_TYPES)).otherwise(F.col(TYPES)),
         "status": F.when(failed | is_error, "error").otherwise("success"),
-        "error_message": F.expr("failure" if parity else f"{redact('failure')}.value"),
+        "error_message": F.col("_message"),
     }
 
 
 def audit_log(df: DataFrame, *, parity: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Audit records of redacted calls, one row each.
 
+    Parameters and failure messages are redacted in full before the parameters are
+    truncated, so a cut cannot hide half a match; ``parity`` logs them as they are.
+
     ``keep`` names columns of the calls to carry along, such as a key.
     """
-    fields = audit_base(df, parity=parity) | audit_outcome(df, parity=parity)
-    # Truncated in a projection of its own, so that the parameters, which it reads
-    # three times, are redacted once.
-    return df.select(
-        *keep, *[fields[c].alias(c) for c in AUDIT_COLUMNS]
-    ).withColumn("input_parameters", truncate_input(F.col("input_parameters")))
+    parameters, message = "coalesce(arguments, '{}')", "failure"
+    if not parity:
+        parameters = f"{redact(parameters)}.value"
+        message = f"{redact(message)}.value"
+    ready = compute(df, _parameters=parameters, _message=message)
+    fields = audit_base(ready) | audit_outcome(ready)
+    return ready.select(*keep, *[fields[c].alias(c) for c in AUDIT_COLUMNS])
 
 
 def audit_lines(audit: DataFrame) -> DataFrame:

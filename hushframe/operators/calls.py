@@ -31,7 +31,7 @@ from hushframe.operators.profiles import (
     with_fixed_profile,
     with_profile,
 )
-from hushframe.operators.redact import COUNT, TYPES
+from hushframe.operators.redact import COUNT, TYPES, compute
 
 _PROFILE_COLUMNS = ("profile_name", "stage1", "stage2", "entity_types")
 
@@ -119,14 +119,14 @@ def _two_stages(
     blocks = name(column)
     fields = df.schema[column].dataType.elementType.names
     first = _rewrite_blocks(blocks, fields, wanted, pattern_leaf)
-    out = df.withColumn("_first", F.expr(when((f"{active} AND stage1", first))))
+    out = compute(df, _first=when((f"{active} AND stage1", first)))
     steps = ["_first"]
     if detector is not None:
         leaves = when(("stage2", _block_leaves("_first.block", wanted)))
         out = with_hits(out, leaves, detector, parity=parity)
         leaf = s.hits_leaf("_hits", "entity_types", parity=parity)
         second = _rewrite_blocks("_first.block", fields, wanted, leaf)
-        out = out.withColumn("_second", F.expr(second))
+        out = compute(out, _second=second)
         steps.append("_second")
 
     last = steps[-1]

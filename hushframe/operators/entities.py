@@ -19,7 +19,17 @@ from hushframe.functions.detectors import BatchDetector, PatternDetector
 from hushframe.functions.nested import text_leaves
 from hushframe.functions.patterns import CHUNK_BYTES
 from hushframe.functions.sqltext import Sql, empty, lit, name, when
-from hushframe.operators.redact import COUNT, TYPES, redact_table, text_columns, walk_table
+from hushframe.operators.redact import (
+    COUNT,
+    TYPES,
+    compute,
+    redact_table,
+    text_columns,
+    walk_table,
+)
+
+# Parts into which the entities of one key are spread.
+SALTS = 4
 
 Detector = PatternDetector | BatchDetector
 Allowed = Sequence[str] | None
@@ -116,7 +126,28 @@ def prefilter(
         seen = seen.join(starts, [*keys, "path", "chunk_idx"]).where(
             F.col("start") + F.col("begin") < s.PREFILTER_CHARS
         )
-    return texts.join(seen.select(*keys), keys, "left_semi")
+    # Distinct first: a key with many entities goes through the shuffle once.
+    return texts.join(seen.select(*keys).distinct(), keys, "left_semi")
+
+
+def _drop_orphans(entities: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
+    """Entities that belong to a known row, in one pass over them.
+
+    A key that no row has (a sentinel, say) may hold any share of the entities,
+    and must not reach the grouping.  The semi join runs on key and salt: that
+    spreads such a key, and as grouping by the key then needs its own shuffle in
+    any case, adaptive execution is free to split a skewed partition further.
+    Only the narrow key columns of the rows are repeated, once per salt.
+    """
+    salt = F.pmod(F.xxhash64("path", "chunk_idx", "ordinal"), F.lit(SALTS))
+    wanted = rows.select(
+        *on, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    )
+    return (
+        entities.withColumn("_salt", salt.cast("int"))
+        .join(wanted, [*on, "_salt"], "left_semi")
+        .drop("_salt")
+    )
 
 
 def entities_to_chunks(
@@ -124,13 +155,12 @@ def entities_to_chunks(
 ) -> DataFrame:
     """Chunk rows with their entities as ``spans`` (empty where there are none).
 
-    Orphans (entities of no known chunk) are dropped before they are grouped, so
-    a sentinel key in the entity table cannot grow into one huge group; what is
-    left of a group is bounded by its chunk.
+    Orphans (entities of no known chunk) are dropped before they are grouped; what
+    is left of a group is bounded by its chunk.
     """
     keys = [key] if isinstance(key, str) else list(key)
     on = [*keys, "path", "chunk_idx"]
-    known = entities.join(chunks.select(*on), on, "left_semi")
+    known = _drop_orphans(entities, chunks, on)
     grouped = known.groupBy(*on).agg(
         F.array_sort(
             F.collect_list(F.struct("ordinal", "type", "begin", "end"))
@@ -153,7 +183,7 @@ def redact_chunk_rows(
         ("size(_ordered) > 0", s.apply_spans("text", "_ordered")), other="text"
     )
     return (
-        chunks.withColumn("_ordered", F.expr(ordered))
+        compute(chunks, _ordered=ordered)
         .withColumns(
             {
                 "text": F.expr(applied),
@@ -178,11 +208,11 @@ def with_hits(
 ) -> DataFrame:
     """Add ``_hits``: everything the detector finds in the row's texts."""
     chunks = s.chunks_of_leaves(leaves, detector.may_match, limit=limit, parity=parity)
-    return (
-        df.withColumn("_chunks", F.expr(chunks))
-        .withColumn("_spans", detector.spans("_chunks.text"))
-        .withColumn("_hits", F.expr(s.hits_of_chunks("_chunks", "_spans")))
-        .drop("_chunks", "_spans")
+    found = compute(df, _chunks=chunks).withColumn(
+        "_spans", detector.spans("_chunks.text")
+    )
+    return compute(found, _hits=s.hits_of_chunks("_chunks", "_spans")).drop(
+        "_chunks", "_spans"
     )
 
 
@@ -196,14 +226,15 @@ def join_hits(
 ) -> DataFrame:
     """Add ``_hits`` from an entity table keyed by row key, path and chunk.
 
-    The key must identify a row of ``df``.  Null keys never match and orphans are
-    dropped by a semi join on the narrow key column before anything is grouped.
+    The key must identify a row of ``df``.  Null keys never match, and orphans are
+    dropped before anything is grouped; what is left of a group is bounded by the
+    texts of its row.
     """
     keys = [key] if isinstance(key, str) else list(key)
     wanted = entities
     if not parity:
         wanted = entity_filter(wanted, types)  # reaches the scan of the table
-    known = wanted.join(df.select(*keys), keys, "left_semi")
+    known = _drop_orphans(wanted, df, keys)
     grouped = known.groupBy(*keys).agg(
         F.collect_list(
             F.struct(
@@ -294,23 +325,25 @@ def redact_deep(
     """
     keys = [] if key is None else [key] if isinstance(key, str) else list(key)
     columns = text_columns(df, include, [*exclude, *keys])
-    first = redact_table(df, columns)
     if detector is None and entities is None:
-        return first
-    first = first.withColumnsRenamed({COUNT: "_n1", TYPES: "_types1"})
+        return redact_table(df, columns)
+    options = {"limit": limit, "parity": parity}
     if entities is not None:
         if not keys:
             raise ValueError("an entity table needs the key of the rows")
-        second = redact_with_entities(
-            first, entities, keys, columns, types, limit=limit, parity=parity
-        )
-    else:
-        second = redact_entities(
-            first, detector, columns, (), types, limit=limit, parity=parity
+        # Joined before the pattern stage: the join needs the keys of all rows a
+        # second time, and this way that is a scan of the key columns alone.
+        df = join_hits(df, entities, keys, types, parity=parity)
+    found = redact_table(df, columns).withColumnsRenamed({COUNT: "_n1", TYPES: "_types1"})
+    if entities is None:
+        found = with_hits(found, row_leaves(found, columns), detector, **options)
+    return (
+        apply_hits(found, columns, types, **options)
+        .withColumns(
+            {
+                COUNT: F.col("_n1") + F.col(COUNT),
+                TYPES: F.array_distinct(F.concat("_types1", TYPES)),
+            }
         )
-    return second.withColumns(
-        {
-            COUNT: F.col("_n1") + F.col(COUNT),
-            TYPES: F.array_distinct(F.concat(F.col("_types1"), F.col(TYPES))),
-        }
-    ).drop("_n1", "_types1")
+        .drop("_n1", "_types1")
+    )

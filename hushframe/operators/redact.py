@@ -16,12 +16,23 @@ from hushframe.functions.jsontext import redact_json_text
 from hushframe.functions.masks import MASKS, NO_TYPES, kinds, mask_all, total
 from hushframe.functions.nested import Leaf, holds_text, pattern_leaf, rewrite
 from hushframe.functions.patterns import PATTERN_TYPES
-from hushframe.functions.sqltext import lit, name
+from hushframe.functions.sqltext import Sql, lit, name, struct
 
 COUNT = "redaction_count"
 TYPES = "redacted_types"
 
 
+def compute(df: DataFrame, **columns: Sql) -> DataFrame:
+    """Add columns that are evaluated once per row, whatever comes after.
+
+    In a plain projection the optimizer would copy a whole redaction into every
+    filter on its result, once per reference and per level of nesting.  As the
+    output of a one-row generator the columns are a barrier: filters on them stay
+    above it, while filters on other columns still go down to the scan.
+    """
+    return df.select("*", F.inline(F.expr(f"array({struct(**columns)})")))
+
+
 def text_columns(
     df: DataFrame,
     include: Sequence[str] | None = None,
@@ -40,7 +51,7 @@ def text_columns(
 def mask_text(df: DataFrame, column: str, kind: str) -> DataFrame:
     """One of the five masks alone; adds ``redaction_count``."""
     return (
-        df.withColumn("_masked", F.expr(MASKS[kind](name(column))))
+        compute(df, _masked=MASKS[kind](name(column)))
         .withColumns({column: F.col("_masked.value"), COUNT: F.col("_masked.n")})
         .drop("_masked")
     )
@@ -60,7 +71,7 @@ def redact_text(df: DataFrame, column: str, *, by_kind: bool = False) -> DataFra
     if by_kind:
         added |= {f"n_{k}": F.col(f"_masked.{k}") for k in PATTERN_TYPES}
     return (
-        df.withColumn("_masked", F.expr(mask_all(name(column))))
+        compute(df, _masked=mask_all(name(column)))
         .withColumns(added)
         .drop("_masked")
     )
@@ -76,12 +87,15 @@ def walk_table(
     """
     kinds_of = {f.name: f.dataType for f in df.schema.fields}
     helpers = {f"_walk_{i}": column for i, column in enumerate(columns)}
-    walked = df.withColumns(
-        {
-            h: F.expr(rewrite(name(c), kinds_of[c], lit(c), leaf))
-            for h, c in helpers.items()
-        }
-    )
+    walked = df
+    if helpers:
+        walked = compute(
+            df,
+            **{
+                h: rewrite(name(c), kinds_of[c], lit(c), leaf)
+                for h, c in helpers.items()
+            },
+        )
     values = walked.withColumns({c: F.col(f"{h}.value") for h, c in helpers.items()})
     n = " + ".join(f"{h}.n" for h in helpers) or "0"
     first = ", ".join(f"{h}.types" for h in helpers) or NO_TYPES
@@ -123,7 +137,7 @@ def redact_json(
         typed = df.withColumn(column, F.from_json(F.col(column), schema))
         return redact_table(typed, [column])
     return (
-        df.withColumn("_masked", F.expr(redact_json_text(name(column))))
+        compute(df, _masked=redact_json_text(name(column)))
         .withColumns(
             {
                 column: F.col("_masked.value"),
