@@ -674,7 +674,7 @@ def audit_log(spark, sf_dir):
 
 def _document_stream(spark, sf_dir):
     return tables.stream_table(
-        spark, sf_dir, v.DOCUMENTS_SCHEMA, glob="documents.parquet"
+        spark, sf_dir, v.SCHEMAS["documents"], glob="documents.parquet"
     )
 
 

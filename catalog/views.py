@@ -14,9 +14,17 @@ from hushframe.functions.patterns import LEFT, RIGHT
 from hushframe.operators.profiles import PROFILES, Profile
 from hushframe.sources.tables import read_table, spread
 
-DOCUMENTS_SCHEMA = (
-    "doc_id bigint, text string, lang string, source string, n_chars bigint"
-)
+# Columns used here, stated so that no job has to read file footers for them.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "customer": (
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+        "c_mktsegment string"
+    ),
+    "events": "event_id bigint, user_id bigint, event_type string, value double, props string",
+}
 
 # Rules that stand in for an entity model.
 SECRETS = PatternDetector("PASSWORD", LEFT + "[0-9a-f]{40}" + RIGHT)
@@ -28,7 +36,9 @@ GATED = (*PROFILES, Profile("off", stage1=False, stage2=True))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(read_table(spark, f"{sf_dir}/{name}.parquet"))
+    return spread(
+        read_table(spark, f"{sf_dir}/{name}.parquet", schema=SCHEMAS[name])
+    )
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,7 +257,8 @@ def hits_leaf(
                 ),
             )
 
-        own = filter_(hits, lambda h: f"{h}.path = {path}")
+        # The path is bound first: in the filter it would be built for every hit.
+        own = let(path, lambda p: filter_(hits, lambda h: f"{h}.path = {p}"))
         return when(
             (
                 f"size({hits}) > 0",

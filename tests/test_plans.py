@@ -61,6 +61,59 @@ def test_each_mask_appears_once(docs):
     assert plan.count("regexp_extract_all") == 15
 
 
+def test_filters_on_totals_do_not_copy_the_redaction(docs):
+    for done in (
+        redact.redact_text(docs, "text"),
+        entities.redact_deep(docs, ["text"], detector=v.RULES),
+        calls.redact_calls(v.as_calls(docs), detector=v.RULES),
+    ):
+        once = plan_of(done).count("regexp_extract_all")
+        assert plan_of(done.where("redaction_count > 0")).count("regexp_extract_all") == once
+
+
+def test_entity_table_costs_one_shuffle_of_the_texts(spark, docs):
+    given = docs.select(
+        "doc_id", F.lit("text").alias("path"), (F.col("n_chars") % 2).cast("int").alias("chunk_idx"),
+        F.lit(0).alias("ordinal"), F.lit("NAME").alias("type"), F.lit(0).alias("begin"), F.lit(1).alias("end"),
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = docs.select("doc_id", "text")
+        plan = plan_of(entities.redact_deep(rows, ["text"], entities=given, key="doc_id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Texts, entities by key and salt, keys of the rows, entities by key.
+    assert plan.count("Exchange hash") == 4
+    assert plan.count("ReadSchema: struct<doc_id:bigint,text:string>") == 1
+    assert plan.count("ReadSchema: struct<doc_id:bigint>") == 1
+    assert plan.count("regexp_count") + plan.count("regexp_extract_all") == 5
+
+
+def test_adaptive_execution_splits_a_hot_orphan_key(spark, docs):
+    rows = spark.range(2000).select(F.col("id").alias("key"), F.lit("Hello John").alias("text"))
+    hot = spark.range(0, 300_000, 1, 16).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 2000).cast("long").alias("key"),
+        F.lit("text").alias("path"), F.lit(0).alias("chunk_idx"), F.col("id").cast("int").alias("ordinal"),
+        F.lit("NAME").alias("type"), F.lit(6).alias("begin"), F.lit(10).alias("end"),
+    )
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+    }
+    for k, value in settings.items():
+        spark.conf.set(k, value)
+    try:
+        known = entities._drop_orphans(hot, rows, ["key"]).groupBy("key").count()
+        assert known.agg(F.count("*"), F.sum("count")).collect()[0][:] == (2000, 200_000)
+        known.collect()
+        assert "skew=true" in plan_of(known)
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
 def test_exploding_the_result_does_not_repeat_the_work(spark, sf_dir):
     done = calls.redact_resources(v.resources(spark, sf_dir), detector=v.RULES)
     once = plan_of(done).count("regexp_extract_all")
