@@ -155,15 +155,15 @@ def entities_to_chunks(
 ) -> DataFrame:
     """Chunk rows with their entities as ``spans`` (empty where there are none).
 
-    Orphans (entities of no known chunk) are dropped before they are grouped; what
-    is left of a group is bounded by its chunk.
+    Orphans (entities of no known chunk) are dropped before they are grouped, and
+    copies of an entity count once; what is left of a group is bounded by its chunk.
     """
     keys = [key] if isinstance(key, str) else list(key)
     on = [*keys, "path", "chunk_idx"]
     known = _drop_orphans(entities, chunks, on)
     grouped = known.groupBy(*on).agg(
         F.array_sort(
-            F.collect_list(F.struct("ordinal", "type", "begin", "end"))
+            F.collect_set(F.struct("ordinal", "type", "begin", "end"))
         ).alias("spans")
     )
     empty = F.array().cast(
@@ -226,9 +226,10 @@ def join_hits(
 ) -> DataFrame:
     """Add ``_hits`` from an entity table keyed by row key, path and chunk.
 
-    The key must identify a row of ``df``.  Null keys never match, and orphans are
-    dropped before anything is grouped; what is left of a group is bounded by the
-    texts of its row.
+    The key must identify a row of ``df``, and the ordinal an entity of its chunk:
+    copies of an entity, as a repeated detector run writes them, count once, also
+    before they are shuffled for grouping.  Null keys never match, and orphans are
+    dropped first; what is left of a group is bounded by the texts of its row.
     """
     keys = [key] if isinstance(key, str) else list(key)
     wanted = entities
@@ -236,7 +237,7 @@ def join_hits(
         wanted = entity_filter(wanted, types)  # reaches the scan of the table
     known = _drop_orphans(wanted, df, keys)
     grouped = known.groupBy(*keys).agg(
-        F.collect_list(
+        F.collect_set(
             F.struct(
                 F.col("path"),
                 F.col("chunk_idx").cast("int").alias("chunk_idx"),

@@ -206,3 +206,17 @@ def test_orphans_and_null_keys_do_not_matter(spark):
     chunks = e.chunk_rows(df, "key", ["text"])
     joined = e.entities_to_chunks(chunks, good.union(hot), "key")
     assert joined.agg(F.count("*"), F.sum(F.size("spans"))).first()[:] == (100, 100)
+
+
+def test_copies_of_entities_count_once(spark):
+    """Half of all entity rows are copies of those of one text."""
+    df = spark.range(50).select(F.col("id").alias("key"), F.lit("Hello John").alias("text"))
+    table = spark.range(0, 20_000, 1, 8).select(
+        F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 50).cast("long").alias("key"),
+        F.lit("text").alias("path"), F.lit(0).alias("chunk_idx"), F.lit(0).alias("ordinal"),
+        F.lit("NAME").alias("type"), F.lit(6).alias("begin"), F.lit(10).alias("end"),
+    )
+    done = e.redact_with_entities(df, table, "key", ["text"])
+    rows = {r.key: (r.text, r.redaction_count) for r in done.collect()}
+    assert rows[7] == rows[9] == ("Hello [REDACTED:NAME]", 1)
+    assert len(rows) == 50
