@@ -1,3 +1,27 @@
 """The queries in SQL for DuckDB, where SQL can express them."""
 
 ORACLE: dict[str, str] = {}
+
+ORACLE["op2_substrings"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(
+    string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35
+), g AS (
+  SELECT s.doc_id, s.i, array_to_string(d.w[s.i : s.i + 34], ' ') AS t
+  FROM s JOIN d USING (doc_id)
+), again AS (
+  SELECT t FROM g GROUP BY t HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, p FROM (
+    SELECT doc_id, unnest(range(i, i + 35)) AS p FROM g SEMI JOIN again USING (t))
+), marks AS (
+  SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(len(ps), 0) AS n_removed,
+  sha256(array_to_string(
+    list_filter(d.w, lambda x, j: ps IS NULL OR NOT list_contains(ps, j)), ' ')) AS kept_sha256
+FROM d LEFT JOIN marks USING (doc_id)
+"""
