@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import packing, simhash, substrings
+from hushframe.llm import decontamination, packing, sharding, simhash, substrings
 from hushframe.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +41,27 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(docs).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.array_join(kept, " "), 256).alias("kept_sha256")
     )
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = read(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
+    placed = sharding.assign(
+        rows, "doc_id", sharding.tree(sharding.SHARDS), sharding.tree(sharding.SHARDS + 1),
+        order=["size", "text_crc32"],
+    )
+    return placed.withColumn("law", F.lit("key"))
+
+
+@query
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    listed = F.array_join("items", ",").cast("binary")
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(listed, 256).alias("items_sha256"), "contaminated"
+    )

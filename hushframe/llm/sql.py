@@ -25,3 +25,39 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(len(ps), 0) AS n_removed,
     list_filter(d.w, lambda x, j: ps IS NULL OR NOT list_contains(ps, j)), ' ')) AS kept_sha256
 FROM d LEFT JOIN marks USING (doc_id)
 """
+
+ORACLE["op10_winnowing"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark
+), bs AS (
+  SELECT item_id, least(len(w), 10) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i
+  FROM b WHERE len(w) > 0
+), bw AS (
+  SELECT DISTINCT item_id, k, array_to_string(b.w[i : i + k - 1], ' ') AS t
+  FROM bs JOIN b USING (item_id)
+), ds AS (
+  SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i
+  FROM d, (SELECT DISTINCT k FROM bs) WHERE len(w) >= k
+), dw AS (
+  SELECT doc_id, k, i, array_to_string(d.w[i : i + k - 1], ' ') AS t FROM ds JOIN d USING (doc_id)
+), o AS (
+  SELECT doc_id, i, k, item_id FROM dw JOIN bw USING (k, t)
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + k)) AS p FROM o) GROUP BY doc_id
+), its AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s
+  FROM o GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items,
+  sha256(coalesce(its.s, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
