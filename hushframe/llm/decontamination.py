@@ -58,6 +58,13 @@ def _windows(w: Column, size: int) -> Column:
     return F.transform(starts, lambda x, i: F.array_join(F.slice(w, i + 1, size), " "))
 
 
+def _placed(w: Column, size: int) -> Column:
+    def place(t, i):
+        return F.struct(i.alias("at"), F.lit(size).alias("size"), t.alias("window"))
+
+    return F.transform(_windows(w, size), place)
+
+
 def _item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``item, size, window, print``: the windows of items, short items being one window.
 
@@ -102,11 +109,7 @@ def occurrences(docs: DataFrame, items: DataFrame, doc_text: str, item_id: str,
     sizes = [r["size"] for r in known.where(F.col("size") < WINDOW).select("size").distinct().collect()]
     if sizes:
         short = let(
-            words(doc_text),
-            lambda w: F.flatten(F.array(*[
-                F.transform(_windows(w, k), lambda t, i, k=k: F.struct(i.alias("at"), F.lit(k).alias("size"), t.alias("window")))
-                for k in sorted(sizes)
-            ])),
+            words(doc_text), lambda w: F.flatten(F.array(*[_placed(w, k) for k in sorted(sizes)]))
         )
         wanted = known.where(F.col("size") < WINDOW).select("size", "window").distinct()
         brief = docs.select("doc", F.inline(short)).join(wanted, ["size", "window"], "left_semi")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import decontamination, packing, sharding, simhash, substrings
+from hushframe.llm import decontamination, licenses, packing, sharding, simhash, substrings
 from hushframe.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +65,11 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(listed, 256).alias("items_sha256"), "contaminated"
     )
+
+
+@query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+    for name in ("base_labels", "labels"):
+        found = found.withColumn(name, F.array_join(name, ","))
+    return found

@@ -61,3 +61,59 @@ SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(its.n, 0
   sha256(coalesce(its.s, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+
+def _licences() -> str:
+    from hushframe.llm.licenses import COVERED, GRAM, NEIGHBOUR, PHRASES, TEMPLATES
+
+    rows = [(p, x, True) for p, x in PHRASES.items()] + [(p, x, False) for p, x in TEMPLATES.items()]
+    values = ", ".join(f"({i}, '{p}', '{x}', {b})" for i, (p, x, b) in enumerate(rows))
+    return rf"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), p AS (
+  SELECT *, string_split(phrase, ' ') AS pw, least(len(string_split(phrase, ' ')), {GRAM}) AS k
+  FROM (VALUES {values}) AS v(tid, phrase, label, base)
+), g AS (
+  SELECT tid, label, base, k, len(pw) AS size, unnest(range(0, len(pw) - k + 1)) AS t, pw FROM p
+), gg AS (
+  SELECT tid, label, base, k, size, t, array_to_string(pw[t + 1 : t + k], ' ') AS s FROM g
+), places AS (
+  SELECT doc_id, k, unnest(range(0, len(w) - k + 1)) AS pos
+  FROM d, (SELECT DISTINCT k FROM p) WHERE len(w) >= k
+), texts AS (
+  SELECT doc_id, k, pos, array_to_string(w[pos + 1 : pos + k], ' ') AS s FROM places JOIN d USING (doc_id)
+), votes AS (
+  SELECT doc_id, pos, tid, label, base, size, t, k FROM texts JOIN gg USING (k, s)
+), based AS (
+  SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) AS z, list_sort(list(DISTINCT label)) AS ls
+  FROM votes WHERE base GROUP BY doc_id
+), diagonals AS (
+  SELECT doc_id, tid, label, size, pos - t AS diagonal, list(DISTINCT t) AS ts
+  FROM votes WHERE NOT base GROUP BY doc_id, tid, label, size, pos - t
+), begins AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) <= {NEIGHBOUR}
+    THEN 0 ELSE 1 END AS b FROM diagonals
+), numbered AS (
+  SELECT *, sum(b) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) AS span FROM begins
+), spans AS (
+  SELECT doc_id, tid, label, size, span, count(DISTINCT x) AS n FROM (
+    SELECT doc_id, tid, label, size, span, unnest(range(t, t + {GRAM})) AS x
+    FROM (SELECT doc_id, tid, label, size, span, unnest(ts) AS t FROM numbered))
+  GROUP BY doc_id, tid, label, size, span
+), more AS (
+  SELECT doc_id, list(DISTINCT label) FILTER (WHERE n / size >= {COVERED}) AS ls, max(n / size) AS most
+  FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word,
+  coalesce(array_to_string(based.ls, ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(based.ls, []), coalesce(more.ls, [])))), ',') AS labels,
+  CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(most, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN based USING (doc_id) LEFT JOIN more USING (doc_id)
+"""
+
+
+ORACLE["op8_licenses"] = _licences()
