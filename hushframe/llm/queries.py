@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import decontamination, licenses, packing, sharding, simhash, substrings
-from hushframe.llm.tables import read
+from hushframe.llm import decontamination, licenses, packing, sharding, simhash, substrings, warc
+from hushframe.llm.tables import read, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,3 +73,13 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in ("base_labels", "labels"):
         found = found.withColumn(name, F.array_join(name, ","))
     return found
+
+
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("type").alias("record_type"), "refers_to",
+    )

@@ -117,3 +117,15 @@ FROM d LEFT JOIN based USING (doc_id) LEFT JOIN more USING (doc_id)
 
 
 ORACLE["op8_licenses"] = _licences()
+
+ORACLE["op4_warc"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS h FROM pages
+), f AS (
+  SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h HAVING count(*) > 1
+)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (h)
+"""
