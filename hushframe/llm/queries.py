@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import decontamination, licenses, packing, sharding, simhash, substrings, warc
+from hushframe.llm import decontamination, licenses, packing, quality_rules, sharding, simhash, substrings, warc
 from hushframe.llm.tables import read, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("page_id"), "payload_bytes", "payload_digest",
         F.col("type").alias("record_type"), "refers_to",
     )
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality_rules.train(docs, read(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, model)
