@@ -87,11 +87,13 @@ def _item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def occurrences(docs: DataFrame, items: DataFrame, doc_text: str, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
     """``doc, at, size, window``: item windows in ``docs(doc, text)``; and the item windows."""
     known = staged(_item_windows(items, item_id, item_text), "item_windows")
-    full = known.where(F.col("size") == WINDOW)
+    # Written, so that their size is known and the joins have plain inputs that can be split.
+    full = staged(known.where(F.col("size") == WINDOW).select("print", "window").distinct(), "full")
+    prints = staged(full.select("print").distinct(), "prints")
 
     # Fingerprints alone, without repeats in a document.
     marks = docs.select("doc", F.explode(let(words(doc_text), lambda w: F.array_distinct(fingerprints(w)))).alias("print"))
-    shared = staged(marks.join(full.select("print").distinct(), "print", "left_semi").select("doc").distinct(), "sharing")
+    shared = staged(marks.join(prints, "print", "left_semi").select("doc").distinct(), "sharing")
 
     # Extension: each match, with the words of its window, against the item windows.
     suspects = docs.join(shared, "doc", "left_semi").select("doc", F.explode(F.array(words(doc_text))).alias("w"))
@@ -102,7 +104,7 @@ def occurrences(docs: DataFrame, items: DataFrame, doc_text: str, item_id: str,
     found = (
         suspects.withColumn("prints", fingerprints(F.col("w")))
         .select("doc", F.inline(places))
-        .join(full.select("print", "window").distinct(), ["print", "window"], "left_semi")
+        .join(full, ["print", "window"], "left_semi")
         .select("doc", "at", F.lit(WINDOW).alias("size"), "window")
     )
     # Items shorter than a window: at most WINDOW - 1 sizes, each looked up as it is.

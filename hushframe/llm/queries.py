@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import decontamination, licenses, packing, quality_rules, sharding, simhash, substrings, warc
+from hushframe.llm import decontamination, licenses, packing, quality_rules, quality_sites, sharding, simhash, substrings, warc
 from hushframe.llm.tables import read, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality_rules.train(docs, read(spark, sf_dir, "labels"))
     return quality_rules.judge(docs, model)
+
+
+@query
+def op7_quality_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_sites.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

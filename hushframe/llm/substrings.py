@@ -78,6 +78,8 @@ def _index(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
     blocks = staged(docs.mapInArrow(run, "doc long, key long, places int"), "blocks")
     shared = blocks.groupBy("key").agg(F.sum("places").alias("n")).where("n > 1").select("key")
+    # Written, so that the join has plain inputs and a hot key of either can be split.
+    shared = staged(shared, "shared")
     return blocks.join(shared, "key").select("doc", "key")
 
 
@@ -115,6 +117,7 @@ def factors(
     named = docs.select(_row_key(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
     found = staged(_lookups(named, _index(named, window, gram), window, gram), "windows")
     copied = found.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    copied = staged(copied, "copied")
     return (
         found.join(copied, "window")
         .groupBy("doc")
