@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import decontamination, licenses, packing, quality_rules, quality_sites, sharding, simhash, substrings, warc
+from hushframe.llm import decontamination, licenses, packing, quality_rules, quality_sites, sharding, simhash, substrings, toxicity, warc
 from hushframe.llm.tables import read, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_quality_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_sites.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
