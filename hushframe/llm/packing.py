@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.tables import Batches, refuse, sliced
+from hushframe.llm.tables import Batches, named_apart, sliced
 
 CAPACITY = 2048
 END = 1  # id that ends a document
@@ -187,7 +187,7 @@ def pack(
     pieces of their own, and an empty table gives none. Other columns are not read.
     Sequence ids number the windows of a partition, whose number is in the upper bits.
     """
-    refuse([id_col], ADDED)
+    named_apart(id_col, ADDED)
     id_type = docs.schema[id_col].dataType.simpleString()
     names = ["id", *ADDED]
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from hushframe.llm import linear
 from hushframe.llm.hashing import WordHashes, grams, words
-from hushframe.llm.tables import Batches, refuse, sliced
+from hushframe.llm.tables import Batches, named_apart, sliced
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
@@ -114,7 +114,7 @@ def judge(docs: DataFrame, model: linear.Model, id_col: str = "doc_id", text_col
     text has no words. Repeated rows and null ids each give their row, an empty table an
     empty result. Other columns are not read.
     """
-    refuse([id_col], [*COUNTS, "base_failed", "score", "kept"])
+    named_apart(id_col, [*COUNTS, "base_failed", "score", "kept"])
     id_type = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model.parts())  # 2 ** BITS weights
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from hushframe.llm import linear
 from hushframe.llm.hashing import WordHashes, words
 from hushframe.llm.quality_rules import counts, ngrams, summed
-from hushframe.llm.tables import Batches, refuse, sliced, staged
+from hushframe.llm.tables import Batches, named_apart, sliced, staged
 
 KEEP = 0.5  # posterior probability from which a document is kept
 SITE_WEIGHT = 0.5  # of a site's log odds against the document's own
@@ -142,7 +142,7 @@ def classify(
     null ids each give their row; without labels of both kinds every document has the
     same evidence; an empty table gives an empty result. Other columns are not read.
     """
-    refuse([id_col], RESULT)
+    named_apart(id_col, RESULT)
     found = _posteriors(docs, labels, id_col, text_col, host_col, path_col, label, rows)
     return found.select(F.col("id").alias(id_col), *RESULT)
 

@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushframe.llm.tables import refuse, staged
+from hushframe.llm.tables import free_name, set_aside, staged
 
 SHARDS = 24
 PER_RACK = 2
@@ -74,11 +74,11 @@ def assign(
     a shard of any size, and a key with any number of rows, is numbered by many tasks.
     Within a bucket rows are ordered by key and ``order``. A null key is a key like others, an empty
     table gives an empty result, other columns are kept and those of the new names
-    refused. ``grown_shard`` is the shard under the tree ``grown``, null without one.
+    are kept as ``<name>_input``. ``grown_shard`` is the shard under the tree ``grown``, null without one.
     """
-    helpers = ["_bucket", "_before", "_place"]
-    refuse(rows.columns, [*ADDED, "grown_shard", *helpers])
-    key = F.col(key_col)
+    rows = set_aside(rows, [*ADDED, "grown_shard"])
+    part, size, before = (free_name(rows.columns, x) for x in ("bucket", "size_of_bucket", "before"))
+    key = F.col(f"`{key_col}`")
     placed = rows.withColumn("shard", shard_of(key, regions)).withColumn(
         "grown_shard", shard_of(key, grown) if grown else F.lit(None).cast("int")
     )
@@ -86,16 +86,17 @@ def assign(
     buckets = max(1, -(-rows.count() // (leaves * bucket)))
     # With the task that read it, so that many equal rows still spread; written once below.
     spread = F.pmod(F.xxhash64(F.lit(1), key, F.spark_partition_id()), F.lit(buckets))
-    placed = staged(placed.withColumn("_bucket", spread), "placed")
-    counts = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    total = (
-        "sum(_n) over (partition by shard order by _bucket rows between unbounded preceding and 1 preceding)"
-    )
-    before = counts.select("shard", "_bucket", F.coalesce(F.expr(total), F.lit(0)).alias("_before"))
-    by = ", ".join(f"`{c}`" for c in [key_col, *order])
-    place = F.expr(f"row_number() over (partition by shard, _bucket order by {by}) - 1")
+    placed = staged(placed.withColumn(part, spread), "placed")
+    counts = placed.groupBy("shard", part).agg(F.count("*").alias(size))
+    shards = Window.partitionBy("shard").orderBy(part)
+    earlier = F.sum(size).over(shards.rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("shard", part, F.coalesce(earlier, F.lit(0)).alias(before))
+    place = F.row_number().over(Window.partitionBy("shard", part).orderBy(*[f"`{c}`" for c in [key_col, *order]]))
     return (
-        placed.withColumn("_place", place)
-        .join(before, ["shard", "_bucket"])
-        .select(*[F.col(f"`{c}`") for c in rows.columns], "shard", (F.col("_before") + F.col("_place")).alias("slot"), "grown_shard")
+        placed.withColumn("slot", place)
+        .join(counts, ["shard", part])
+        .select(
+            *[F.col(f"`{c}`") for c in rows.columns], "shard",
+            (F.col(before) + F.col("slot") - 1).alias("slot"), "grown_shard",
+        )
     )

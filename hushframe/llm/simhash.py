@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from hushframe.llm.components import components
 from hushframe.llm.hashing import words
-from hushframe.llm.tables import Batches, groups, sliced, staged
+from hushframe.llm.tables import Batches, groups, named_apart, sliced, staged
 
 SHINGLE = 3  # words
 SEED = 42
@@ -184,8 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (a component of null ids has a null ``component_id``). An empty table gives an
     empty result; other columns are not read.
     """
-    if id_col in ("fingerprint", "component_id"):
-        raise ValueError(f"{id_col} is the name of a result column")
+    named_apart(id_col, ["fingerprint", "component_id"])
     return _labelled(staged(fingerprints(docs, id_col, text_col), "fingerprints")).select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -210,10 +209,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stays otherwise. All columns are kept, whatever their names.
     """
     found = staged(near_duplicates(docs, id_col, text_col), "groups")
-    one = "_one"
-    ids = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias(one)).agg(F.count("*").alias("_n"))
-    ids = staged(ids, "kept")
+    same = F.col(id_col).eqNullSafe(F.col("component_id"))
+    ids = staged(found.where(same).groupBy(F.col(id_col).alias("kept")).agg(F.count("*").alias("n")), "kept")
+    once, often = ids.where("n = 1"), ids.where("n > 1")
     # A left semi join keeps the columns of docs alone, so names cannot clash.
-    single = docs.join(ids.where("_n = 1"), docs[id_col].eqNullSafe(F.col(one)), "left_semi")
-    several = docs.join(ids.where("_n > 1"), docs[id_col].eqNullSafe(F.col(one)), "left_semi")
+    single = docs.join(once, docs[id_col].eqNullSafe(once["kept"]), "left_semi")
+    several = docs.join(often, docs[id_col].eqNullSafe(often["kept"]), "left_semi")
     return single.unionByName(several.dropDuplicates([id_col, text_col]))

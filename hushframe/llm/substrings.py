@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushframe.llm.hashing import WordHashes, grams, greatest, least, words
-from hushframe.llm.tables import Batches, refuse, sliced, staged
+from hushframe.llm.tables import Batches, free_name, set_aside, sliced, staged
 
 WINDOW = 35  # words
 GRAM = 10
@@ -154,14 +154,34 @@ def remove_repeats(
     loses nothing stays as it is. ``factors`` holds the removed stretches, ``begin`` and
     ``end`` in words. A null text stays null with no words; shorter texts than a window
     lose nothing; repeated rows count as copies of each other; a null id is an id like
-    others. Other columns are kept; those with the names of the new ones are refused.
+    others; an empty table gives an empty result. Other columns are kept; one with the
+    name of a new column is kept as ``<name>_input``.
     """
-    refuse(docs.columns, ADDED)
+    return _parsed(set_aside(docs, ADDED), ADDED, id_col, text_col, window, gram)
+
+
+def cut_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None,
+    window: int = WINDOW, gram: int = GRAM,
+) -> DataFrame:
+    """As ``remove_repeats``, with the columns of ``docs`` alone, whatever their names.
+
+    ``length_col``, if ``docs`` has it, is set to the characters of texts that were cut.
+    """
+    added = [free_name(docs.columns, name) for name in ADDED]
+    done = _parsed(docs, added, id_col, text_col, window, gram)
+    if length_col in docs.columns:
+        length = F.length(text_col).cast(docs.schema[length_col].dataType)
+        done = done.withColumn(length_col, F.when(F.col(added[1]) > 0, length).otherwise(F.col(length_col)))
+    return done.select([f"`{c}`" for c in docs.columns])
+
+
+def _parsed(docs: DataFrame, added: list[str], id_col: str, text_col: str, window: int, gram: int) -> DataFrame:
+    """``docs`` with repeats cut out, and the columns of ``ADDED`` under the names given."""
     starts = staged(factors(docs, id_col, text_col, window, gram), "factors")
-    doc, found = "_doc", "_starts"
+    doc, found = free_name(docs.columns, "doc"), free_name(docs.columns, "starts")
     marks = starts.select(F.col("doc").alias(doc), F.col("starts").alias(found))
-    refuse(docs.columns, [doc, found])
-    joined = docs.withColumn(doc, _row_key(id_col, text_col)).join(marks, doc, "left").drop(doc)
+    joined = docs.withColumn(doc, _row_key(id_col, text_col)).join(marks, doc, "left")
     place = docs.columns.index(text_col)
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
@@ -184,10 +204,11 @@ def remove_repeats(
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
             columns += [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span)]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *ADDED])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *added])
 
-    added = T.StructType.fromDDL(
+    kinds = T.StructType.fromDDL(
         "n_words long, n_removed long, factors array<struct<begin: int, end: int>>"
     )
-    schema = T.StructType(docs.schema.fields + added.fields)
+    fields = [T.StructField(name, f.dataType) for name, f in zip(added, kinds.fields)]
+    schema = T.StructType(docs.schema.fields + fields)
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], found).mapInArrow(run, schema)

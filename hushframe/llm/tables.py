@@ -48,11 +48,19 @@ def free_name(columns: Sequence[str], wanted: str) -> str:
     return wanted
 
 
-def refuse(columns: Sequence[str], added: Sequence[str]) -> None:
-    """Raises if a column of the input has the name of one that is to be added."""
-    taken = {c.lower() for c in columns}
-    if clash := [c for c in added if c.lower() in taken]:
-        raise ValueError(f"the input already has the columns {clash}; rename them first")
+def set_aside(df: DataFrame, added: Sequence[str]) -> DataFrame:
+    """``df`` with its columns of the names that are to be added renamed to ``<name>_input``
+    (with underscores in front where that is taken as well)."""
+    for name in added:
+        for own in [c for c in df.columns if c.lower() == name.lower()]:
+            df = df.withColumnRenamed(own, free_name([*df.columns, *added], f"{own}_input"))
+    return df
+
+
+def named_apart(id_col: str, results: Sequence[str]) -> None:
+    """Raises if the id column has the name of a result."""
+    if id_col.lower() in {r.lower() for r in results}:
+        raise ValueError(f"{id_col} is the name of a result column; rename the id first")
 
 
 def sliced(batches: Batches, rows: int = 512) -> Batches:

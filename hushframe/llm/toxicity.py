@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm import linear
-from hushframe.llm.tables import Batches, refuse, sliced
+from hushframe.llm.tables import Batches, named_apart, sliced
 
-EXAMPLES = 6000  # labelled rows in the index, at most
+EXAMPLES = 12_000  # labelled rows in the index, at most
 VOCABULARY = 5000  # terms, at most
 PART = 5  # letters
 Z = 3.0  # of the confidence bound
-SHARE = 0.4  # least bound of a term's toxic share
+SHARE = 0.5  # least bound of a term's toxic share
 BLOCK = 64  # examples
 NEIGHBOURS = 16
 PRIOR = 0.1  # votes of the prior against those of neighbours
@@ -231,7 +231,7 @@ def score(
     or the share of the one label; repeated rows each give their row; null ids are kept
     and not held out; an empty table gives an empty result. Other columns are not read.
     """
-    refuse([id_col], RESULT)
+    named_apart(id_col, RESULT)
     taught = labels.where(~held_out(F.col(id_col)))
     sent = docs.sparkSession.sparkContext.broadcast(
         _learn(linear.sample(docs, taught, id_col, text_col, label, rows))
