@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from hushframe.llm.tables import Batches, sliced
 
 BITS = 17  # of the hashed feature space
-SAMPLE = 4000  # labelled rows that are fitted, at most
+SAMPLE = 2500  # labelled rows that are fitted, at most
 
 Features = Callable[[str | None], tuple[np.ndarray, np.ndarray]]  # indices, values
 
@@ -106,8 +106,8 @@ def fit(labelled: DataFrame, features: Features, dims: int, passes: int = 80) ->
 def _descend(index, value, y, dims: int, passes: int) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the log loss with a small ridge."""
     size = np.array([len(i) for i in index])
-    row = np.repeat(np.arange(len(y)), size)
-    index, value = np.concatenate(index), np.concatenate(value).astype(np.float64)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), size)
+    index, value = np.concatenate(index), np.concatenate(value)
     w, b = np.zeros(dims), float(np.log(y.mean() / (1 - y.mean())))
     m, v = np.zeros(dims + 1), np.zeros(dims + 1)
     for t in range(1, passes + 1):
