@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.tables import Batches, sliced
+from hushframe.llm.tables import Batches, sliced, staged
 
 ROLL = 32 << 20  # compressed bytes after which a file is closed
 SHARD = 64 << 20  # payload bytes of a shard, about
@@ -50,18 +50,24 @@ def records(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> Da
         .where("n > 1")
         .select("digest", "first")
     )
-    return rows.join(firsts, "digest", "left").select("id", "url", "payload", "digest", "first")
+    # Written, so that its size is known: payloads are only shuffled to a large table of them.
+    return rows.join(staged(firsts, "firsts"), "digest", "left").select("id", "url", "payload", "digest", "first")
 
 
-def _sharded(rows: DataFrame) -> tuple[DataFrame, int]:
-    """The rows with ``shard``: ranges of the id of near-equal payload bytes."""
-    low, high = rows.agg(F.min("id"), F.max("id")).first()
+def _shards(pages: DataFrame, id_col: str, payload_col: str) -> tuple[Column, int]:
+    """The shard of ``id``, and their number: ranges of near-equal payload bytes."""
+    key = F.col(id_col).cast("long")
+    low, high = pages.agg(F.min(key), F.max(key)).first()
     if low is None:
-        return rows.withColumn("shard", F.lit(0)), 1
+        return F.lit(0), 1
     width = (high - low) // CELLS + 1
-    cell = F.floor((F.coalesce("id", F.lit(low)) - low) / width).cast("int")
+
+    def cell(key: Column) -> Column:
+        return F.floor((F.coalesce(key, F.lit(low)) - low) / width).cast("int")
+
+    size = F.coalesce(F.octet_length(payload_col), F.lit(0)) + 512
     # At most CELLS rows come to the driver, whatever the size of the table.
-    sums = rows.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("payload") + 512).alias("bytes")).collect()
+    sums = pages.groupBy(cell(key).alias("cell")).agg(F.sum(size).alias("bytes")).collect()
     bounds, filled = [], 0
     for row in sorted(sums):
         if filled >= SHARD:
@@ -69,9 +75,9 @@ def _sharded(rows: DataFrame) -> tuple[DataFrame, int]:
             filled = 0
         filled += row["bytes"]
     if not bounds:
-        return rows.withColumn("shard", F.lit(0)), 1
-    cuts = F.array(*map(F.lit, bounds))
-    return rows.withColumn("shard", F.size(F.filter(cuts, lambda b: b <= cell))), len(bounds) + 1
+        return F.lit(0), 1
+    own = cell(F.col("id"))
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= own)), len(bounds) + 1
 
 
 def record(kind: str, key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -156,7 +162,8 @@ def write(
     gives an empty manifest. Other columns are not read. ``folder`` must be one that all
     executors share.
     """
-    rows, shards = _sharded(records(pages, id_col, url_col, payload_col))
+    shard, shards = _shards(pages, id_col, payload_col)
+    rows = records(pages, id_col, url_col, payload_col).withColumn("shard", shard)
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder) if ":" in folder else (pafs.LocalFileSystem(), folder)
@@ -184,9 +191,9 @@ def write(
                 ("sha256", pa.string()), ("first", pa.int64()), ("last", pa.int64()),
             ]))
 
-    # Rows of a shard go to one task; within it they are in the order of the archive.
+    # A shard goes to the task of its number; there rows are in the order of the archive.
     manifest = (
-        rows.repartitionByRange(shards, "shard")
+        rows.repartitionById(shards, "shard")
         .sortWithinPartitions("shard", "id", "digest", "url")
         .mapInArrow(run, "file string, shard int, records long, bytes long, sha256 string, first long, last long")
     )
@@ -197,13 +204,17 @@ def write(
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and body of each record of an archive."""
-    rest = content
-    while rest:
-        inflate = zlib.decompressobj(31)
-        data = inflate.decompress(rest) + inflate.flush()
-        if not inflate.eof:
-            raise ValueError("an archive ends within a record")
-        rest = inflate.unused_data
+    at, view = 0, memoryview(content)
+    while at < len(view):
+        inflate, parts = zlib.decompressobj(31), []
+        while not inflate.eof:
+            if at >= len(view):
+                raise ValueError("an archive ends within a record")
+            piece = view[at : at + 65536]
+            parts.append(inflate.decompress(piece))
+            at += len(piece)
+        at -= len(inflate.unused_data)
+        data = b"".join(parts)
         head, _, after = data.partition(b"\r\n\r\n")
         lines = head.decode("utf-8", "surrogatepass").split("\r\n")
         headers = dict(line.split(": ", 1) for line in lines[1:])
