@@ -2,14 +2,15 @@
 
 A chunk is ``struct<text, sep, start>``: its text, the separator that follows it
 in the original, and its first character's position in the original.  Lines are
-packed greedily; a line that is longer than the limit is cut at the largest
-prefix that fits, never inside a character.
+packed greedily; a line that is longer than the limit is cut behind the last white space
+that fits or, where there is none, at the largest prefix, never inside a character.
 
 ``parity=False`` (default) is lossless: ``text`` and ``sep`` of all chunks joined
 give the original back, and every chunk respects the limit.  ``parity=True``
 reproduces the observed behaviour of the original tool: blank lines at the start
-of a chunk vanish, a long line behind a non-empty chunk stays whole, and chunks
-are always joined by a line feed, also where a line was cut.
+of a chunk vanish, a long line behind a non-empty chunk stays whole, lines are cut at
+the largest prefix, and chunks are always joined by a line feed, also where a line was
+cut.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from hushframe.functions.sqltext import (
     aggregate,
     empty,
     let,
+    lit,
     struct,
     transform,
     transform_indexed,
@@ -49,17 +51,20 @@ def _cut_width(data: Sql, pos: Sql, limit: int) -> Sql:
     )
 
 
-def cut_line(line: Sql, limit: int = CHUNK_BYTES) -> Sql:
+_TO_SPACE = r"(?s)^.*[ \t\x0B\f\r]"
+
+
+def cut_line(line: Sql, limit: int = CHUNK_BYTES, *, words: bool = True) -> Sql:
     """Pieces of one line: array<struct<text, sep, off>>, each within the limit.
 
-    ``sep`` is a line feed on the last piece and empty on the others; ``off`` is
+    With ``words`` a piece ends behind white space where it holds any.  ``sep`` is a line feed on the last piece and empty on the others; ``off`` is
     the piece's character position in the line.
     """
 
     def pieces(data: Sql) -> Sql:
         size = f"octet_length({data})"
-        # A piece holds at least limit - 3 bytes, which bounds the number of steps.
-        steps = f"sequence(1, cast(ceil({size} / {limit - 3}) AS int))"
+        # Two pieces in a row hold at least limit - 3 bytes, which bounds the steps.
+        steps = f"sequence(1, cast(2 * ceil({size} / {limit - 3}) AS int))"
 
         def take(state: Sql, _: Sql) -> Sql:
             def with_piece(p: Sql) -> Sql:
@@ -74,12 +79,21 @@ def cut_line(line: Sql, limit: int = CHUNK_BYTES) -> Sql:
                     off=f"{state}.off + length({p}.text)",
                 )
 
-            cut = let(
+            def behind_space(text: Sql) -> Sql:
+                head = f"regexp_extract({text}, {lit(_TO_SPACE)}, 0)"
+                more = f"{state}.pos + octet_length({text}) < {size}"
+                return let(
+                    when((more, head), other="''"),
+                    lambda h: when((f"{h} <> ''", h), other=text),
+                )
+
+            fits = let(
                 _cut_width(data, f"{state}.pos", limit),
-                lambda w: struct(
-                    width=w,
-                    text=f"cast(substring({data}, {state}.pos + 1, {w}) AS string)",
-                ),
+                lambda w: f"cast(substring({data}, {state}.pos + 1, {w}) AS string)",
+            )
+            cut = let(
+                let(fits, behind_space) if words else fits,
+                lambda t: struct(width=f"octet_length({t})", text=t),
             )
             return when(
                 (f"{state}.pos >= {size}", state), other=let(cut, with_piece)
@@ -165,7 +179,7 @@ def _pack_parity(text: Sql, limit: int) -> Sql:
         opened = {"cur": line, "start": f"{state}.pos", "pos": after}
         return when(
             (f"{over} AND NOT {blank}", struct(done=push(state), **opened)),
-            (over, let(cut_line(line, limit), cut)),
+            (over, let(cut_line(line, limit, words=False), cut)),
             (blank, struct(done=f"{state}.done", **opened)),
             other=struct(
                 done=f"{state}.done",

@@ -1,9 +1,8 @@
 """Entity detectors.
 
-A detector turns the chunk texts of a row (``array<string>``) into one span array
-per chunk (``array<array<struct<type, begin, end>>>``).  ``PatternDetector`` is a
-native expression; ``BatchDetector`` runs user Python on Arrow batches, with one
-client per task.
+``PatternDetector`` is a native expression over whole texts.  ``BatchDetector`` runs
+user Python on Arrow batches, with one client per task; its texts are cut to windows
+that a client can take, so that no entity is lost where a window ends.
 """
 
 from __future__ import annotations
@@ -12,16 +11,25 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hushframe.functions.patterns import LEFT, RIGHT
-from hushframe.functions.spans import NO_SPANS, SPAN, pattern_spans
-from hushframe.functions.sqltext import Sql, lit, transform, when
+from hushframe.functions.chunks import chunk_text
+from hushframe.functions.masks import NO_TYPES
+from hushframe.functions.nested import mirror_type
+from hushframe.functions.patterns import CHUNK_BYTES, LEFT, RIGHT
+from hushframe.functions.spans import NO_SPANS, pattern_spans, redact_matches
+from hushframe.functions.sqltext import Sql, aggregate, let, lit, struct, transform, when
 
 Span = tuple[str, int, int]
 Client = Callable[[Sequence[str]], Iterable[Iterable[Span]]]
 
+# Windows that a client is asked about at once.
+GROUP = 256
+
+
 class PatternDetector:
     """Native detector: every match of a Java pattern is an entity of one kind."""
 
@@ -34,14 +42,49 @@ class PatternDetector:
         """Cheap necessary condition; texts that fail it are never chunked."""
         return f"{text} RLIKE {lit(self.hint)}"
 
+    @property
+    def rules(self) -> list[tuple[str, str]]:
+        return [(self.type_, self.pattern)]
+
     def spans_of(self, text: Sql) -> Sql:
         return when(
             (self.may_match(text), pattern_spans(text, self.pattern, self.type_)),
             other=NO_SPANS,
         )
 
-    def spans(self, texts: str) -> Column:
-        return F.expr(transform(texts, self.spans_of))
+    def redacted(self, text: Sql, allowed: Sql, *, limit: int = CHUNK_BYTES, parity: bool = False) -> Sql:
+        """struct<value, n, types> of a text with the matches of allowed kinds replaced.
+
+        The text is read as a whole; only ``parity`` reads it chunk by chunk and joins
+        the chunks as the original tool did.
+        """
+        hit = let(
+            redact_matches(text, self.rules, allowed),
+            lambda r: struct(value=f"{r}.value", n=f"{r}.n", types=f"{r}.types"),
+        )
+        if parity:
+            hit = let(
+                transform(
+                    chunk_text(text, limit, parity=True),
+                    lambda c: let(
+                        redact_matches(f"{c}.text", self.rules, allowed),
+                        lambda r: struct(
+                            text=f"concat({r}.value, {c}.sep)", n=f"{r}.n", types=f"{r}.types",
+                            matches=f"{r}.matches",
+                        ),
+                    ),
+                ),
+                lambda rs: struct(
+                    value=when(
+                        (aggregate(rs, "0", lambda n, r: f"{n} + {r}.matches") + " > 0", f"array_join({rs}.text, '')"),
+                        other=text,
+                    ),
+                    n=aggregate(rs, "0", lambda n, r: f"{n} + {r}.n"),
+                    types=f"flatten({rs}.types)",
+                ),
+            )
+        nothing = struct(value=text, n="0", types=NO_TYPES)
+        return when((self.may_match(text), hit), other=nothing)
 
 
 class AnyDetector(PatternDetector):
@@ -50,6 +93,10 @@ class AnyDetector(PatternDetector):
     def __init__(self, *detectors: PatternDetector):
         self.detectors = detectors
 
+    @property
+    def rules(self) -> list[tuple[str, str]]:
+        return [r for d in self.detectors for r in d.rules]
+
     def may_match(self, text: Sql) -> Sql:
         return "(" + " OR ".join(d.may_match(text) for d in self.detectors) + ")"
 
@@ -66,12 +113,89 @@ def ip_detector() -> PatternDetector:
     )
 
 
+def windows(text: str, limit: int = CHUNK_BYTES) -> list[tuple[int, int, bool, bool]]:
+    """Windows of a text for a client: begin, end, and whether each edge cuts a word.
+
+    Windows hold at most ``limit`` UTF-8 bytes and end behind a line, else behind white
+    space.  Where there is none they end within a word, and the next begins half a window
+    earlier.
+    """
+    out, at, n = [], 0, len(text)
+    open_left = False
+    while at < n or not out:
+        # A window has at most ``limit`` characters; fewer where they take more bytes.
+        end = min(n, at + limit)
+        if not text.isascii():
+            size = 0
+            for i in range(at, end):
+                size += len(text[i].encode("utf-8", "surrogatepass"))
+                if size > limit:
+                    end = i
+                    break
+        open_right = False
+        if end < n:
+            line = text.rfind("\n", at, end)
+            cut = line + 1 if line > at else 0
+            if not cut:
+                cut = next((i + 1 for i in range(end - 1, at, -1) if text[i].isspace()), 0)
+            open_right = not cut
+            end = cut or end
+        out.append((at, end, open_left, open_right))
+        at = at + (end - at) // 2 if open_right else end
+        open_left = open_right
+    return out
+
+
+def replaced(text: str, spans: Iterable[Span], allowed: set[str]) -> tuple[str, int, list[str]]:
+    """Text with spans of allowed kinds replaced, their number, kinds from last to first.
+
+    Overlapping spans are spliced with their original offsets, as observed in the
+    original tool.
+    """
+    wanted = [s for s in spans if s[0] in allowed and s[1] is not None and s[2] is not None]
+    wanted.sort(key=lambda s: -s[1])
+    if all(a[1] >= b[2] for a, b in zip(wanted, wanted[1:])):
+        parts, rest = [], len(text)
+        for kind, begin, end in wanted:
+            parts += (text[end:rest], f"[REDACTED:{kind}]")
+            rest = begin
+        value = "".join([text[:rest], *reversed(parts)])
+    else:
+        value = text
+        for kind, begin, end in wanted:
+            value = f"{value[:begin]}[REDACTED:{kind}]{value[end:]}"
+    return value, len(wanted), [s[0] for s in wanted]
+
+
+def _leaves(value: Any, kind: T.DataType, take: Callable[[Any], Any]) -> Any:
+    """The value with ``take`` of each text, in traversal order."""
+    if isinstance(kind, T.ArrayType):
+        return None if value is None else [_leaves(x, kind.elementType, take) for x in value]
+    if isinstance(kind, T.StructType):
+        return None if value is None else {f.name: _leaves(value[f.name], f.dataType, take) for f in kind.fields}
+    return take(value)
+
+
+def arrow_type(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(arrow_type(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return pa.struct([(f.name, arrow_type(f.dataType)) for f in kind.fields])
+    return pa.int32() if isinstance(kind, T.IntegerType) else pa.string()
+
+
+FOUND = T.StructType(
+    [T.StructField("value", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("types", T.ArrayType(T.StringType()))]
+)
+
+
 class BatchDetector:
     """User detector in Python.
 
-    ``make_client`` is called once per task and returns a function from a list of
-    chunk texts to one list of ``(type, begin, end)`` per text.  Texts that fail
-    ``hint`` never reach Python.
+    ``make_client`` is called once per task and returns a function from a list of texts
+    to one list of ``(type, begin, end)`` per text; any other number of lists is an
+    error.  Texts that fail ``hint`` never reach Python's client.  An entity longer than
+    half a window of a text without white space may be missed.
     """
 
     def __init__(self, make_client: Callable[[], Client], hint: str | None = None):
@@ -81,34 +205,35 @@ class BatchDetector:
     def may_match(self, text: Sql) -> Sql:
         return f"{text} RLIKE {lit(self.hint)}" if self.hint else f"{text} IS NOT NULL"
 
-    def spans(self, texts: str) -> Column:
+    def mirrored(self, texts: Column, allowed: Column, kind: T.DataType, *, limit: int = CHUNK_BYTES) -> Column:
+        """``FOUND`` for each text of a value made by ``nested.mirror``, in its shape.
+
+        ``kind`` is the type of the mirrored value.
+        """
         make_client = self.make_client
+        texts_kind = mirror_type(kind, T.StringType())
+        found_kind = mirror_type(kind, FOUND)
+        returned = arrow_type(found_kind)
 
-        def detect(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def detect(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             client = make_client()
-            for batch in batches:
-                rows = [[] if r is None else list(r) for r in batch]
-                found = iter(client([t for r in rows for t in r]))
-                yield pd.Series(
-                    [
-                        [
-                            [
-                                {"type": k, "begin": b, "end": e}
-                                for k, b, e in next(found)
-                            ]
-                            for _ in r
-                        ]
-                        for r in rows
-                    ],
-                    dtype=object,
-                )
+            for values, kinds in columns:
+                rows = values.to_pylist()
+                out = []
+                # One row at a time: the texts of a batch have no bound together.
+                for row, permitted in zip(rows, kinds.to_pylist()):
+                    flat: list[str | None] = []
+                    _leaves(row, texts_kind, flat.append)
+                    results = iter(_detected(client, flat, set(permitted or ()), limit))
+                    out.append(_leaves(row, texts_kind, lambda _: next(results)))
+                yield pa.array(out, returned)
 
         # Set by hand: the module postpones its annotations.
         detect.__annotations__ = {
-            "batches": Iterator[pd.Series],
-            "return": Iterator[pd.Series],
+            "columns": Iterator[tuple[pa.Array, pa.Array]],
+            "return": Iterator[pa.Array],
         }
-        return F.pandas_udf(detect, f"array<array<{SPAN}>>")(F.expr(texts))
+        return F.arrow_udf(detect, found_kind)(texts, allowed)
 
     def rows(
         self, keys: Sequence[str]
@@ -125,8 +250,41 @@ class BatchDetector:
                 heads = frame[[*keys, "path", "chunk_idx"]].itertuples(
                     index=False, name=None
                 )
-                for head, spans in zip(heads, client(list(frame["text"]))):
+                for head, spans in zip(heads, answers(client, list(frame["text"])), strict=True):
                     out.extend((*head, i, *span) for i, span in enumerate(spans))
                 yield pd.DataFrame(out, columns=columns)
 
         return detect
+
+
+def answers(client: Client, texts: Sequence[str]) -> Iterator[list[Span]]:
+    """The client's spans of each text, asked in groups; too few or many are an error."""
+    for at in range(0, len(texts), GROUP):
+        group = texts[at : at + GROUP]
+        found = [list(spans) for spans in client(group)]
+        if len(found) != len(group):
+            raise ValueError(f"the detector answered {len(found)} of {len(group)} texts")
+        yield from found
+
+
+def _detected(client: Client, texts: list[str | None], allowed: set[str], limit: int) -> list[dict | None]:
+    """``FOUND`` of each text; null texts (or texts that fail the hint) have none."""
+    cuts = [(i, *w) for i, t in enumerate(texts) if t is not None for w in windows(t, limit)]
+    spans: dict[int, dict[Span, None]] = {}
+    pieces = [texts[i][a:b] for i, a, b, _, _ in cuts]
+    for (i, a, b, left, right), found in zip(cuts, answers(client, pieces), strict=True):
+        for kind, begin, end in found:
+            # What touches an edge within a word is whole in the window beside it.
+            whole = begin is not None and end is not None
+            if whole and (left and begin == 0 or right and end == b - a):
+                continue
+            own = (kind, begin + a, end + a) if whole else (kind, begin, end)
+            spans.setdefault(i, {})[own] = None
+    out: list[dict | None] = []
+    for i, text in enumerate(texts):
+        if i not in spans:
+            out.append(None)
+            continue
+        value, n, types = replaced(text, spans[i], allowed)
+        out.append({"value": value, "n": n, "types": types})
+    return out

@@ -8,6 +8,8 @@ nulls, key order and mixed-type fields stay exactly as written.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from hushframe.functions.masks import NO_TYPES, may_hold_pii, redact
 from hushframe.functions.sqltext import (
     Sql,
@@ -65,30 +67,77 @@ def _encode(text: Sql) -> Sql:
     )
 
 
-def _redact_literal(literal: Sql, after: Sql) -> Sql:
-    nothing = struct(value=literal, n="0", types=NO_TYPES)
+Stage = Callable[[Sql], Sql]  # text -> struct<value, n, types, entity_types>
+
+
+def pattern_stage(text: Sql) -> Sql:
+    return let(
+        redact(text),
+        lambda r: struct(value=f"{r}.value", n=f"{r}.n", types=f"{r}.types", entity_types=NO_TYPES),
+    )
+
+
+def _redact_literal(literal: Sql, after: Sql, stage: Stage) -> Sql:
+    nothing = struct(value=literal, n="0", types=NO_TYPES, entity_types=NO_TYPES)
     hit = let(
         _decode(literal),
         lambda text: let(
-            redact(text),
+            stage(text),
             lambda r: struct(
                 value=when((f"{r}.n > 0", _encode(f"{r}.value")), other=literal),
                 n=f"{r}.n",
                 types=f"{r}.types",
+                entity_types=f"{r}.entity_types",
             ),
         ),
     )
     return when((f"{after} RLIKE {lit(_KEY_AHEAD)}", nothing), other=hit)
 
 
-def _redact_document(text: Sql) -> Sql:
+# What is left of a document has its literals written as one mark, then every value,
+# literals among them, as another.
+_LITERAL_MARK = "\ufdd2"
+_VALUE_MARK = "\ufdd3"
+_VALUE = r"true|false|null|-?[0-9]++(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|" + _LITERAL_MARK
+_W = r"[ \t\r\n]*+"
+_ONLY = rf"^[ \t\r\n{{}}\[\],:{_VALUE_MARK}]*+$"
+_OPENS = rf"[{_VALUE_MARK}{{\[]"
+_MISPLACED = (
+    rf"[{_VALUE_MARK}\]}}]{_W}{_OPENS}|[{{\[,:]{_W}[,:]|[,:]{_W}[\]}}]|"
+    rf"\{{{_W}{_OPENS}{_W}[^: \t\r\n]"
+)
+
+
+def _is_document(gaps: Sql) -> Sql:
+    """Whether the text between literals is that of a JSON array or object.
+
+    Judged by the text itself, alike at any length and depth: only values and marks, none
+    of them side by side or missing, and brackets that even out.
+    """
+
+    def judge(rest: Sql) -> Sql:
+        even = " AND ".join(
+            f"length(replace({rest}, {lit(a)}, '')) = length(replace({rest}, {lit(b)}, ''))"
+            for a, b in (("{", "}"), ("[", "]"))
+        )
+        return (
+            f"({rest} RLIKE {lit(_ONLY)} AND NOT {rest} RLIKE {lit(_MISPLACED)}"
+            f" AND trim(BOTH ' \t\r\n' FROM {rest}) RLIKE {lit('^' + _OPENS)} AND {even})"
+        )
+
+    return let(f"regexp_replace(array_join({gaps}, {lit(_LITERAL_MARK)}), {lit(_VALUE)}, {lit(_VALUE_MARK)})", judge)
+
+
+def _redact_document(text: Sql, stage: Stage, plain: Sql) -> Sql:
+    """struct<value, n, types, entity_types>; ``plain`` where the text is no document."""
+
     def split(hidden: Sql) -> Sql:
         return let(
             struct(
                 gaps=f"split({hidden}, {lit(_LITERAL)}, -1)",
                 literals=f"regexp_extract_all({hidden}, {lit(_LITERAL)}, 0)",
             ),
-            redact_values,
+            lambda doc: when((_is_document(f"{doc}.gaps"), redact_values(doc)), other=plain),
         )
 
     def redact_values(doc: Sql) -> Sql:
@@ -96,7 +145,7 @@ def _redact_document(text: Sql) -> Sql:
         followed = zip_with(
             f"{doc}.literals",
             f"slice({doc}.gaps, 2, size({doc}.gaps))",
-            _redact_literal,
+            lambda x, after: _redact_literal(x, after, stage),
         )
         return let(followed, lambda rs: collect(doc, rs))
 
@@ -108,21 +157,21 @@ def _redact_document(text: Sql) -> Sql:
             lambda n: struct(
                 value=when((f"{n} > 0", joined), other=text),
                 n=n,
-                types=f"array_distinct(flatten({rs}.types))",
+                types=f"flatten({rs}.types)",
+                entity_types=f"flatten({rs}.entity_types)",
             ),
         )
 
     return let(_hide_escapes(text), split)
 
 
-def redact_json_text(text: Sql) -> Sql:
-    """struct<value, n, types> of a JSON document; text that is not JSON is
-    redacted as plain text."""
+def redact_json_text(text: Sql, stage: Stage = pattern_stage, hint: Stage = may_hold_pii) -> Sql:
+    """struct<value, n, types, entity_types> of a JSON document; text that is not JSON is
+    redacted as plain text.
+
+    ``stage`` redacts one text, ``hint`` is a cheap condition for it to change anything.
+    """
     # An escape may stand for a character of a pattern.
-    worth_it = f"({may_hold_pii(text)} OR contains({text}, {lit(chr(92))}))"
-    is_json = f"get_json_object({text}, '$') IS NOT NULL"
-    return when(
-        (f"{worth_it} AND {is_json}", _redact_document(text)),
-        (worth_it, redact(text)),
-        other=struct(value=text, n="0", types=NO_TYPES),
-    )
+    worth_it = f"({hint(text)} OR contains({text}, {lit(chr(92))}))"
+    nothing = struct(value=text, n="0", types=NO_TYPES, entity_types=NO_TYPES)
+    return when((worth_it, _redact_document(text, stage, stage(text))), other=nothing)

@@ -160,14 +160,34 @@ def kinds(masked: Sql) -> Sql:
     )
 
 
+def each_kind(masked: Sql) -> Sql:
+    """Kinds of a ``mask_all`` result with one entry per redaction."""
+    found = ", ".join(f"array_repeat({lit(k)}, {masked}.{k})" for k in p.PATTERN_TYPES)
+    return when((f"{total(masked)} > 0", f"flatten(array({found}))"), other=NO_TYPES)
+
+
+def counts(types: Sql) -> Sql:
+    """map<kind, count> of a list with one entry per redaction."""
+    return let(
+        types,
+        lambda all_: "map_from_entries("
+        + transform(
+            f"array_distinct({all_})",
+            lambda k: f"struct({k}, size({filter_(all_, lambda x: f'{x} = {k}')}))",
+        )
+        + ")",
+    )
+
+
 def redact(text: Sql) -> Sql:
     """Pattern stage for one string: struct<value, n, types>.
 
-    The form used inside lambdas; null stays null with a count of 0.
+    The form used inside lambdas; null stays null with a count of 0.  ``types`` has one
+    entry per redaction.
     """
     hit = let(
         _chain(text),
-        lambda r: struct(value=f"{r}.value", n=total(r), types=kinds(r)),
+        lambda r: struct(value=f"{r}.value", n=total(r), types=each_kind(r)),
     )
     return when(
         (may_hold_pii(text), hit), other=struct(value=text, n="0", types=NO_TYPES)
@@ -178,32 +198,43 @@ def redact(text: Sql) -> Sql:
 
 
 def _masked_matches(text: Sql, kind: str) -> Sql:
-    """Masks of the matches of one kind in that stage's input text."""
+    """Masks of the matches of one kind in that stage's input text.
 
-    def every(pattern: str, group: int = 0) -> Sql:
-        return f"regexp_extract_all({text}, {lit(pattern)}, {group})"
+    One scan under the kind's hint; the mask is made from the match.
+    """
+
+    def every(hint: Sql, pattern: str, mask: Callable[[Sql], Sql]) -> Sql:
+        found = transform(f"regexp_extract_all({text}, {lit(pattern)}, 0)", mask)
+        return when((hint, found), other="cast(array() AS array<string>)")
 
     if kind == "credit_card":
-        return transform(filter_(card_matches(text), luhn_valid), mask_card_match)
+        found = transform(filter_(card_matches(text), luhn_valid), mask_card_match)
+        return when((f"{text} RLIKE {lit(p.CREDIT_CARD_HINT)}", found), other="cast(array() AS array<string>)")
     if kind == "iban":
-        return transform(
-            every(p.IBAN), lambda m: f"concat(left({m}, 4), '****', right({m}, 4))"
+        return every(
+            f"{text} RLIKE {lit(p.IBAN_HINT)}", p.IBAN,
+            lambda m: f"concat(left({m}, 4), '****', right({m}, 4))",
         )
     if kind == "ssn":
-        return transform(every(p.SSN), lambda m: lit(p.SSN_MASK))
+        return every(f"{text} RLIKE {lit(p.SSN_HINT)}", p.SSN, lambda m: lit(p.SSN_MASK))
     if kind == "email":
-        # First character (of either kind of start) and domain, by group.
-        heads = zip_with(
-            every(p.EMAIL, 2), every(p.EMAIL, 3), lambda a, b: f"concat({a}, {b})"
+        # Of a match that continues the one before only its first character is known to
+        # begin it; the groups tell both kinds of start apart.
+        parts = struct(
+            a=f"regexp_extract_all({text}, {lit(p.EMAIL)}, 2)",
+            b=f"regexp_extract_all({text}, {lit(p.EMAIL)}, 0)",
         )
-        return zip_with(
-            heads, every(p.EMAIL, 4), lambda h, d: f"concat({h}, '***@', {d})"
+        masked = let(
+            parts,
+            lambda r: zip_with(
+                f"{r}.a", f"{r}.b",
+                lambda a, m: f"concat(if({a} = '', left({m}, 1), {a}), '***@', substring_index({m}, '@', -1))",
+            ),
         )
-    return transform(
-        every(p.PHONE),
-        lambda m: let(
-            card_digits(m), lambda d: f"concat('+', left({d}, 2), '***', right({d}, 2))"
-        ),
+        return when((f"contains({text}, {lit(p.EMAIL_HINT)})", masked), other="cast(array() AS array<string>)")
+    return every(
+        f"contains({text}, {lit(p.PHONE_HINT)})", p.PHONE,
+        lambda m: let(card_digits(m), lambda d: f"concat('+', left({d}, 2), '***', right({d}, 2))"),
     )
 
 

@@ -76,6 +76,5 @@ ENTITY_TYPES = (
 
 # Size limits.
 CHUNK_BYTES = 4500
-PREFILTER_CHARS = 4500
 MAX_INPUT_CHARS = 500
 TRUNCATION_MARK = "...[truncated]"

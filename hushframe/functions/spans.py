@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 from hushframe.functions.chunks import chunk_text
 from hushframe.functions.masks import NO_TYPES
-from hushframe.functions.patterns import CHUNK_BYTES, ENTITY_TYPES, PREFILTER_CHARS
+from hushframe.functions.patterns import CHUNK_BYTES, ENTITY_TYPES
 from hushframe.functions.sqltext import (
     Sql,
     aggregate,
@@ -88,21 +88,7 @@ def apply_spans(text: Sql, ordered: Sql) -> Sql:
     )
 
 
-def in_prefilter(chunks: Sql, spans: Sql) -> Sql:
-    """Any span of any kind that starts in the first 4,500 characters."""
-    starts = zip_with(
-        chunks,
-        spans,
-        lambda c, ss: exists(
-            ss, lambda s: f"{c}.start + {s}.begin < {PREFILTER_CHARS}"
-        ),
-    )
-    return exists(starts, lambda x: f"coalesce({x}, false)")
-
-
-def redact_chunks(
-    text: Sql, chunks: Sql, spans: Sql, allowed: Sql, *, parity: bool = False
-) -> Sql:
+def redact_chunks(text: Sql, chunks: Sql, spans: Sql, allowed: Sql) -> Sql:
     """Entity stage for one text: struct<value, n, types>.
 
     ``spans`` is an array of span arrays, one per chunk.  Kinds come in order of
@@ -128,16 +114,11 @@ def redact_chunks(
         return struct(
             value=f"array_join({joined}, '')",
             n=aggregate(done, "0", lambda n, c: f"{n} + {c}.n"),
-            types=f"array_distinct(flatten({done}.types))",
+            types=f"flatten({done}.types)",
         )
 
-    hit = (
-        in_prefilter(chunks, spans)
-        if parity
-        else exists(spans, lambda ss: f"size({ss}) > 0")
-    )
     return when(
-        (hit, let(zip_with(chunks, spans, per_chunk), collect)),
+        (exists(spans, lambda ss: f"size({ss}) > 0"), let(zip_with(chunks, spans, per_chunk), collect)),
         other=struct(value=text, n="0", types=NO_TYPES),
     )
 
@@ -167,58 +148,93 @@ def pattern_spans(text: Sql, pattern: str, type_: str) -> Sql:
     return let(f"regexp_extract_all({text}, {lit(pattern)}, 0)", locate)
 
 
-# --- spans of a whole row -----------------------------------------------------
-#
-# All spans of one row travel in a flat array of "hits", whether they come from a
-# detector or from a joined table, and whether the row is one text or a record.
-
-HIT = "struct<path:string,chunk_idx:int,ordinal:int,type:string,begin:int,end:int>"
-NO_HITS = empty(HIT)
-
-
-def chunks_of_leaves(
-    leaves: Sql,
-    may_match: Callable[[Sql], Sql],
-    *,
-    limit: int = CHUNK_BYTES,
-    parity: bool = False,
-) -> Sql:
-    """Chunks of all texts of a row: array<struct<path, chunk_idx, text>>.
-
-    Texts that cannot match are left out before they are split.
+# --- matches of a whole text ---------------------------------------------------
+
+
+def capturing_groups(pattern: str) -> int:
+    """Capturing groups of a Java pattern."""
+    n, i, inside = 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if pattern.startswith("\\Q", i):
+            i = pattern.find("\\E", i)
+            if i < 0:
+                break
+            i += 1
+        elif c == "\\":
+            i += 1
+        elif c == "[":
+            inside += 1
+        elif c == "]" and inside:
+            inside -= 1
+        elif c == "(" and not inside:
+            named = pattern.startswith("(?<", i) and pattern[i + 3 : i + 4] not in ("=", "!")
+            n += named or not pattern.startswith("(?", i)
+        i += 1
+    return n
+
+
+def redact_matches(text: Sql, rules: Sequence[tuple[str, str]], allowed: Sql) -> Sql:
+    """All matches of ``(kind, pattern)`` rules in a text: struct<value, n, types, matches>.
+
+    The text is read as a whole, in one pass for its gaps and one per rule, and joined
+    again from gaps and placeholders: no offsets, linear in the text.  Where matches of
+    two rules overlap the one that begins first counts, and of two that begin together
+    that of the earlier rule.  Kinds come one per redaction, from the last match to the first.
     """
-
-    def of_leaf(leaf: Sql) -> Sql:
-        split = transform_indexed(
-            chunk_text(f"{leaf}.text", limit, parity=parity),
-            lambda c, i: struct(path=f"{leaf}.path", chunk_idx=i, text=f"{c}.text"),
+    combined, groups = rules[0][1], [0]
+    if len(rules) > 1:
+        combined, groups, at = "|".join(f"({p})" for _, p in rules), [], 1
+        for _, pattern in rules:
+            groups.append(at)
+            at += 1 + capturing_groups(pattern)
+    found = {f"m{i}": f"regexp_extract_all({text}, {lit(combined)}, {g})" for i, g in enumerate(groups)}
+    if len(rules) > 1:
+        found["m"] = f"regexp_extract_all({text}, {lit(combined)}, 0)"
+    else:
+        found = {"m": found["m0"]}
+    scanned = struct(gaps=f"split({text}, {lit(combined)}, -1)", **found)
+
+    def kind_of(d: Sql, i: Sql) -> Sql:
+        if len(rules) == 1:
+            return lit(rules[0][0])
+        return when(*[(f"{d}.m{j}[{i}] <> ''", lit(k)) for j, (k, _) in enumerate(rules)])
+
+    def with_kinds(d: Sql) -> Sql:
+        marks = transform_indexed(
+            f"{d}.m",
+            lambda m, i: let(
+                kind_of(d, i),
+                lambda k: when(
+                    (f"array_contains({allowed}, {k})", struct(text=f"concat('[REDACTED:', {k}, ']')", kind=k)),
+                    other=struct(text=m, kind="cast(NULL AS string)"),
+                ),
+            ),
         )
-        return when(
-            (may_match(f"{leaf}.text"), split),
-            other=empty("struct<path:string,chunk_idx:int,text:string>"),
+        return let(marks, lambda ms: finish(d, ms))
+
+    def finish(d: Sql, marks: Sql) -> Sql:
+        parts = zip_with(f"{d}.gaps", marks, lambda g, m: f"concat({g}, coalesce({m}.text, ''))")
+        return let(
+            f"array_compact({marks}.kind)",
+            lambda ks: struct(
+                value=when((f"size({ks}) > 0", f"array_join({parts}, '')"), other=text),
+                n=f"size({ks})",
+                types=f"reverse({ks})",
+                matches=f"size({marks})",
+            ),
         )
 
-    return f"flatten({transform(leaves, of_leaf)})"
+    return let(scanned, with_kinds)
 
 
-def hits_of_chunks(chunks: Sql, spans: Sql) -> Sql:
-    """Flat hits from row chunks and their span arrays."""
-    per_chunk = zip_with(
-        chunks,
-        spans,
-        lambda c, ss: transform_indexed(
-            f"coalesce({ss}, {NO_SPANS})",
-            lambda s, i: struct(
-                path=f"{c}.path",
-                chunk_idx=f"{c}.chunk_idx",
-                ordinal=i,
-                type=f"{s}.type",
-                begin=f"{s}.begin",
-                end=f"{s}.`end`",
-            ),
-        ),
-    )
-    return f"flatten({per_chunk})"
+# --- spans of a whole row -----------------------------------------------------
+#
+# All spans of one row from a joined table travel in a flat array of "hits", whether
+# the row is one text or a record.
+
+HIT = "struct<path:string,chunk_idx:int,ordinal:int,type:string,begin:int,end:int>"
+NO_HITS = empty(HIT)
 
 
 def hits_leaf(
@@ -244,7 +260,6 @@ def hits_leaf(
                     cs,
                     transform_indexed(cs, lambda c, i: spans_of(own, i)),
                     allowed,
-                    parity=parity,
                 ),
             )
             return let(

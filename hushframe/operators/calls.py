@@ -10,30 +10,42 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hushframe.functions import spans as s
+from hushframe.functions.detectors import PatternDetector
 from hushframe.functions.masks import NO_TYPES
-from hushframe.functions.nested import Leaf, field, pattern_leaf
+from hushframe.functions.masks import counts as kind_counts
+from hushframe.functions.nested import Leaf, escaped, field, pattern_leaf
+from hushframe.functions.spans import hits_leaf
 from hushframe.functions.sqltext import (
     Sql,
     aggregate,
     let,
+    lit,
     name,
     struct,
+    transform,
     transform_indexed,
     when,
     zip_with,
 )
-from hushframe.operators.entities import Detector, with_hits
+from hushframe.operators.entities import (
+    Detector,
+    chunk_rows,
+    found_leaf,
+    join_hits,
+    native_leaf,
+)
 from hushframe.operators.profiles import (
     PROFILES,
     Profile,
     with_fixed_profile,
     with_profile,
 )
-from hushframe.operators.redact import COUNT, TYPES, compute
+from hushframe.operators.redact import COUNT, COUNTS, TYPES, compute, set_aside
 
 _PROFILE_COLUMNS = ("profile_name", "stage1", "stage2", "entity_types")
+_ADDED = (COUNT, TYPES, COUNTS, "profile_fallback", *_PROFILE_COLUMNS)
 
 
 def is_text_block(block: Sql) -> Sql:
@@ -98,15 +110,6 @@ def _rewrite_blocks(
     return transform_indexed(blocks, one)
 
 
-def _block_leaves(blocks: Sql, wanted: Callable[[Sql], Sql]) -> Sql:
-    return transform_indexed(
-        blocks,
-        lambda b, i: struct(
-            path=f"cast({i} AS string)", text=when((wanted(b), f"{b}.text"))
-        ),
-    )
-
-
 def _two_stages(
     df: DataFrame,
     column: str,
@@ -114,17 +117,64 @@ def _two_stages(
     active: Sql,
     detector: Detector | None,
     parity: bool,
+    entities: DataFrame | None = None,
+    key: str | Sequence[str] | None = None,
 ) -> DataFrame:
-    """Redact the blocks of ``column`` where ``active``, by the row's profile."""
+    """Redact the blocks of ``column`` where ``active``, by the row's profile.
+
+    Entities of a table have the paths of ``chunk_rows`` over the redacted column:
+    ``content[2].text``.
+    """
     blocks = name(column)
     fields = df.schema[column].dataType.elementType.names
     first = _rewrite_blocks(blocks, fields, wanted, pattern_leaf)
     out = compute(df, _first=when((f"{active} AND stage1", first)))
     steps = ["_first"]
-    if detector is not None:
-        leaves = when(("stage2", _block_leaves("_first.block", wanted)))
-        out = with_hits(out, leaves, detector, parity=parity)
-        leaf = s.hits_leaf("_hits", "entity_types", parity=parity)
+    if entities is not None:
+        if key is None:
+            raise ValueError("an entity table needs the key of the calls")
+        keys = [key] if isinstance(key, str) else list(key)
+        texts = transform(
+            "_first.block",
+            lambda b: f"named_struct('text', {when((wanted(b), f'{b}.text'), other='cast(NULL AS string)')})",
+        )
+        shown = out.where("stage2").select(*keys, F.expr(texts).alias(column))
+        chunks = chunk_rows(shown, keys, [column], parity=parity)
+        out = join_hits(out, chunks, entities, keys)
+        hits = hits_leaf("_hits", "entity_types", parity=parity)
+
+        def from_table(text: Sql, place: Sql) -> Sql:
+            return hits(text, f"concat({lit(escaped(column) + '[')}, {place}, {lit('].text')})")
+
+        second = _rewrite_blocks("_first.block", fields, wanted, from_table)
+        out = compute(out, _second=second)
+        steps.append("_second")
+    elif detector is not None:
+        if isinstance(detector, PatternDetector):
+            native = native_leaf(detector, "entity_types", parity=parity)
+
+            def leaf(text: Sql, place: Sql) -> Sql:
+                nothing = struct(value=text, n="0", types=NO_TYPES, entity_types=NO_TYPES)
+                return when(("stage2", native(text, place)), other=nothing)
+
+        else:
+            # The texts of a call in one array, null where nothing is asked.
+            asked = transform(
+                "_first.block",
+                lambda b: when(
+                    (f"stage2 AND {wanted(b)} AND {detector.may_match(f'{b}.text')}", f"{b}.text"),
+                    other="cast(NULL AS string)",
+                ),
+            )
+            texts = compute(out, _found=asked)
+            kind = T.ArrayType(T.StringType())
+            out = texts.withColumn(
+                "_found", detector.mirrored(F.col("_found"), F.col("entity_types"), kind)
+            )
+
+            def leaf(text: Sql, place: Sql) -> Sql:
+                return found_leaf(text, f"get(_found, cast({place} AS int))")
+
         second = _rewrite_blocks("_first.block", fields, wanted, leaf)
         out = compute(out, _second=second)
         steps.append("_second")
@@ -148,8 +198,9 @@ def _two_stages(
             TYPES: F.expr(
                 f"coalesce(array_distinct(flatten({per_block})), {NO_TYPES})"
             ),
+            COUNTS: F.expr(kind_counts(f"coalesce(flatten({per_block}), {NO_TYPES})")),
         }
-    ).drop("_first", "_second", "_hits")
+    ).drop("_first", "_second", "_found", "_hits")
 
 
 def _resolve(
@@ -171,6 +222,8 @@ def redact_calls(
     profile_column: str = "profile",
     profiles: Sequence[Profile] = PROFILES,
     detector: Detector | None = None,
+    entities: DataFrame | None = None,
+    key: str | Sequence[str] | None = None,
     parity: bool = False,
 ) -> DataFrame:
     """Redact tool-call results in the row.
@@ -178,13 +231,17 @@ def redact_calls(
     Only blocks of type ``text`` change.  Error results, failed calls and results
     without a content array pass through and carry no redactions.  The profile is
     one for all rows, or looked up per row.  Adds ``redaction_count``,
-    ``redacted_types``, ``profile_name`` and ``profile_fallback``.
+    ``redacted_types``, ``redacted_counts`` (a map), ``profile_name`` and
+    ``profile_fallback``; a column of such a name is kept as ``<name>_input``.
     """
     active = "NOT coalesce(is_error, false) AND content IS NOT NULL"
     if "failure" in df.columns:
         active += " AND failure IS NULL"
+    df = set_aside(df, _ADDED)
     resolved = _resolve(df, profile, profile_column, profiles, parity)
-    done = _two_stages(resolved, "content", is_text_block, active, detector, parity)
+    done = _two_stages(
+        resolved, "content", is_text_block, active, detector, parity, entities, key
+    )
     return done.drop("stage1", "stage2", "entity_types")
 
 
@@ -195,14 +252,25 @@ def redact_resources(
     profile_column: str = "profile",
     profiles: Sequence[Profile] = PROFILES,
     detector: Detector | None = None,
+    entities: DataFrame | None = None,
+    key: str | Sequence[str] | None = None,
     parity: bool = False,
 ) -> DataFrame:
     """Redact resource reads: items with text change, blobs stay; no totals."""
-    resolved = _resolve(df, profile, profile_column, profiles, parity)
+    # No totals are added, so the user's own columns of those names come back as they were.
+    original = df.columns
+    df = set_aside(df, _ADDED)
+    renamed = dict(zip(df.columns, original))
+    resolved = _resolve(df, profile, renamed_to(renamed, profile_column), profiles, parity)
     done = _two_stages(
-        resolved, "contents", has_text, "contents IS NOT NULL", detector, parity
+        resolved, "contents", has_text, "contents IS NOT NULL", detector, parity, entities, key
     )
-    return done.drop(COUNT, TYPES, *_PROFILE_COLUMNS, "profile_fallback")
+    return done.drop(*_ADDED).withColumnsRenamed({k: v for k, v in renamed.items() if k != v})
+
+
+def renamed_to(renamed: dict[str, str], column: str) -> str:
+    """What a column is called now."""
+    return next((now for now, before in renamed.items() if before == column), column)
 
 
 def redact_by_profile(
@@ -219,6 +287,7 @@ def redact_by_profile(
     The text travels as a one-block array, so gates, entity kinds and totals are
     the ones of a call.
     """
+    df = set_aside(df, _ADDED)
     block = F.array(F.struct(F.lit("text").alias("type"), F.col(column).alias("text")))
     resolved = with_profile(df, profile_column, profiles, parity=parity)
     done = _two_stages(

@@ -2,34 +2,49 @@
 
 Spans come from a detector (native or user Python), or from a table the user
 supplies.  With a detector everything stays in the row: no shuffle, and the same
-function works on a stream.  With a table there is one join on the row key.
+function works on a stream.  A native detector is part of the walk over a record; one in
+Python gets the record's texts in their own shape and answers in it.  With a table there
+is one join on the row key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushframe.functions import spans as s
 from hushframe.functions.chunks import chunk_text
 from hushframe.functions.detectors import BatchDetector, PatternDetector
-from hushframe.functions.nested import text_leaves
+from hushframe.functions.jsontext import redact_json_text
+from hushframe.functions.masks import NO_TYPES, may_hold_pii, redact
+from hushframe.functions.nested import (
+    MIRRORS,
+    Leaf,
+    escaped,
+    mirror,
+    text_leaves,
+    variant_leaf,
+)
 from hushframe.functions.patterns import CHUNK_BYTES
-from hushframe.functions.sqltext import Sql, empty, lit, name, when
+from hushframe.functions.sqltext import Sql, empty, let, lit, name, struct, when
 from hushframe.operators.redact import (
     COUNT,
     TYPES,
     compute,
+    aside,
+    helper_names,
+    json_column,
     redact_table,
     text_columns,
+    walk_helpers,
     walk_table,
 )
 
 # Parts into which the entities of one key are spread.
-SALTS = 4
+SALTS = 16
 
 Detector = PatternDetector | BatchDetector
 Allowed = Sequence[str] | None
@@ -41,7 +56,7 @@ Allowed = Sequence[str] | None
 def row_leaves(df: DataFrame, columns: Sequence[str]) -> Sql:
     """All texts of a row in traversal order: array<struct<path, text>>."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    parts = [text_leaves(name(c), kinds[c], lit(c)) for c in columns]
+    parts = [text_leaves(name(c), kinds[c], lit(escaped(c))) for c in columns]
     if not parts:
         return empty("struct<path:string,text:string>")
     return f"concat({', '.join(parts)})"
@@ -99,55 +114,47 @@ def detect_entities(
 
 
 def entity_filter(entities: DataFrame, types: Allowed = None) -> DataFrame:
-    """Entities of an allowed kind whose offsets are known."""
+    """Entities of an allowed kind whose offsets are known; the filter reaches the scan."""
+    kinds = s.ENTITY_TYPES if types is None else types
     return entities.where(
-        s.is_relevant("type", "begin", "`end`", s.allowed_types(types))
+        F.col("type").isin(list(kinds)) & F.col("begin").isNotNull() & F.col("end").isNotNull()
     )
 
 
-def prefilter(
-    texts: DataFrame,
-    chunks: DataFrame,
-    entities: DataFrame,
-    key: str | Sequence[str],
-    *,
-    parity: bool = False,
-) -> DataFrame:
+def prefilter(texts: DataFrame, entities: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Texts in which the detector sees anything at all.
 
-    Labels of every kind count, also those outside the allow-list.  With
-    ``parity`` only those in the first 4,500 characters do; then an entity's
-    position follows from its chunk's start.
+    Labels of every kind count, also those outside the allow-list.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    seen = entities.select(*keys, "path", "chunk_idx", "begin")
-    if parity:
-        starts = chunks.select(*keys, "path", "chunk_idx", "start")
-        seen = seen.join(starts, [*keys, "path", "chunk_idx"]).where(
-            F.col("start") + F.col("begin") < s.PREFILTER_CHARS
-        )
     # Distinct first: a key with many entities goes through the shuffle once.
-    return texts.join(seen.select(*keys).distinct(), keys, "left_semi")
+    return texts.join(entities.select(*keys).distinct(), keys, "left_semi")
 
 
-def _drop_orphans(entities: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
+def _drop_orphans(
+    entities: DataFrame, rows: DataFrame, on: list[str], *, inside: bool = False
+) -> DataFrame:
     """Entities that belong to a known row, in one pass over them.
 
     A key that no row has (a sentinel, say) may hold any share of the entities,
     and must not reach the grouping.  The semi join runs on key and salt: that
     spreads such a key, and as grouping by the key then needs its own shuffle in
     any case, adaptive execution is free to split a skewed partition further.
-    Only the narrow key columns of the rows are repeated, once per salt.
+    Only the narrow key columns of the rows are repeated, once per salt.  With
+    ``inside`` an entity must also lie within the row's ``_size`` characters.
     """
     salt = F.pmod(F.xxhash64("path", "chunk_idx", "ordinal"), F.lit(SALTS))
     wanted = rows.select(
-        *on, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    )
-    return (
-        entities.withColumn("_salt", salt.cast("int"))
-        .join(wanted, [*on, "_salt"], "left_semi")
-        .drop("_salt")
+        *on, *(["_size"] if inside else []), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     )
+    salted = entities.withColumn("_salt", salt.cast("int"))
+    if not inside:
+        return salted.join(wanted, [*on, "_salt"], "left_semi").drop("_salt")
+    met = F.lit(True)
+    for c in [*on, "_salt"]:
+        met = met & (salted[c] == wanted[c])
+    met = met & (salted["begin"] >= 0) & (salted["end"] <= wanted["_size"])
+    return salted.join(wanted, met, "left_semi").drop("_salt")
 
 
 def entities_to_chunks(
@@ -195,59 +202,108 @@ def redact_chunk_rows(
     )
 
 
-# --- spans in the row -------------------------------------------------------
+# --- detection in the row ---------------------------------------------------
+
+
+def native_leaf(detector: PatternDetector, allowed: Sql, *, limit: int = CHUNK_BYTES, parity: bool = False) -> Leaf:
+    """Leaf of the walk that detects and replaces in one."""
 
+    def stage(text: Sql) -> Sql:
+        return let(
+            detector.redacted(text, allowed, limit=limit, parity=parity),
+            lambda r: struct(value=f"{r}.value", n=f"{r}.n", types=NO_TYPES, entity_types=f"{r}.types"),
+        )
+
+    def leaf(text: Sql, place: Sql) -> Sql:
+        return stage(text)
+
+    leaf.variant = variant_leaf(lambda text: redact_json_text(text, stage, detector.may_match))
+    return leaf
+
+
+def found_leaf(text: Sql, place: Sql) -> Sql:
+    """Leaf of the walk that takes a text's result from its place in the answer."""
+    return when(
+        (
+            f"{place} IS NOT NULL",
+            struct(value=f"{place}.value", n=f"{place}.n", types=NO_TYPES, entity_types=f"{place}.types"),
+        ),
+        other=struct(value=text, n="0", types=NO_TYPES, entity_types=NO_TYPES),
+    )
 
-def with_hits(
+
+def walk_detected(
     df: DataFrame,
-    leaves: Sql,
+    columns: Sequence[str],
     detector: Detector,
+    types: Allowed = None,
     *,
     limit: int = CHUNK_BYTES,
     parity: bool = False,
 ) -> DataFrame:
-    """Add ``_hits``: everything the detector finds in the row's texts."""
-    chunks = s.chunks_of_leaves(leaves, detector.may_match, limit=limit, parity=parity)
-    found = compute(df, _chunks=chunks).withColumn(
-        "_spans", detector.spans("_chunks.text")
-    )
-    return compute(found, _hits=s.hits_of_chunks("_chunks", "_spans")).drop(
-        "_chunks", "_spans"
+    """Entity stage over the texts of ``columns``; adds count and kinds."""
+    allowed = s.allowed_types(types)
+    if isinstance(detector, PatternDetector):
+        leaf = native_leaf(detector, allowed, limit=limit, parity=parity)
+        return _totalled(*walk_table(df, columns, leaf))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    helpers = helper_names(df, len(columns), "found")
+
+    def asked(text: Sql) -> Sql:
+        return when((detector.may_match(text), f"cast({text} AS string)"), other="cast(NULL AS string)")
+
+    # Texts are kept as columns of a generator: a Python stage would compute them again.
+    texts = compute(df, **{h: mirror(name(c), kinds[c], asked) for h, c in zip(helpers, columns)})
+    found = texts.withColumns(
+        {h: detector.mirrored(F.col(h), F.expr(allowed), kinds[c], limit=limit) for h, c in zip(helpers, columns)}
     )
+    places = dict(zip(columns, helpers))
+    values, n, first, second = walk_table(found, columns, found_leaf, places, MIRRORS)
+    return _totalled(values, n, first, second).drop(*helpers)
+
+
+def _totalled(values: DataFrame, n: Column, first: Column, second: Column) -> DataFrame:
+    return values.withColumns({COUNT: n, TYPES: second}).drop(*walk_helpers(values))
+
+
+# --- spans of a table -------------------------------------------------------
 
 
 def join_hits(
     df: DataFrame,
+    chunks: DataFrame,
     entities: DataFrame,
     key: str | Sequence[str],
     types: Allowed = None,
-    *,
-    parity: bool = False,
 ) -> DataFrame:
     """Add ``_hits`` from an entity table keyed by row key, path and chunk.
 
-    The key must identify a row of ``df``, and the ordinal an entity of its chunk:
-    copies of an entity, as a repeated detector run writes them, count once, also
-    before they are shuffled for grouping.  Null keys never match, and orphans are
-    dropped first; what is left of a group is bounded by the texts of its row.
+    ``chunks`` are the chunk rows of ``df``.  The key must identify a row of ``df``, and
+    the ordinal an entity of its chunk: copies of an entity, as a repeated detector run
+    writes them, count once, also before they are shuffled for grouping.  Null keys never
+    match.  Entities of no known chunk, and those whose offsets lie outside it, are
+    dropped before anything is grouped; what is left of a group is bounded by the texts
+    of its row.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    wanted = entities
-    if not parity:
-        wanted = entity_filter(wanted, types)  # reaches the scan of the table
-    known = _drop_orphans(wanted, df, keys)
-    grouped = known.groupBy(*keys).agg(
-        F.collect_set(
-            F.struct(
-                F.col("path"),
-                F.col("chunk_idx").cast("int").alias("chunk_idx"),
-                F.col("ordinal").cast("int").alias("ordinal"),
-                F.col("type"),
-                F.col("begin").cast("int").alias("begin"),
-                F.col("end").cast("int").alias("end"),
-            )
-        ).alias("_hits")
+    on = [*keys, "path", "chunk_idx"]
+    wanted = entity_filter(entities, types)  # reaches the scan of the table
+    for k in keys:
+        wanted = wanted.where(F.col(k).isNotNull())
+    sizes = chunks.select(*on, F.length("text").alias("_size"))
+    known = _drop_orphans(wanted, sizes, on, inside=True)
+    spans = known.select(
+        *keys,
+        F.struct(
+            F.col("path"),
+            F.col("chunk_idx").cast("int").alias("chunk_idx"),
+            F.col("ordinal").cast("int").alias("ordinal"),
+            F.col("type"),
+            F.col("begin").cast("int").alias("begin"),
+            F.col("end").cast("int").alias("end"),
+        ).alias("_hit"),
     )
+    grouped = spans.groupBy(*keys).agg(F.collect_set("_hit").alias("_hits"))
     return df.join(grouped, keys, "left").withColumn(
         "_hits", F.expr(f"coalesce(_hits, {s.NO_HITS})")
     )
@@ -263,10 +319,7 @@ def apply_hits(
 ) -> DataFrame:
     """Apply ``_hits`` to the texts of ``columns``; adds count and kinds."""
     leaf = s.hits_leaf("_hits", s.allowed_types(types), limit=limit, parity=parity)
-    values, n, _, found = walk_table(df, columns, leaf)
-    return values.withColumns({COUNT: n, TYPES: found}).drop(
-        "_hits", *[c for c in values.columns if c.startswith("_walk_")]
-    )
+    return _totalled(*walk_table(df, columns, leaf)).drop("_hits")
 
 
 # --- whole operators --------------------------------------------------------
@@ -283,11 +336,8 @@ def redact_entities(
     parity: bool = False,
 ) -> DataFrame:
     """Entity stage alone over all texts of a record, in the row."""
-    columns = text_columns(df, include, exclude)
-    found = with_hits(
-        df, row_leaves(df, columns), detector, limit=limit, parity=parity
-    )
-    return apply_hits(found, columns, types, limit=limit, parity=parity)
+    df, columns = aside(df, text_columns(df, include, exclude))
+    return walk_detected(df, columns, detector, types, limit=limit, parity=parity)
 
 
 def redact_with_entities(
@@ -302,8 +352,9 @@ def redact_with_entities(
 ) -> DataFrame:
     """Entity stage alone, with spans from a table."""
     keys = [key] if isinstance(key, str) else list(key)
-    columns = text_columns(df, include, keys)
-    found = join_hits(df, entities, keys, types, parity=parity)
+    df, columns = aside(df, text_columns(df, include, keys))
+    chunks = chunk_rows(df, keys, columns, limit=limit, parity=parity)
+    found = join_hits(df, chunks, entities, keys, types)
     return apply_hits(found, columns, types, limit=limit, parity=parity)
 
 
@@ -325,26 +376,69 @@ def redact_deep(
     in ``entities`` refer to the chunks of the pattern stage's output.
     """
     keys = [] if key is None else [key] if isinstance(key, str) else list(key)
-    columns = text_columns(df, include, [*exclude, *keys])
+    columns = text_columns(df, include, [*exclude, *(keys if entities is not None else [])])
     if detector is None and entities is None:
         return redact_table(df, columns)
+    # A key is joined raw and masked afterwards, if it is named or may hold text.
+    masked_keys = [k for k in keys if k in text_columns(df, include, exclude)]
     options = {"limit": limit, "parity": parity}
-    if entities is not None:
-        if not keys:
-            raise ValueError("an entity table needs the key of the rows")
-        # Joined before the pattern stage: the join needs the keys of all rows a
-        # second time, and this way that is a scan of the key columns alone.
-        df = join_hits(df, entities, keys, types, parity=parity)
-    found = redact_table(df, columns).withColumnsRenamed({COUNT: "_n1", TYPES: "_types1"})
+    if entities is not None and not keys:
+        raise ValueError("an entity table needs the key of the rows")
+    df, columns = aside(df, columns)
+    first = redact_table(df, columns)
+    n1, types1 = helper_names(first, 2, "first")
+    first = first.withColumnsRenamed({COUNT: n1, TYPES: types1})
     if entities is None:
-        found = with_hits(found, row_leaves(found, columns), detector, **options)
-    return (
-        apply_hits(found, columns, types, **options)
-        .withColumns(
-            {
-                COUNT: F.col("_n1") + F.col(COUNT),
-                TYPES: F.array_distinct(F.concat("_types1", TYPES)),
-            }
+        done = walk_detected(first, columns, detector, types, **options)
+    else:
+        chunks = chunk_rows(first, keys, columns, **options)
+        done = apply_hits(join_hits(first, chunks, entities, keys, types), columns, types, **options)
+    if entities is not None and masked_keys:
+        done = redact_keys(done, masked_keys, n1, types1)
+    return done.withColumns(
+        {
+            COUNT: F.col(n1) + F.col(COUNT),
+            TYPES: F.array_distinct(F.concat(types1, TYPES)),
+        }
+    ).drop(n1, types1)
+
+
+def redact_keys(df: DataFrame, keys: Sequence[str], n: str, types: str) -> DataFrame:
+    """Pattern stage on key columns, after the join on their raw values.
+
+    Its totals go to ``n`` and ``types``; those of the entity stage stay as they are.
+    """
+    count, found = helper_names(df, 2, "entity")
+    done = redact_table(df.withColumnsRenamed({COUNT: count, TYPES: found}), keys)
+    totals = {n: F.col(n) + F.col(COUNT), types: F.array_distinct(F.concat(TYPES, types))}
+    return done.withColumns(totals).drop(COUNT, TYPES).withColumnsRenamed({count: COUNT, found: TYPES})
+
+
+def redact_json_deep(
+    df: DataFrame, column: str, *, detector: PatternDetector, types: Allowed = None
+) -> DataFrame:
+    """Both stages on a column of JSON text of unknown schema: values only.
+
+    Each string value goes through the pattern stage and the detector on its output; no
+    pass over the data infers a schema.  The detector is a native one; for one in Python
+    parse the column to a type and use ``redact_deep``.
+    """
+    if not isinstance(detector, PatternDetector):
+        raise ValueError("JSON of unknown schema needs a native detector")
+    allowed = s.allowed_types(types)
+
+    def stage(text: Sql) -> Sql:
+        return let(
+            redact(text),
+            lambda a: let(
+                detector.redacted(f"{a}.value", allowed),
+                lambda b: struct(
+                    value=f"{b}.value", n=f"{a}.n + {b}.n", types=f"{a}.types", entity_types=f"{b}.types"
+                ),
+            ),
         )
-        .drop("_n1", "_types1")
-    )
+
+    def hint(text: Sql) -> Sql:
+        return f"({may_hold_pii(text)} OR {detector.may_match(text)})"
+
+    return json_column(df, column, redact_json_text(name(column), stage, hint))
