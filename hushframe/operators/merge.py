@@ -1,8 +1,8 @@
 """Merging counts and kinds over blocks, chunks and stages.
 
 Kinds keep the order in which they were first found.  The grouped form never
-collects a group: per kind it keeps the smallest position (one long), so it
-aggregates before the shuffle and one hot key costs no more than any other.
+collects a group: per kind it keeps the smallest position, so it aggregates before the
+shuffle and one hot key costs no more than any other.
 """
 
 from __future__ import annotations
@@ -12,12 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.functions.patterns import ENTITY_TYPES, PATTERN_TYPES
 from hushframe.operators.redact import COUNT, TYPES
 
-ALL_TYPES = (*PATTERN_TYPES, *ENTITY_TYPES)
-
-
 def merge_stages(
     n1: Column, types1: Column, n2: Column, types2: Column
 ) -> tuple[Column, Column]:
@@ -29,36 +25,25 @@ def merge_groups(
     df: DataFrame,
     keys: Sequence[str],
     position: str,
-    universe: Sequence[str] = ALL_TYPES,
     count: str = COUNT,
     types: str = TYPES,
 ) -> DataFrame:
-    """Sum of counts and ordered union of kinds per key.
+    """Sum of counts and ordered union of kinds per key, whatever the kinds are.
 
-    ``position`` orders the rows of a group (block or chunk number);
-    ``universe`` names the kinds that can occur.
+    ``position`` orders the rows of a group (block or chunk number).  A group is first
+    brought down to one row per kind, with its first place, before any list is made.
     """
-    # Rank of a kind in the whole group: row position first, then its place in
-    # that row's list.  A row lists each kind once, so the factor is enough.
-    width = len(universe) + 1
-    firsts = {}
-    for i, kind in enumerate(universe):
-        place = F.array_position(F.col(types), kind)
-        firsts[f"_first_{i}"] = F.min(
-            F.when(place > 0, F.col(position).cast("long") * width + place)
-        )
-    grouped = df.groupBy(*keys).agg(
-        F.sum(F.col(count)).alias(count),
-        *[c.alias(n) for n, c in firsts.items()],
+    place, kind, at = "_place", "_kind", "_at"
+    first = F.coalesce(F.col(place), F.lit(0)) == 0
+    # One long for row and place in it: a minimum that hash aggregation can keep.
+    rank = F.shiftleft(F.col(position).cast("long"), 31) + F.col(place)
+    rows = df.select(*keys, position, count, F.posexplode_outer(types).alias(place, kind))
+    per_kind = rows.groupBy(*keys, kind).agg(
+        F.sum(F.when(first, F.col(count))).alias(count),
+        F.min(rank).alias(at),
     )
-    ranked = F.array(
-        *[
-            F.when(
-                F.col(n).isNotNull(),
-                F.struct(F.col(n).alias("at"), F.lit(kind).alias("kind")),
-            )
-            for n, kind in zip(firsts, universe)
-        ]
+    seen = F.when(F.col(kind).isNotNull(), F.struct(F.col(at), F.col(kind).alias("kind")))
+    return per_kind.groupBy(*keys).agg(
+        F.sum(count).alias(count),
+        F.transform(F.array_sort(F.collect_list(seen)), lambda x: x["kind"]).alias(types),
     )
-    ordered = F.transform(F.array_sort(F.array_compact(ranked)), lambda x: x["kind"])
-    return grouped.select(*keys, F.col(count), ordered.alias(types))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions.masks import findings, may_hold_pii
 from hushframe.functions.sqltext import name
-from hushframe.operators.redact import COUNT, TYPES
+from hushframe.operators.redact import COUNTS
 
 
 def pii_findings(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -25,17 +25,18 @@ def pii_findings(df: DataFrame, key: str, column: str) -> DataFrame:
     )
 
 
-def redaction_summary(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows and redactions by group, with the number of rows holding each kind.
+def redaction_summary(df: DataFrame, by: Sequence[str], counts: str = COUNTS) -> DataFrame:
+    """Rows that hold each kind, and its redactions, by group.
 
-    One row per group and kind; rows without redactions count under a null kind.
-    Partial aggregation comes before the shuffle, so a hot group is no burden.
+    ``counts`` is the map of redactions by kind.  One row per group and kind; rows
+    without redactions count under a null kind.  Partial aggregation comes before the
+    shuffle, so a hot group is no burden.
     """
     return (
-        df.select(*by, COUNT, F.explode_outer(TYPES).alias("type"))
+        df.select(*by, F.explode_outer(counts).alias("type", "n"))
         .groupBy(*by, "type")
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
-            F.sum(COUNT).cast("long").alias("n_redactions"),
+            F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_redactions"),
         )
     )

@@ -88,7 +88,9 @@ def test_inside_a_lambda_as_at_top_level(spark):
     inner = masks.redact("x")
     nested = df.select("i", F.expr(f"transform(array(text, 'a@b.co'), x -> {inner})").alias("r"))
     for i, results in nested.collect():
-        assert tuple(results[0]) == model.redact(texts[i])[:3]
+        value, n, each = results[0]
+        assert (value, n, list(dict.fromkeys(each))) == tuple(model.redact(texts[i])[:3])
+        assert len(each) == n
         assert tuple(results[1]) == ("a***@b.co", 1, ["email"])
 
 
@@ -126,7 +128,14 @@ def test_summary(spark):
     df = spark.createDataFrame(
         [("x", "a@b.co 123-45-6789"), ("x", "c@d.ee"), ("y", "nothing")], "src string, text string"
     )
-    rows = redaction_summary(redact_text(df, "text"), ["src"]).collect()
+    rows = redaction_summary(redact_text(df, "text", counts=True), ["src"]).collect()
     assert {tuple(r) for r in rows} == {
-        ("x", "email", 2, 3), ("x", "ssn", 1, 2), ("y", None, 1, 0),
+        ("x", "email", 2, 2), ("x", "ssn", 1, 1), ("y", None, 1, 0),
     }
+
+
+def test_summary_counts_each_kind_for_itself(spark):
+    text = "4111111111111111 a@b.co c@d.ee e@f.gg"
+    df = spark.createDataFrame([("x", text)], "src string, text string")
+    rows = redaction_summary(redact_text(df, "text", counts=True), ["src"]).collect()
+    assert {tuple(r) for r in rows} == {("x", "credit_card", 1, 1), ("x", "email", 1, 3)}
