@@ -118,6 +118,7 @@ _TEXTS = (
   SELECT 'documents:' || doc_id AS text_id, text FROM documents
   UNION ALL SELECT 'pages:' || page_id, html FROM pages
   UNION ALL SELECT 'conversations:' || conv_id || ':' || turn, text FROM conversations
+  UNION ALL SELECT 'benchmark:' || item_id, text FROM benchmark
   UNION ALL SELECT 'customer:' || c_custkey, c_name || ' card ' || card || ', IBAN ' || iban
     || '; SSN ' || ssn || ' mail ' || email || ' tel ' || phone || '.' FROM customers)"""
 )
@@ -160,8 +161,8 @@ _RESOURCES = """resources AS (
 def _chunks(source: str, limit: int = 4500) -> str:
     """CTEs for ``chunks(k, chunk_idx, text, sep, start)`` of ``source(k, text)``.
 
-    Over-long lines are cut by a search for the longest prefix that fits; chunk
-    boundaries come from running byte totals, one chunk per step for all texts.
+    Over-long lines are cut by a search for the longest prefix that fits, shortened to its
+    last white space if it has any; chunk boundaries come from running byte totals, one chunk per step for all texts.
     """
     lowest = limit // 4
     return f"""lines AS (
@@ -172,9 +173,11 @@ cuts AS (
     WHERE strlen(line) > {limit}
   UNION ALL
   SELECT k, ln, pc + 1, left(rest, w), substr(rest, w + 1)
-  FROM (SELECT *, CASE WHEN strlen(rest) <= {limit} THEN length(rest) ELSE
-      list_max(list_filter(range({lowest}, {limit} + 1), lambda i: strlen(left(rest, i)) <= {limit})) END AS w
-    FROM cuts WHERE rest <> '')),
+  FROM (SELECT *, CASE WHEN fits = length(rest) THEN fits ELSE coalesce(nullif(length(
+        regexp_extract(left(rest, fits), '(?s)^.*[ \\t\\x0B\\f\\r]')), 0), fits) END AS w
+      FROM (SELECT *, CASE WHEN strlen(rest) <= {limit} THEN length(rest) ELSE
+        list_max(list_filter(range({lowest}, {limit} + 1), lambda i: strlen(left(rest, i)) <= {limit})) END AS fits
+      FROM cuts WHERE rest <> ''))),
 pieces AS (
   SELECT k, ln, 0 AS pc, line AS text, chr(10) AS sep FROM lines WHERE strlen(line) <= {limit}
   UNION ALL
@@ -207,6 +210,52 @@ chunks AS (
     CASE WHEN is_last THEN '' ELSE last_sep END, CAST(start AS BIGINT) FROM packed)"""
 
 
+def _whole(source: str) -> str:
+    """CTE ``chunks`` with each text of ``source`` as its one chunk."""
+    return (
+        "chunks AS (SELECT k, CAST(0 AS BIGINT) AS chunk_idx, text, '' AS sep, CAST(0 AS BIGINT) AS start "
+        f"FROM {source} WHERE text IS NOT NULL)"
+    )
+
+
+def _chunks_parity(source: str, limit: int = 4500) -> str:
+    """CTEs for ``chunks`` as observed in the original tool, one line per step.
+
+    A chunk that is empty takes the next line without a separator; a line over the limit
+    is cut to the longest prefixes that fit only if it meets an empty chunk.
+    """
+    lowest = limit // 4
+    return f"""plines AS (
+  SELECT k, unnest(parts) AS line, generate_subscripts(parts, 1) AS ln
+  FROM (SELECT k, string_split(text, chr(10)) AS parts FROM {source} WHERE strlen(text) > {limit})),
+pcuts AS (
+  SELECT k, ln, 0 AS pc, CAST(NULL AS VARCHAR) AS piece, line AS rest FROM plines WHERE strlen(line) > {limit}
+  UNION ALL
+  SELECT k, ln, pc + 1, left(rest, w), substr(rest, w + 1)
+  FROM (SELECT *, CASE WHEN strlen(rest) <= {limit} THEN length(rest) ELSE
+      list_max(list_filter(range({lowest}, {limit} + 1), lambda i: strlen(left(rest, i)) <= {limit})) END AS w
+    FROM pcuts WHERE rest <> '')),
+ppieces AS (SELECT k, ln, list(piece ORDER BY pc) AS ps FROM pcuts WHERE pc > 0 GROUP BY k, ln),
+pl AS (SELECT l.*, coalesce(p.ps, [l.line]) AS ps FROM plines l LEFT JOIN ppieces p USING (k, ln)),
+walk AS (
+  SELECT k, CAST(0 AS BIGINT) AS ln, '' AS cur, CAST([] AS VARCHAR[]) AS done FROM (SELECT DISTINCT k FROM plines)
+  UNION ALL
+  SELECT w.k, l.ln,
+    CASE WHEN cur = '' THEN l.ps[-1] WHEN strlen(cur) + 1 + strlen(l.line) > {limit} THEN l.line
+      ELSE cur || chr(10) || l.line END,
+    CASE WHEN cur = '' THEN list_concat(done, l.ps[:-2])
+      WHEN strlen(cur) + 1 + strlen(l.line) > {limit} THEN list_append(done, cur) ELSE done END
+  FROM walk w JOIN pl l ON l.k = w.k AND l.ln = w.ln + 1),
+ends AS (
+  SELECT k, CASE WHEN cur = '' THEN done ELSE list_append(done, cur) END AS cs FROM walk
+  WHERE (k, ln) IN (SELECT (k, max(ln)) FROM plines GROUP BY k)),
+chunks AS (
+  SELECT k, CAST(0 AS BIGINT) AS chunk_idx, text, '' AS sep FROM {source} WHERE strlen(text) <= {limit}
+  UNION ALL
+  SELECT k, i - 1, cs[i], CASE WHEN i < len(cs) THEN chr(10) ELSE '' END
+  FROM (SELECT k, cs, unnest(range(1, len(cs) + 1)) AS i FROM ends))"""
+
+
 def _entities(rules=_RULES) -> str:
     """CTEs for ``ents(k, chunk_idx, ordinal, type, b, e)`` of ``chunks``."""
     found = " UNION ALL ".join(
@@ -266,10 +315,12 @@ def _join_kinds(first: str, second: str) -> str:
 _DOCS = "docs AS (SELECT doc_id AS k, text FROM documents)"
 _DOC_CHUNKS = f"{_DOCS}, {_chunks('docs')}"
 _DOC_ENTITIES = f"{_DOC_CHUNKS}, {_entities()}"
-_DOC_DEEP = (
+_DOC_WHOLE = f"{_DOCS}, {_whole('docs')}, {_entities()}"
+_DOC_MASKED = (
     f"raw AS (SELECT doc_id AS k, text FROM documents), {masks('raw', 'm')}, "
-    f"docs AS (SELECT k, value AS text FROM m), {_chunks('docs')}"
+    "docs AS (SELECT k, value AS text FROM m)"
 )
+_DOC_DEEP = f"{_DOC_MASKED}, {_whole('docs')}"
 
 
 def _deep(rules=_RULES) -> str:
@@ -313,23 +364,24 @@ ORACLE["redacted_sink"] = (
 # --- calls ------------------------------------------------------------------
 
 
-def _call_ctes(detect: bool = False) -> str:
+def _call_ctes(detect: bool = False, spans=_whole) -> str:
     """``redacted(call_id, block_idx, type, body, n, kinds)`` per block, then
     ``totals(call_id, redaction_count, redacted_types)`` per call."""
     ctes = f"{_CALLS}, {masks('blocks', 'm')}"
     if not detect:
+        per_kind = ", ".join(f"CASE WHEN is_error THEN 0 ELSE n_{k} END AS n_{k}" for k in _KINDS)
         shown = f"""redacted AS (
   SELECT call_id, block_idx, is_error, type, data,
     CASE WHEN is_error THEN text ELSE value END AS text,
     CASE WHEN is_error THEN 0 ELSE n END AS n,
-    CASE WHEN is_error THEN '' ELSE kinds END AS kinds FROM m)"""
+    CASE WHEN is_error THEN '' ELSE kinds END AS kinds, {per_kind} FROM m)"""
         ctes = f"{ctes}, {shown}"
     else:
         # The spare part of the key names the block of a call.
         ctes = f"""{ctes},
 keyed AS (SELECT call_id * 100000 + block_idx AS k, value AS text, profile_name, is_error FROM m
   WHERE type = 'text'),
-{_chunks('keyed')}, {_entities()},
+{spans('keyed')}, {_entities()},
 allowed AS (
   SELECT ents.* FROM ents JOIN keyed USING (k) WHERE NOT is_error
     AND (profile_name = 'full' OR (profile_name = 'GDPR' AND type = 'NAME'))),
@@ -372,6 +424,7 @@ ORACLE["legacy_passthrough"] = (
     "redaction_count, redacted_types FROM calls JOIN totals USING (call_id)"
 )
 ORACLE["redact_calls"] = _recursive(_call_ctes(detect=True), _BODIES)
+ORACLE["redact_calls_joined"] = _recursive(_call_ctes(detect=True, spans=_chunks), _BODIES)
 ORACLE["audit_stats_attach"] = (
     f"WITH {_call_ctes()} SELECT call_id, tool_name, redaction_count, redacted_types "
     "FROM calls JOIN totals USING (call_id)"
@@ -391,7 +444,7 @@ ORACLE["blob_passthrough"] = (
 ORACLE["redact_resources"] = _recursive(
     f"""{_RESOURCES}, {masks('resources', 'm')},
 keyed AS (SELECT page_id * 2 + item_idx AS k, value AS text, profile_name FROM m WHERE text IS NOT NULL),
-{_chunks('keyed')}, {_entities()},
+{_whole('keyed')}, {_entities()},
 allowed AS (SELECT ents.* FROM ents JOIN keyed USING (k)
   WHERE profile_name = 'full' OR (profile_name = 'GDPR' AND type = 'NAME')),
 {_applied().replace('FROM ents WHERE', 'FROM allowed WHERE', 1)}""",
@@ -423,8 +476,8 @@ ORACLE["profiles"] = (
 )
 
 
-def _profiled(gate: str, rules: tuple, applied: str) -> str:
-    return f"""{_DOC_DEEP}, {_entities(rules)},
+def _profiled(gate: str, rules: tuple, applied: str, chunks=_whole) -> str:
+    return f"""{_DOC_MASKED}, {chunks('docs')}, {_entities(rules)},
 gate AS (SELECT doc_id AS k, {gate} AS profile FROM documents),
 allowed AS (SELECT ents.* FROM ents JOIN gate USING (k) WHERE {applied}),
 {_applied().replace('FROM ents WHERE', 'FROM allowed WHERE', 1)}"""
@@ -440,6 +493,18 @@ ORACLE["redact_by_profile"] = _recursive(
     f"{_join_kinds('m.kinds', 'w.kinds')} AS redacted_types "
     "FROM m JOIN whole w USING (k) JOIN gate USING (k)",
 )
+# Observed: a text in which anything is found is joined again from its chunks.
+ORACLE["redact_by_profile_parity"] = _recursive(
+    _profiled(
+        "['GDPR', 'DORA', 'PCI_DSS', 'full', 'GDPR'][doc_id % 5 + 1]",
+        _RULES,
+        "profile IN ('full', 'GDPR')",
+        _chunks_parity,
+    ),
+    "SELECT m.k AS doc_id, profile AS profile_name, CASE WHEN w.n > 0 THEN w.value ELSE m.value END AS text, "
+    f"m.n + w.n AS redaction_count, {_join_kinds('m.kinds', 'w.kinds')} AS redacted_types "
+    "FROM m JOIN whole w USING (k) JOIN gate USING (k)",
+)
 ORACLE["stage_gate"] = _recursive(
     _profiled(
         "['GDPR', 'DORA', 'PCI_DSS', 'full', 'off'][doc_id % 5 + 1]",
@@ -538,7 +603,7 @@ ORACLE["redact_table"] = (
     "c_acctbal AS amount, CAST(NULL AS VARCHAR) AS nothing, redaction_count, redacted_types FROM r"
 )
 ORACLE["primitive_passthrough"] = (
-    "SELECT event_id, user_id, value, value > 10 AS active, 4111111111111111 AS card_number, "
+    "SELECT event_id, ts, user_id, event_type, value, props, value > 10 AS active, 4111111111111111 AS card_number, "
     "CAST(NULL AS VARCHAR) AS nothing, CAST(0 AS BIGINT) AS redaction_count, '' AS redacted_types FROM events"
 )
 ORACLE["redact_json"] = f"""WITH {_CUSTOMERS},
@@ -595,17 +660,15 @@ ORACLE["merge_chunks"] = _recursive(
 )
 ORACLE["reassemble"] = f"WITH {_TEXTS} SELECT * FROM texts"
 ORACLE["redact_entities_text"] = _recursive(
-    f"{_DOC_ENTITIES}, {_applied()}",
+    f"{_DOC_WHOLE}, {_applied()}",
     "SELECT k AS doc_id, value AS text, n AS redaction_count, kinds AS redacted_types FROM whole",
 )
-# A document's lines hold the same matches as its body, as no match spans lines
-# (a cut inside a match would show as a difference).
 ORACLE["redact_entities_table"] = _recursive(
     f"""docs AS (
   SELECT doc_id * 1000000 AS k, text FROM documents UNION ALL
   SELECT doc_id * 1000000 + i, line FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i
     FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
-{_chunks('docs')}, {_entities()}, {_applied()},
+{_whole('docs')}, {_entities()}, {_applied()},
 parts AS (SELECT k // 1000000 AS doc_id, k % 1000000 AS p, value, n, kinds FROM whole),
 kind_rows AS (
   SELECT doc_id, p, unnest(string_split(kinds, ',')) AS kind,
@@ -620,7 +683,35 @@ r AS (
     "coalesce(kinds, '') AS redacted_types FROM documents d JOIN r USING (doc_id) LEFT JOIN kind_lists USING (doc_id)",
 )
 ORACLE["redact_deep"] = _recursive(_deep(), _DEEP_SELECT)
-ORACLE["redact_deep_joined"] = ORACLE["redact_deep"]
+ORACLE["redact_deep_joined"] = _recursive(
+    f"{_DOC_MASKED}, {_chunks('docs')}, {_entities()}, {_applied()}", _DEEP_SELECT
+)
+ORACLE["redact_deep_long_lines"] = _recursive(
+    f"""raw AS (
+  SELECT 'pages:' || page_id AS k, html AS text FROM pages
+  UNION ALL SELECT 'documents:' || doc_id, replace(text, chr(10), ' ') FROM documents), {masks('raw', 'm')},
+docs AS (SELECT k, value AS text FROM m), {_whole('docs')}, {_entities()}, {_applied()}""",
+    _DEEP_SELECT.replace("m.k AS doc_id", "m.k AS text_id"),
+)
+ORACLE["redact_json_deep"] = _recursive(
+    _deep(),
+    "SELECT m.k AS doc_id, w.value AS text, n_chars AS n, true AS key_kept, m.n + w.n AS redaction_count, "
+    f"{_join_kinds('m.kinds', 'w.kinds')} AS redacted_types "
+    "FROM m JOIN whole w USING (k) JOIN documents d ON d.doc_id = m.k",
+)
+ORACLE["redact_variant"] = _recursive(
+    _deep(),
+    "SELECT m.k AS doc_id, w.value AS text, n_chars, source, lang, m.n + w.n AS redaction_count, "
+    f"{_join_kinds('m.kinds', 'w.kinds')} AS redacted_types "
+    "FROM m JOIN whole w USING (k) JOIN documents d ON d.doc_id = m.k",
+)
+ORACLE["merge_custom_kinds"] = _recursive(
+    f"""{_DOC_CHUNKS}, {_entities((("SHOUT", chr(92) + "b[A-Z]{6,12}" + chr(92) + "b"), ("DIGITS", "[0-9]{3,}")))}, {_applied()}""",
+    "SELECT k AS doc_id, n AS redaction_count, kinds AS redacted_types FROM whole",
+)
+ORACLE["chunk_text_parity"] = _recursive(
+    f"{_DOCS}, {_chunks_parity('docs')}", "SELECT k AS doc_id, chunk_idx, text, sep FROM chunks"
+)
 ORACLE["merge_stages"] = _recursive(
     _deep(),
     "SELECT m.k AS doc_id, m.n + w.n AS redaction_count, "
@@ -631,8 +722,9 @@ ORACLE["custom_detector_deep"] = _recursive(_deep(_RULES[:1]), _DEEP_SELECT)
 # --- audit ------------------------------------------------------------------
 
 
-def _audit(arguments: str = "arguments") -> str:
-    """``audit``: one record per call."""
+def _audit(arguments: str = "arguments", raw: bool = False) -> str:
+    """``audit``: one record per call; ``raw`` logs parameters and failures as they are."""
+    logged, message = ("pm.text", "fm.text") if raw else ("pm.value", "fm.value")
     return f"""{_call_ctes()},
 params AS (SELECT call_id, coalesce({arguments}, '{{}}') AS text FROM calls), {masks('params', 'pm')},
 messages AS (SELECT call_id, failure AS text FROM calls), {masks('messages', 'fm')},
@@ -643,14 +735,14 @@ sizes AS (
 audit AS (
   SELECT call_id, strftime(make_timestamp(finished_ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp,
     tool_name AS upstream_tool, profile_name AS compliance_profile,
-    CASE WHEN length(pm.value) > 500 THEN left(pm.value, 500) || '...[truncated]' ELSE pm.value END AS input_parameters,
+    CASE WHEN length({logged}) > 500 THEN left({logged}, 500) || '...[truncated]' ELSE {logged} END AS input_parameters,
     finished_ms - started_ms AS execution_time_ms,
     CAST(CASE WHEN failure IS NOT NULL THEN 0 ELSE strlen('{{'
       || CASE WHEN no_content THEN '' ELSE '"content":[' || coalesce(body, '') || '],' END
       || '"isError":' || CASE WHEN is_error THEN 'true' ELSE 'false' END || '}}') END AS BIGINT) AS output_size_bytes,
     redaction_count, redacted_types,
     CASE WHEN failure IS NOT NULL OR is_error THEN 'error' ELSE 'success' END AS status,
-    fm.value AS error_message
+    {message} AS error_message
   FROM calls JOIN totals USING (call_id) JOIN pm USING (call_id) JOIN fm USING (call_id)
   LEFT JOIN sizes USING (call_id))"""
 
@@ -671,6 +763,7 @@ ORACLE["audit_failed"] = (
     "coalesce(error_message, '') AS error_message FROM audit"
 )
 ORACLE["audit_log"] = f"WITH {_audit()} SELECT call_id, {_AUDIT_FIELDS} FROM audit"
+ORACLE["audit_log_parity"] = f"WITH {_audit(raw=True)} SELECT call_id, {_AUDIT_FIELDS} FROM audit"
 ORACLE["audit_jsonl"] = (
     f"WITH {_audit()} SELECT '{{\"timestamp\":\"' || timestamp || '\",\"upstream_tool\":' || to_json(upstream_tool) "
     "|| ',\"compliance_profile\":' || to_json(compliance_profile) || ',\"input_parameters\":' || to_json(input_parameters) "
@@ -684,9 +777,16 @@ ORACLE["audit_jsonl"] = (
 ORACLE["audit_enabled"] = (
     "SELECT true AS enabled, count(*) AS n_lines FROM documents UNION ALL SELECT false, 0"
 )
+# A cached answer for every 19th call; a failure is an error result of one text block.
 ORACLE["middleware_chain"] = (
-    f"""WITH {_audit("arguments || ' via gate@example.com'")} """
-    "SELECT call_id, input_parameters, redaction_count, upper(status) AS status FROM audit"
+    f"""WITH {_audit("arguments || ' via gate@example.com'")}, sized AS (
+  SELECT a.*, CASE WHEN c.failure IS NULL THEN output_size_bytes ELSE CAST(strlen('{{"content":[{{"type":"text","text":'
+    || to_json(error_message) || '}}],"isError":true}}') AS BIGINT) END AS bytes
+  FROM audit a JOIN calls c USING (call_id)) """
+    "SELECT call_id, CASE WHEN call_id % 19 = 0 THEN 'cached' ELSE input_parameters END AS input_parameters, "
+    "CASE WHEN call_id % 19 = 0 THEN 0 ELSE redaction_count END AS redaction_count, "
+    "CASE WHEN call_id % 19 = 0 THEN 'CACHED' ELSE upper(status) END AS status, "
+    "CASE WHEN call_id % 19 = 0 THEN -1 ELSE bytes END AS output_size_bytes, false AS failed FROM sized"
 )
 ORACLE["custom_writer"] = (
     f"WITH {_audit()} SELECT call_id, upstream_tool, redaction_count, status FROM audit"
@@ -729,16 +829,27 @@ def _findings() -> str:
 
 
 ORACLE["pii_findings"] = f"{_MASKED_TEXTS} {_findings()}"
-_SUMMARY = (
-    "SELECT {by}, type, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n_redactions FROM "
-    "(SELECT {by}, n, unnest(CASE WHEN kinds = '' THEN [NULL] ELSE string_split(kinds, ',') END) AS type "
-    "FROM {source}) GROUP BY ALL"
-)
-ORACLE["redaction_summary"] = f"WITH {masks('documents', 'm')} " + _SUMMARY.format(
-    by="source", source="m"
-)
+
+
+def _summary(by: str, source: str) -> str:
+    """Rows and redactions of each kind by group, from one count per kind."""
+    parts = [
+        f"SELECT {by}, '{k}' AS type, count(*) AS n_rows, CAST(sum(n_{k}) AS BIGINT) AS n_redactions "
+        f"FROM {source} WHERE n_{k} > 0 GROUP BY ALL"
+        for k in _KINDS
+    ]
+    none = " AND ".join(f"coalesce(n_{k}, 0) = 0" for k in _KINDS)
+    parts.append(
+        f"SELECT {by}, NULL AS type, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_redactions "
+        f"FROM {source} WHERE {none} GROUP BY ALL"
+    )
+    return " UNION ALL ".join(parts)
+
+
+ORACLE["redaction_summary"] = f"WITH {masks('documents', 'm')} " + _summary("source", "m")
+_SUMS = ", ".join(f"sum(n_{k}) AS n_{k}" for k in _KINDS)
 ORACLE["audit_summary"] = (
-    f"WITH {_audit()}, named AS (SELECT compliance_profile, status, redaction_count AS n, "
-    "redacted_types AS kinds FROM audit) "
-    + _SUMMARY.format(by="compliance_profile, status", source="named")
+    f"WITH {_audit()}, named AS (SELECT compliance_profile, status, s.* EXCLUDE (call_id) FROM audit "
+    f"LEFT JOIN (SELECT call_id, {_SUMS} FROM redacted GROUP BY call_id) s USING (call_id)) "
+    + _summary("compliance_profile, status", "named")
 )

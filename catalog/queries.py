@@ -15,9 +15,15 @@ from pyspark.sql import functions as F
 from catalog import views as v
 from hushframe.functions import chunks as chunking
 from hushframe.functions import masks, spans
-from hushframe.functions.detectors import BatchDetector, ip_detector
+from hushframe.functions.detectors import (
+    AnyDetector,
+    BatchDetector,
+    PatternDetector,
+    ip_detector,
+)
+from hushframe.functions.patterns import LEFT, RIGHT
 from hushframe.operators import audit, calls, entities, merge, profiles, redact, reports
-from hushframe.plans.chain import compose
+from hushframe.plans.chain import answer, compose, failures_to_results
 from hushframe.sources import tables
 from hushframe.streaming import streams
 
@@ -315,6 +321,16 @@ def merge_stages(spark, sf_dir):
     )
 
 
+@query
+def merge_custom_kinds(spark, sf_dir):
+    """Kinds of a user's detector that no list names, merged over the chunks."""
+    chunks = entities.chunk_rows(v.documents(spark, sf_dir), "doc_id", ["text"])
+    marks = PatternDetector("SHOUT", LEFT + "[A-Z]{6,12}" + RIGHT), PatternDetector("DIGITS", r"[0-9]{3,}")
+    found = chunks.withColumn("spans", F.expr(AnyDetector(*marks).spans_of("text")))
+    done = entities.redact_chunk_rows(found, ["SHOUT", "DIGITS"])
+    return merge.merge_groups(done, ["doc_id"], "chunk_idx").select("doc_id", count(), kinds())
+
+
 @query
 def merge_chunks(spark, sf_dir):
     done = _redacted_chunks(spark, sf_dir)
@@ -416,8 +432,11 @@ def redact_map(spark, sf_dir):
 def primitive_passthrough(spark, sf_dir):
     events = v.table(spark, sf_dir, "events").select(
         "event_id",
+        "ts",
         "user_id",
+        "event_type",
         "value",
+        "props",
         (F.col("value") > 10).alias("active"),
         F.lit(4111111111111111).alias("card_number"),
         F.lit(None).cast("string").alias("nothing"),
@@ -478,12 +497,63 @@ def _redacted_chunks(spark, sf_dir):
     return entities.redact_chunk_rows(found)
 
 
+@query
+def redact_json_deep(spark, sf_dir):
+    """Both stages on JSON of unknown schema; a document's text as a value beside a key."""
+    docs = v.documents(spark, sf_dir).select(
+        "doc_id",
+        F.concat(
+            F.lit('{"page": {"x@y.zz": 1, "body": '), F.to_json(F.array("text")),
+            F.lit(', "n": '), F.col("n_chars").cast("string"), F.lit("}, "),
+            F.lit('"source": '), F.to_json(F.array("source")), F.lit("}"),
+        ).alias("doc"),
+    )
+    done = entities.redact_json_deep(docs, "doc", detector=v.RULES)
+    page = F.from_json("doc", "page struct<body: array<string>, n: bigint>")["page"]
+    return done.select(
+        "doc_id", page["body"][0].alias("text"), page["n"].alias("n"),
+        F.col("doc").startswith('{"page": {"x@y.zz": 1, "body": ').alias("key_kept"), count(), kinds(),
+    )
+
+
+@query
+def redact_variant(spark, sf_dir):
+    """VARIANT columns, at the top and in a struct, in both stages."""
+    docs = v.documents(spark, sf_dir).select(
+        "doc_id",
+        F.parse_json(F.to_json(F.struct("text", "n_chars"))).alias("page"),
+        F.struct(F.parse_json(F.to_json(F.struct("source"))).alias("v"), F.col("lang")).alias("tags"),
+    )
+    done = entities.redact_deep(docs, exclude=["doc_id"], detector=v.RULES)
+    return done.select(
+        "doc_id",
+        F.variant_get("page", "$.text", "string").alias("text"),
+        F.variant_get("page", "$.n_chars", "bigint").alias("n_chars"),
+        F.variant_get("tags.v", "$.source", "string").alias("source"),
+        F.col("tags.lang").alias("lang"), count(), kinds(),
+    )
+
+
+@query
+def redact_deep_long_lines(spark, sf_dir):
+    """Both stages over whole texts whose lines are longer than a chunk."""
+    pages = v.table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("pages:"), F.col("page_id").cast("string")).alias("text_id"), F.col("html").alias("text")
+    )
+    docs = v.documents(spark, sf_dir).select(
+        F.concat(F.lit("documents:"), F.col("doc_id").cast("string")).alias("text_id"),
+        F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"),
+    )
+    done = entities.redact_deep(pages.union(docs), ["text"], detector=v.RULES)
+    return done.select("text_id", "text", count(), kinds())
+
+
 @query
 def prefilter_contains(spark, sf_dir):
     docs = v.documents(spark, sf_dir)
     chunks = entities.chunk_rows(docs, "doc_id", ["text"])
     found = entities.detect_entities(chunks, ip_detector(), "doc_id")
-    return entities.prefilter(docs, chunks, found, "doc_id").select("doc_id", "source")
+    return entities.prefilter(docs, found, "doc_id").select("doc_id", "source")
 
 
 @query
@@ -498,6 +568,13 @@ def chunk_text(spark, sf_dir):
     )
 
 
+@query
+def chunk_text_parity(spark, sf_dir):
+    """Observed: blank lines vanish at the start of a chunk, and some lines stay whole."""
+    chunks = entities.chunk_rows(v.documents(spark, sf_dir), "doc_id", ["text"], parity=True)
+    return chunks.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "text", "sep")
+
+
 @query
 def detect_entities(spark, sf_dir):
     return _document_entities(spark, sf_dir).select("doc_id", *_entity_columns())
@@ -571,6 +648,21 @@ def redact_calls(spark, sf_dir):
     return _call_bodies(done)
 
 
+@query
+def redact_calls_joined(spark, sf_dir):
+    """Spans from a table made by a detector over the chunks of the redacted calls."""
+    source = v.calls(spark, sf_dir)
+    shown = calls.redact_calls(source, profile="full").where("NOT is_error").select(
+        "call_id",
+        F.transform(
+            "content", lambda b: F.struct(F.when(b["type"] == "text", b["text"]).alias("text"))
+        ).alias("content"),
+    )
+    chunks = entities.chunk_rows(shown, "call_id", ["content"])
+    found = entities.detect_entities(chunks, v.RULES, "call_id")
+    return _call_bodies(calls.redact_calls(source, entities=found, key="call_id"))
+
+
 @query
 def redact_resources(spark, sf_dir):
     done = calls.redact_resources(v.resources(spark, sf_dir), detector=v.RULES)
@@ -606,17 +698,27 @@ def profile_calls(spark, sf_dir):
 QUERIES["profiles"] = QUERIES.pop("profile_calls")
 
 
-@query
-def redact_by_profile(spark, sf_dir):
+def _by_profile(spark, sf_dir, **options):
     docs = v.documents(spark, sf_dir)
     names = F.array(*[F.lit(p) for p in ("GDPR", "DORA", "PCI_DSS", "full", "UNKNOWN")])
     rows = docs.withColumn(
         "profile", F.element_at(names, (F.col("doc_id") % 5 + 1).cast("int"))
     )
-    done = calls.redact_by_profile(rows, "text", detector=v.RULES)
+    done = calls.redact_by_profile(rows, "text", detector=v.RULES, **options)
     return done.select("doc_id", "profile_name", "text", count(), kinds())
 
 
+@query
+def redact_by_profile(spark, sf_dir):
+    return _by_profile(spark, sf_dir)
+
+
+@query
+def redact_by_profile_parity(spark, sf_dir):
+    """Observed: every profile replaces all kinds, and texts are joined from chunks."""
+    return _by_profile(spark, sf_dir, parity=True)
+
+
 def _audited(spark, sf_dir):
     return audit.audit_log(
         calls.redact_calls(v.calls(spark, sf_dir)), keep=("call_id",)
@@ -669,6 +771,14 @@ def audit_log(spark, sf_dir):
     )
 
 
+@query
+def audit_log_parity(spark, sf_dir):
+    """Observed: parameters and failure messages are logged as they are."""
+    done = calls.redact_calls(v.calls(spark, sf_dir))
+    records = audit.audit_log(done, parity=True, keep=("call_id",))
+    return records.select(*_audit_row("call_id", *audit.AUDIT_COLUMNS))
+
+
 # --- streams ----------------------------------------------------------------
 
 
@@ -724,14 +834,30 @@ def middleware_chain(spark, sf_dir):
     def change_output(df: DataFrame) -> DataFrame:
         return df.withColumn("status", F.upper("status"))
 
+    def cached(df: DataFrame) -> DataFrame:
+        """The answer of a cache: no later step sees these calls."""
+        return df.select(
+            "call_id",
+            F.lit("cached").alias("input_parameters"),
+            F.lit(0).alias("redaction_count"),
+            F.lit("cached").alias("status"),
+        )
+
     chain = compose(
         change_input,
-        calls.redact_calls,
-        lambda df: audit.audit_log(df, keep=("call_id",)),
+        answer(
+            F.col("call_id") % 19 == 0,
+            cached,
+            failures_to_results,
+            calls.redact_calls,
+            lambda df: audit.audit_log(df, keep=("call_id",)),
+        ),
         change_output,
     )
     return chain(v.calls(spark, sf_dir)).select(
-        *_audit_row("call_id", "input_parameters", "redaction_count", "status")
+        *_audit_row("call_id", "input_parameters", "redaction_count", "status"),
+        F.coalesce("output_size_bytes", F.lit(-1)).alias("output_size_bytes"),
+        F.col("error_message").isNotNull().alias("failed"),
     )
 
 
@@ -788,11 +914,12 @@ def pii_findings(spark, sf_dir):
 
 @query
 def redaction_summary(spark, sf_dir):
-    done = redact.redact_text(v.documents(spark, sf_dir), "text")
+    done = redact.redact_text(v.documents(spark, sf_dir), "text", counts=True)
     return reports.redaction_summary(done, ["source"])
 
 
 @query
 def audit_summary(spark, sf_dir):
-    records = _audited(spark, sf_dir)
+    done = calls.redact_calls(v.calls(spark, sf_dir))
+    records = audit.audit_log(done, keep=("call_id", redact.COUNTS))
     return reports.redaction_summary(records, ["compliance_profile", "status"])

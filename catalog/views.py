@@ -23,7 +23,10 @@ SCHEMAS = {
         "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
         "c_mktsegment string"
     ),
-    "events": "event_id bigint, user_id bigint, event_type string, value double, props string",
+    "events": (
+        "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+    ),
+    "benchmark": "item_id bigint, text string",
 }
 
 # Rules that stand in for an entity model.
@@ -36,9 +39,11 @@ GATED = (*PROFILES, Profile("off", stage1=False, stage2=True))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(
-        read_table(spark, f"{sf_dir}/{name}.parquet", schema=SCHEMAS[name])
-    )
+    """A given table. Where the caller sets ``hushframe.spread`` its rows are dealt to so
+    many partitions; the small test tables are one file, hence one task, each."""
+    df = read_table(spark, f"{sf_dir}/{name}.parquet", schema=SCHEMAS[name])
+    partitions = spark.conf.get("hushframe.spread", None)
+    return spread(df, int(partitions)) if partitions else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +108,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "text",
             )
         )
+        .union(part("benchmark", table(spark, sf_dir, "benchmark"), ["item_id"], "text"))
         .union(part("customer", contacts(spark, sf_dir), ["c_custkey"], "contact"))
     )
 

@@ -50,11 +50,23 @@ def iso_utc(at: Column) -> Column:
     )
 
 
-def result_json(df: DataFrame) -> Column:
-    """JSON of a call's result; absent fields are left out."""
-    parts = [F.col("content")]
-    if "is_error" in df.columns:
-        parts.append(F.col("is_error").alias("isError"))
+# Columns of a call that are part of its result, and their names in it.
+RESULT_FIELDS = {
+    "content": "content",
+    "is_error": "isError",
+    "structured_content": "structuredContent",
+    "meta": "_meta",
+}
+
+
+def result_json(df: DataFrame, fields: dict[str, str] | None = None) -> Column:
+    """JSON of a call's whole result; absent fields are left out.
+
+    ``fields`` maps columns to their names in the result, those of ``RESULT_FIELDS`` that
+    the frame has by default.
+    """
+    known = RESULT_FIELDS if fields is None else fields
+    parts = [F.col(f"`{c}`").alias(n) for c, n in known.items() if c in df.columns]
     return F.to_json(F.struct(*parts))
 
 
@@ -85,13 +97,13 @@ def audit_base(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def audit_outcome(df: DataFrame) -> dict[str, Column]:
+def audit_outcome(df: DataFrame, result: dict[str, str] | None = None) -> dict[str, Column]:
     """Fields that tell success, error result and failure apart."""
     failed = F.col("failure").isNotNull()
     is_error = F.coalesce(F.col("is_error"), F.lit(False))
     return {
         "output_size_bytes": F.when(failed, F.lit(0))
-        .otherwise(F.octet_length(result_json(df)))
+        .otherwise(F.octet_length(result_json(df, result)))
         .cast("long"),
         "redaction_count": F.when(failed, F.lit(0)).otherwise(F.col(COUNT)),
         "redacted_types": F.when(failed, F.expr(NO_TYPES)).otherwise(F.col(TYPES)),
@@ -100,20 +112,27 @@ def audit_outcome(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def audit_log(df: DataFrame, *, parity: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def audit_log(
+    df: DataFrame,
+    *,
+    parity: bool = False,
+    keep: tuple[str, ...] = (),
+    result: dict[str, str] | None = None,
+) -> DataFrame:
     """Audit records of redacted calls, one row each.
 
     Parameters and failure messages are redacted in full before the parameters are
     truncated, so a cut cannot hide half a match; ``parity`` logs them as they are.
 
-    ``keep`` names columns of the calls to carry along, such as a key.
+    ``keep`` names columns of the calls to carry along, such as a key; ``result`` maps
+    the columns that make up the result, whose size is logged, to their names in it.
     """
     parameters, message = "coalesce(arguments, '{}')", "failure"
     if not parity:
         parameters = f"{redact(parameters)}.value"
         message = f"{redact(message)}.value"
     ready = compute(df, _parameters=parameters, _message=message)
-    fields = audit_base(ready) | audit_outcome(ready)
+    fields = audit_base(ready) | audit_outcome(ready, result)
     return ready.select(*keep, *[fields[c].alias(c) for c in AUDIT_COLUMNS])
 
 

@@ -64,6 +64,9 @@ def profile_table(
 
     A literal relation: its size is the number of profiles, never that of data.
     """
+    names = [p.name for p in profiles]
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"profiles of the same name: {twice}")
     rows = F.array(*[_as_struct(p, parity) for p in profiles])
     return spark.range(1).select(F.inline(rows))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -29,20 +28,10 @@ def read_table(
     return reader.load(path if isinstance(path, str) else list(path))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a table that is smaller than one input split over all cores.
-
-    Masking is bound by CPU, and such a table would otherwise run in one task.
-    Anything larger is split by the scan itself and returned as it is, so at most
-    one split's worth of data is ever moved.
-    """
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b")
-    limit = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(split))
-    if size > limit:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism)
+def spread(df: DataFrame, partitions: int) -> DataFrame:
+    """The rows dealt to so many partitions, for a table whose files give fewer tasks
+    than there are cores. The caller knows; nothing here looks at its size."""
+    return df.repartition(partitions)
 
 
 def stream_table(
@@ -63,17 +52,15 @@ def stream_table(
     return reader.load(path)
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder for written intermediate results.
+def workspace(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A new folder for written intermediate results, below ``folder``.
 
-    It lies in the folder the cluster names in ``spark.checkpoint.dir``, which all
-    executors share.  Only a local session may go without one.
+    By default that is the folder the cluster names in ``spark.checkpoint.dir``, which
+    all executors share; without that setting ``folder`` must be given.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = folder or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="hushframe-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
