@@ -86,24 +86,6 @@ def cut(line, limit):
     return [*pieces, line]
 
 
-def chunks_observed(text, limit):
-    """Chunks as the original tool makes them."""
-    if size(text) <= limit:
-        return [text]
-    chunks, current = [], ""
-    for line in text.split("\n"):
-        joined = f"{current}\n{line}" if current else line
-        if size(joined) <= limit:
-            current = joined
-        elif current:
-            chunks.append(current)
-            current = line
-        else:
-            *full, current = cut(line, limit)
-            chunks += full
-    return chunks + [current] if current else chunks
-
-
 def splice(text, spans):
     """Spans (type, begin, end) replaced from the last to the first."""
     for kind, begin, end in sorted(spans, key=lambda s: -s[1]):

@@ -6,42 +6,34 @@ from pyspark.sql import types as T
 
 from hushframe.operators.redact import redact_json, redact_table, text_columns
 
-TRANSACTIONS = {
-    "hits": {
-        "total": {"value": 3},
-        "hits": [
-            {"_id": "t1", "_source": {
-                "card_number": "4111 1111 1111 1111", "iban": "DE89370400440532013000",
-                "ssn": "123-45-6789", "email": "john.doe@bank.com", "phone": "+31 6 1234 5678",
-                "amount": 1500.0, "status": "completed"}},
-            {"_id": "t2", "_source": {
-                "card_number": "1234 5678 9012 3456", "amount": 250.0, "customer_name": "John Doe"}},
-            {"_id": "t3", "_source": {
-                "card_number": "5500 0000 0000 0004", "amount": 9999.99,
-                "notes": "contact: support@example.com. Ref SSN 987-65-4321."}},
-        ],
-    }
+ORDERS = {
+    "page": {"of": 9},
+    "orders": [
+        {"nr": 17, "paid": {"card": "4111 1111 1111 1111", "from": "NL91ABNA0417164300", "sum": 12.5},
+         "by": {"mail": "ada@shop.example", "tel": "+31 6 1234 5678", "number": "123-45-6789"}},
+        {"nr": 18, "paid": {"card": "4111 1111 1111 1112", "sum": 3.0}, "by": {"name": "Ada"}},
+        {"nr": 19, "paid": {"card": "4000-0000-0000-0002"}, "note": "ask bo@shop.example or 321-54-9876"},
+    ],
 }
 SCHEMA = (
-    "hits struct<total:struct<value:int>, hits:array<struct<_id:string,"
-    "_source:struct<card_number:string,iban:string,ssn:string,email:string,phone:string,"
-    "amount:double,status:string,customer_name:string,notes:string>>>>"
+    "page struct<of:int>, orders array<struct<nr:int,paid:struct<card:string,`from`:string,sum:double>,"
+    "by:struct<mail:string,tel:string,number:string,name:string>,note:string>>"
 )
 
 
 def test_deep_struct(spark):
     df = spark.createDataFrame(
-        [((("jane@example.com", "987-65-4321"),),)], "user struct<contact:struct<email:string,ssn:string>>"
+        [((("eve@mail.example", "321-54-9876"),),)], "user struct<contact:struct<email:string,ssn:string>>"
     )
     row = redact_table(df).first()
-    assert tuple(row.user.contact) == ("j***@example.com", "***-**-****")
+    assert tuple(row.user.contact) == ("e***@mail.example", "***-**-****")
     assert (row.redaction_count, row.redacted_types) == (2, ["email", "ssn"])
 
 
 def test_array(spark):
-    df = spark.createDataFrame([(["alice@test.com", None, "bob@test.com"],)], "emails array<string>")
+    df = spark.createDataFrame([(["cy@one.example", None, "di@two.example"],)], "emails array<string>")
     row = redact_table(df).first()
-    assert row.emails == ["a***@test.com", None, "b***@test.com"]
+    assert row.emails == ["c***@one.example", None, "d***@two.example"]
     assert row.redaction_count == 2
 
 
@@ -111,16 +103,16 @@ def expected(value):
 
 
 def test_payload_with_and_without_schema(spark):
-    text = json.dumps(TRANSACTIONS)
+    text = json.dumps(ORDERS)
     df = spark.createDataFrame([(text,)], "doc string")
-    redacted, n, kinds = expected(TRANSACTIONS)
+    redacted, n, kinds = expected(ORDERS)
     plain = redact_json(df, "doc").first()
     assert json.loads(plain.doc) == redacted
     assert (plain.redaction_count, plain.redacted_types) == (n, kinds) == (8, kinds)
     typed = redact_json(df, "doc", SCHEMA).first()
     assert typed.redaction_count == 8
-    assert typed.doc.hits.hits[1]._source.card_number == "1234 5678 9012 3456"
-    assert typed.doc.hits.hits[2]._source.notes == redacted["hits"]["hits"][2]["_source"]["notes"]
+    assert typed.doc.orders[1].paid.card == "4111 1111 1111 1112"
+    assert typed.doc.orders[2].note == redacted["orders"][2]["note"]
 
 
 def test_random_json_against_model(spark):
