@@ -157,5 +157,6 @@ def keep_good(
     """
     found = _posteriors(docs, labels, id_col, text_col, host_col, path_col, label, rows)
     bad = found.groupBy(F.col("doc").alias("_doc")).agg(F.max("kept").alias("_kept")).where("not _kept").select("_doc")
-    bad = staged(bad, "rejected")
+    # The rejected rows grow with the corpus: merged at every size, never broadcast.
+    bad = staged(bad, "rejected").hint("merge")
     return docs.join(bad, F.xxhash64(docs[id_col], docs[text_col]) == bad["_doc"], "left_anti")

@@ -211,7 +211,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = staged(near_duplicates(docs, id_col, text_col), "groups")
     same = F.col(id_col).eqNullSafe(F.col("component_id"))
     ids = staged(found.where(same).groupBy(F.col(id_col).alias("kept")).agg(F.count("*").alias("n")), "kept")
-    once, often = ids.where("n = 1"), ids.where("n > 1")
+    # The kept ids grow with the corpus: merged at every size, never broadcast. Repeated
+    # ids are few, if any, and left to the planner.
+    once, often = ids.where("n = 1").hint("merge"), ids.where("n > 1")
     # A left semi join keeps the columns of docs alone, so names cannot clash.
     single = docs.join(once, docs[id_col].eqNullSafe(once["kept"]), "left_semi")
     several = docs.join(often, docs[id_col].eqNullSafe(often["kept"]), "left_semi")
