@@ -97,17 +97,19 @@ def _replacing(
     return step
 
 
+# Hint, pattern and mask of the kinds that are replaced by pattern alone.
+_REPLACED = {
+    "iban": (lambda t: f"{t} RLIKE {lit(p.IBAN_HINT)}", p.IBAN, p.IBAN_MASK),
+    "ssn": (lambda t: f"{t} RLIKE {lit(p.SSN_HINT)}", p.SSN, p.SSN_MASK),
+    "email": (lambda t: f"contains({t}, {lit(p.EMAIL_HINT)})", p.EMAIL, p.EMAIL_MASK),
+    "phone": (lambda t: f"contains({t}, {lit(p.PHONE_HINT)})", p.PHONE, p.PHONE_MASK),
+}
+
+
 # Each step maps text to struct<value: string, n: int>.
 MASKS: dict[str, Callable[[Sql], Sql]] = {
     "credit_card": _mask_cards,
-    "iban": _replacing(lambda t: f"{t} RLIKE {lit(p.IBAN_HINT)}", p.IBAN, p.IBAN_MASK),
-    "ssn": _replacing(lambda t: f"{t} RLIKE {lit(p.SSN_HINT)}", p.SSN, p.SSN_MASK),
-    "email": _replacing(
-        lambda t: f"contains({t}, {lit(p.EMAIL_HINT)})", p.EMAIL, p.EMAIL_MASK
-    ),
-    "phone": _replacing(
-        lambda t: f"contains({t}, {lit(p.PHONE_HINT)})", p.PHONE, p.PHONE_MASK
-    ),
+    **{kind: _replacing(*parts) for kind, parts in _REPLACED.items()},
 }
 
 
@@ -238,6 +240,14 @@ def _masked_matches(text: Sql, kind: str) -> Sql:
     )
 
 
+def _masked_text(text: Sql, kind: str) -> Sql:
+    """The text behind one mask, for where its count is known otherwise."""
+    if kind not in _REPLACED:
+        return f"{MASKS[kind](text)}.value"
+    hint, pattern, mask = _REPLACED[kind]
+    return when((hint(text), f"regexp_replace({text}, {lit(pattern)}, {lit(mask)})"), other=text)
+
+
 def findings(text: Sql) -> Sql:
     """array<struct<type, ordinal, masked>>: one element per masked match.
 
@@ -255,7 +265,7 @@ def findings(text: Sql) -> Sql:
         if len(left) == 1:
             return f"concat({', '.join([*found, here(current, kind)])})"
         return let(
-            struct(value=f"{MASKS[kind](current)}.value", here=here(current, kind)),
+            struct(value=_masked_text(current, kind), here=here(current, kind)),
             lambda r: step(f"{r}.value", [*found, f"{r}.here"], left[1:]),
         )
 
