@@ -16,6 +16,7 @@ from hushframe.llm.tables import staged
 
 WINDOW = 10  # words
 GRAM = 5
+PER_FILE = 200_000  # item windows in a file
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -87,9 +88,13 @@ def _item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def occurrences(docs: DataFrame, items: DataFrame, doc_text: str, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
     """``doc, at, size, window``: item windows in ``docs(doc, text)``; and the item windows."""
     known = staged(_item_windows(items, item_id, item_text), "item_windows")
-    # Written, so that their size is known and the joins have plain inputs that can be split.
-    full = staged(known.where(F.col("size") == WINDOW).select("print", "window").distinct(), "full")
-    prints = staged(full.select("print").distinct(), "prints")
+    # Written to as few files as they fill, so that the planner knows their true size: it
+    # sends them to all tasks below its own threshold, and beyond it the joins have plain
+    # inputs whose hot keys can be split.
+    files = max(1, -(-known.count() // PER_FILE))
+    full = known.where(F.col("size") == WINDOW).select("print", "window").distinct()
+    full = staged(full.coalesce(files), "full")
+    prints = staged(full.select("print").distinct().coalesce(files), "prints")
 
     # Fingerprints alone, without repeats in a document.
     marks = docs.select("doc", F.explode(let(words(doc_text), lambda w: F.array_distinct(fingerprints(w)))).alias("print"))
