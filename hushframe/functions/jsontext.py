@@ -165,13 +165,30 @@ def _redact_document(text: Sql, stage: Stage, plain: Sql) -> Sql:
     return let(_hide_escapes(text), split)
 
 
-def redact_json_text(text: Sql, stage: Stage = pattern_stage, hint: Stage = may_hold_pii) -> Sql:
+def pattern_hint(text: Sql) -> Sql:
+    """Whether the pattern stage may change a value of a document, told from its text.
+
+    Escapes that can stand for a character of the five patterns: any ``\\u``, and white
+    space behind a digit.
+    """
+    return (
+        f"({may_hold_pii(text)} OR contains({text}, {lit(chr(92) + 'u')})"
+        f" OR {text} RLIKE {lit('[0-9]' + chr(92) * 2 + '[tnrf]')})"
+    )
+
+
+def any_escape(hint: Stage) -> Stage:
+    """A hint over the text of values as one over the text of a document, whose escapes
+    may stand for any character."""
+    return lambda text: f"({hint(text)} OR contains({text}, {lit(chr(92))}))"
+
+
+def redact_json_text(text: Sql, stage: Stage = pattern_stage, hint: Stage = pattern_hint) -> Sql:
     """struct<value, n, types, entity_types> of a JSON document; text that is not JSON is
     redacted as plain text.
 
-    ``stage`` redacts one text, ``hint`` is a cheap condition for it to change anything.
+    ``stage`` redacts one text, ``hint`` is a cheap condition on the whole document for it
+    to change anything.
     """
-    # An escape may stand for a character of a pattern.
-    worth_it = f"({hint(text)} OR contains({text}, {lit(chr(92))}))"
     nothing = struct(value=text, n="0", types=NO_TYPES, entity_types=NO_TYPES)
-    return when((worth_it, _redact_document(text, stage, stage(text))), other=nothing)
+    return when((hint(text), _redact_document(text, stage, stage(text))), other=nothing)

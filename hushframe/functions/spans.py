@@ -182,23 +182,24 @@ def redact_matches(text: Sql, rules: Sequence[tuple[str, str]], allowed: Sql) ->
     two rules overlap the one that begins first counts, and of two that begin together
     that of the earlier rule.  Kinds come one per redaction, from the last match to the first.
     """
-    combined, groups = rules[0][1], [0]
+    combined, groups = rules[0][1], []
     if len(rules) > 1:
-        combined, groups, at = "|".join(f"({p})" for _, p in rules), [], 1
-        for _, pattern in rules:
+        combined, at = "|".join(f"({p})" for _, p in rules), 1
+        for _, pattern in rules[:-1]:  # what none of these has found is the last one's
             groups.append(at)
             at += 1 + capturing_groups(pattern)
-    found = {f"m{i}": f"regexp_extract_all({text}, {lit(combined)}, {g})" for i, g in enumerate(groups)}
-    if len(rules) > 1:
-        found["m"] = f"regexp_extract_all({text}, {lit(combined)}, 0)"
-    else:
-        found = {"m": found["m0"]}
+    found = {
+        name: f"regexp_extract_all({text}, {lit(combined)}, {g})"
+        for name, g in [("m", 0), *((f"m{i}", g) for i, g in enumerate(groups))]
+    }
     scanned = struct(gaps=f"split({text}, {lit(combined)}, -1)", **found)
 
     def kind_of(d: Sql, i: Sql) -> Sql:
         if len(rules) == 1:
             return lit(rules[0][0])
-        return when(*[(f"{d}.m{j}[{i}] <> ''", lit(k)) for j, (k, _) in enumerate(rules)])
+        return when(
+            *[(f"{d}.m{j}[{i}] <> ''", lit(k)) for j, (k, _) in enumerate(rules[:-1])], other=lit(rules[-1][0])
+        )
 
     def with_kinds(d: Sql) -> Sql:
         marks = transform_indexed(

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from hushframe.functions import spans as s
 from hushframe.functions.chunks import chunk_text
 from hushframe.functions.detectors import BatchDetector, PatternDetector
-from hushframe.functions.jsontext import redact_json_text
+from hushframe.functions.jsontext import any_escape, redact_json_text
 from hushframe.functions.masks import NO_TYPES, may_hold_pii, redact
 from hushframe.functions.nested import (
     MIRRORS,
@@ -217,7 +217,7 @@ def native_leaf(detector: PatternDetector, allowed: Sql, *, limit: int = CHUNK_B
     def leaf(text: Sql, place: Sql) -> Sql:
         return stage(text)
 
-    leaf.variant = variant_leaf(lambda text: redact_json_text(text, stage, detector.may_match))
+    leaf.variant = variant_leaf(lambda text: redact_json_text(text, stage, any_escape(detector.may_match)))
     return leaf
 
 
@@ -441,4 +441,4 @@ def redact_json_deep(
     def hint(text: Sql) -> Sql:
         return f"({may_hold_pii(text)} OR {detector.may_match(text)})"
 
-    return json_column(df, column, redact_json_text(name(column), stage, hint))
+    return json_column(df, column, redact_json_text(name(column), stage, any_escape(hint)))

@@ -268,3 +268,13 @@ def test_workspace_needs_a_shared_folder(spark, tmp_path):
     unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         workspace(unset, "x")
+
+
+@pytest.mark.parametrize(
+    "value", ["4111\t1111\n1111\r1111", "4111 1111 1111 1111", "a@b.co", "+31\f6 1234 5678", "123-45-6789"]
+)
+def test_escapes_in_documents(spark, value):
+    for doc in (json.dumps([value]), json.dumps([value]).replace("@", "\\u0040").replace("+", "\\u002b")):
+        row = redact_json(spark.createDataFrame([(doc,)], "doc string"), "doc").first()
+        assert row.redaction_count == 1
+        assert json.loads(row.doc) != [value]
