@@ -10,6 +10,7 @@ one and they are divided again.
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -34,7 +35,9 @@ def tokenizer(path: str):
     """Text -> uint32 ids, as the tokenizer file at ``path`` gives without special tokens.
 
     The file's byte-level vocabulary is run by tiktoken, whose ids are the same (a test
-    compares them) at a quarter of the time. Strings like special tokens are plain text.
+    compares them) at a quarter of the time. Its pattern engine fails on a million or more
+    white-space characters in a row; such a text is encoded by the tokenizers library.
+    Strings like special tokens are plain text.
     """
     import json
 
@@ -53,7 +56,22 @@ def tokenizer(path: str):
     coder = tiktoken.Encoding(
         "file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
     )
-    return lambda text: coder.encode_to_numpy(text, disallowed_special=())
+
+    @functools.cache
+    def library():
+        from tokenizers import Tokenizer
+
+        loaded = Tokenizer.from_file(path)
+        loaded.encode_special_tokens = True
+        return loaded
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return coder.encode_to_numpy(text, disallowed_special=())
+        except ValueError:
+            return np.array(library().encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
 
 
 def _bytes_of_symbols() -> dict[str, int]:

@@ -249,6 +249,14 @@ def test_ids_are_those_of_the_tokenizer_file(spark, sf_dir, odd_docs, tokenizer_
         assert encode(text).tolist() == e.ids
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" + " " * 2_000_000 + "b"], ids=["spaces", "lines", "between"])
+def test_long_white_space_is_encoded(tokenizer_path, text):
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(tokenizer_path).encode(text, add_special_tokens=False).ids
+    assert packing.tokenizer(tokenizer_path)(text).tolist() == want
+
+
 def test_divide_is_near_equal():
     rng = random.Random(6)
     sizes = [rng.randrange(1, 300) for _ in range(900)]
