@@ -31,13 +31,14 @@ EVERY = 4
 ADDED = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
 
-def tokenizer(path: str):
+def tokenizer(path: str, *, added: bool = False):
     """Text -> uint32 ids, as the tokenizer file at ``path`` gives without special tokens.
 
     The file's byte-level vocabulary is run by tiktoken, whose ids are the same (a test
     compares them) at a quarter of the time. Its pattern engine fails on a million or more
     white-space characters in a row; such a text is encoded by the tokenizers library.
-    Strings like special tokens are plain text.
+    With ``added`` the file's added tokens are found in a text, as in the library's
+    default settings, and the library encodes such texts too; else they are plain text.
     """
     import json
 
@@ -62,14 +63,18 @@ def tokenizer(path: str):
         from tokenizers import Tokenizer
 
         loaded = Tokenizer.from_file(path)
-        loaded.encode_special_tokens = True
+        loaded.encode_special_tokens = not added
         return loaded
 
+    marks = [t["content"] for t in vocabulary["added_tokens"]] if added else []
+
     def encode(text: str) -> np.ndarray:
-        try:
-            return coder.encode_to_numpy(text, disallowed_special=())
-        except ValueError:
-            return np.array(library().encode(text, add_special_tokens=False).ids, np.uint32)
+        if not any(m in text for m in marks):
+            try:
+                return coder.encode_to_numpy(text, disallowed_special=())
+            except ValueError:
+                pass
+        return np.array(library().encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 
@@ -199,7 +204,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: ``id_col, start, length, ids, doc_tokens, sequence_id, offset``.
 
-    ``ids`` holds the piece's token ids as little-endian unsigned 32-bit integers.
+    ``ids`` holds the piece's token ids as little-endian unsigned 32-bit integers, with
+    the ids of the file's added tokens where a text holds them.
     Pieces of a sequence lie gapless from offset 0. A null or empty text is its end
     token alone. Rows are packed as they come: repeated rows and null ids each give
     pieces of their own, and an empty table gives none. Other columns are not read.
@@ -210,7 +216,7 @@ def pack(
     names = ["id", *ADDED]
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path)
+        encode = tokenizer(path, added=True)
         packer = _Packer(capacity, TaskContext.get().partitionId() << 40)
         rows: list[tuple] = []
         held = 0

@@ -257,6 +257,21 @@ def test_long_white_space_is_encoded(tokenizer_path, text):
     assert packing.tokenizer(tokenizer_path)(text).tolist() == want
 
 
+def test_added_tokens_are_packed_as_the_file_gives_them(spark, tokenizer_path):
+    from tokenizers import Tokenizer
+
+    loaded = Tokenizer.from_file(tokenizer_path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n<|endoftext|", "none", "é<|endoftext|> " * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = {}
+    for r in packing.pack(docs, tokenizer_path).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], bytes(r["ids"]), r["doc_tokens"]))
+    for i, text in enumerate(texts):
+        want = [*loaded.encode(text, add_special_tokens=False).ids, packing.END]
+        assert np.frombuffer(b"".join(p[1] for p in sorted(pieces[i])), "<u4").tolist() == want
+        assert {p[2] for p in pieces[i]} == {len(want)}
+
+
 def test_divide_is_near_equal():
     rng = random.Random(6)
     sizes = [rng.randrange(1, 300) for _ in range(900)]
