@@ -1,19 +1,19 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Examples are a bounded sample of labelled rows. Their terms are words and five-letter
-parts of words; those that a label hangs on (by a confidence bound on the toxic share of
-the examples that hold them) make up the vocabulary, so that the few words that matter
-in a long text aren't lost among thousands that don't. A text's nearest examples are
-found exactly through an inverted index in blocks of examples: the largest weight of a
-term in a block bounds the similarity of all its examples, blocks are visited from the
-highest bound down and the search ends when no bound can beat the neighbours found.
-Neighbours vote with the square of their similarity against a prior, and the vote is
-calibrated on the examples, each without itself.
+parts of words, and all of them make up the vectors. Terms that no label hangs on (by a
+confidence bound on the toxic share of the examples that hold them) are scaled down but
+kept: so the few words that matter in a long text aren't lost among thousands that
+don't, and texts without any such word still find their copies and neighbours. A text is
+compared with every example: by inverted lists for rare terms, and by a matrix product
+for those that many examples hold. Bounds of blocks of examples don't prune here, since a
+whole text shares common terms with every block. Neighbours vote with the square of their
+similarity against a prior, and the vote is calibrated on the examples, each without
+itself.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
@@ -28,11 +28,12 @@ from hushframe.llm import linear
 from hushframe.llm.tables import Batches, named_apart, sliced
 
 EXAMPLES = 12_000  # labelled rows in the index, at most
-VOCABULARY = 5000  # terms, at most
 PART = 5  # letters
 Z = 3.0  # of the confidence bound
-SHARE = 0.5  # least bound of a term's toxic share
-BLOCK = 64  # examples
+SHARE = 0.5  # least bound of a toxic share that a label hangs on
+REST = 0.05  # scale of the other terms
+COMMON = 16  # a term that more than one example in so many holds is common
+TEXTS = 64  # compared at once
 NEIGHBOURS = 16
 PRIOR = 0.1  # votes of the prior against those of neighbours
 REMEMBERED = 200_000  # words of a task
@@ -75,8 +76,8 @@ class Terms(dict):
         return counts
 
 
-def _vocabulary(examples: DataFrame) -> list[tuple[str, int]]:
-    """Terms that a label hangs on, strongest first, with the examples that hold them."""
+def _vocabulary(examples: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All terms of the examples, the examples that hold each, and the scale of each."""
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -97,66 +98,88 @@ def _vocabulary(examples: DataFrame) -> list[tuple[str, int]]:
         .mapInArrow(run, "term string, n long, toxic long")
         .groupBy("term")
         .agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+        .toArrow()
+        .sort_by("term")
     )
-    n, p, zz = F.col("n"), F.col("toxic") / F.col("n"), Z * Z
-    bound = (p + zz / (2 * n) - Z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
-    chosen = (
-        counted.withColumn("bound", bound)
-        .where(F.col("bound") >= SHARE)
-        .orderBy(F.desc("bound"), "term")
-        .limit(VOCABULARY)
-    )
-    return [(r["term"], r["n"]) for r in chosen.collect()]
+    n = counted.column("n").to_numpy().astype(np.float64)
+    p, zz = counted.column("toxic").to_numpy() / n, Z * Z
+    bound = (p + zz / (2 * n) - Z * np.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
+    return counted.column("term").combine_chunks(), n, np.where(bound >= SHARE, 1.0, REST)
+
+
+def inverted(term: np.ndarray, weight: np.ndarray, sizes: np.ndarray, width: int) -> tuple:
+    """Starts of the terms' lists, and the examples and weights (or counts) in them.
+
+    ``term`` and ``weight`` hold the vectors of the examples one behind the other.
+    """
+    by = np.argsort(term, kind="stable")
+    start = np.searchsorted(term, np.arange(width + 1, dtype=np.int32), sorter=by)
+    return start, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[by], weight[by]
 
 
 class Index:
-    """Inverted lists of the examples in blocks, with the largest weight of each block."""
+    """Weights of the examples: a matrix of the common terms, inverted lists of the others."""
 
     def __init__(self, ids: list, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
-        # Examples with the same strongest term lie together, so that bounds are tight.
-        lead = [int(t[np.argmax(w)]) if len(t) else width for t, w in rows]
-        order = sorted(range(len(rows)), key=lambda i: (lead[i], labels[i], len(rows[i][0]), i))
-        self.ids, self.labels = [ids[i] for i in order], labels[order]
-        rows = [rows[i] for i in order]
-        self.blocks = max(1, -(-len(rows) // BLOCK))
-        example = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
-        term = np.concatenate([t for t, _ in rows] + [np.empty(0, np.int64)]).astype(np.int64)
-        weight = np.concatenate([w for _, w in rows] + [np.empty(0)]).astype(np.float64)
-        by = np.lexsort((example, term))
-        self.example, self.weight = example[by].astype(np.int64), weight[by]
-        cell = term[by] * self.blocks + self.example // BLOCK
-        self.start = np.searchsorted(cell, np.arange(width * self.blocks + 1))
-        self.most = np.zeros(width * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(width, self.blocks)
+        term = np.concatenate([t for t, _ in rows] + [np.empty(0, np.int32)]).astype(np.int32)
+        weight = np.concatenate([w for _, w in rows] + [np.empty(0)])
+        self._hold(ids, labels, *inverted(term, weight, np.array([len(t) for t, _ in rows], np.int64), width))
+
+    @classmethod
+    def of(cls, idf: np.ndarray, ids: list, labels: np.ndarray, start: np.ndarray, example: np.ndarray, count: np.ndarray) -> Index:
+        """The index of the counts of terms in examples, as ``inverted`` lists them."""
+        example = example.astype(np.int32)
+        weight = (1 + np.log(count, dtype=np.float64)) * np.repeat(idf, np.diff(start))
+        weight /= np.sqrt(np.bincount(example, weights=weight * weight, minlength=len(ids)))[example]
+        self = cls.__new__(cls)
+        self._hold(ids, labels, start, example, weight)
+        return self
+
+    def _hold(self, ids: list, labels: np.ndarray, start: np.ndarray, example: np.ndarray, weight: np.ndarray):
+        self.ids, self.labels = ids, labels
+        self.start, self.example, self.weight = start, example, weight
+        common = np.flatnonzero(np.diff(start) > len(ids) / COMMON)
+        self.row = np.full(len(start) - 1, -1, np.int32)  # of a common term in the matrix
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), len(ids)))
+        for i, t in enumerate(common.tolist()):
+            a, b = start[t], start[t + 1]
+            self.matrix[i, example[a:b]] = weight[a:b]
+
+    def similarities(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The cosine of each vector with every example."""
+        common = np.zeros((len(vectors), len(self.matrix)))
+        for i, (term, weight) in enumerate(vectors):
+            row = self.row[term]
+            common[i, row[row >= 0]] = weight[row >= 0]
+        out = common @ self.matrix
+        for i, (term, weight) in enumerate(vectors):
+            rare = self.row[term] < 0
+            begin, end = self.start[term[rare]], self.start[term[rare] + 1]
+            if not len(begin):
+                continue
+            lists = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist())]
+            example = np.concatenate([self.example[x] for x in lists])
+            found = np.concatenate([self.weight[x] for x in lists])
+            found *= np.repeat(weight[rare], end - begin)
+            out[i] += np.bincount(example, weights=found, minlength=len(self.ids))
+        # Sums in another order differ by a hair, which must not rank equal examples.
+        return np.round(out, 12)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The ``k`` most similar examples as (similarity, -position), best first; exact.
 
         Examples of similarity 0 aren't neighbours; equal ones go by position.
         """
-        bound = weight @ self.most[term]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable").tolist():
-            # Bounds are sums in another order: a hair is allowed for rounding.
-            if bound[block] <= 0 or len(best) == k and bound[block] < best[0][0] - 1e-9:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(term.tolist(), weight.tolist()):
-                cell = t * self.blocks + block
-                a, b = self.start[cell], self.start[cell + 1]
-                if a < b:
-                    score[self.example[a:b] - block * BLOCK] += w * self.weight[a:b]
-            for at in np.flatnonzero(score).tolist():
-                place = block * BLOCK + at
-                if place == without:
-                    continue
-                found = (float(score[at]), -place)
-                if len(best) < k:
-                    heapq.heappush(best, found)
-                elif found > best[0]:
-                    heapq.heapreplace(best, found)
-        return sorted(best, reverse=True)
+        return self.best(self.similarities([(term, weight)])[0], k, without)
+
+    def best(self, similarity: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
+        if without >= 0:
+            similarity[without] = 0.0
+        least = np.partition(similarity, -k)[-k] if len(similarity) > k else 0.0
+        places = np.flatnonzero((similarity >= least) & (similarity > 0))
+        places = places[np.argsort(-similarity[places], kind="stable")][:k]
+        return [(float(similarity[p]), -p) for p in places.tolist()]
 
     def vote(self, near: list[tuple[float, int]], prior: float) -> float:
         """The log odds of the votes for label 1."""
@@ -177,45 +200,70 @@ def vector(counts: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return term, weight / np.sqrt(weight @ weight)
 
 
+def numbered(names: pa.Array) -> dict[str, int]:
+    return {t: i for i, t in enumerate(names.to_pylist())}
+
+
 def _learn(examples: DataFrame) -> tuple:
-    """Plain values of a model: vocabulary, idf, vectors and labels of examples, prior,
-    slope and shift. At most ``EXAMPLES`` vectors of ``VOCABULARY`` terms."""
-    chosen = _vocabulary(examples)
-    words = {t: i for i, (t, _) in enumerate(chosen)}
+    """Plain values of a model: vocabulary, scaled idf, prior, ids and labels of the
+    examples and their inverted lists. The driver holds them as arrays only."""
+    names, n, scale = _vocabulary(examples)
+    sent = examples.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        known = Terms(words)
-        for batch in sliced(batches):
-            counted = [known.counted(t) for t in batch.column(1).to_pylist()]
+        known = Terms(numbered(sent.value))
+        for batch in sliced(batches, TEXTS):
+            counted = [sorted(known.counted(t).items()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2),
-                 pa.array([list(c.keys()) for c in counted], pa.list_(pa.int64())),
-                 pa.array([list(c.values()) for c in counted], pa.list_(pa.int64()))],
+                 pa.array([np.array([t for t, _ in c], np.int32).tobytes() for c in counted], pa.binary()),
+                 pa.array([np.array([m for _, m in c], np.int32).tobytes() for c in counted], pa.binary())],
                 ["id", "label", "term", "n"],
             )
 
     rows = (
         examples.select(F.col("id").cast("string"), "text", "label")
-        .mapInArrow(run, "id string, label int, term array<long>, n array<long>")
+        .mapInArrow(run, "id string, label int, term binary, n binary")
         .orderBy("id", "label", "term", "n")
-        .collect()
+        .toArrow()
     )
-    idf = np.log(1 + len(rows) / np.array([n for _, n in chosen], np.float64)) if chosen else np.empty(0)
-    vectors = [vector(Counter(dict(zip(r["term"], r["n"]))), idf) for r in rows]
-    labels = np.array([r["label"] for r in rows], np.float64)
-    bare = np.array([not len(t) for t, _ in vectors], bool)
+    sent.destroy()
+    ids, labels = rows.column("id").to_pylist(), rows.column("label").to_numpy().astype(np.float64)
+    idf = np.log(1 + len(ids) / n) * scale
+    sizes = np.array([len(b.as_py()) // 4 for b in rows.column("term")], np.int64)
+    term = np.frombuffer(b"".join(rows.column("term").to_pylist()), np.int32)
+    count = np.frombuffer(b"".join(rows.column("n").to_pylist()), np.int32)
+    del rows
+    start, example, count = inverted(term, count, sizes, len(idf))
+    del term
+    # Small numbers, from which a task makes the weights: they are sent to every executor.
+    lists = start, example.astype(np.min_scalar_type(len(ids))), count.astype(np.min_scalar_type(count.max(initial=0)))
     # A text without any term has the odds of the examples without any.
-    prior = float((labels[bare].sum() + 0.5) / (bare.sum() + 10.0)) if len(rows) else 0.5
-    index = Index([r["id"] for r in rows], labels, vectors, len(idf))
-    slope, shift = 1.0, 0.0
-    if len(set(labels.tolist())) == 2:
-        lead = {i: p for p, i in enumerate(index.ids)}
-        raw = [
-            index.vote(index.nearest(t, w, NEIGHBOURS, lead[r["id"]]) if len(t) else [], prior)
-            for r, (t, w) in zip(rows, vectors)
-        ]
-        slope, shift = linear.calibrate(np.array(raw), labels)
-    return words, idf, [r["id"] for r in rows], labels, vectors, prior, slope, shift
+    bare = sizes == 0
+    prior = float((labels[bare].sum() + 0.5) / (bare.sum() + 10.0)) if ids else 0.5
+    return names, idf, prior, ids, labels, *lists
+
+
+def _calibrated(examples: DataFrame, sent) -> tuple[float, float]:
+    """Slope and shift of the votes, fitted to the examples, each without itself."""
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        names, idf, prior, *parts = sent.value
+        index, known = Index.of(idf, *parts), Terms(numbered(names))
+        place = {i: p for p, i in enumerate(index.ids)}
+        for batch in sliced(batches, TEXTS):
+            found = index.similarities([vector(known.counted(t), idf) for t in batch.column(1).to_pylist()])
+            own = [place[i] for i in batch.column(0).to_pylist()]
+            raw = [index.vote(index.best(f, NEIGHBOURS, p), prior) for f, p in zip(found, own)]
+            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), batch.column(2)], ["raw", "label"])
+
+    votes = (
+        examples.select(F.col("id").cast("string"), "text", "label")
+        .mapInArrow(run, "raw double, label int")
+        .toArrow()
+        .sort_by([("raw", "ascending"), ("label", "ascending")])
+    )
+    return linear.calibrate(votes.column("raw").to_numpy(), votes.column("label").to_numpy().astype(np.float64))
 
 
 def score(
@@ -233,20 +281,21 @@ def score(
     """
     named_apart(id_col, RESULT)
     taught = labels.where(~held_out(F.col(id_col)))
-    sent = docs.sparkSession.sparkContext.broadcast(
-        _learn(linear.sample(docs, taught, id_col, text_col, label, rows))
-    )
+    examples = linear.sample(docs, taught, id_col, text_col, label, rows)
+    sent = docs.sparkSession.sparkContext.broadcast(_learn(examples))
+    both = len(set(sent.value[4].tolist())) == 2
+    slope, shift = _calibrated(examples, sent) if both else (1.0, 0.0)
     id_type = docs.schema[id_col].dataType.simpleString()
     near_type = pa.list_(pa.struct([("id", pa.string()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        words, idf, ids, y, vectors, prior, slope, shift = sent.value
-        index, known = Index(ids, y, vectors, len(idf)), Terms(words)
-        for batch in sliced(batches):
+        names, idf, prior, *parts = sent.value
+        index, known = Index.of(idf, *parts), Terms(numbered(names))
+        for batch in sliced(batches, TEXTS):
             logits, evidence = [], []
-            for text in batch.column(1).to_pylist():
-                counts = known.counted(text)
-                near = index.nearest(*vector(counts, idf), NEIGHBOURS) if counts else []
+            vectors = [vector(known.counted(t), idf) for t in batch.column(1).to_pylist()]
+            for similarity in index.similarities(vectors):
+                near = index.best(similarity, NEIGHBOURS)
                 logits.append(slope * index.vote(near, prior) + shift)
                 evidence.append(
                     [{"id": index.ids[-p], "similarity": s, "label": int(index.labels[-p])} for s, p in near]

@@ -161,6 +161,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert rows_of(got.select("doc_id", "score")) == rows_of(again.select("doc_id", "score"))
 
 
+def test_toxicity_finds_copies_without_words_of_the_class(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=30))) for i in range(200)]
+    toxic = {i for i in range(200) if i % 40 == 7 and not brute.held_out(i)}
+    copied = {next(j for j in range(1000 + 50 * i, 1050 + 50 * i) if brute.held_out(j)): i for i in toxic}
+    docs = spark.createDataFrame(rows + [(j, rows[i][1]) for j, i in copied.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, None, int(i in toxic)) for i, _ in rows], LABELS)
+    assert toxic
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels).collect()}
+    for j, i in copied.items():
+        first = got[j]["evidence"][0]
+        assert first["id"] == str(i) and math.isclose(first["similarity"], 1.0)
+        assert got[j]["score"] > max(r["score"] for k, r in got.items() if k not in toxic and k not in copied)
+
+
 def test_toxicity_on_odd_rows(spark, odd, odd_docs, nothing):
     labels = spark.createDataFrame([(i, None, i % 2) for i in range(20)] + [(None, 1, 1), (6, 0, 1)], LABELS)
     got = toxicity.score(odd, labels).collect()
