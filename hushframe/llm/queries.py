@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import decontamination, licenses, packing, quality_rules, quality_sites, sharding, simhash, substrings, toxicity, warc
+from hushframe.llm import (
+    decontamination,
+    divergence,
+    fillmiddle,
+    licenses,
+    packing,
+    quality_rules,
+    quality_sites,
+    sharding,
+    simhash,
+    substrings,
+    tokencounts,
+    toxicity,
+    warc,
+)
 from hushframe.llm.tables import read, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +115,22 @@ def op7_quality_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fillmiddle.transform(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fillmiddle.restored(), 256).alias("restored_sha256"),
+    )
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
