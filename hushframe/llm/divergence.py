@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from hushframe.llm.tables import Batches, sliced, staged
 MIN_DOCS = 3
 UNIT = 1_000_000_000
 TERM_RANKS = 200
+LARGE = 9_000_000_000  # times UNIT is just below the range of a long
 SHARD = 16_384  # terms of a shard, on average
 SHARD_BYTES = 4 << 20
 BROADCAST = 32 << 20  # bytes of the broadcast hashes, as a Python worker holds them
@@ -142,7 +144,8 @@ def perfect_hashes(kept: DataFrame, bound: int = BROADCAST) -> DataFrame:
     """
     marked = kept.withColumn("dense", F.col("docs") >= least_docs(kept, bound))
     most = F.greatest(F.ceil(F.count("*") / SHARD), F.ceil(F.sum(_cost()) / SHARD_BYTES))
-    sizes = marked.groupBy("lang", "dense").agg(most.cast("long").alias("shards"))
+    # Written first, so that the planner knows whether it is small enough to broadcast.
+    sizes = staged(marked.groupBy("lang", "dense").agg(most.cast("long").alias("shards")), "sizes")
     cut = marked.join(sizes, ["lang", "dense"]).withColumn(
         "shard", F.shiftrightunsigned(F.xxhash64("term"), 1) % F.col("shards")
     )
@@ -223,18 +226,16 @@ def recount(inputs: DataFrame, dense: Broadcast, others: bool) -> DataFrame:
                 )
                 rest.clear()
 
-        for batch in sliced(batches):
-            counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for part in terms(text):
-                    counts[lang][source].update(part)
+        def resolve() -> None:
+            """Adds the counts by word to the pages, and to ``rest`` what has no slot."""
             for lang, sources in counts.items():
                 found = slots[lang].of(list(set().union(*sources.values()))) if lang in slots else {}
                 for source, words in sources.items():
-                    at = np.fromiter((found.get(w, -1) for w in words), np.int64, len(words))
+                    at = np.fromiter(map(found.get, words, repeat(-1)), np.int64, len(words))
                     n = np.fromiter(words.values(), np.int64, len(words))
                     if others:
-                        rest.update({(lang, source, w): c for (w, c), s in zip(words.items(), at.tolist()) if s < 0})
+                        named = list(words)
+                        rest.update({(lang, source, w := named[i]): words[w] for i in np.flatnonzero(at < 0).tolist()})
                     known = np.flatnonzero(at >= 0)
                     known = known[np.argsort(at[known])]
                     at, n = at[known], n[known]
@@ -244,8 +245,23 @@ def recount(inputs: DataFrame, dense: Broadcast, others: bool) -> DataFrame:
                         if key not in pages:
                             pages[key] = np.zeros(PAGE, np.int64)
                         pages[key][at[a:b] % PAGE] += n[a:b]
-                    if len(pages) > PAGES or len(rest) > HELD:
-                        yield from flush()
+            counts.clear()
+
+        counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
+        held = 0
+        for batch in sliced(batches, 128):
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
+                mine = counts[lang][source]
+                held -= len(mine)
+                for part in terms(text):
+                    mine.update(part)
+                held += len(mine)
+            if held > HELD:
+                resolve()
+                held = 0
+                if len(pages) > PAGES or len(rest) > HELD:
+                    yield from flush()
+        resolve()
         yield from flush()
 
     return inputs.select("lang", "source", "text").mapInArrow(run, _COUNTS)
@@ -275,13 +291,16 @@ def slot_terms(found: DataFrame) -> DataFrame:
 
 
 def _share(n: str, total: str) -> Column:
-    """1 + floor(UNIT * (n + 1) / (total + V))."""
-    return F.expr(f"1 + (CAST({UNIT} AS DECIMAL(38,0)) * ({n} + 1)) div ({total} + kept)")
+    """1 + floor(UNIT * (n + 1) / (total + V)); in decimals where the product could leave a long."""
+    return F.expr(
+        f"1 + CASE WHEN {n} < {LARGE} THEN ({UNIT}L * ({n} + 1)) div ({total} + kept) "
+        f"ELSE (CAST({UNIT} AS DECIMAL(38,0)) * ({n} + 1)) div ({total} + kept) END"
+    )
 
 
 def _shares(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """The same on arrays; in Python integers where a product could leave the range of a long."""
-    if counts.size and int(counts.max()) >= 9_000_000_000:
+    if counts.size and int(counts.max()) >= LARGE:
         exact = 1 + UNIT * (counts.astype(object) + 1) // totals.astype(object)
         return exact.astype(np.int64)
     return 1 + UNIT * (counts + 1) // totals
@@ -376,15 +395,19 @@ def audit(
     items = groups.select("lang", F.col("idx").alias("b"), F.col("source").alias("item"))
     pairs = _pairs(counts, groups).join(names, ["lang", "a"]).join(items, ["lang", "b"])
 
-    of_lang = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"))
-    in_lang = counts.groupBy("lang", "slot").agg(F.sum("n").alias("lang_n"))
+    of_lang = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.max("kept").alias("kept"))
+    in_lang = (
+        counts.groupBy("lang", "slot").agg(F.sum("n").alias("lang_n")).join(of_lang, "lang")
+        .join(slot_terms(found), ["lang", "slot"])
+        .select("lang", "slot", F.col("term").alias("item"), _share("lang_n", "lang_total").alias("q"))
+    )
     shares = (
-        counts.join(in_lang, ["lang", "slot"]).join(slot_terms(found), ["lang", "slot"])
-        .join(groups.select("lang", "source", "total", "kept"), ["lang", "source"])
-        .join(of_lang, "lang")
-        .select("lang", "source", F.col("term").alias("item"), _share("n", "total").alias("p"), _share("lang_n", "lang_total").alias("q"))
+        counts.join(groups.select("lang", "source", "total", "kept"), ["lang", "source"])
+        .select("lang", "source", "slot", _share("n", "total").alias("p"))
+        .join(in_lang, ["lang", "slot"])
     )
-    above = shares.where("p > q").withColumn("value", F.expr("((p - q) * (p - q)) div q"))
+    value = F.expr("((p - q) * (p - q)) div q").alias("value")
+    above = shares.where("p > q").select("lang", "source", "item", value)
 
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
 
