@@ -274,11 +274,10 @@ def term_counts(inputs: DataFrame, found: DataFrame) -> DataFrame:
     summed = F.sum("n").alias("n")
     if not others:
         return counted.groupBy("lang", "source", "slot").agg(summed)
-    counted = staged(counted, "recount")
-    sent = counted.where("slot IS NOT NULL").groupBy("lang", "source", "slot").agg(summed)
-    rest = counted.where("slot IS NULL").groupBy("lang", "source", "term").agg(summed)
-    joined = rest.join(slot_terms(found.where("NOT dense")), ["lang", "term"])
-    return sent.unionByName(joined.select("lang", "source", "slot", "n"))
+    counted = staged(counted.groupBy("lang", "source", "slot", "term").agg(summed), "recount")
+    sent = counted.where("slot IS NOT NULL").select("lang", "source", "slot", "n")
+    rest = counted.where("slot IS NULL").drop("slot").join(slot_terms(found.where("NOT dense")), ["lang", "term"])
+    return sent.unionByName(rest.select("lang", "source", "slot", "n"))
 
 
 def slot_terms(found: DataFrame) -> DataFrame:
@@ -395,19 +394,19 @@ def audit(
     items = groups.select("lang", F.col("idx").alias("b"), F.col("source").alias("item"))
     pairs = _pairs(counts, groups).join(names, ["lang", "a"]).join(items, ["lang", "b"])
 
-    of_lang = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.max("kept").alias("kept"))
-    in_lang = (
-        counts.groupBy("lang", "slot").agg(F.sum("n").alias("lang_n")).join(of_lang, "lang")
-        .join(slot_terms(found), ["lang", "slot"])
-        .select("lang", "slot", F.col("term").alias("item"), _share("lang_n", "lang_total").alias("q"))
-    )
+    of_lang = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"))
+    in_lang = F.sum("n").over(Window.partitionBy("lang", "slot"))
     shares = (
-        counts.join(groups.select("lang", "source", "total", "kept"), ["lang", "source"])
-        .select("lang", "source", "slot", _share("n", "total").alias("p"))
-        .join(in_lang, ["lang", "slot"])
+        counts.withColumn("lang_n", in_lang)
+        .join(groups.select("lang", "source", "total", "kept"), ["lang", "source"])
+        .join(of_lang, "lang")
+        .select("lang", "source", "slot", _share("n", "total").alias("p"), _share("lang_n", "lang_total").alias("q"))
     )
     value = F.expr("((p - q) * (p - q)) div q").alias("value")
-    above = shares.where("p > q").select("lang", "source", "item", value)
+    above = (
+        shares.where("p > q").select("lang", "source", "slot", value)
+        .join(slot_terms(found).withColumnRenamed("term", "item"), ["lang", "slot"])
+    )
 
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
 
