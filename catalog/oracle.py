@@ -693,6 +693,33 @@ ORACLE["redact_deep_long_lines"] = _recursive(
 docs AS (SELECT k, value AS text FROM m), {_whole('docs')}, {_entities()}, {_applied()}""",
     _DEEP_SELECT.replace("m.k AS doc_id", "m.k AS text_id"),
 )
+ORACLE["detect_entities_long_lines"] = f"""WITH chunks AS (
+  SELECT 'spaces:' || doc_id AS k, 0 AS chunk_idx, replace(text, chr(10), ' ') AS text FROM documents
+  UNION ALL SELECT 'none:' || doc_id, 0, replace(replace(text, chr(10), ' '), ' ', '-') FROM documents), {_entities()}
+SELECT k AS text_id, type, b AS begin, e AS "end" FROM ents"""
+ORACLE["redact_deep_narrow_kinds"] = _recursive(_deep(_RULES[:1]), _DEEP_SELECT)
+# Overlapping spans as islands: a span begins one if all before it, by begin and rule, have ended.
+ORACLE["apply_spans_overlap"] = _recursive(
+    f"""{_DOC_CHUNKS}, {_entities((("NAME", r"\b[A-Z][a-z]+ [a-z]+\b"), ("ADDRESS", "[a-z]+ [a-z]+[.]")))},
+led AS (
+  SELECT *, coalesce(max(e) OVER (PARTITION BY k, chunk_idx ORDER BY b, ordinal
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ents),
+islanded AS (
+  SELECT *, sum(CASE WHEN b >= before THEN 1 ELSE 0 END) OVER (PARTITION BY k, chunk_idx ORDER BY b, ordinal
+    ROWS UNBOUNDED PRECEDING) AS island FROM led),
+islands AS (
+  SELECT k, chunk_idx, island, arg_min(type, ordinal) FILTER (WHERE b >= before) AS type, min(b) AS b, max(e) AS e
+  FROM islanded GROUP BY k, chunk_idx, island),
+parts AS (
+  SELECT i.k, i.chunk_idx, i.b, i.e, substr(c.text, lag_e + 1, i.b - lag_e) || '[REDACTED:' || type || ']' AS part
+  FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY k, chunk_idx ORDER BY b), 0) AS lag_e FROM islands) i
+    JOIN chunks c USING (k, chunk_idx)),
+heads AS (
+  SELECT k, chunk_idx, string_agg(part, '' ORDER BY b) AS head, max(e) AS last_e, count(*) AS n
+  FROM parts GROUP BY k, chunk_idx)""",
+    "SELECT c.k AS doc_id, c.chunk_idx, CASE WHEN n IS NULL THEN c.text ELSE head || substr(c.text, last_e + 1) END AS text, "
+    "coalesce(n, 0) AS redaction_count FROM chunks c LEFT JOIN heads h ON h.k = c.k AND h.chunk_idx = c.chunk_idx",
+)
 ORACLE["redact_json_deep"] = _recursive(
     _deep(),
     "SELECT m.k AS doc_id, w.value AS text, n_chars AS n, true AS key_kept, m.n + w.n AS redaction_count, "

@@ -580,6 +580,51 @@ def detect_entities(spark, sf_dir):
     return _document_entities(spark, sf_dir).select("doc_id", *_entity_columns())
 
 
+@query
+def detect_entities_long_lines(spark, sf_dir):
+    """Entities of texts whose lines are longer than a chunk, by their place in the text."""
+    one_line = F.replace("text", F.lit("\n"), F.lit(" "))
+    texts = v.documents(spark, sf_dir).select(
+        F.explode(
+            F.array(
+                F.struct(F.concat(F.lit("spaces:"), F.col("doc_id").cast("string")).alias("text_id"), one_line.alias("text")),
+                F.struct(
+                    F.concat(F.lit("none:"), F.col("doc_id").cast("string")).alias("text_id"),
+                    F.replace(one_line, F.lit(" "), F.lit("-")).alias("text"),
+                ),
+            )
+        ).alias("t")
+    ).select("t.*")
+    chunks = entities.chunk_rows(texts, "text_id", ["text"])
+    found = entities.detect_entities(chunks, v.RULES, "text_id")
+    placed = found.join(chunks.select("text_id", "chunk_idx", "start"), ["text_id", "chunk_idx"])
+    return placed.select(
+        "text_id", "type", *[(F.col("start") + F.col(c)).cast("long").alias(c) for c in ("begin", "end")]
+    )
+
+
+@query
+def redact_deep_narrow_kinds(spark, sf_dir):
+    """One kind of three is allowed; the others hide none of it, though they overlap."""
+    overlapping = AnyDetector(PatternDetector("DATE_TIME", LEFT + r"[0-9]{1,3}\.[0-9]{1,3}"), v.RULES)
+    docs = v.documents(spark, sf_dir).select("doc_id", "text")
+    done = entities.redact_deep(docs, ["text"], detector=overlapping, types=["IP_ADDRESS"])
+    return done.select("doc_id", "text", count(), kinds())
+
+
+@query
+def apply_spans_overlap(spark, sf_dir):
+    """Overlapping spans of a chunk become one placeholder; nothing of any span survives."""
+    pairs = AnyDetector(
+        PatternDetector("NAME", LEFT + "[A-Z][a-z]+ [a-z]+" + RIGHT), PatternDetector("ADDRESS", "[a-z]+ [a-z]+[.]")
+    )
+    chunks = entities.chunk_rows(v.documents(spark, sf_dir), "doc_id", ["text"])
+    found = chunks.withColumn("spans", F.expr(pairs.spans_of("text")))
+    return entities.redact_chunk_rows(found).select(
+        "doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "text", count()
+    )
+
+
 @query
 def apply_spans(spark, sf_dir):
     return _redacted_chunks(spark, sf_dir).select(

@@ -15,21 +15,22 @@ cut.
 
 from __future__ import annotations
 
-from hushframe.functions.patterns import CHUNK_BYTES
+from hushframe.functions.patterns import CHUNK_BYTES, HALO_BYTES
 from hushframe.functions.sqltext import (
     Sql,
     aggregate,
     empty,
     let,
     lit,
+    scan,
     struct,
     transform,
     transform_indexed,
     when,
+    zip_with,
 )
 
 _CHUNK = "struct<text:string,sep:string,start:int>"
-_PIECE = "struct<text:string,sep:string,off:int>"
 _NEWLINE = "char(10)"
 _NOTHING = "''"
 
@@ -67,40 +68,45 @@ def cut_line(line: Sql, limit: int = CHUNK_BYTES, *, words: bool = True) -> Sql:
         steps = f"sequence(1, cast(2 * ceil({size} / {limit - 3}) AS int))"
 
         def take(state: Sql, _: Sql) -> Sql:
-            def with_piece(p: Sql) -> Sql:
-                piece = struct(
-                    text=f"{p}.text",
-                    sep=when((f"{state}.pos + {p}.width >= {size}", _NEWLINE), other="''"),
-                    off=f"{state}.off",
-                )
-                return struct(
-                    done=f"array_append({state}.done, {piece})",
-                    pos=f"{state}.pos + {p}.width",
-                    off=f"{state}.off + length({p}.text)",
-                )
-
             def behind_space(text: Sql) -> Sql:
                 head = f"regexp_extract({text}, {lit(_TO_SPACE)}, 0)"
                 more = f"{state}.pos + octet_length({text}) < {size}"
                 return let(
                     when((more, head), other="''"),
-                    lambda h: when((f"{h} <> ''", h), other=text),
+                    lambda h: f"octet_length({when((f'{h} <> ' + _NOTHING, h), other=text)})",
                 )
 
-            fits = let(
-                _cut_width(data, f"{state}.pos", limit),
-                lambda w: f"cast(substring({data}, {state}.pos + 1, {w}) AS string)",
-            )
+            width = _cut_width(data, f"{state}.pos", limit)
+            if words:
+                fits = let(width, lambda w: f"cast(substring({data}, {state}.pos + 1, {w}) AS string)")
+                width = let(fits, behind_space)
             cut = let(
-                let(fits, behind_space) if words else fits,
-                lambda t: struct(width=f"octet_length({t})", text=t),
-            )
-            return when(
-                (f"{state}.pos >= {size}", state), other=let(cut, with_piece)
+                f"{state}.pos + {width}", lambda end: struct(ends=f"array_append({state}.ends, {end})", pos=end)
             )
+            return when((f"{state}.pos >= {size}", state), other=cut)
+
+        # A fold copies its state at every step, so it holds places only, no texts.
+        ends = aggregate(steps, struct(ends=empty("int"), pos="0"), take, lambda s: f"{s}.ends")
+        return let(ends, lambda es: let(texts(data, es), lambda ts: placed(ts)))
+
+    def texts(data: Sql, ends: Sql) -> Sql:
+        def text(end: Sql, i: Sql) -> Sql:
+            before = f"coalesce(get({ends}, {i} - 1), 0)"
+            return f"cast(substring({data}, {before} + 1, {end} - {before}) AS string)"
+
+        return transform_indexed(ends, text)
+
+    def placed(found: Sql) -> Sql:
+        offs = scan(transform(found, lambda t: f"length({t})"), lambda a, b: f"{a} + {b}")
 
-        zero = struct(done=empty(_PIECE), pos="0", off="0")
-        return aggregate(steps, zero, take, lambda s: f"{s}.done")
+        def piece(t: Sql, off: Sql) -> Sql:
+            return struct(text=t, sep=_NOTHING, off=off)
+
+        return let(zip_with(found, offs, piece), closed)
+
+    def closed(ps: Sql) -> Sql:
+        last = struct(text=f"element_at({ps}, -1).text", sep=_NEWLINE, off=f"element_at({ps}, -1).off")
+        return f"concat(slice({ps}, 1, size({ps}) - 1), array({last}))"
 
     return let(f"cast({line} AS binary)", pieces)
 
@@ -114,36 +120,45 @@ def _pack(text: Sql, limit: int) -> Sql:
             other=f"array({struct(text=line, sep=_NEWLINE, off='0')})",
         ),
     )
-    zero = struct(
-        done=empty(_CHUNK),
-        cur="cast(NULL AS string)",  # null: no chunk open yet
-        sep="''",
-        start="0",
-        pos="0",
-    )
 
-    def close(state: Sql, sep: Sql) -> Sql:
-        chunk = struct(text=f"{state}.cur", sep=sep, start=f"{state}.start")
-        return f"array_append({state}.done, {chunk})"
+    def open_at(state: Sql, piece: Sql) -> Sql:
+        """The places of pieces that open a chunk; ``size`` is that of the open chunk."""
+        opens = f"({state}.at = 0 OR {state}.size + octet_length({piece}.text) > {limit})"
+        own = f"octet_length({piece}.text) + octet_length({piece}.sep)"
+        return struct(
+            opening=when((opens, f"array_append({state}.opening, {state}.at)"), other=f"{state}.opening"),
+            size=when((opens, own), other=f"{state}.size + {own}"),
+            at=f"{state}.at + 1",
+        )
 
-    def add(state: Sql, piece: Sql) -> Sql:
-        full = (
-            f"octet_length({state}.cur) + octet_length({state}.sep)"
-            f" + octet_length({piece}.text) > {limit}"
+    def joined(ps: Sql) -> Sql:
+        zero = struct(opening=empty("int"), size="0", at="0")
+        return let(
+            aggregate(ps, zero, open_at, lambda s: f"{s}.opening"),
+            lambda opening: let(transform_indexed(opening, lambda a, i: chunk(ps, opening, a, i)), started),
         )
-        opens = f"{state}.cur IS NULL OR {full}"
-        return struct(
-            done=when((full, close(state, f"{state}.sep")), other=f"{state}.done"),
-            cur=when(
-                (opens, f"{piece}.text"),
-                other=f"concat({state}.cur, {state}.sep, {piece}.text)",
+
+    def chunk(ps: Sql, opening: Sql, a: Sql, i: Sql) -> Sql:
+        end = f"coalesce(get({opening}, {i} + 1), size({ps}))"
+        return let(
+            f"slice({ps}, {a} + 1, {end} - {a})",
+            lambda own: struct(
+                text=f"concat(array_join({transform(f'slice({own}, 1, size({own}) - 1)', _whole)}, ''), "
+                f"element_at({own}, -1).text)",
+                sep=when((f"{end} = size({ps})", _NOTHING), other=f"element_at({own}, -1).sep"),
             ),
-            sep=f"{piece}.sep",
-            start=when((opens, f"{state}.pos"), other=f"{state}.start"),
-            pos=f"{state}.pos + length({piece}.text) + length({piece}.sep)",
         )
 
-    return aggregate(f"flatten({pieces})", zero, add, lambda s: close(s, "''"))
+    def started(cs: Sql) -> Sql:
+        lengths = transform(cs, lambda c: f"length({c}.text) + length({c}.sep)")
+        starts = scan(lengths, lambda a, b: f"{a} + {b}")
+        return zip_with(cs, starts, lambda c, at: struct(text=f"{c}.text", sep=f"{c}.sep", start=at))
+
+    return let(f"flatten({pieces})", joined)
+
+
+def _whole(piece: Sql) -> Sql:
+    return f"concat({piece}.text, {piece}.sep)"
 
 
 def _pack_parity(text: Sql, limit: int) -> Sql:
@@ -227,3 +242,31 @@ def reassemble(chunks: Sql) -> Sql:
     """Text of a chunk array: every chunk followed by its separator."""
     parts = transform(chunks, lambda c: f"concat({c}.text, {c}.sep)")
     return f"array_join({parts}, '')"
+
+
+def _halo(text: Sql, side: str) -> Sql:
+    """At most ``HALO_BYTES`` of a text from its left or right end."""
+    return let(
+        f"{side}({text}, {HALO_BYTES})",
+        lambda h: when((f"octet_length({h}) <= {HALO_BYTES}", h), other=f"{side}({h}, {HALO_BYTES // 4})"),
+    )
+
+
+def with_halos(chunks: Sql) -> Sql:
+    """Chunks with the ends of their neighbours, ``before`` and ``after``.
+
+    Two neighbours on a side hold more than a chunk's limit together.
+    """
+
+    def with_neighbours(c: Sql, i: Sql) -> Sql:
+        def whole(at: Sql) -> Sql:
+            return f"coalesce(concat(get({chunks}, {at}).text, get({chunks}, {at}).sep), '')"
+
+        before = f"concat({whole(f'{i} - 2')}, {whole(f'{i} - 1')})"
+        after = f"concat({c}.sep, {whole(f'{i} + 1')}, {whole(f'{i} + 2')})"
+        return struct(
+            text=f"{c}.text", sep=f"{c}.sep", start=f"{c}.start",
+            before=_halo(before, "right"), after=_halo(after, "left"),
+        )
+
+    return transform_indexed(chunks, with_neighbours)

@@ -14,9 +14,13 @@ from hushframe.functions.masks import NO_TYPES, may_hold_pii, redact
 from hushframe.functions.sqltext import (
     Sql,
     aggregate,
+    exists,
     let,
     lit,
+    scan,
     struct,
+    transform,
+    transform_indexed,
     when,
     zip_with,
 )
@@ -79,57 +83,86 @@ def pattern_stage(text: Sql) -> Sql:
 
 def _redact_literal(literal: Sql, after: Sql, stage: Stage) -> Sql:
     nothing = struct(value=literal, n="0", types=NO_TYPES, entity_types=NO_TYPES)
-    hit = let(
-        _decode(literal),
-        lambda text: let(
-            stage(text),
-            lambda r: struct(
-                value=when((f"{r}.n > 0", _encode(f"{r}.value")), other=literal),
-                n=f"{r}.n",
-                types=f"{r}.types",
-                entity_types=f"{r}.entity_types",
-            ),
+    redacted = lambda text: let(
+        stage(text),
+        lambda r: struct(
+            value=when((f"{r}.n > 0", _encode(f"{r}.value")), other=literal),
+            n=f"{r}.n",
+            types=f"{r}.types",
+            entity_types=f"{r}.entity_types",
         ),
     )
+    # Null where the parser gives up on a literal, as on one of more than 20 MB.
+    hit = let(_decode(literal), lambda text: when((f"{text} IS NOT NULL", redacted(text))))
     return when((f"{after} RLIKE {lit(_KEY_AHEAD)}", nothing), other=hit)
 
 
-# What is left of a document has its literals written as one mark, then every value,
-# literals among them, as another.
+# What is left of a document has its literals written as one mark, and every other value,
+# and every array or object that has been accepted, as another.
 _LITERAL_MARK = "\ufdd2"
 _VALUE_MARK = "\ufdd3"
-_VALUE = r"true|false|null|-?[0-9]++(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|" + _LITERAL_MARK
-_W = r"[ \t\r\n]*+"
-_ONLY = rf"^[ \t\r\n{{}}\[\],:{_VALUE_MARK}]*+$"
-_OPENS = rf"[{_VALUE_MARK}{{\[]"
-_MISPLACED = (
-    rf"[{_VALUE_MARK}\]}}]{_W}{_OPENS}|[{{\[,:]{_W}[,:]|[,:]{_W}[\]}}]|"
-    rf"\{{{_W}{_OPENS}{_W}[^: \t\r\n]"
-)
+_VALUE = r"true|false|null|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"
+_ANY = f"[{_LITERAL_MARK}{_VALUE_MARK}]"
+_PAIR = f"{_LITERAL_MARK}:{_ANY}"
+# An array or object that holds no other. Possessive, so that no repetition recurses.
+_FLAT = rf"\{{(?:{_PAIR}(?:,{_PAIR})*+)?+\}}|\[(?:{_ANY}(?:,{_ANY})*+)?+\]"
+# Levels that are replaced one by one before the depth of what is left is counted.
+_ROUNDS = 4
+# What no string literal may hold: control characters, unknown escapes (``\\\\`` and ``\\"``
+# are hidden).
+_BAD_LITERAL = r"[\x00-\x1F]|\\(?![/bfnrt]|u[0-9a-fA-F]{4})"
+
+
+def _is_document(doc: Sql) -> Sql:
+    """Whether gaps and literals are those of a JSON text, as its grammar has it.
+
+    Alike at any length and depth: after a few rounds that replace innermost arrays and
+    objects by a value, what is left is sorted by depth, see ``_accepted``.
+    """
+    marks = f"[{_LITERAL_MARK}{_VALUE_MARK}]"
+    skeleton = f"regexp_replace(array_join({doc}.gaps, {lit(_LITERAL_MARK)}), {lit(_VALUE)}, {lit(_VALUE_MARK)})"
+    skeleton = f"regexp_replace({skeleton}, {lit('[ ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'n]++')}, '')"
+    for _ in range(_ROUNDS):
+        skeleton = f"regexp_replace({skeleton}, {lit(_FLAT)}, {lit(_VALUE_MARK)})"
+    accepted = let(
+        skeleton, lambda s: when((f"length({s}) <= 1", f"{s} RLIKE {lit('^' + _ANY + '$')}"), other=_accepted(s))
+    )
+    foreign = f"array_join({doc}.gaps, '') RLIKE {lit(marks)}"
+    bad = exists(f"{doc}.literals", lambda x: f"{x} RLIKE {lit(_BAD_LITERAL)}")
+    return f"({accepted} AND NOT {foreign} AND NOT {bad})"
 
 
-def _is_document(gaps: Sql) -> Sql:
-    """Whether the text between literals is that of a JSON array or object.
+def _accepted(skeleton: Sql) -> Sql:
+    """Whether marks, brackets, commas and colons are nested and placed as in JSON.
 
-    Judged by the text itself, alike at any length and depth: only values and marks, none
-    of them side by side or missing, and brackets that even out.
+    Each character is put at the depth of the array or object it belongs to, and each of
+    these, as a value, also at the depth around it. Sorted by depth, in the order of the
+    text, the characters then spell one array or object after the other, none with another
+    inside, which a pattern can judge.
     """
 
-    def judge(rest: Sql) -> Sql:
-        even = " AND ".join(
-            f"length(replace({rest}, {lit(a)}, '')) = length(replace({rest}, {lit(b)}, ''))"
-            for a, b in (("{", "}"), ("[", "]"))
-        )
-        return (
-            f"({rest} RLIKE {lit(_ONLY)} AND NOT {rest} RLIKE {lit(_MISPLACED)}"
-            f" AND trim(BOTH ' \t\r\n' FROM {rest}) RLIKE {lit('^' + _OPENS)} AND {even})"
-        )
+    def put(chars: Sql) -> Sql:
+        steps = transform(chars, lambda c: when((f"{c} IN ('{{', '[')", "1"), (f"{c} IN ('}}', ']')", "-1"), other="0"))
+        depths = scan(steps, lambda a, b: f"{a} + {b}")
+        at = zip_with(chars, depths, lambda c, d: struct(c=c, d=d))
+        return f"flatten({transform_indexed(at, placed)})"
+
+    def placed(x: Sql, i: Sql) -> Sql:
+        def item(depth: Sql, c: Sql) -> Sql:
+            return struct(depth=depth, place=i, c=c)
 
-    return let(f"regexp_replace(array_join({gaps}, {lit(_LITERAL_MARK)}), {lit(_VALUE)}, {lit(_VALUE_MARK)})", judge)
+        own = item(f"{x}.d", f"{x}.c")
+        opened = f"array({item(f'{x}.d', lit(_VALUE_MARK))}, {item(f'{x}.d + 1', f'{x}.c')})"
+        return when((f"{x}.c IN ('{{', '[')", opened), other=f"array({own})")
+
+    spelled = let(
+        f"regexp_extract_all({skeleton}, {lit('(?s).')}, 0)", lambda cs: f"array_join(array_sort({put(cs)}).c, '')"
+    )
+    return f"{spelled} RLIKE {lit(f'^{_ANY}(?:{_FLAT})*+$')}"
 
 
-def _redact_document(text: Sql, stage: Stage, plain: Sql) -> Sql:
-    """struct<value, n, types, entity_types>; ``plain`` where the text is no document."""
+def _redact_document(text: Sql, stage: Stage) -> Sql:
+    """struct<value, n, types, entity_types>; null where the text is no document."""
 
     def split(hidden: Sql) -> Sql:
         return let(
@@ -137,7 +170,7 @@ def _redact_document(text: Sql, stage: Stage, plain: Sql) -> Sql:
                 gaps=f"split({hidden}, {lit(_LITERAL)}, -1)",
                 literals=f"regexp_extract_all({hidden}, {lit(_LITERAL)}, 0)",
             ),
-            lambda doc: when((_is_document(f"{doc}.gaps"), redact_values(doc)), other=plain),
+            lambda doc: when((_is_document(doc), redact_values(doc))),
         )
 
     def redact_values(doc: Sql) -> Sql:
@@ -147,7 +180,8 @@ def _redact_document(text: Sql, stage: Stage, plain: Sql) -> Sql:
             f"slice({doc}.gaps, 2, size({doc}.gaps))",
             lambda x, after: _redact_literal(x, after, stage),
         )
-        return let(followed, lambda rs: collect(doc, rs))
+        lost = lambda r: f"{r} IS NULL"
+        return let(followed, lambda rs: when((f"NOT {exists(rs, lost)}", collect(doc, rs))))
 
     def collect(doc: Sql, rs: Sql) -> Sql:
         pieces = zip_with(f"{doc}.gaps", rs, lambda g, r: f"array({g}, {r}.value)")
@@ -191,4 +225,4 @@ def redact_json_text(text: Sql, stage: Stage = pattern_stage, hint: Stage = patt
     to change anything.
     """
     nothing = struct(value=text, n="0", types=NO_TYPES, entity_types=NO_TYPES)
-    return when((hint(text), _redact_document(text, stage, stage(text))), other=nothing)
+    return when((hint(text), f"coalesce({_redact_document(text, stage)}, {stage(text)})"), other=nothing)

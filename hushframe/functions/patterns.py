@@ -76,5 +76,6 @@ ENTITY_TYPES = (
 
 # Size limits.
 CHUNK_BYTES = 4500
+HALO_BYTES = 250  # of its surroundings that a detector sees on each side of a chunk
 MAX_INPUT_CHARS = 500
 TRUNCATION_MARK = "...[truncated]"

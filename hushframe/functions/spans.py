@@ -19,6 +19,7 @@ from hushframe.functions.sqltext import (
     filter_,
     let,
     lit,
+    scan,
     struct,
     transform,
     transform_indexed,
@@ -76,7 +77,7 @@ def apply_spans(text: Sql, ordered: Sql) -> Sql:
     """Replace spans in the given (descending) order by ``[REDACTED:TYPE]``.
 
     Overlapping spans are spliced with their original offsets, as observed in the
-    original tool.
+    original tool; ``united_spans`` leaves none.
     """
     return aggregate(
         ordered,
@@ -88,6 +89,34 @@ def apply_spans(text: Sql, ordered: Sql) -> Sql:
     )
 
 
+def united_spans(spans: Sql, size: Sql) -> Sql:
+    """Spans in ascending order, overlapping ones as one of the kind that begins first.
+
+    Ends are cut to the ``size`` of the text; spans that end before they begin drop out.
+    """
+    inside = filter_(spans, lambda s: f"{s}.`end` >= {s}.begin AND {s}.begin >= 0 AND {s}.begin <= {size}")
+    keyed = transform_indexed(
+        inside,
+        lambda s, i: struct(begin=f"{s}.begin", ordinal=i, type=f"{s}.type", end=f"least({s}.`end`, {size})"),
+    )
+    zero = struct(done=NO_SPANS, type="cast(NULL AS string)", begin="-1", end="-1")
+
+    def kept(state: Sql) -> Sql:
+        span = struct(type=f"{state}.type", begin=f"{state}.begin", end=f"{state}.`end`")
+        return when((f"{state}.begin >= 0", f"array_append({state}.done, {span})"), other=f"{state}.done")
+
+    def step(state: Sql, x: Sql) -> Sql:
+        joins = f"{x}.begin < {state}.`end`"
+        return struct(
+            done=when((joins, f"{state}.done"), other=kept(state)),
+            type=when((joins, f"{state}.type"), other=f"{x}.type"),
+            begin=when((joins, f"{state}.begin"), other=f"{x}.begin"),
+            end=when((joins, f"greatest({state}.`end`, {x}.`end`)"), other=f"{x}.`end`"),
+        )
+
+    return aggregate(f"array_sort({keyed})", zero, step, kept)
+
+
 def redact_chunks(text: Sql, chunks: Sql, spans: Sql, allowed: Sql) -> Sql:
     """Entity stage for one text: struct<value, n, types>.
 
@@ -150,89 +179,108 @@ def pattern_spans(text: Sql, pattern: str, type_: str) -> Sql:
 
 # --- matches of a whole text ---------------------------------------------------
 
+def _places(rule: Sql) -> Sql:
+    """Byte places of the matches of one rule: array<struct<begin, rank, end>>.
 
-def capturing_groups(pattern: str) -> int:
-    """Capturing groups of a Java pattern."""
-    n, i, inside = 0, 0, 0
-    while i < len(pattern):
-        c = pattern[i]
-        if pattern.startswith("\\Q", i):
-            i = pattern.find("\\E", i)
-            if i < 0:
-                break
-            i += 1
-        elif c == "\\":
-            i += 1
-        elif c == "[":
-            inside += 1
-        elif c == "]" and inside:
-            inside -= 1
-        elif c == "(" and not inside:
-            named = pattern.startswith("(?<", i) and pattern[i + 3 : i + 4] not in ("=", "!")
-            n += named or not pattern.startswith("(?", i)
-        i += 1
-    return n
-
-
-def redact_matches(text: Sql, rules: Sequence[tuple[str, str]], allowed: Sql) -> Sql:
-    """All matches of ``(kind, pattern)`` rules in a text: struct<value, n, types, matches>.
-
-    The text is read as a whole, in one pass for its gaps and one per rule, and joined
-    again from gaps and placeholders: no offsets, linear in the text.  Where matches of
-    two rules overlap the one that begins first counts, and of two that begin together
-    that of the earlier rule.  Kinds come one per redaction, from the last match to the first.
+    ``rule`` has its ``rank``, its ``matches`` and the ``gaps`` between them. In bytes, as
+    cutting a binary takes time by the length of the cut, cutting a string by its place.
     """
-    combined, groups = rules[0][1], []
-    if len(rules) > 1:
-        combined, at = "|".join(f"({p})" for _, p in rules), 1
-        for _, pattern in rules[:-1]:  # what none of these has found is the last one's
-            groups.append(at)
-            at += 1 + capturing_groups(pattern)
+    pairs = zip_with(
+        f"slice({rule}.gaps, 1, size({rule}.matches))",
+        f"{rule}.matches",
+        lambda g, m: struct(gap=f"octet_length({g})", width=f"octet_length({m})"),
+    )
+
+    def placed(ps: Sql) -> Sql:
+        before = scan(transform(ps, lambda p: f"{p}.gap + {p}.width"), lambda a, b: f"{a} + {b}")
+        begin = lambda b, p: f"{b} + {p}.gap"
+        return zip_with(
+            before, ps, lambda b, p: struct(begin=begin(b, p), rank=f"{rule}.rank", end=f"{begin(b, p)} + {p}.width")
+        )
+
+    return let(pairs, placed)
+
+
+def redact_matches(text: Sql, rules: Sequence[tuple[str, str, str]], allowed: Sql) -> Sql:
+    """All matches of ``(kind, pattern, hint)`` rules in a text: struct<value, n, types>.
+
+    Rules of kinds that are not allowed are not looked for, so they hide nothing. Each other
+    rule whose hint holds is matched over the whole text by itself, in two scans. Where only
+    one rule matches, the text is joined again from gaps and placeholders. Else what
+    overlapping matches cover together becomes one placeholder, of the kind that begins
+    first, and of two that begin together that of the earlier rule. Kinds come one per
+    placeholder, from the last to the first.
+    """
+    kinds = f"array({', '.join(lit(r[0]) for r in rules)})"
     found = {
-        name: f"regexp_extract_all({text}, {lit(combined)}, {g})"
-        for name, g in [("m", 0), *((f"m{i}", g) for i, g in enumerate(groups))]
+        f"m{i}": when(
+            (
+                f"array_contains({allowed}, {lit(kind)}) AND {text} RLIKE {lit(hint)}",
+                f"regexp_extract_all({text}, {lit(pattern)}, 0)",
+            ),
+            other=empty("string"),
+        )
+        for i, (kind, pattern, hint) in enumerate(rules)
     }
-    scanned = struct(gaps=f"split({text}, {lit(combined)}, -1)", **found)
 
-    def kind_of(d: Sql, i: Sql) -> Sql:
-        if len(rules) == 1:
-            return lit(rules[0][0])
-        return when(
-            *[(f"{d}.m{j}[{i}] <> ''", lit(k)) for j, (k, _) in enumerate(rules[:-1])], other=lit(rules[-1][0])
+    def alone(matches: Sql, kind: str, pattern: str) -> Sql:
+        return struct(
+            value=f"array_join(split({text}, {lit(pattern)}, -1), {lit(f'[REDACTED:{kind}]')})",
+            n=f"size({matches})",
+            types=f"array_repeat({lit(kind)}, size({matches}))",
         )
 
-    def with_kinds(d: Sql) -> Sql:
-        marks = transform_indexed(
-            f"{d}.m",
-            lambda m, i: let(
-                kind_of(d, i),
-                lambda k: when(
-                    (f"array_contains({allowed}, {k})", struct(text=f"concat('[REDACTED:', {k}, ']')", kind=k)),
-                    other=struct(text=m, kind="cast(NULL AS string)"),
-                ),
-            ),
+    def together(ms: Sql) -> Sql:
+        scanned = ", ".join(
+            struct(
+                rank=str(i),
+                matches=f"{ms}.m{i}",
+                gaps=when((f"size({ms}.m{i}) > 0", f"split({text}, {lit(pattern)}, -1)"), other=empty("string")),
+            )
+            for i, (_, pattern, _) in enumerate(rules)
         )
-        return let(marks, lambda ms: finish(d, ms))
+        placed = f"flatten({transform(f'array({scanned})', _places)})"
 
-    def finish(d: Sql, marks: Sql) -> Sql:
-        parts = zip_with(f"{d}.gaps", marks, lambda g, m: f"concat({g}, coalesce({m}.text, ''))")
-        return let(
-            f"array_compact({marks}.kind)",
-            lambda ks: struct(
-                value=when((f"size({ks}) > 0", f"array_join({parts}, '')"), other=text),
-                n=f"size({ks})",
-                types=f"reverse({ks})",
-                matches=f"size({marks})",
-            ),
+        def heads(x: Sql) -> Sql:
+            # A place begins a placeholder if all before it have ended.
+            ends = scan(f"{x}.ps.`end`", lambda a, b: f"greatest({a}, {b})")
+            paired = zip_with(
+                f"{x}.ps", ends, lambda p, e: struct(begin=f"{p}.begin", rank=f"{p}.rank", after=e)
+            )
+            first = filter_(paired, lambda h: f"{h}.begin >= {h}.after")
+            return let(first, lambda hs: joined(hs, f"{x}.data", f"array_max({x}.ps.`end`)"))
+
+        return let(struct(ps=f"array_sort({placed})", data=f"cast({text} AS binary)"), heads)
+
+    def joined(hs: Sql, data: Sql, end: Sql) -> Sql:
+        parts = transform(
+            hs,
+            lambda h: f"concat(cast(substring({data}, {h}.after + 1, {h}.begin - {h}.after) AS string), "
+            f"'[REDACTED:', {kinds}[{h}.rank], ']')",
+        )
+        tail = f"cast(substring({data}, {end} + 1, octet_length({data})) AS string)"
+        return struct(
+            value=f"concat(array_join({parts}, ''), {tail})",
+            n=f"size({hs})",
+            types=f"reverse({transform(hs, lambda h: f'{kinds}[{h}.rank]')})",
         )
 
-    return let(scanned, with_kinds)
+    def choose(ms: Sql) -> Sql:
+        none = [f"size({ms}.m{i}) = 0" for i in range(len(rules))]
+        cases = [(" AND ".join(none), struct(value=text, n="0", types=NO_TYPES))]
+        for i, (kind, pattern, _) in enumerate(rules):
+            others = none[:i] + none[i + 1 :]
+            cases.append((" AND ".join(others) or "true", alone(f"{ms}.m{i}", kind, pattern)))
+        return when(*cases, other=together(ms) if len(rules) > 1 else "NULL")
+
+    return let(struct(**found), choose)
 
 
 # --- spans of a whole row -----------------------------------------------------
 #
 # All spans of one row from a joined table travel in a flat array of "hits", whether
-# the row is one text or a record.
+# the row is one text or a record. This is the observed behaviour, chunk by chunk; else
+# hits are applied to whole texts (``detectors.apply_hits``).
 
 HIT = "struct<path:string,chunk_idx:int,ordinal:int,type:string,begin:int,end:int>"
 NO_HITS = empty(HIT)

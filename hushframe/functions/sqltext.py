@@ -100,3 +100,37 @@ def let(value: Sql, body: Callable[[Sql], Sql]) -> Sql:
     """
     v = var("v")
     return f"transform(array({value}), {v} -> {body(v)})[0]"
+
+
+# Elements of a block of ``scan``.
+_BLOCK = 64
+
+
+def scan(numbers: Sql, op: Callable[[Sql, Sql], Sql], zero: str = "0") -> Sql:
+    """For each number, ``op`` over all before it.
+
+    A fold copies its state at every step, so one that collects n items costs n squared.
+    Here blocks are folded, then their totals, and each block is shifted by the total
+    before it.
+    """
+
+    def folded(values: Sql) -> Sql:
+        start = struct(acc=zero, out=empty("int"))
+        step = lambda s, x: struct(acc=op(f"{s}.acc", x), out=f"array_append({s}.out, {s}.acc)")
+        return aggregate(values, start, step)
+
+    def joined(blocks: Sql) -> Sql:
+        return let(
+            folded(f"{blocks}.acc"),
+            lambda carry: f"flatten({zip_with(f'{blocks}.out', f'{carry}.out', shifted)})",
+        )
+
+    def shifted(out: Sql, before: Sql) -> Sql:
+        return transform(out, lambda v: op(before, v))
+
+    def blocks(values: Sql) -> Sql:
+        starts = f"sequence(0, (size({values}) - 1) div {_BLOCK})"
+        parts = transform(starts, lambda b: folded(f"slice({values}, cast({b} AS int) * {_BLOCK} + 1, {_BLOCK})"))
+        return when((f"size({values}) > 0", let(parts, joined)), other=empty("int"))
+
+    return let(numbers, blocks)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushframe.functions.detectors import PatternDetector
+from hushframe.functions.detectors import PatternDetector, apply_hits
 from hushframe.functions.masks import NO_TYPES
 from hushframe.functions.masks import counts as kind_counts
 from hushframe.functions.nested import Leaf, escaped, field, pattern_leaf
@@ -140,11 +140,22 @@ def _two_stages(
         )
         shown = out.where("stage2").select(*keys, F.expr(texts).alias(column))
         chunks = chunk_rows(shown, keys, [column], parity=parity)
-        out = join_hits(out, chunks, entities, keys)
-        hits = hits_leaf("_hits", "entity_types", parity=parity)
+        out = join_hits(out, chunks, entities, keys, parity=parity)
+        if parity:
+            hits = hits_leaf("_hits", "entity_types", parity=True)
 
-        def from_table(text: Sql, place: Sql) -> Sql:
-            return hits(text, f"concat({lit(escaped(column) + '[')}, {place}, {lit('].text')})")
+            def from_table(text: Sql, place: Sql) -> Sql:
+                return hits(text, f"concat({lit(escaped(column) + '[')}, {place}, {lit('].text')})")
+
+        else:
+            asked = when(("size(_hits) > 0", transform(texts, lambda b: f"{b}.text")))
+            kind = T.ArrayType(T.StringType())
+            out = compute(out, _found=asked).withColumn(
+                "_found", apply_hits(F.col("_found"), F.col("_hits"), F.col("entity_types"), kind)
+            )
+
+            def from_table(text: Sql, place: Sql) -> Sql:
+                return found_leaf(text, f"get(_found, cast({place} AS int))")
 
         second = _rewrite_blocks("_first.block", fields, wanted, from_table)
         out = compute(out, _second=second)
@@ -169,7 +180,7 @@ def _two_stages(
             texts = compute(out, _found=asked)
             kind = T.ArrayType(T.StringType())
             out = texts.withColumn(
-                "_found", detector.mirrored(F.col("_found"), F.col("entity_types"), kind)
+                "_found", detector.mirrored(F.col("_found"), F.col("entity_types"), kind, parity=parity)
             )
 
             def leaf(text: Sql, place: Sql) -> Sql:

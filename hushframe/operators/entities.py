@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushframe.functions import spans as s
-from hushframe.functions.chunks import chunk_text
+from hushframe.functions import detectors as d
+from hushframe.functions.chunks import chunk_text, with_halos
 from hushframe.functions.detectors import BatchDetector, PatternDetector
 from hushframe.functions.jsontext import any_escape, redact_json_text
 from hushframe.functions.masks import NO_TYPES, may_hold_pii, redact
@@ -29,7 +30,7 @@ from hushframe.functions.nested import (
     variant_leaf,
 )
 from hushframe.functions.patterns import CHUNK_BYTES
-from hushframe.functions.sqltext import Sql, empty, let, lit, name, struct, when
+from hushframe.functions.sqltext import Sql, empty, filter_, let, lit, name, struct, transform, when
 from hushframe.operators.redact import (
     COUNT,
     TYPES,
@@ -43,9 +44,6 @@ from hushframe.operators.redact import (
     walk_table,
 )
 
-# Parts into which the entities of one key are spread.
-SALTS = 16
-
 Detector = PatternDetector | BatchDetector
 Allowed = Sequence[str] | None
 
@@ -70,17 +68,33 @@ def chunk_rows(
     limit: int = CHUNK_BYTES,
     parity: bool = False,
 ) -> DataFrame:
-    """One row per chunk: key, path, chunk_idx, text, sep, start."""
+    """One row per chunk: key, path, chunk_idx, text, sep, start, before, after, leaf, size.
+
+    ``before`` and ``after`` are the ends of the text beside the chunk, for detectors;
+    ``leaf`` is the place of the chunk's text among the row's texts, ``size`` its length.
+    With ``parity`` chunks are looked at one by one, as the original tool did.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     columns = text_columns(df, columns, keys)
-    leaves = df.select(*keys, F.inline(F.expr(row_leaves(df, columns))))
+    # A text's size is taken before its chunks are rows: none of them then carries the text.
+    leaves = df.select(*keys, F.posexplode(F.expr(row_leaves(df, columns))).alias("leaf", "_leaf")).select(
+        *keys, "_leaf.path", "leaf", F.length("_leaf.text").alias("size"), F.col("_leaf.text").alias("_text")
+    )
+
+    def shown(chunks: Sql) -> Sql:
+        if not parity:
+            return with_halos(chunks)
+        return transform(
+            chunks, lambda c: struct(text=f"{c}.text", sep=f"{c}.sep", start=f"{c}.start", before="''", after="''")
+        )
+
     return leaves.select(
         *keys,
         "path",
-        F.posexplode(F.expr(chunk_text("text", limit, parity=parity))).alias(
-            "chunk_idx", "_chunk"
-        ),
-    ).select(*keys, "path", "chunk_idx", "_chunk.text", "_chunk.sep", "_chunk.start")
+        "leaf",
+        "size",
+        F.posexplode(F.expr(let(chunk_text("_text", limit, parity=parity), shown))).alias("chunk_idx", "_chunk"),
+    ).select(*keys, "path", "chunk_idx", "_chunk.*", "leaf", "size")
 
 
 def detect_entities(
@@ -88,6 +102,11 @@ def detect_entities(
 ) -> DataFrame:
     """Entities of chunk rows: key, path, chunk_idx, ordinal, type, begin, end.
 
+    A detector sees a chunk with its surroundings, up to ``HALO_BYTES`` on each side. A
+    chunk owns the entities that begin in it; their offsets count from its begin, and an
+    end may lie behind its end. Of an entity that reaches further than a halo the next chunk
+    gives the rest, with a negative begin: both are united where they are applied.
+
     A Python detector runs over Arrow batches of chunks, which bounds a batch to
     its number of rows times the chunk limit.
     """
@@ -103,16 +122,31 @@ def detect_entities(
             ("end", T.IntegerType()),
         ):
             schema = schema.add(name, kind)
-        texts = chunks.where(detector.may_match("text"))
-        return texts.select(*head, "text").mapInPandas(detector.rows(keys), schema)
-    found = F.expr(detector.spans_of("text"))
+        texts = chunks.where(detector.may_match(_SHOWN))
+        return texts.select(*head, "text", "before", "after").mapInPandas(detector.rows(keys), schema)
+    off = "length(before)"
+
+    def counted(spans: Sql) -> Sql:
+        moved = transform(
+            spans, lambda x: struct(type=f"{x}.type", begin=f"{x}.begin - {off}", end=f"{x}.`end` - {off}")
+        )
+        cut = "length(text) + length(sep)"
+        here = lambda x: f"({x}.begin >= 0 AND ({x}.begin < {cut} OR after = ''))"
+        rest = lambda x: f"({x}.begin = -{off} AND {x}.begin < 0 AND {x}.`end` > 0)"
+        return filter_(moved, lambda x: f"{here(x)} OR {rest(x)}")
+
+    found = F.expr(let(detector.spans_of(_SHOWN), counted))
     return (
-        chunks.where(detector.may_match("text"))
+        chunks.where(detector.may_match(_SHOWN))
         .select(*head, F.posexplode(found).alias("ordinal", "_span"))
         .select(*head, "ordinal", "_span.type", "_span.begin", "_span.end")
     )
 
 
+# A chunk with its surroundings.
+_SHOWN = "concat(before, text, after)"
+
+
 def entity_filter(entities: DataFrame, types: Allowed = None) -> DataFrame:
     """Entities of an allowed kind whose offsets are known; the filter reaches the scan."""
     kinds = s.ENTITY_TYPES if types is None else types
@@ -131,30 +165,18 @@ def prefilter(texts: DataFrame, entities: DataFrame, key: str | Sequence[str]) -
     return texts.join(entities.select(*keys).distinct(), keys, "left_semi")
 
 
-def _drop_orphans(
-    entities: DataFrame, rows: DataFrame, on: list[str], *, inside: bool = False
-) -> DataFrame:
-    """Entities that belong to a known row, in one pass over them.
-
-    A key that no row has (a sentinel, say) may hold any share of the entities,
-    and must not reach the grouping.  The semi join runs on key and salt: that
-    spreads such a key, and as grouping by the key then needs its own shuffle in
-    any case, adaptive execution is free to split a skewed partition further.
-    Only the narrow key columns of the rows are repeated, once per salt.  With
-    ``inside`` an entity must also lie within the row's ``_size`` characters.
+def _inside(entities: DataFrame, chunks: DataFrame, on: list[str]) -> DataFrame:
+    """Entities of known chunks that lie in their text, with the chunk's ``start`` and ``leaf``.
+
+    A key that no chunk has (a sentinel, say) may hold any share of the entities and must
+    not reach a grouping. Both sides of the join are plain, and what follows groups by other
+    expressions than the join's keys and so has a shuffle of its own: adaptive execution is
+    free to split a skewed partition of the join.
     """
-    salt = F.pmod(F.xxhash64("path", "chunk_idx", "ordinal"), F.lit(SALTS))
-    wanted = rows.select(
-        *on, *(["_size"] if inside else []), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    )
-    salted = entities.withColumn("_salt", salt.cast("int"))
-    if not inside:
-        return salted.join(wanted, [*on, "_salt"], "left_semi").drop("_salt")
-    met = F.lit(True)
-    for c in [*on, "_salt"]:
-        met = met & (salted[c] == wanted[c])
-    met = met & (salted["begin"] >= 0) & (salted["end"] <= wanted["_size"])
-    return salted.join(wanted, met, "left_semi").drop("_salt")
+    places = chunks.select(*on, "start", "leaf", F.col("size").alias("_size"))
+    joined = entities.select(*on, "ordinal", "type", "begin", "end").join(places, on)
+    begin, end = F.col("start") + F.col("begin"), F.col("start") + F.col("end")
+    return joined.where((begin >= 0) & (begin <= end) & (end <= F.col("_size"))).drop("_size")
 
 
 def entities_to_chunks(
@@ -162,16 +184,17 @@ def entities_to_chunks(
 ) -> DataFrame:
     """Chunk rows with their entities as ``spans`` (empty where there are none).
 
-    Orphans (entities of no known chunk) are dropped before they are grouped, and
-    copies of an entity count once; what is left of a group is bounded by its chunk.
+    Entities of no known chunk, and those whose offsets lie outside its text, are dropped
+    before they are grouped, and copies of an entity count once; what is left of a group is
+    bounded by its chunk.
     """
     keys = [key] if isinstance(key, str) else list(key)
     on = [*keys, "path", "chunk_idx"]
-    known = _drop_orphans(entities, chunks, on)
-    grouped = known.groupBy(*on).agg(
-        F.array_sort(
-            F.collect_set(F.struct("ordinal", "type", "begin", "end"))
-        ).alias("spans")
+    at = F.struct(*on).alias("_at")
+    span = F.struct("ordinal", "type", "begin", "end")
+    grouped = (
+        _inside(entities, chunks, on).groupBy(at).agg(F.array_sort(F.collect_set(span)).alias("spans"))
+        .select(*[F.col("_at")[c].alias(c) for c in on], "spans")
     )
     empty = F.array().cast(
         "array<struct<ordinal:int,type:string,begin:int,end:int>>"
@@ -184,8 +207,13 @@ def entities_to_chunks(
 def redact_chunk_rows(
     chunks: DataFrame, types: Allowed = None, *, spans: str = "spans"
 ) -> DataFrame:
-    """Apply the spans of each chunk row to its text; adds count and kinds."""
-    ordered = s.spans_desc(s.relevant_spans(spans, s.allowed_types(types)))
+    """Apply the spans of each chunk row to its text; adds count and kinds.
+
+    Overlapping spans become one placeholder. A span that reaches over the end of its chunk
+    is cut there; ``redact_with_entities`` replaces it whole.
+    """
+    united = s.united_spans(s.relevant_spans(spans, s.allowed_types(types)), "length(text)")
+    ordered = f"reverse({united})"
     applied = when(
         ("size(_ordered) > 0", s.apply_spans("text", "_ordered")), other="text"
     )
@@ -255,7 +283,10 @@ def walk_detected(
     # Texts are kept as columns of a generator: a Python stage would compute them again.
     texts = compute(df, **{h: mirror(name(c), kinds[c], asked) for h, c in zip(helpers, columns)})
     found = texts.withColumns(
-        {h: detector.mirrored(F.col(h), F.expr(allowed), kinds[c], limit=limit) for h, c in zip(helpers, columns)}
+        {
+            h: detector.mirrored(F.col(h), F.expr(allowed), kinds[c], limit=limit, parity=parity)
+            for h, c in zip(helpers, columns)
+        }
     )
     places = dict(zip(columns, helpers))
     values, n, first, second = walk_table(found, columns, found_leaf, places, MIRRORS)
@@ -275,38 +306,36 @@ def join_hits(
     entities: DataFrame,
     key: str | Sequence[str],
     types: Allowed = None,
+    *,
+    parity: bool = False,
 ) -> DataFrame:
     """Add ``_hits`` from an entity table keyed by row key, path and chunk.
 
     ``chunks`` are the chunk rows of ``df``.  The key must identify a row of ``df``, and
     the ordinal an entity of its chunk: copies of an entity, as a repeated detector run
-    writes them, count once, also before they are shuffled for grouping.  Null keys never
-    match.  Entities of no known chunk, and those whose offsets lie outside it, are
-    dropped before anything is grouped; what is left of a group is bounded by the texts
-    of its row.
+    writes them, count once.  Null keys never match.  Entities of no known chunk, and those
+    whose offsets lie outside its text, are dropped before anything is grouped; what is
+    left of a group is bounded by the texts of its row. Offsets in ``_hits`` are those of
+    the text; with ``parity`` those of the chunk, which its spans must not leave.
     """
     keys = [key] if isinstance(key, str) else list(key)
     on = [*keys, "path", "chunk_idx"]
     wanted = entity_filter(entities, types)  # reaches the scan of the table
     for k in keys:
         wanted = wanted.where(F.col(k).isNotNull())
-    sizes = chunks.select(*on, F.length("text").alias("_size"))
-    known = _drop_orphans(wanted, sizes, on, inside=True)
-    spans = known.select(
-        *keys,
-        F.struct(
-            F.col("path"),
-            F.col("chunk_idx").cast("int").alias("chunk_idx"),
-            F.col("ordinal").cast("int").alias("ordinal"),
-            F.col("type"),
-            F.col("begin").cast("int").alias("begin"),
-            F.col("end").cast("int").alias("end"),
-        ).alias("_hit"),
-    )
+    first = F.lit(0) if parity else F.col("start")
+    if parity:
+        chunks = chunks.withColumns({"start": F.lit(0), "size": F.length("text")})
+    hit = {
+        **({"path": F.col("path")} if parity else {"leaf": F.col("leaf").cast("int")}),
+        **{c: F.col(c).cast("int") for c in ("chunk_idx", "ordinal")},
+        "type": F.col("type"),
+        **{c: (F.col(c) + first).cast("int") for c in ("begin", "end")},
+    }
+    spans = _inside(wanted, chunks, on).select(*keys, F.struct(*[v.alias(c) for c, v in hit.items()]).alias("_hit"))
     grouped = spans.groupBy(*keys).agg(F.collect_set("_hit").alias("_hits"))
-    return df.join(grouped, keys, "left").withColumn(
-        "_hits", F.expr(f"coalesce(_hits, {s.NO_HITS})")
-    )
+    nothing = s.NO_HITS if parity else empty(d.HIT)
+    return df.join(grouped, keys, "left").withColumn("_hits", F.expr(f"coalesce(_hits, {nothing})"))
 
 
 def apply_hits(
@@ -317,9 +346,30 @@ def apply_hits(
     limit: int = CHUNK_BYTES,
     parity: bool = False,
 ) -> DataFrame:
-    """Apply ``_hits`` to the texts of ``columns``; adds count and kinds."""
-    leaf = s.hits_leaf("_hits", s.allowed_types(types), limit=limit, parity=parity)
-    return _totalled(*walk_table(df, columns, leaf)).drop("_hits")
+    """Apply ``_hits`` to the texts of ``columns``; adds count and kinds.
+
+    ``columns`` are those of the chunk rows, in the same order. Texts of rows without hits
+    do not leave the JVM.
+    """
+    allowed = s.allowed_types(types)
+    if parity:
+        leaf = s.hits_leaf("_hits", allowed, limit=limit, parity=True)
+        return _totalled(*walk_table(df, columns, leaf)).drop("_hits")
+    if not columns:
+        return df.withColumns({COUNT: F.lit(0), TYPES: F.expr(NO_TYPES)}).drop("_hits")
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    record, *helpers = helper_names(df, 1 + len(columns), "found")
+    fields = [f"c{i}" for i in range(len(columns))]
+    kind = T.StructType([T.StructField(f, kinds[c]) for f, c in zip(fields, columns)])
+    parts = ", ".join(
+        f"{mirror(name(c), kinds[c], lambda text: f'cast({text} AS string)')} AS {f}" for f, c in zip(fields, columns)
+    )
+    # Texts are kept as a column of a generator: a Python stage would compute them again.
+    asked = compute(df, **{record: when(("size(_hits) > 0", f"struct({parts})"))})
+    found = asked.withColumn(record, d.apply_hits(F.col(record), F.col("_hits"), F.expr(allowed), kind))
+    found = found.withColumns({h: F.col(record)[f] for h, f in zip(helpers, fields)})
+    values, n, first, second = walk_table(found, columns, found_leaf, dict(zip(columns, helpers)), MIRRORS)
+    return _totalled(values, n, first, second).drop(record, *helpers, "_hits")
 
 
 # --- whole operators --------------------------------------------------------
@@ -354,7 +404,7 @@ def redact_with_entities(
     keys = [key] if isinstance(key, str) else list(key)
     df, columns = aside(df, text_columns(df, include, keys))
     chunks = chunk_rows(df, keys, columns, limit=limit, parity=parity)
-    found = join_hits(df, chunks, entities, keys, types)
+    found = join_hits(df, chunks, entities, keys, types, parity=parity)
     return apply_hits(found, columns, types, limit=limit, parity=parity)
 
 
@@ -392,7 +442,7 @@ def redact_deep(
         done = walk_detected(first, columns, detector, types, **options)
     else:
         chunks = chunk_rows(first, keys, columns, **options)
-        done = apply_hits(join_hits(first, chunks, entities, keys, types), columns, types, **options)
+        done = apply_hits(join_hits(first, chunks, entities, keys, types, parity=parity), columns, types, **options)
     if entities is not None and masked_keys:
         done = redact_keys(done, masked_keys, n1, types1)
     return done.withColumns(
