@@ -229,7 +229,11 @@ def recount(inputs: DataFrame, dense: Broadcast, others: bool) -> DataFrame:
         def resolve() -> None:
             """Adds the counts by word to the pages, and to ``rest`` what has no slot."""
             for lang, sources in counts.items():
-                found = slots[lang].of(list(set().union(*sources.values()))) if lang in slots else {}
+                found = known_slots[lang]
+                if lang in slots:
+                    new = [w for w in set().union(*sources.values()) if w not in found]
+                    found.update(dict.fromkeys(new, -1))
+                    found.update(slots[lang].of(new))
                 for source, words in sources.items():
                     at = np.fromiter(map(found.get, words, repeat(-1)), np.int64, len(words))
                     n = np.fromiter(words.values(), np.int64, len(words))
@@ -245,8 +249,12 @@ def recount(inputs: DataFrame, dense: Broadcast, others: bool) -> DataFrame:
                         if key not in pages:
                             pages[key] = np.zeros(PAGE, np.int64)
                         pages[key][at[a:b] % PAGE] += n[a:b]
+                if len(found) > HELD:
+                    found.clear()
             counts.clear()
 
+        # Slots of words that the hashes were asked for, with bounded memory.
+        known_slots: dict[str, dict[bytes, int]] = defaultdict(dict)
         counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
         held = 0
         for batch in sliced(batches, 128):
