@@ -39,22 +39,28 @@ def sigmoid(x):
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, rows: int = SAMPLE) -> DataFrame:
-    """``id, text, label``: at most ``rows`` labelled documents, chosen by a hash of the id.
+    """``id, text, label``: one row for each of at most ``rows`` labelled ids of ``docs``.
 
-    Ids without a label of 0 or 1, or with both, are left out.
+    Ids are chosen by their hash among those that ``docs`` holds. Ids without a label of
+    0 or 1, or with both, are left out; of an id's rows the one of the least text stands.
     """
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("id"))
         .agg(F.min(label).alias("label"), F.max(label).alias("most"))
         .where("label = most")
+    )
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # Distinct ids before the join: an id of many rows meets it as one.
+    present = (
+        known.join(texts.select("id").distinct(), "id", "left_semi")
         .orderBy(F.xxhash64("id"), "id")
         .limit(rows)
         .select("id", F.col("label").cast("int").alias("label"))
     )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # Broadcast: at most ``rows`` ids.
-    return texts.join(F.broadcast(known), "id")
+    found = texts.join(F.broadcast(present), "id")
+    return found.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def fit(labelled: DataFrame, features: Features, dims: int, passes: int = 80) -> Model:

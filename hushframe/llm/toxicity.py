@@ -1,31 +1,38 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Examples are a bounded sample of labelled rows. Their terms are words and five-letter
-parts of words, and all of them make up the vectors. Terms that no label hangs on (by a
-confidence bound on the toxic share of the examples that hold them) are scaled down but
-kept: so the few words that matter in a long text aren't lost among thousands that
-don't, and texts without any such word still find their copies and neighbours. A text is
-compared with every example: by inverted lists for rare terms, and by a matrix product
-for those that many examples hold. Bounds of blocks of examples don't prune here, since a
-whole text shares common terms with every block. Neighbours vote with the square of their
-similarity against a prior, and the vote is calibrated on the examples, each without
+Examples are a bounded sample of labelled rows. Their terms are all their words, and those
+five-letter parts of words that a label hangs on (by a confidence bound on the toxic share
+of the examples that hold them). Words that no label hangs on are scaled down but kept: so
+the few words that matter in a long text aren't lost among thousands that don't, and texts
+without any such word still find their copies and neighbours.
+
+The index keeps examples in blocks. Rare terms have inverted lists, which give their part
+of every similarity. For the terms that many examples hold a block keeps the greatest
+weight of each and the greatest norm; with the lists' part these bound every similarity
+in the block. The blocks of the greatest bounds are finished first, and of the others only
+those whose bound reaches the last neighbour found. Neighbours vote with the square of
+their similarity against a prior, and the vote is calibrated on the examples, each without
 itself.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm import linear
-from hushframe.llm.tables import Batches, named_apart, sliced
+from hushframe.llm.tables import Batches, named_apart, sliced, staged
 
 EXAMPLES = 12_000  # labelled rows in the index, at most
 PART = 5  # letters
@@ -33,10 +40,11 @@ Z = 3.0  # of the confidence bound
 SHARE = 0.5  # least bound of a toxic share that a label hangs on
 REST = 0.05  # scale of the other terms
 COMMON = 16  # a term that more than one example in so many holds is common
+BLOCK = 64  # examples
+FIRST = 8  # blocks finished before any is left out
 TEXTS = 64  # compared at once
 NEIGHBOURS = 16
 PRIOR = 0.1  # votes of the prior against those of neighbours
-REMEMBERED = 200_000  # words of a task
 _WORD = re.compile(r"[^\W\d_]+")
 RESULT = ["held_out", "score", "predicted", "evidence"]
 
@@ -55,29 +63,37 @@ def terms(word: str) -> set[str]:
     return {f"={word}"} | {word[i : i + PART] for i in range(len(word) - PART + 1)}
 
 
-class Terms(dict):
-    """Word -> numbers of its terms in the vocabulary, with bounded memory."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        known = self.vocabulary
-        found = tuple(sorted(known[t] for t in terms(word) if t in known))
-        if len(self) < REMEMBERED:
-            self[word] = found
-        return found
-
-    def counted(self, text: str | None) -> Counter:
-        counts: Counter = Counter()
-        for numbers in filter(None, map(self.__getitem__, word_list(text))):
-            counts.update(numbers)
+class Terms:
+    """Counts of the terms of a vocabulary in texts, word by distinct word."""
+
+    def __init__(self, names: Iterable[str]):
+        self.whole: dict[str, int] = {}
+        self.parts = ahocorasick.Automaton()
+        for number, name in enumerate(names):
+            if name[0] == "=":
+                self.whole[name[1:]] = number
+            else:
+                self.parts.add_word(name, number)
+        self.any_parts = len(self.parts) > 0
+        if self.any_parts:
+            self.parts.make_automaton()
+
+    def counted(self, text: str | None) -> dict[int, int]:
+        """Numbers of the text's terms and how often it holds each; a word holds a part once."""
+        found = Counter(word_list(text))
+        counts = dict(zip(map(self.whole.get, found), found.values()))
+        counts.pop(None, None)
+        if self.any_parts and found:
+            words = list(found)
+            ends = list(accumulate(len(w) + 1 for w in words))
+            held = {(bisect_right(ends, end), number) for end, number in self.parts.iter(" ".join(words))}
+            for word, number in held:
+                counts[number] = counts.get(number, 0) + found[words[word]]
         return counts
 
 
 def _vocabulary(examples: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """All terms of the examples, the examples that hold each, and the scale of each."""
+    """The terms of the examples, the examples that hold each, and the scale of each."""
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -93,18 +109,24 @@ def _vocabulary(examples: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
                 ["term", "n", "toxic"],
             )
 
+    n, p, zz = F.col("n"), F.col("toxic") / F.col("n"), Z * Z
+    bound = (p + zz / (2 * n) - Z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
     counted = (
         examples.select("text", "label")
         .mapInArrow(run, "term string, n long, toxic long")
         .groupBy("term")
         .agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+        .select("term", "n", (bound >= SHARE).alias("hangs"))
+        .where(F.col("hangs") | F.startswith("term", F.lit("=")))
         .toArrow()
         .sort_by("term")
     )
-    n = counted.column("n").to_numpy().astype(np.float64)
-    p, zz = counted.column("toxic").to_numpy() / n, Z * Z
-    bound = (p + zz / (2 * n) - Z * np.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
-    return counted.column("term").combine_chunks(), n, np.where(bound >= SHARE, 1.0, REST)
+    hangs = counted.column("hangs").to_numpy()
+    return (
+        counted.column("term").combine_chunks(),
+        counted.column("n").to_numpy().astype(np.float64),
+        np.where(hangs, 1.0, REST),
+    )
 
 
 def inverted(term: np.ndarray, weight: np.ndarray, sizes: np.ndarray, width: int) -> tuple:
@@ -118,7 +140,7 @@ def inverted(term: np.ndarray, weight: np.ndarray, sizes: np.ndarray, width: int
 
 
 class Index:
-    """Weights of the examples: a matrix of the common terms, inverted lists of the others."""
+    """Weights of the examples: blocks of the common terms, inverted lists of the others."""
 
     def __init__(self, ids: list, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
         term = np.concatenate([t for t, _ in rows] + [np.empty(0, np.int32)]).astype(np.int32)
@@ -128,7 +150,6 @@ class Index:
     @classmethod
     def of(cls, idf: np.ndarray, ids: list, labels: np.ndarray, start: np.ndarray, example: np.ndarray, count: np.ndarray) -> Index:
         """The index of the counts of terms in examples, as ``inverted`` lists them."""
-        example = example.astype(np.int32)
         weight = (1 + np.log(count, dtype=np.float64)) * np.repeat(idf, np.diff(start))
         weight /= np.sqrt(np.bincount(example, weights=weight * weight, minlength=len(ids)))[example]
         self = cls.__new__(cls)
@@ -137,49 +158,132 @@ class Index:
 
     def _hold(self, ids: list, labels: np.ndarray, start: np.ndarray, example: np.ndarray, weight: np.ndarray):
         self.ids, self.labels = ids, labels
-        self.start, self.example, self.weight = start, example, weight
-        common = np.flatnonzero(np.diff(start) > len(ids) / COMMON)
-        self.row = np.full(len(start) - 1, -1, np.int32)  # of a common term in the matrix
+        n, width = len(ids), len(start) - 1
+        # The vectors one behind the other, for exact sums over one example.
+        by = np.argsort(example, kind="stable")
+        self.sizes = np.bincount(example, minlength=n)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.term = np.repeat(np.arange(width, dtype=np.int32), np.diff(start))[by]
+        self.exact = weight[by]
+        self.same = self._first_equal()
+        common = np.flatnonzero(np.diff(start) > n / COMMON)
+        self.row = np.full(width, -1, np.int32)  # of a common term in the blocks
         self.row[common] = np.arange(len(common))
-        self.matrix = np.zeros((len(common), len(ids)))
+        dense = np.zeros((len(common), n), np.float32)
         for i, t in enumerate(common.tolist()):
             a, b = start[t], start[t + 1]
-            self.matrix[i, example[a:b]] = weight[a:b]
+            dense[i, example[a:b]] = weight[a:b]
+        # Alike examples into one block: those of one heaviest common term, by their norm.
+        norm = np.sqrt(np.einsum("ij,ij->j", dense, dense))
+        self.order = np.lexsort((norm, dense.argmax(0) if len(common) else norm))
+        self.blocks = -(-n // BLOCK)
+        at = np.empty(n, np.int32)
+        at[self.order] = np.arange(n)
+        padded = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        padded[:, at] = dense
+        by_block = padded.reshape(len(common), self.blocks, BLOCK)
+        self.most = by_block.max(2, initial=0)  # the greatest weight of a term in a block
+        self.norms = np.zeros(self.blocks * BLOCK, np.float32)
+        self.norms[at] = norm
+        self.norms = self.norms.reshape(self.blocks, BLOCK).max(1, initial=0)
+        self.matrix = np.ascontiguousarray(by_block.transpose(1, 0, 2))
+        # No float32 sum of products of unit vectors is further off than this.
+        self.slack = (len(common) + 16) * 2.0**-23
+        # As bincount takes them, without a copy for each text.
+        self.start, self.place, self.weight = start, at[example].astype(np.intp), np.asarray(weight, np.float64)
+        self.query = np.zeros(width)
+        self.finished = self.searched = 0  # blocks, of so many
+
+    def _first_equal(self) -> np.ndarray:
+        """For each example the first of the same vector."""
+        first: dict[bytes, int] = {}
+        found = np.empty(len(self.ids), np.int64)
+        for i, (a, size) in enumerate(zip(self.begins.tolist(), self.sizes.tolist())):
+            own = self.term[a : a + size].tobytes() + self.exact[a : a + size].tobytes()
+            found[i] = first.setdefault(hashlib.blake2b(own, digest_size=16).digest(), i)
+        return found
 
-    def similarities(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The cosine of each vector with every example."""
-        common = np.zeros((len(vectors), len(self.matrix)))
+    def _rare(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What the rare terms give to the similarity with every example, by block place."""
+        rare = self.row[term] < 0
+        begin, end = self.start[term[rare]], self.start[term[rare] + 1]
+        if not len(begin):
+            return np.zeros((self.blocks, BLOCK))
+        lists = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist())]
+        found = np.concatenate([self.weight[x] for x in lists])
+        found *= np.repeat(weight[rare], end - begin)
+        places = np.concatenate([self.place[x] for x in lists])
+        return np.bincount(places, found, self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+
+    def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each vector the ``k`` most similar examples as (similarity, -position), best
+        first; exact. ``without`` names an example that each may not find.
+
+        Examples of similarity 0 aren't neighbours; equal ones go by position.
+        """
+        if not self.ids:
+            return [[] for _ in vectors]
+        n, want = len(vectors), k + (without is not None)
+        sums = np.zeros((n, self.blocks, BLOCK), np.float32)
+        common = np.zeros((n, len(self.most)), np.float32)
         for i, (term, weight) in enumerate(vectors):
             row = self.row[term]
             common[i, row[row >= 0]] = weight[row >= 0]
-        out = common @ self.matrix
+            sums[i] = self._rare(term, weight)
+        norm = np.sqrt(np.einsum("ij,ij->i", common, common))
+        bound = np.minimum(common @ self.most, norm[:, None] * self.norms)
+        bound += sums.max(2) + self.slack
+        first = min(max(FIRST, -(-want // BLOCK)), self.blocks)
+        best = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+        done = np.zeros((n, self.blocks), bool)
+        np.put_along_axis(done, best, True, axis=1)
+        self._finish(sums, common, done)
+        seen = np.take_along_axis(sums, best[:, :, None], axis=1).reshape(n, -1)
+        least = np.zeros(n)
+        if seen.shape[1] >= want:
+            least = np.partition(seen, -want, axis=1)[:, -want].astype(np.float64)
+        more = ~done & (bound >= least[:, None] - self.slack)
+        self._finish(sums, common, more)
+        done |= more
+        self.finished += int(done.sum())
+        self.searched += done.size
+        sums[~done] = 0
+        out = []
         for i, (term, weight) in enumerate(vectors):
-            rare = self.row[term] < 0
-            begin, end = self.start[term[rare]], self.start[term[rare] + 1]
-            if not len(begin):
-                continue
-            lists = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist())]
-            example = np.concatenate([self.example[x] for x in lists])
-            found = np.concatenate([self.weight[x] for x in lists])
-            found *= np.repeat(weight[rare], end - begin)
-            out[i] += np.bincount(example, weights=found, minlength=len(self.ids))
-        # Sums in another order differ by a hair, which must not rank equal examples.
-        return np.round(out, 12)
+            near = self._ranked(sums[i].ravel(), float(least[i]), term, weight, want)
+            if without is not None:
+                near = [x for x in near if x[1] != -without[i]][:k]
+            out.append(near)
+        return out
+
+    def _finish(self, sums: np.ndarray, common: np.ndarray, wanted: np.ndarray) -> None:
+        """Adds what the common terms give, in the wanted blocks of each vector."""
+        for b in np.flatnonzero(wanted.any(0)).tolist():
+            rows = np.flatnonzero(wanted[:, b])
+            sums[rows, b] += common[rows] @ self.matrix[b]
+
+    def _ranked(self, sums: np.ndarray, least: float, term: np.ndarray, weight: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The best of the places whose sums may be among the ``k`` greatest, by exact sums."""
+        places = np.flatnonzero((sums > 0) & (sums >= least - self.slack))
+        if len(places) > k:
+            found = sums[places]
+            places = places[found >= np.partition(found, -k)[-k] - 2 * self.slack]
+        if not len(places):
+            return []
+        examples = np.sort(self.order[places])
+        same, back = np.unique(self.same[examples], return_inverse=True)
+        sizes = self.sizes[same]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.begins[same] - ends + sizes, sizes) + np.arange(ends[-1])
+        self.query[term] = weight
+        similarity = np.add.reduceat(self.exact[at] * self.query[self.term[at]], ends - sizes)[back]
+        self.query[term] = 0.0
+        by = np.argsort(-similarity, kind="stable")[:k]
+        return [(float(similarity[j]), -int(examples[j])) for j in by.tolist()]
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The ``k`` most similar examples as (similarity, -position), best first; exact.
-
-        Examples of similarity 0 aren't neighbours; equal ones go by position.
-        """
-        return self.best(self.similarities([(term, weight)])[0], k, without)
-
-    def best(self, similarity: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        if without >= 0:
-            similarity[without] = 0.0
-        least = np.partition(similarity, -k)[-k] if len(similarity) > k else 0.0
-        places = np.flatnonzero((similarity >= least) & (similarity > 0))
-        places = places[np.argsort(-similarity[places], kind="stable")][:k]
-        return [(float(similarity[p]), -p) for p in places.tolist()]
+        """``search`` for one vector."""
+        return self.search([(term, weight)], k, [without] if without >= 0 else None)[0]
 
     def vote(self, near: list[tuple[float, int]], prior: float) -> float:
         """The log odds of the votes for label 1."""
@@ -191,19 +295,17 @@ class Index:
         return math.log(share / (1 - share))
 
 
-def vector(counts: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Term numbers and TF-IDF weights of unit length."""
-    term = np.array(sorted(counts), np.int64)
+    term = np.fromiter(counts.keys(), np.int64, len(counts))
     if not len(term):
         return term, np.empty(0)
-    weight = (1 + np.log([counts[t] for t in term.tolist()])) * idf[term]
+    by = np.argsort(term)
+    term = term[by]
+    weight = (1 + np.log(np.fromiter(counts.values(), np.int64, len(counts))[by])) * idf[term]
     return term, weight / np.sqrt(weight @ weight)
 
 
-def numbered(names: pa.Array) -> dict[str, int]:
-    return {t: i for i, t in enumerate(names.to_pylist())}
-
-
 def _learn(examples: DataFrame) -> tuple:
     """Plain values of a model: vocabulary, scaled idf, prior, ids and labels of the
     examples and their inverted lists. The driver holds them as arrays only."""
@@ -211,7 +313,7 @@ def _learn(examples: DataFrame) -> tuple:
     sent = examples.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        known = Terms(numbered(sent.value))
+        known = Terms(sent.value.to_pylist())
         for batch in sliced(batches, TEXTS):
             counted = [sorted(known.counted(t).items()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -249,12 +351,12 @@ def _calibrated(examples: DataFrame, sent) -> tuple[float, float]:
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         names, idf, prior, *parts = sent.value
-        index, known = Index.of(idf, *parts), Terms(numbered(names))
+        index, known = Index.of(idf, *parts), Terms(names.to_pylist())
         place = {i: p for p, i in enumerate(index.ids)}
         for batch in sliced(batches, TEXTS):
-            found = index.similarities([vector(known.counted(t), idf) for t in batch.column(1).to_pylist()])
+            vectors = [vector(known.counted(t), idf) for t in batch.column(1).to_pylist()]
             own = [place[i] for i in batch.column(0).to_pylist()]
-            raw = [index.vote(index.best(f, NEIGHBOURS, p), prior) for f, p in zip(found, own)]
+            raw = [index.vote(near, prior) for near in index.search(vectors, NEIGHBOURS, own)]
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), batch.column(2)], ["raw", "label"])
 
     votes = (
@@ -281,7 +383,8 @@ def score(
     """
     named_apart(id_col, RESULT)
     taught = labels.where(~held_out(F.col(id_col)))
-    examples = linear.sample(docs, taught, id_col, text_col, label, rows)
+    # Read several times: at most ``rows`` texts, written once.
+    examples = staged(linear.sample(docs, taught, id_col, text_col, label, rows), "examples")
     sent = docs.sparkSession.sparkContext.broadcast(_learn(examples))
     both = len(set(sent.value[4].tolist())) == 2
     slope, shift = _calibrated(examples, sent) if both else (1.0, 0.0)
@@ -290,12 +393,11 @@ def score(
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         names, idf, prior, *parts = sent.value
-        index, known = Index.of(idf, *parts), Terms(numbered(names))
+        index, known = Index.of(idf, *parts), Terms(names.to_pylist())
         for batch in sliced(batches, TEXTS):
             logits, evidence = [], []
             vectors = [vector(known.counted(t), idf) for t in batch.column(1).to_pylist()]
-            for similarity in index.similarities(vectors):
-                near = index.best(similarity, NEIGHBOURS)
+            for near in index.search(vectors, NEIGHBOURS):
                 logits.append(slope * index.vote(near, prior) + shift)
                 evidence.append(
                     [{"id": index.ids[-p], "similarity": s, "label": int(index.labels[-p])} for s, p in near]
