@@ -826,6 +826,7 @@ ORACLE["stream_redact"] = (
     "kinds AS redacted_types FROM m"
 )
 ORACLE["stream_audit"] = ORACLE["audit_jsonl"]
+ORACLE["stream_audit_once"] = ORACLE["audit_jsonl"]
 ORACLE["stream_redact_deep"] = ORACLE["redact_deep"]
 
 # --- reports ----------------------------------------------------------------

@@ -856,6 +856,21 @@ def stream_audit(spark, sf_dir):
     return back.select(F.col("value").alias("line"))
 
 
+@query
+def stream_audit_once(spark, sf_dir):
+    """Audit records by a writer that is handed each batch twice, as after a failure."""
+    lines = audit.audit_lines(streams.stream_audit(v.as_calls(_document_stream(spark, sf_dir))))
+    path = tables.workspace(spark, "stream")
+    write = tables.once_writer(f"{path}/out")
+
+    def again(batch: DataFrame, stream: str, number: int) -> None:
+        for _ in range(2):
+            write(batch, stream, number)
+
+    streams.start_batches(lines, again, f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select(F.col("value").alias("line"))
+
+
 @query
 def stream_redact_deep(spark, sf_dir):
     stream = streams.stream_redact_deep(

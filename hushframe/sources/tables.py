@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from hushframe.operators.audit import audit_lines
 
 Writer = Callable[[DataFrame], None]
+BatchWriter = Callable[[DataFrame, str, int], None]  # batch, id of its stream, its number
 
 
 def read_table(
@@ -81,6 +82,32 @@ def jsonl_writer(path: str, mode: str = "append") -> Writer:
     return lambda audit: audit_lines(audit).write.mode(mode).text(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def once_writer(path: str, fmt: str = "parquet") -> BatchWriter:
+    """Writer of micro-batches that has each batch in ``path`` once.
+
+    A batch goes to the folder ``stream=<id>/batch=<number>``. Spark puts the file
+    ``_SUCCESS`` there last: a batch delivered again is skipped if it is there, and
+    replaces what an earlier attempt left if it isn't. Another checkpoint is another
+    stream, so its batches are never taken for those of the first. Columns named
+    ``stream`` and ``batch`` are refused, as readers find the folders under these names.
+    """
+
+    def write(batch: DataFrame, stream: str, number: int) -> None:
+        taken = {"stream", "batch"} & {c.lower() for c in batch.columns}
+        if taken:
+            raise ValueError(f"columns {sorted(taken)} are names of folders; rename them first")
+        folder = f"{path.rstrip('/')}/stream={stream}/batch={number}"
+        if not _exists(batch.sparkSession, f"{folder}/_SUCCESS"):
+            batch.write.format(fmt).mode("overwrite").save(folder)
+
+    return write
+
+
 def write_audit(audit: DataFrame, writer: Writer, *, enabled: bool = True) -> None:
     """Hand the audit records to a writer; when disabled nothing is computed."""
     if enabled:

@@ -13,7 +13,7 @@ from hushframe.operators.audit import audit_lines, audit_log
 from hushframe.operators.calls import redact_calls
 from hushframe.operators.entities import Detector, redact_deep
 from hushframe.operators.redact import redact_table
-from hushframe.sources.tables import Writer
+from hushframe.sources.tables import BatchWriter, Writer, once_writer
 
 
 def stream_redact(df: DataFrame, include: list[str] | None = None) -> DataFrame:
@@ -67,7 +67,7 @@ def start_writer(df: DataFrame, writer: Writer, checkpoint: str) -> StreamingQue
     """Hand each micro-batch to a user writer.
 
     A batch may be delivered again after a failure, so the writer should be
-    idempotent.
+    idempotent; ``start_batches`` tells it which batch it is.
     """
     return (
         df.writeStream.foreachBatch(lambda batch, _: writer(batch))
@@ -75,3 +75,28 @@ def start_writer(df: DataFrame, writer: Writer, checkpoint: str) -> StreamingQue
         .trigger(availableNow=True)
         .start()
     )
+
+
+def start_batches(df: DataFrame, writer: BatchWriter, checkpoint: str) -> StreamingQuery:
+    """Hand each micro-batch to a user writer with the id of the stream and its number.
+
+    Both stay the same when a batch is delivered again, also after a restart from the
+    same checkpoint, so a writer can tell what it has written before.
+    """
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        # Spark keeps the id of the stream in this file of its checkpoint.
+        kept = batch.sparkSession.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata")
+        writer(batch, kept.first()["id"], number)
+
+    return (
+        df.writeStream.foreachBatch(deliver)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def start_once(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
+    """Micro-batches written to ``path``, each once whatever is delivered again."""
+    return start_batches(df, once_writer(path, fmt), checkpoint)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushframe.operators.redact import redact_text
-from hushframe.sources.tables import read_table, stream_table, workspace, write_redacted
+from hushframe.sources.tables import once_writer, read_table, stream_table, workspace, write_redacted
 from hushframe.streaming import streams
 
 
@@ -44,3 +44,41 @@ def test_stream_over_several_files_and_restarts(spark):
     back = run()
     batch = redact_text(rows, "text")
     assert sorted(map(str, back.collect())) == sorted(map(str, batch.select(back.columns).collect()))
+
+
+@pytest.mark.parametrize("written", [True, False])
+def test_a_batch_delivered_again_is_there_once(spark, written):
+    """Stopped behind the write or in the middle of it, then started again."""
+    root = workspace(spark, "once")
+    rows = spark.range(40).select("id", F.col("id").cast("string").alias("text"))
+    rows.repartition(4).write.parquet(f"{root}/in")
+    once, seen = once_writer(f"{root}/out"), []
+
+    def given():
+        return stream_table(spark, f"{root}/in", "id long, text string", files_per_batch=1)
+
+    def stopped(batch, stream, number):
+        seen.append((stream, number))
+        if number < 1 or written:
+            once(batch, stream, number)
+        else:  # files without the mark of a whole batch
+            folder = f"{root}/out/stream={stream}/batch={number}"
+            keep = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+            batch.limit(3).write.option(keep, "false").parquet(folder)
+        if number == 1:
+            raise RuntimeError("stopped")
+
+    with pytest.raises(Exception, match="stopped"):
+        streams.start_batches(given(), stopped, f"{root}/checkpoint").awaitTermination()
+    for _ in range(2):  # the second finds nothing to do
+        streams.start_once(given(), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+        assert sorted(r["id"] for r in spark.read.parquet(f"{root}/out").collect()) == list(range(40))
+    assert [n for _, n in seen] == [0, 1] and len({s for s, _ in seen}) == 1
+    # Another checkpoint is another stream.
+    streams.start_once(given(), f"{root}/out", f"{root}/other").awaitTermination()
+    assert spark.read.parquet(f"{root}/out").count() == 80
+
+
+def test_once_writer_refuses_names_of_its_folders(spark):
+    with pytest.raises(ValueError, match="batch"):
+        once_writer("nowhere")(spark.range(1).withColumnRenamed("id", "Batch"), "s", 0)
