@@ -868,7 +868,7 @@ def stream_audit_once(spark, sf_dir):
             write(batch, stream, number)
 
     streams.start_batches(lines, again, f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select(F.col("value").alias("line"))
+    return spark.read.parquet(f"{path}/out").select("line")
 
 
 @query
