@@ -147,6 +147,45 @@ def test_block_max_search_is_exact():
         assert all(math.isclose(every[index.ids[-p]], s) for s, p in near)
 
 
+def test_bounds_leave_blocks_out():
+    """Examples of several vocabularies: most blocks are never finished, nothing is lost."""
+    rng = random.Random(18)
+    width, rows = 240, []
+    for i in range(1600):
+        base = 40 * (i % 6)
+        c = Counter(base + min(39, int(rng.expovariate(0.1))) for _ in range(rng.randrange(3, 40)))
+        rows.append(toxicity.vector(c, np.linspace(0.5, 3, width)))
+    rows[700] = rows[1300] = rows[100]  # copies go by position
+    dense = np.zeros((len(rows), width))
+    for i, (t, w) in enumerate(rows):
+        dense[i, t] = w
+    index = toxicity.Index(list(range(len(rows))), np.zeros(len(rows)), rows, width)
+    asked = list(range(0, len(rows), 25))
+    found = index.search([rows[i] for i in asked], 16)
+    alone = index.search([rows[i] for i in asked], 16, asked)
+    for i, near, rest in zip(asked, found, alone):
+        every = dense @ dense[i]
+        assert np.allclose([s for s, _ in near], np.sort(every)[::-1][:16])
+        assert rest == [x for x in index.search([rows[i]], 17)[0] if x[1] != -i][:16]
+    assert [-p for _, p in found[asked.index(100)][:3]] == [100, 700, 1300]
+    assert index.finished < 0.6 * index.searched
+    empty = toxicity.vector({}, np.ones(width))
+    assert index.search([empty], 16) == [[]]
+
+
+def test_sample_is_taken_among_the_documents(spark):
+    docs = spark.range(50).select((F.col("id") * 2000).alias("doc_id"), F.lit("a").alias("text"))
+    labels = spark.range(100_000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("quality"))
+    got = linear.sample(docs, labels, "doc_id", "text", "quality", rows=40).collect()
+    assert len(got) == 40 and len({r["id"] for r in got}) == 40
+    # An id of many rows gives one, whatever the order.
+    many = spark.range(10_000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 90 + 10).alias("text"))
+    many = many.union(spark.createDataFrame([(7, None), (8, None)], "doc_id int, text string"))
+    for rows in (many, many.repartition(5)):
+        got = linear.sample(rows, labels, "doc_id", "text", "quality", rows=2).collect()
+        assert sorted(map(tuple, got)) == [(7, "t10", 0), (8, None, 0)]
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = labelled(spark, sf)
