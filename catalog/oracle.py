@@ -832,7 +832,7 @@ ORACLE["stream_redact_deep"] = ORACLE["redact_deep"]
 # --- reports ----------------------------------------------------------------
 
 
-def _findings() -> str:
+def _findings(keys: str = "text_id") -> str:
     """Matches per kind in that kind's input, and their masks from parts of them."""
     parts = []
     shown = {
@@ -849,14 +849,24 @@ def _findings() -> str:
         if kind == "credit_card":
             found = f"list_filter({found}, lambda m: {_luhn('m')})"
         parts.append(
-            f"SELECT text_id, '{kind}' AS type, i - 1 AS ordinal, {shown[kind]} AS masked FROM "
-            f"(SELECT text_id, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM "
-            f"(SELECT text_id, {found} AS ms FROM m))"
+            f"SELECT {keys}, '{kind}' AS type, i - 1 AS ordinal, {shown[kind]} AS masked FROM "
+            f"(SELECT {keys}, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM "
+            f"(SELECT {keys}, {found} AS ms FROM m))"
         )
     return " UNION ALL ".join(parts)
 
 
 ORACLE["pii_findings"] = f"{_MASKED_TEXTS} {_findings()}"
+_LEAVES = """leaves AS (
+  SELECT doc_id, 'page.lang' AS path, lang AS text FROM documents
+  UNION ALL SELECT doc_id, 'page.body', text FROM documents
+  UNION ALL SELECT doc_id, 'lines[' || (i - 1) || ']', line FROM (
+    SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (
+      SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+  UNION ALL SELECT doc_id, 'tags[source]', source FROM documents)"""
+ORACLE["pii_findings_deep"] = (
+    f"WITH {_LEAVES}, {masks('leaves', 'm')} {_findings('doc_id, path')}"
+)
 
 
 def _summary(by: str, source: str) -> str:

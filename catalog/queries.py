@@ -972,6 +972,14 @@ def pii_findings(spark, sf_dir):
     )
 
 
+@query
+def pii_findings_deep(spark, sf_dir):
+    found = reports.pii_findings_deep(v.leaf_documents(spark, sf_dir), "doc_id")
+    return found.select(
+        "doc_id", "path", "type", F.col("ordinal").cast("long").alias("ordinal"), "masked"
+    )
+
+
 @query
 def redaction_summary(spark, sf_dir):
     done = redact.redact_text(v.documents(spark, sf_dir), "text", counts=True)

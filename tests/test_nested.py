@@ -2,9 +2,11 @@ import json
 import random
 
 import model
+import pytest
 from pyspark.sql import types as T
 
 from hushframe.operators.redact import redact_json, redact_table, text_columns
+from hushframe.operators.reports import pii_findings_deep
 
 ORDERS = {
     "page": {"of": 9},
@@ -144,3 +146,31 @@ def test_random_json_against_model(spark):
 def test_text_that_is_not_json(spark):
     df = spark.createDataFrame([("see a@b.co {",), (None,)], "doc string")
     assert [r.doc for r in redact_json(df, "doc").collect()] == ["see a***@b.co {", None]
+
+
+def test_findings_at_any_depth(spark):
+    schema = "k long, a struct<`x.y`: string, n: int>, l array<array<string>>, m map<string, string>, t string"
+    rows = [
+        (1, ("mail nora.field@example.org", 4), [["SSN 123-45-6789", None], None, []], {"a[b": "nora.field@example.org"}, "quiet"),
+        (2, None, None, None, None),
+        (3, ("", None), [["+14155550123 and +14155550124"]], {}, "x@y.org"),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    found = pii_findings_deep(df, "k")
+    assert found.columns == ["k", "path", "type", "ordinal", "masked"]
+    got = sorted((r["k"], r["type"], r["ordinal"], r["masked"]) for r in found.collect())
+    assert [g[:3] for g in got] == [
+        (1, "email", 0), (1, "email", 0), (1, "ssn", 0), (3, "email", 0), (3, "phone", 0), (3, "phone", 1),
+    ]
+    assert not any("nora" in g[3] or "6789" in g[3] for g in got)
+    paths = {r["path"] for r in found.collect()}
+    assert {"l[0][0]", "t"} <= paths and len(paths) == 4
+    # As many as the redaction counts.
+    done = {r["k"]: r["redaction_count"] for r in redact_table(df, exclude=["k"]).collect()}
+    assert done == {1: 3, 2: 0, 3: 3}
+    assert pii_findings_deep(df, "k", ["t"]).count() == 1
+    assert pii_findings_deep(df.limit(0), "k").collect() == []
+    with pytest.raises(ValueError, match="result column"):
+        pii_findings_deep(df.withColumnRenamed("k", "path"), "path")
+    with pytest.raises(ValueError, match="VARIANT"):
+        pii_findings_deep(df.selectExpr("k", "array(parse_json('1')) v"), "k")
