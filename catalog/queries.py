@@ -828,9 +828,9 @@ def audit_log_parity(spark, sf_dir):
 
 
 def _document_stream(spark, sf_dir):
-    return tables.stream_table(
-        spark, sf_dir, v.SCHEMAS["documents"], glob="documents.parquet"
-    )
+    # The table is one file or a folder of files.
+    path = f"{sf_dir.rstrip('/')}/documents.parquet*"
+    return tables.stream_table(spark, path, v.SCHEMAS["documents"])
 
 
 def _drain(spark: SparkSession, df: DataFrame, fmt: str = "parquet") -> str:
