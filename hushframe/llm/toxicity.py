@@ -306,9 +306,24 @@ def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndar
     return term, weight / np.sqrt(weight @ weight)
 
 
-def _learn(examples: DataFrame) -> tuple:
+class Model:
     """Plain values of a model: vocabulary, scaled idf, prior, ids and labels of the
     examples and their inverted lists. The driver holds them as arrays only."""
+
+    def __init__(self, names: pa.Array, idf: np.ndarray, prior: float, ids: list, labels: np.ndarray, lists: tuple):
+        self.names, self.idf, self.prior = names, idf, prior
+        self.ids, self.labels, self.lists = ids, labels, lists
+        self.made: tuple[Index, Terms] | None = None
+
+    def ready(self) -> tuple[Index, Terms]:
+        """What a task searches with. A Python worker keeps the value of a broadcast from
+        one task to the next, so it makes them once."""
+        if self.made is None:
+            self.made = Index.of(self.idf, self.ids, self.labels, *self.lists), Terms(self.names.to_pylist())
+        return self.made
+
+
+def _learn(examples: DataFrame) -> Model:
     names, n, scale = _vocabulary(examples)
     sent = examples.sparkSession.sparkContext.broadcast(names)
 
@@ -343,20 +358,20 @@ def _learn(examples: DataFrame) -> tuple:
     # A text without any term has the odds of the examples without any.
     bare = sizes == 0
     prior = float((labels[bare].sum() + 0.5) / (bare.sum() + 10.0)) if ids else 0.5
-    return names, idf, prior, ids, labels, *lists
+    return Model(names, idf, prior, ids, labels, lists)
 
 
 def _calibrated(examples: DataFrame, sent) -> tuple[float, float]:
     """Slope and shift of the votes, fitted to the examples, each without itself."""
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        names, idf, prior, *parts = sent.value
-        index, known = Index.of(idf, *parts), Terms(names.to_pylist())
+        model = sent.value
+        index, known = model.ready()
         place = {i: p for p, i in enumerate(index.ids)}
         for batch in sliced(batches, TEXTS):
-            vectors = [vector(known.counted(t), idf) for t in batch.column(1).to_pylist()]
+            vectors = [vector(known.counted(t), model.idf) for t in batch.column(1).to_pylist()]
             own = [place[i] for i in batch.column(0).to_pylist()]
-            raw = [index.vote(near, prior) for near in index.search(vectors, NEIGHBOURS, own)]
+            raw = [index.vote(near, model.prior) for near in index.search(vectors, NEIGHBOURS, own)]
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), batch.column(2)], ["raw", "label"])
 
     votes = (
@@ -386,19 +401,19 @@ def score(
     # Read several times: at most ``rows`` texts, written once.
     examples = staged(linear.sample(docs, taught, id_col, text_col, label, rows), "examples")
     sent = docs.sparkSession.sparkContext.broadcast(_learn(examples))
-    both = len(set(sent.value[4].tolist())) == 2
+    both = len(set(sent.value.labels.tolist())) == 2
     slope, shift = _calibrated(examples, sent) if both else (1.0, 0.0)
     id_type = docs.schema[id_col].dataType.simpleString()
     near_type = pa.list_(pa.struct([("id", pa.string()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        names, idf, prior, *parts = sent.value
-        index, known = Index.of(idf, *parts), Terms(names.to_pylist())
+        model = sent.value
+        index, known = model.ready()
         for batch in sliced(batches, TEXTS):
             logits, evidence = [], []
-            vectors = [vector(known.counted(t), idf) for t in batch.column(1).to_pylist()]
+            vectors = [vector(known.counted(t), model.idf) for t in batch.column(1).to_pylist()]
             for near in index.search(vectors, NEIGHBOURS):
-                logits.append(slope * index.vote(near, prior) + shift)
+                logits.append(slope * index.vote(near, model.prior) + shift)
                 evidence.append(
                     [{"id": index.ids[-p], "similarity": s, "label": int(index.labels[-p])} for s, p in near]
                 )
