@@ -206,14 +206,15 @@ class Index:
     def _rare(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """What the rare terms give to the similarity with every example, by block place."""
         rare = self.row[term] < 0
-        begin, end = self.start[term[rare]], self.start[term[rare] + 1]
-        if not len(begin):
-            return np.zeros((self.blocks, BLOCK))
-        lists = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist())]
-        found = np.concatenate([self.weight[x] for x in lists])
-        found *= np.repeat(weight[rare], end - begin)
-        places = np.concatenate([self.place[x] for x in lists])
-        return np.bincount(places, found, self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        begin = self.start[term[rare]]
+        sizes = self.start[term[rare] + 1] - begin
+        ends = np.cumsum(sizes)
+        # Numbers of all postings of these lists, one list behind the other.
+        at = np.repeat(begin - ends + sizes, sizes)
+        at += np.arange(len(at))
+        found = self.weight[at]
+        found *= np.repeat(weight[rare], sizes)
+        return np.bincount(self.place[at], found, self.blocks * BLOCK).reshape(self.blocks, BLOCK)
 
     def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """For each vector the ``k`` most similar examples as (similarity, -position), best
