@@ -85,9 +85,10 @@ class Terms:
         counts.pop(None, None)
         if self.any_parts and found:
             words = list(found)
-            ends = list(accumulate(len(w) + 1 for w in words))
-            held = {(bisect_right(ends, end), number) for end, number in self.parts.iter(" ".join(words))}
-            for word, number in held:
+            parts = list(self.parts.iter(" ".join(words)))
+            # Most texts hold no such part: the ends of the words are summed only for the others.
+            ends = list(accumulate(len(w) + 1 for w in words)) if parts else []
+            for word, number in {(bisect_right(ends, end), number) for end, number in parts}:
                 counts[number] = counts.get(number, 0) + found[words[word]]
         return counts
 
