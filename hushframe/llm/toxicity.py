@@ -188,8 +188,9 @@ class Index:
         self.norms[at] = norm
         self.norms = self.norms.reshape(self.blocks, BLOCK).max(1, initial=0)
         self.matrix = np.ascontiguousarray(by_block.transpose(1, 0, 2))
-        # No float32 sum of products of unit vectors is further off than this.
-        self.slack = (len(common) + 16) * 2.0**-23
+        # No float32 sum of products of unit vectors is further off than this: a rounding of
+        # at most 2**-24 for each product added, and a few of what goes in and comes out.
+        self.slack = (len(common) + 16) * 2.0**-24
         # As bincount takes them, without a copy for each text.
         self.start, self.place, self.weight = start, at[example].astype(np.intp), np.asarray(weight, np.float64)
         self.query = np.zeros(width)
