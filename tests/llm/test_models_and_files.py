@@ -354,3 +354,10 @@ def test_set_aside_and_staging(spark, odd):
     assert rows_of(tables.staged(odd, "t")) == rows_of(odd)
     with pytest.raises(ValueError, match="result column"):
         tables.named_apart("Score", ["score"])
+
+
+def test_toxicity_words_are_the_same_with_and_without_the_pattern():
+    texts = [f"{chr(c)}Ab{chr(c)}{chr(c)}c9d" for c in range(128)] + ["", "one_two\x1cthree", "No Breaks", "naïve Straße_x"]
+    for text in texts:
+        assert toxicity.word_list(text) == toxicity._WORD.findall(text.lower())
+    assert toxicity.word_list(None) == []
