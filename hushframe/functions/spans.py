@@ -94,27 +94,53 @@ def united_spans(spans: Sql, size: Sql) -> Sql:
 
     Ends are cut to the ``size`` of the text; spans that end before they begin drop out.
     """
-    inside = filter_(spans, lambda s: f"{s}.`end` >= {s}.begin AND {s}.begin >= 0 AND {s}.begin <= {size}")
-    keyed = transform_indexed(
-        inside,
-        lambda s, i: struct(begin=f"{s}.begin", ordinal=i, type=f"{s}.type", end=f"least({s}.`end`, {size})"),
-    )
-    zero = struct(done=NO_SPANS, type="cast(NULL AS string)", begin="-1", end="-1")
 
-    def kept(state: Sql) -> Sql:
-        span = struct(type=f"{state}.type", begin=f"{state}.begin", end=f"{state}.`end`")
-        return when((f"{state}.begin >= 0", f"array_append({state}.done, {span})"), other=f"{state}.done")
-
-    def step(state: Sql, x: Sql) -> Sql:
-        joins = f"{x}.begin < {state}.`end`"
-        return struct(
-            done=when((joins, f"{state}.done"), other=kept(state)),
-            type=when((joins, f"{state}.type"), other=f"{x}.type"),
-            begin=when((joins, f"{state}.begin"), other=f"{x}.begin"),
-            end=when((joins, f"greatest({state}.`end`, {x}.`end`)"), other=f"{x}.`end`"),
+    def keyed(n: Sql) -> Sql:
+        inside = filter_(spans, lambda s: f"{s}.`end` >= {s}.begin AND {s}.begin >= 0 AND {s}.begin <= {n}")
+        return transform_indexed(
+            inside,
+            lambda s, i: struct(begin=f"{s}.begin", ordinal=i, type=f"{s}.type", end=f"least({s}.`end`, {n})"),
         )
 
-    return aggregate(f"array_sort({keyed})", zero, step, kept)
+    def heads(ks: Sql) -> Sql:
+        # A span begins a placeholder if all before it have ended.
+        ends = scan(f"{ks}.`end`", lambda a, b: f"greatest({a}, {b})")
+        paired = zip_with(ks, ends, lambda k, e: struct(type=f"{k}.type", begin=f"{k}.begin", after=e))
+        first = filter_(paired, lambda h: f"{h}.begin >= {h}.after")
+        return let(first, lambda hs: transform_indexed(hs, lambda h, i: whole(ks, hs, h, i)))
+
+    def whole(ks: Sql, hs: Sql, h: Sql, i: Sql) -> Sql:
+        end = f"coalesce(get({hs}, {i} + 1).after, array_max({ks}.`end`))"
+        return struct(type=f"{h}.type", begin=f"{h}.begin", end=end)
+
+    # Unlike array_sort, sort_array compares without a lambda. Ordinals leave no ties.
+    return let(f"sort_array({let(size, keyed)})", heads)
+
+
+def splice_spans(text: Sql, united: Sql) -> Sql:
+    """Replace ``united_spans`` of a text by ``[REDACTED:TYPE]``, each part of it cut out once.
+
+    ASCII text is cut as a binary, which takes time by the length of the cut; cutting a
+    string takes time by the length of the whole.
+    """
+
+    def spliced(cut: Callable[[Sql, Sql], Sql]) -> Sql:
+        def part(s: Sql, i: Sql) -> Sql:
+            return let(
+                f"coalesce(get({united}, {i} - 1).`end`, 0)",
+                lambda at: f"concat({cut(f'{at} + 1', f'{s}.begin - {at}')}, '[REDACTED:', {s}.type, ']')",
+            )
+
+        tail = cut(f"element_at({united}, -1).`end` + 1", f"octet_length({text})")
+        return f"concat(array_join({transform_indexed(united, part)}, ''), {tail})"
+
+    def of_bytes(data: Sql) -> Sql:
+        return spliced(lambda pos, n: f"cast(substring({data}, {pos}, {n}) AS string)")
+
+    return when(
+        (f"octet_length({text}) = length({text})", let(f"cast({text} AS binary)", of_bytes)),
+        other=spliced(lambda pos, n: f"substring({text}, {pos}, {n})"),
+    )
 
 
 def redact_chunks(text: Sql, chunks: Sql, spans: Sql, allowed: Sql) -> Sql:
@@ -152,29 +178,46 @@ def redact_chunks(text: Sql, chunks: Sql, spans: Sql, allowed: Sql) -> Sql:
     )
 
 
+# Put around each match; a Unicode noncharacter, reserved for use inside a program.
+_MARK = "\ufdd0"
+
+
+def _marked(text: Sql, pattern: str) -> Sql:
+    """A text's gaps and matches in turn, beginning and ending with a gap, by one scan.
+
+    A text that holds the mark itself is scanned for its matches and for its gaps.
+    """
+    marked = f"split(regexp_replace({text}, {lit(pattern)}, {lit(_MARK + '$0' + _MARK)}), {lit(_MARK)}, -1)"
+    pairs = zip_with(
+        f"split({text}, {lit(pattern)}, -1)",
+        f"regexp_extract_all({text}, {lit(pattern)}, 0)",
+        lambda g, m: f"array_compact(array({g}, {m}))",
+    )
+    return when((f"contains({text}, {lit(_MARK)})", f"flatten({pairs})"), other=marked)
+
+
 def pattern_spans(text: Sql, pattern: str, type_: str) -> Sql:
     """Spans of every match of a Java pattern: array<struct<type, begin, end>>.
 
     Offsets follow from the lengths of the matches and of the gaps between them.
     """
-    zero = struct(done=NO_SPANS, pos="0")
-
-    def step(state: Sql, pair: Sql) -> Sql:
-        begin = f"{state}.pos + {pair}.gap"
-        end = f"{begin} + {pair}.width"
-        span = struct(type=lit(type_), begin=begin, end=end)
-        return struct(done=f"array_append({state}.done, {span})", pos=end)
-
-    def locate(matches: Sql) -> Sql:
-        gaps = f"slice(split({text}, {lit(pattern)}, -1), 1, size({matches}))"
-        pairs = zip_with(
-            gaps,
-            matches,
-            lambda g, m: struct(gap=f"length({g})", width=f"length({m})"),
+
+    def locate(parts: Sql) -> Sql:
+        pairs = transform(
+            f"sequence(0, size({parts}) - 3, 2)",
+            lambda i: struct(gap=f"length(get({parts}, {i}))", width=f"length(get({parts}, {i} + 1))"),
+        )
+        return when((f"size({parts}) > 1", let(pairs, placed)), other=NO_SPANS)
+
+    def placed(ps: Sql) -> Sql:
+        before = scan(transform(ps, lambda p: f"{p}.gap + {p}.width"), lambda a, b: f"{a} + {b}")
+        return zip_with(
+            before,
+            ps,
+            lambda b, p: struct(type=lit(type_), begin=f"{b} + {p}.gap", end=f"{b} + {p}.gap + {p}.width"),
         )
-        return aggregate(pairs, zero, step, lambda s: f"{s}.done")
 
-    return let(f"regexp_extract_all({text}, {lit(pattern)}, 0)", locate)
+    return let(_marked(text, pattern), locate)
 
 
 # --- matches of a whole text ---------------------------------------------------

@@ -213,20 +213,17 @@ def redact_chunk_rows(
     is cut there; ``redact_with_entities`` replaces it whole.
     """
     united = s.united_spans(s.relevant_spans(spans, s.allowed_types(types)), "length(text)")
-    ordered = f"reverse({united})"
-    applied = when(
-        ("size(_ordered) > 0", s.apply_spans("text", "_ordered")), other="text"
-    )
+    applied = when(("size(_united) > 0", s.splice_spans("text", "_united")), other="text")
     return (
-        compute(chunks, _ordered=ordered)
+        compute(chunks, _united=united)
         .withColumns(
             {
                 "text": F.expr(applied),
-                COUNT: F.size("_ordered"),
-                TYPES: F.array_distinct("_ordered.type"),
+                COUNT: F.size("_united"),
+                TYPES: F.array_distinct(F.reverse("_united.type")),
             }
         )
-        .drop("_ordered")
+        .drop("_united")
     )
 
 

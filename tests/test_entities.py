@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import model
 import pytest
@@ -11,6 +12,7 @@ from hushframe.functions.detectors import (
     BatchDetector,
     PatternDetector,
     ip_detector,
+    replaced,
 )
 from hushframe.operators import entities as e
 
@@ -116,6 +118,45 @@ def test_offsets_of_pattern_spans(spark):
         ]
 
 
+def test_chunk_rows_with_spans_are_united_and_spliced(spark):
+    rnd = random.Random(7)
+    cases = []
+    for i in range(300):
+        text = "".join(rnd.choice("abc é\U0001f600\ufdd0" if i % 2 else "abcdef") for _ in range(90))
+        spans = []
+        for _ in range(rnd.randint(0, 70)):
+            begin = rnd.randint(-2, 92)
+            spans.append((rnd.choice(["NAME", "AGE", "URL"]), begin, begin + rnd.randint(-1, 6)))
+        cases.append((i, text, spans))
+    df = spark.createDataFrame(cases, f"i int, text string, spans array<{s.SPAN}>")
+    for row in e.redact_chunk_rows(df, ["NAME", "AGE"]).collect():
+        _, text, spans = cases[row.i]
+        value, n, kinds = replaced(text, [(k, a, min(b, len(text))) for k, a, b in spans], {"NAME", "AGE"})
+        assert (row.text, row.redaction_count, row.redacted_types) == (value, n, list(dict.fromkeys(kinds)))
+
+
+def test_spans_of_texts_that_hold_the_mark(spark):
+    texts = ["", "John", "\ufdd0John", "xJohnJohn\ufdd0 John\ufdd0", "\ufdd0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for i, spans in df.select("i", F.expr(PatternDetector("NAME", "John").spans_of("text"))).collect():
+        assert [tuple(x) for x in spans] == [("NAME", m.start(), m.end()) for m in re.finditer("John", texts[i])]
+
+
+def test_many_spans_of_one_chunk_take_linear_time(spark):
+    detector = AnyDetector(PatternDetector("NAME", "[A-Z][a-z]+ [a-z]+"), PatternDetector("ADDRESS", "[a-z]+[.]"))
+
+    def seconds(n):
+        df = spark.range(1).select(F.repeat(F.lit("Ada byte. "), n).alias("text"))
+        found = df.select("text", F.expr(detector.spans_of("text")).alias("spans"))
+        began = time.perf_counter()
+        row = e.redact_chunk_rows(found).first()
+        assert row.redaction_count == n and row.text == "[REDACTED:NAME] " * n
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(20_000) < 6
+
+
 def python_detector():
     pattern = "John"
 
