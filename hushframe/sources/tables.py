@@ -29,10 +29,11 @@ def read_table(
     return reader.load(path if isinstance(path, str) else list(path))
 
 
-def spread(df: DataFrame, partitions: int) -> DataFrame:
+def spread(df: DataFrame, partitions: int, key: str | None = None) -> DataFrame:
     """The rows dealt to so many partitions, for a table whose files give fewer tasks
-    than there are cores. The caller knows; nothing here looks at its size."""
-    return df.repartition(partitions)
+    than there are cores. The caller knows; nothing here looks at its size. With a ``key``
+    that few rows share they are dealt by it, which needs no sort."""
+    return df.repartition(partitions) if key is None else df.repartition(partitions, key)
 
 
 def stream_table(

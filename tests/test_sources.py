@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import views
 from hushframe.operators.redact import redact_text
 from hushframe.sources.tables import once_writer, read_table, stream_table, workspace, write_redacted
 from hushframe.streaming import streams
@@ -82,3 +83,10 @@ def test_a_batch_delivered_again_is_there_once(spark, written):
 def test_once_writer_refuses_names_of_its_folders(spark):
     with pytest.raises(ValueError, match="batch"):
         once_writer("nowhere")(spark.range(1).withColumnRenamed("id", "Batch"), "s", 0)
+
+
+@pytest.mark.parametrize("view", [views.records])
+def test_customers_of_one_file_are_dealt_over_the_cores(spark, sf_dir, view):
+    tasks = view(spark, sf_dir).groupBy(F.spark_partition_id()).count().collect()
+    cores = spark.sparkContext.defaultParallelism
+    assert len(tasks) > cores and max(n for _, n in tasks) * cores < 3 * sum(n for _, n in tasks)
