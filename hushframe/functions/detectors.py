@@ -61,25 +61,27 @@ class PatternDetector:
         the chunks as the original tool did.
         """
         hit = redact_matches(text, self.rules, allowed)
-        if parity:
-            hit = let(
-                transform(
-                    chunk_text(text, limit, parity=True),
-                    lambda c: let(
-                        redact_matches(f"{c}.text", self.rules, allowed),
-                        lambda r: struct(text=f"concat({r}.value, {c}.sep)", n=f"{r}.n", types=f"{r}.types"),
-                    ),
+        nothing = struct(value=text, n="0", types=NO_TYPES)
+        if not parity:
+            # Each rule tests its own hint.
+            return when((f"{text} IS NOT NULL", hit), other=nothing)
+        hit = let(
+            transform(
+                chunk_text(text, limit, parity=True),
+                lambda c: let(
+                    redact_matches(f"{c}.text", self.rules, allowed),
+                    lambda r: struct(text=f"concat({r}.value, {c}.sep)", n=f"{r}.n", types=f"{r}.types"),
                 ),
-                lambda rs: struct(
-                    value=when(
-                        (aggregate(rs, "0", lambda n, r: f"{n} + {r}.n") + " > 0", f"array_join({rs}.text, '')"),
-                        other=text,
-                    ),
-                    n=aggregate(rs, "0", lambda n, r: f"{n} + {r}.n"),
-                    types=f"flatten({rs}.types)",
+            ),
+            lambda rs: struct(
+                value=when(
+                    (aggregate(rs, "0", lambda n, r: f"{n} + {r}.n") + " > 0", f"array_join({rs}.text, '')"),
+                    other=text,
                 ),
-            )
-        nothing = struct(value=text, n="0", types=NO_TYPES)
+                n=aggregate(rs, "0", lambda n, r: f"{n} + {r}.n"),
+                types=f"flatten({rs}.types)",
+            ),
+        )
         return when((self.may_match(text), hit), other=nothing)
 
 

@@ -161,8 +161,11 @@ def _accepted(skeleton: Sql) -> Sql:
     return f"{spelled} RLIKE {lit(f'^{_ANY}(?:{_FLAT})*+$')}"
 
 
-def _redact_document(text: Sql, stage: Stage) -> Sql:
-    """struct<value, n, types, entity_types>; null where the text is no document."""
+def _redact_document(text: Sql, stage: Stage, valid: bool = False) -> Sql:
+    """struct<value, n, types, entity_types>; null where the text is no document.
+
+    ``valid`` text is known to be one.
+    """
 
     def split(hidden: Sql) -> Sql:
         return let(
@@ -170,7 +173,7 @@ def _redact_document(text: Sql, stage: Stage) -> Sql:
                 gaps=f"split({hidden}, {lit(_LITERAL)}, -1)",
                 literals=f"regexp_extract_all({hidden}, {lit(_LITERAL)}, 0)",
             ),
-            lambda doc: when((_is_document(doc), redact_values(doc))),
+            lambda doc: redact_values(doc) if valid else when((_is_document(doc), redact_values(doc))),
         )
 
     def redact_values(doc: Sql) -> Sql:
@@ -214,15 +217,17 @@ def pattern_hint(text: Sql) -> Sql:
 def any_escape(hint: Stage) -> Stage:
     """A hint over the text of values as one over the text of a document, whose escapes
     may stand for any character."""
-    return lambda text: f"({hint(text)} OR contains({text}, {lit(chr(92))}))"
+    return lambda text: f"(contains({text}, {lit(chr(92))}) OR {hint(text)})"
 
 
-def redact_json_text(text: Sql, stage: Stage = pattern_stage, hint: Stage = pattern_hint) -> Sql:
+def redact_json_text(
+    text: Sql, stage: Stage = pattern_stage, hint: Stage = pattern_hint, *, valid: bool = False
+) -> Sql:
     """struct<value, n, types, entity_types> of a JSON document; text that is not JSON is
     redacted as plain text.
 
     ``stage`` redacts one text, ``hint`` is a cheap condition on the whole document for it
-    to change anything.
+    to change anything. Text that Spark itself wrote is ``valid``: its grammar isn't tested.
     """
     nothing = struct(value=text, n="0", types=NO_TYPES, entity_types=NO_TYPES)
-    return when((hint(text), f"coalesce({_redact_document(text, stage)}, {stage(text)})"), other=nothing)
+    return when((hint(text), f"coalesce({_redact_document(text, stage, valid)}, {stage(text)})"), other=nothing)

@@ -255,13 +255,15 @@ def redact_matches(text: Sql, rules: Sequence[tuple[str, str, str]], allowed: Sq
     placeholder, from the last to the first.
     """
     kinds = f"array({', '.join(lit(r[0]) for r in rules)})"
+
+    def wanted(kind: str, pattern: str, hint: str) -> Sql:
+        # A hint that is the pattern itself would only scan the text once more.
+        hinted = f" AND {text} RLIKE {lit(hint)}" if hint != pattern else ""
+        return f"array_contains({allowed}, {lit(kind)}){hinted}"
+
     found = {
         f"m{i}": when(
-            (
-                f"array_contains({allowed}, {lit(kind)}) AND {text} RLIKE {lit(hint)}",
-                f"regexp_extract_all({text}, {lit(pattern)}, 0)",
-            ),
-            other=empty("string"),
+            (wanted(kind, pattern, hint), f"regexp_extract_all({text}, {lit(pattern)}, 0)"), other=empty("string")
         )
         for i, (kind, pattern, hint) in enumerate(rules)
     }

@@ -242,7 +242,7 @@ def native_leaf(detector: PatternDetector, allowed: Sql, *, limit: int = CHUNK_B
     def leaf(text: Sql, place: Sql) -> Sql:
         return stage(text)
 
-    leaf.variant = variant_leaf(lambda text: redact_json_text(text, stage, any_escape(detector.may_match)))
+    leaf.variant = variant_leaf(lambda text: redact_json_text(text, stage, any_escape(detector.may_match), valid=True))
     return leaf
 
 
