@@ -17,18 +17,19 @@ or in decimals of 38 digits. A sum of f over the terms of a language stays below
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.llm.perfecthash import PerfectHash, build, hashes, shard_of
-from hushframe.llm.tables import Batches, sliced, staged
+from hushframe.llm.tables import Batches, staged
 
 MIN_DOCS = 3
 UNIT = 1_000_000_000
@@ -41,6 +42,9 @@ TERM_BYTES = 48  # of a term beside its text
 PAGE = 4096  # slots of a page, and of a block of sums
 PAGES = 2048  # that a task holds before it hands on its counts
 HELD = 300_000  # terms that a task holds before it hands on its counts
+NUMBERED = 600_000  # words that a task numbers before it begins anew
+PART_BYTES = 16 << 20  # of text that a task splits at a time
+OCCURRENCES = 4_000_000  # that a task holds by number before it counts them
 TILE = 64  # sources compared in one task are at most two tiles
 
 _LETTERS = bytes(
@@ -48,15 +52,46 @@ _LETTERS = bytes(
 )
 
 
-def terms(text: str | None) -> Iterator[list[bytes]]:
-    """Runs of letters and non-ASCII characters, A-Z lower-cased, in parts of about 1 MB."""
-    data = (text or "").encode().translate(_LETTERS)
-    at = 0
-    while at < len(data):
-        end = data.find(b" ", at + (1 << 20))
-        end = len(data) if end < 0 else end
-        yield data[at:end].split()
-        at = end
+def _parts(batches: Batches) -> Batches:
+    """The batches in parts of at most ``PART_BYTES`` of text, the last column, or of one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.columns[-1]).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = done = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, done + PART_BYTES, "right")))
+            yield batch.slice(start, stop - start)
+            start, done = stop, int(ends[stop - 1])
+
+
+def _split(texts: pa.Array) -> pa.Array:
+    """The terms of each text: runs of letters and non-ASCII characters, A-Z lower-cased."""
+    raw = texts.cast(pa.binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+    data = memoryview(raw.buffers()[2] or b"")[ends[0] : ends[-1]].tobytes().translate(_LETTERS)
+    # Bytes are mapped one to one, so each text keeps its place.
+    letters = pa.StringArray.from_buffers(len(raw), pa.py_buffer(ends - ends[0]), pa.py_buffer(data))
+    return pc.ascii_split_whitespace(letters)
+
+
+def occurrences(batches: Batches) -> Iterator[tuple[str, list[int], pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
+    """For each part and language: the rows, their part, how many terms each has, the places
+    of these, row by row, in a list of distinct terms, and that list.
+
+    ``lang`` is the first column, the text the last; neither holds nulls.
+    """
+    for part in _parts(batches):
+        split = _split(part.columns[-1])
+        found, ends = split.flatten(), split.offsets.to_numpy()
+        filled = pc.not_equal(found, "").to_numpy(zero_copy_only=False)  # white space at an end gives an empty one
+        ends = np.concatenate([[0], np.cumsum(filled)])[ends - ends[0]]
+        coded = found.filter(pa.array(filled)).dictionary_encode()
+        places = coded.indices.to_numpy()
+        rows_of = defaultdict(list)
+        for i, lang in enumerate(part.columns[0].to_pylist()):
+            rows_of[lang].append(i)
+        for lang, rows in rows_of.items():
+            here = np.concatenate([places[ends[i] : ends[i + 1]] for i in rows])
+            yield lang, rows, part, np.diff(ends)[rows], here, coded.dictionary
 
 
 def _inputs(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
@@ -71,25 +106,44 @@ def _strings(values: list[bytes]) -> pa.Array:
 # --- first pass: frequency filter ---------------------------------------------
 
 
+class _Words:
+    """Numbers, from 0, of the words of one language as they come."""
+
+    def __init__(self) -> None:
+        self.numbers: defaultdict[bytes, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__  # a new word gets the next number
+
+    def of(self, places: np.ndarray, listed: pa.Array) -> np.ndarray:
+        """The numbers of listed words at distinct places."""
+        words = listed.take(pa.array(places)).cast(pa.binary()).to_numpy(zero_copy_only=False)
+        return np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
+
+
 def _document_counts(batches: Batches) -> Iterator[pa.RecordBatch]:
-    held: dict[str, Counter] = defaultdict(Counter)
+    words: dict[str, _Words] = defaultdict(_Words)
+    docs: dict[str, np.ndarray] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for lang, counts in held.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.repeat(lang, len(counts)), _strings(list(counts)), pa.array(list(counts.values()), pa.int64())],
-                ["lang", "term", "docs"],
-            )
-        held.clear()
-
-    for batch in sliced(batches):
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found: set[bytes] = set()
-            for part in terms(text):
-                found.update(part)
-            if found:
-                held[lang].update(found)
-        if sum(map(len, held.values())) > HELD:
+        for lang, own in words.items():
+            found = _strings(list(own.numbers))
+            n = pa.array(docs[lang][: len(found)])
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(found)), found, n], ["lang", "term", "docs"])
+        words.clear()
+        docs.clear()
+
+    for lang, rows, _, sizes, places, listed in occurrences(batches):
+        if not len(places):
+            continue
+        # Each term once a row.
+        once = np.repeat(np.arange(len(rows)) * len(listed), sizes) + places
+        once.sort()
+        places, n = np.unique(once[np.diff(once, prepend=-1) > 0] % len(listed), return_counts=True)
+        number = words[lang].of(places, listed)
+        counts = docs.get(lang, np.empty(0, np.int64))
+        if len(counts) < len(words[lang].numbers):
+            counts = docs[lang] = np.concatenate([counts, np.zeros(len(words[lang].numbers), np.int64)])
+        counts[number] += n
+        if sum(len(w.numbers) for w in words.values()) > HELD:
             yield from flush()
     yield from flush()
 
@@ -183,18 +237,33 @@ class _Slots:
         self.shards = shards[0][1]
         self.hashes = {shard: (first, PerfectHash(*rest)) for shard, _, first, *rest in shards}
 
-    def of(self, found: list[bytes]) -> dict[bytes, int]:
+    def of(self, found: list[bytes]) -> np.ndarray:
+        """The slot of each word, -1 for words that are no term."""
         h = hashes(found)
         own = shard_of(h, self.shards)
-        out: dict[bytes, int] = {}
+        out = np.full(len(found), -1, np.int64)
         for shard, (first, perfect) in self.hashes.items():
             here = np.flatnonzero(own == np.uint64(shard))
-            words = [found[i] for i in here.tolist()]
-            numbers = perfect.numbers(words, h[here])
-            out.update((w, n + first) for w, n in zip(words, numbers.tolist()) if n >= 0)
+            numbers = perfect.numbers([found[i] for i in here.tolist()], h[here])
+            out[here] = np.where(numbers >= 0, numbers + first, -1)
         return out
 
 
+class _SlotWords(_Words):
+    """Numbered words and their slots."""
+
+    def __init__(self, hashes: _Slots | None):
+        super().__init__()
+        self.slots, self.hashes = np.empty(0, np.int64), hashes
+
+    def resolve(self) -> np.ndarray:
+        """The slot by number, -1 for words that have none."""
+        new = list(islice(self.numbers, len(self.slots), None))
+        found = self.hashes.of(new) if self.hashes else np.full(len(new), -1, np.int64)
+        self.slots = np.concatenate([self.slots, found])
+        return self.slots
+
+
 _COUNTS = "lang string, source string, slot long, term string, n long"
 
 
@@ -204,72 +273,70 @@ def recount(inputs: DataFrame, dense: Broadcast, others: bool) -> DataFrame:
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         slots = {lang: _Slots(shards) for lang, shards in dense.value.items()}
-        pages: dict[tuple, np.ndarray] = {}
-        rest: Counter = Counter()
+        words: dict[str, _SlotWords] = {}
+        held: dict[str, dict[str, list[np.ndarray]]] = {}
+        pages: dict[tuple[str, str], dict[int, np.ndarray]] = defaultdict(dict)
 
-        def batch_of(lang, source, slot, term, n) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([lang, source, slot, term, n], ["lang", "source", "slot", "term", "n"])
+        def batch_of(lang: str, source: str, slot: pa.Array, term: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.repeat(lang, len(n)), pa.repeat(source, len(n)), slot, term, pa.array(n, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "source", "slot", "term", "n"])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source, page), counts in pages.items():
-                at = np.flatnonzero(counts)
-                yield batch_of(
-                    pa.repeat(lang, len(at)), pa.repeat(source, len(at)), pa.array(at + page * PAGE),
-                    pa.nulls(len(at), pa.string()), pa.array(counts[at]),
-                )
+            for (lang, source), of_group in pages.items():
+                found = [(np.flatnonzero(counts), page, counts) for page, counts in of_group.items()]
+                slot = np.concatenate([at + page * PAGE for at, page, _ in found])
+                n = np.concatenate([counts[at] for at, _, counts in found])
+                yield batch_of(lang, source, pa.array(slot), pa.nulls(len(n), pa.string()), n)
             pages.clear()
-            if rest:
-                langs, sources, words = zip(*rest)
-                yield batch_of(
-                    pa.array(langs, pa.string()), pa.array(sources, pa.string()),
-                    pa.nulls(len(rest), pa.int64()), _strings(list(words)), pa.array(list(rest.values()), pa.int64()),
-                )
-                rest.clear()
-
-        def resolve() -> None:
-            """Adds the counts by word to the pages, and to ``rest`` what has no slot."""
-            for lang, sources in counts.items():
-                found = known_slots[lang]
-                if lang in slots:
-                    new = [w for w in set().union(*sources.values()) if w not in found]
-                    found.update(dict.fromkeys(new, -1))
-                    found.update(slots[lang].of(new))
-                for source, words in sources.items():
-                    at = np.fromiter(map(found.get, words, repeat(-1)), np.int64, len(words))
-                    n = np.fromiter(words.values(), np.int64, len(words))
-                    if others:
-                        named = list(words)
-                        rest.update({(lang, source, w := named[i]): words[w] for i in np.flatnonzero(at < 0).tolist()})
-                    known = np.flatnonzero(at >= 0)
-                    known = known[np.argsort(at[known])]
-                    at, n = at[known], n[known]
-                    edges = np.flatnonzero(np.diff(at // PAGE, prepend=-1))
-                    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(at)]):
-                        key = (lang, source, int(at[a]) // PAGE)
-                        if key not in pages:
-                            pages[key] = np.zeros(PAGE, np.int64)
-                        pages[key][at[a:b] % PAGE] += n[a:b]
-                if len(found) > HELD:
-                    found.clear()
-            counts.clear()
-
-        # Slots of words that the hashes were asked for, with bounded memory.
-        known_slots: dict[str, dict[bytes, int]] = defaultdict(dict)
-        counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
-        held = 0
-        for batch in sliced(batches, 128):
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                mine = counts[lang][source]
-                held -= len(mine)
-                for part in terms(text):
-                    mine.update(part)
-                held += len(mine)
-            if held > HELD:
-                resolve()
-                held = 0
-                if len(pages) > PAGES or len(rest) > HELD:
-                    yield from flush()
-        resolve()
+
+        def add(lang: str, source: str, at: np.ndarray, n: np.ndarray) -> None:
+            order = np.argsort(at)
+            at, n = at[order], n[order]
+            edges = np.flatnonzero(np.diff(at // PAGE, prepend=-1))
+            own = pages[lang, source] if len(at) else {}
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(at)]):
+                page = int(at[a]) // PAGE
+                if page not in own:
+                    own[page] = np.zeros(PAGE, np.int64)
+                own[page][at[a:b] % PAGE] += n[a:b]
+
+        def resolve() -> Iterator[pa.RecordBatch]:
+            """Adds what is held to the pages, and hands on the counts of words without a slot."""
+            for lang, sources in held.items():
+                slot_of = words[lang].resolve()
+                names = list(words[lang].numbers) if others else []
+                for source, parts in sources.items():
+                    number, n = np.unique(np.concatenate(parts), return_counts=True)
+                    at = slot_of[number]
+                    known = at >= 0
+                    add(lang, source, at[known], n[known])
+                    if others and not known.all():
+                        named = _strings([names[i] for i in number[~known].tolist()])
+                        yield batch_of(lang, source, pa.nulls(len(named), pa.int64()), named, n[~known])
+            held.clear()
+            if sum(len(w.numbers) for w in words.values()) > NUMBERED:
+                words.clear()
+            if sum(map(len, pages.values())) > PAGES:
+                yield from flush()
+
+        n_held = 0  # occurrences, each row counted as some more for what its array takes
+        for lang, rows, part, sizes, places, listed in occurrences(batches):
+            if not len(places):
+                continue
+            if lang not in words:
+                words[lang] = _SlotWords(slots.get(lang))
+            distinct = np.unique(places)
+            number = np.empty(len(listed), np.int32)
+            number[distinct] = words[lang].of(distinct, listed)
+            sources = part.column(1).take(pa.array(rows)).to_pylist()
+            for source, own in zip(sources, np.split(number[places], np.cumsum(sizes)[:-1])):
+                if len(own):
+                    held.setdefault(lang, {}).setdefault(source, []).append(own)
+            n_held += len(places) + 32 * len(rows)
+            if n_held > OCCURRENCES or sum(len(w.numbers) for w in words.values()) > NUMBERED:
+                yield from resolve()
+                n_held = 0
+        yield from resolve()
         yield from flush()
 
     return inputs.select("lang", "source", "text").mapInArrow(run, _COUNTS)
@@ -411,8 +478,11 @@ def audit(
         .select("lang", "source", "slot", _share("n", "total").alias("p"), _share("lang_n", "lang_total").alias("q"))
     )
     value = F.expr("((p - q) * (p - q)) div q").alias("value")
+    # Only terms that may rank get their texts; all that share the last value may.
+    place = F.rank().over(Window.partitionBy("lang", "source").orderBy(F.desc("value")))
     above = (
         shares.where("p > q").select("lang", "source", "slot", value)
+        .withColumn("place", place).where(F.col("place") <= ranks).drop("place")
         .join(slot_terms(found).withColumnRenamed("term", "item"), ["lang", "slot"])
     )
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -115,6 +116,56 @@ def test_audit_of_wide_tables_and_of_nothing(spark, nothing):
     same(got.collect(), brute_audit(rows))  # more than two tiles; a language without kept terms
 
 
+def test_occurrences_are_the_terms_of_each_row(monkeypatch):
+    monkeypatch.setattr(divergence, "PART_BYTES", 64)
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("aaZé漢😀 \t\n\x00\x0b\x1c\x7f\u0085\u00a0\u20039'_", k=rng.randrange(90))) for _ in range(200)]
+    texts += ["", " ", "one"]
+    langs = [rng.choice(["en", "de", ""]) for _ in texts]
+    batch = pa.record_batch([pa.array(langs), pa.array(texts)], ["lang", "text"])
+    got = defaultdict(list)
+    for lang, rows, part, sizes, places, listed in divergence.occurrences(iter([batch.slice(3), batch.slice(0, 0)])):
+        words = listed.take(pa.array(places)).to_pylist()
+        ends = np.cumsum(sizes).tolist()
+        assert len(words) == ends[-1] and len(rows) == len(ends) and "" not in words
+        got[lang] += [words[a:b] for a, b in zip([0, *ends], ends)]
+    want = defaultdict(list)
+    for lang, text in list(zip(langs, texts))[3:]:
+        want[lang].append(TERM.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+    assert got == want
+
+
+def test_words_are_counted_alike_however_often_a_task_begins_anew(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(" ".join(rng.choices([f"w{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(200)], k=40)), rng.choice(["en", "de"]), f"s{i % 3}") for i in range(90)]
+    df = spark.createDataFrame(rows, "text string, lang string, source string").coalesce(1)
+    for name, most in (("NUMBERED", 50), ("OCCURRENCES", 100), ("PAGES", 1)):
+        monkeypatch.setattr(divergence, name, most)
+        for bound in (divergence.BROADCAST, 3_000):
+            same(divergence.audit(df, bound=bound).collect(), brute_audit(rows))
+
+
+def test_a_task_hands_on_one_batch_for_each_group(monkeypatch):
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    monkeypatch.setattr(divergence, "PAGE", 4)
+    keys = [b"k" + b"a" * i for i in range(40)]
+    bits, sizes, order = perfecthash.build(keys)
+
+    class Sent:
+        value = {"en": [(0, 1, 0, bits, sizes, [keys[i] for i in order])]}
+
+    text = " ".join(k.decode() for k in keys)
+    columns = [pa.array(["en"] * 6), pa.array(["s", "t"] * 3), pa.array([text] * 6)]
+    out = list(divergence.recount(Frame(), Sent, False)(iter([pa.record_batch(columns, ["lang", "source", "text"])])))
+    assert [(b.num_rows, set(b.column(1).to_pylist()), set(b.column(4).to_pylist())) for b in out] == [(40, {"s"}, {3}), (40, {"t"}, {3})]
+
+
 def test_large_counts_stay_exact():
     counts = np.array([0, 10**10, 3 * 10**12], np.int64)
     totals = np.array([10, 10**12, 4 * 10**12], np.int64)
