@@ -19,13 +19,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from contextlib import contextmanager
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hushframe.llm.perfecthash import PerfectHash, build, hashes, shard_of
@@ -42,9 +43,10 @@ TERM_BYTES = 48  # of a term beside its text
 PAGE = 4096  # slots of a page, and of a block of sums
 PAGES = 2048  # that a task holds before it hands on its counts
 HELD = 300_000  # terms that a task holds before it hands on its counts
-NUMBERED = 600_000  # words that a task numbers before it begins anew
-PART_BYTES = 16 << 20  # of text that a task splits at a time
-OCCURRENCES = 4_000_000  # that a task holds by number before it counts them
+NUMBERED = 400_000  # words that a task numbers before it begins anew
+BATCH_ROWS = 1024  # documents that Spark hands to Python at a time
+PART_BYTES = 4 << 20  # of text that a task splits at a time
+OCCURRENCES = 2_000_000  # that a task holds by number before it counts them
 TILE = 64  # sources compared in one task are at most two tiles
 
 _LETTERS = bytes(
@@ -52,6 +54,20 @@ _LETTERS = bytes(
 )
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ``BATCH_ROWS`` rows meanwhile: texts of a batch are held by the
+    JVM and by Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    most = int(before)  # 0 or less: no limit
+    spark.conf.set(name, min(most, BATCH_ROWS) if most > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _parts(batches: Batches) -> Batches:
     """The batches in parts of at most ``PART_BYTES`` of text, the last column, or of one row."""
     for batch in batches:
@@ -61,6 +77,7 @@ def _parts(batches: Batches) -> Batches:
             stop = max(start + 1, int(np.searchsorted(ends, done + PART_BYTES, "right")))
             yield batch.slice(start, stop - start)
             start, done = stop, int(ends[stop - 1])
+        pa.default_memory_pool().release_unused()  # else a reused worker keeps the most it ever had
 
 
 def _split(texts: pa.Array) -> pa.Array:
@@ -110,8 +127,9 @@ class _Words:
     """Numbers, from 0, of the words of one language as they come."""
 
     def __init__(self) -> None:
-        self.numbers: defaultdict[bytes, int] = defaultdict()
-        self.numbers.default_factory = self.numbers.__len__  # a new word gets the next number
+        # A new word gets the next number. The counter does not refer to the dict: in a cycle the
+        # words would outlive the task in a reused worker.
+        self.numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
 
     def of(self, places: np.ndarray, listed: pa.Array) -> np.ndarray:
         """The numbers of listed words at distinct places."""
@@ -448,9 +466,11 @@ def audit(
     table gives no rows. Other columns are not read.
     """
     inputs = _inputs(docs, lang_col, source_col, text_col)
-    kept = staged(kept_terms(inputs, min_docs), "terms")
+    with _small_batches(docs.sparkSession):
+        kept = staged(kept_terms(inputs, min_docs), "terms")
     found = staged(perfect_hashes(kept, bound), "slots")
-    counts = staged(term_counts(inputs, found), "counts")
+    with _small_batches(docs.sparkSession):
+        counts = staged(term_counts(inputs, found), "counts")
     total = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     size = found.groupBy("lang").agg(F.sum("n").alias("kept"))
     by_name = Window.partitionBy("lang").orderBy("source")

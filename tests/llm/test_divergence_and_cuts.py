@@ -1,8 +1,10 @@
 """Source divergence, fill-in-the-middle and token counts."""
 
+import gc
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -166,6 +168,58 @@ def test_a_task_hands_on_one_batch_for_each_group(monkeypatch):
     assert [(b.num_rows, set(b.column(1).to_pylist()), set(b.column(4).to_pylist())) for b in out] == [(40, {"s"}, {3}), (40, {"t"}, {3})]
 
 
+@pytest.mark.parametrize("again", [False, True])
+def test_a_reused_worker_keeps_no_words_of_earlier_tasks(again):
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    class Sent:
+        value = {}
+
+    def task(k):
+        words = [chr(97 + k) + "".join(chr(97 + i // 26**j % 26) for j in range(4)) for i in range(20_000)]
+        columns = {"lang": ["en"], "source": ["s"], "text": [" ".join(words)]}
+        batch = pa.RecordBatch.from_pydict(columns if again else {c: columns[c] for c in ("lang", "text")})
+        run = divergence.recount(Frame(), Sent, True) if again else divergence._document_counts
+        return sum(b.num_rows for b in run(iter([batch])))
+
+    held = []
+    gc.collect()
+    gc.disable()  # a worker's few containers rarely bring it to a full collection
+    tracemalloc.start()
+    try:
+        for k in range(5):
+            assert task(k) == 20_000
+            held.append(tracemalloc.get_traced_memory()[0])
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert held[-1] - held[0] < 1_000_000
+
+
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+
+    def staged(df, step, own=divergence.staged):
+        seen[step] = int(spark.conf.get(name))
+        return own(df, step)
+
+    monkeypatch.setattr(divergence, "staged", staged)
+    before = spark.conf.get(name)
+    rows = [("same words here", "en", f"s{i}") for i in range(4)]
+    try:
+        for given, used in ((10_000, divergence.BATCH_ROWS), (0, divergence.BATCH_ROWS), (7, 7)):
+            spark.conf.set(name, given)
+            same(divergence.audit(spark.createDataFrame(rows, "text string, lang string, source string")).collect(), brute_audit(rows))
+            assert (seen["terms"], seen["counts"], int(spark.conf.get(name))) == (used, used, given)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_large_counts_stay_exact():
     counts = np.array([0, 10**10, 3 * 10**12], np.int64)
     totals = np.array([10, 10**12, 4 * 10**12], np.int64)
